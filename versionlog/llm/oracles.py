@@ -1,3 +1,11 @@
 """SQL for the registered queries that SQL can express."""
 
-ORACLES: dict[str, str] = {}
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+ORACLES: dict[str, str] = {
+    "op2_exact_dedup": f"""
+        with t as (select doc_id, translate(coalesce(text, ''), '{UPPER}', '{LOWER}') as body from documents),
+        g as (select body, max(doc_id) as keep_id, count(*) as group_size from t group by body)
+        select t.doc_id, g.keep_id, g.group_size, t.doc_id = g.keep_id as kept, sha256(t.body) as text_sha256
+        from t join g on t.body = g.body""",
+}

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_codec, pii, quality_rules, token_counts, token_output
+from . import bpe_codec, exact_dedup, pii, quality_classifier, quality_rules, token_counts, token_output
 from ._io import documents, put, shared_dir, text_of
 
 #: Where the vocabulary files are; they are never copied.
@@ -20,6 +20,11 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(docs, TOKENIZER).select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > TOKEN_LIMIT).alias("over_limit"))
 
 
+def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = exact_dedup.Deduplicated(documents(spark, sf_dir).select("doc_id", "text")).decisions()
+    return found.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
+
+
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
     found = pii.find_pii(docs)
@@ -49,10 +54,17 @@ def op8_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.read_documents(spark, path)
 
 
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    return quality_classifier.Resampled(docs, documents(spark, sf_dir, "labels")).decisions()
+
+
 QUERIES = {
     "op1_token_counts": op1_token_counts,
+    "op2_exact_dedup": op2_exact_dedup,
     "op3_pii": op3_pii,
     "op4_quality_rules": op4_quality_rules,
     "op5_bpe_codec": op5_bpe_codec,
     "op8_token_output": op8_token_output,
+    "op10_quality_classifier": op10_quality_classifier,
 }
