@@ -6,13 +6,20 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_codec, exact_dedup, pii, quality_classifier, quality_rules, token_counts, token_output
+from . import bpe_codec, exact_dedup, mixing, pii, quality_classifier, quality_rules, token_counts, token_output
 from ._io import documents, put, shared_dir, text_of
 
 #: Where the vocabulary files are; they are never copied.
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 TOKEN_LIMIT = 2048
 END_ID = 2
+#: Sources by number: the domains of the mix, in turn.
+DOMAINS = ("web", "books", "code", "forums")
+WEIGHTS = {
+    "domain": {"web": 4, "books": 3, "code": 2, "forums": 1},
+    "language": {"en": 6, "de": 2, "fr": 2, "es": 1},
+    "source": {"src0": 2},
+}
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,6 +55,17 @@ def op5_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_codec.round_trip(documents(spark, sf_dir).select("doc_id", "text"), TOKENIZER).drop("text")
 
 
+def corpus_mix(**more) -> mixing.Mix:
+    number = F.coalesce(F.regexp_extract("source", "[0-9]+", 0).try_cast("int"), F.lit(0)) % len(DOMAINS)
+    domain = F.element_at(F.array(*map(F.lit, DOMAINS)), number + 1)
+    return mixing.Mix(domain=domain, language=F.col("lang"), source=F.col("source"), weights=WEIGHTS, **more)
+
+
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text", "lang", "source")
+    return mixing.Mixed(docs, corpus_mix(budget_share=0.8, max_epochs=3)).decisions()
+
+
 def op8_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_dir(spark, "token-output")
     token_output.write_tokens(documents(spark, sf_dir), TOKENIZER, path, END_ID)
@@ -65,6 +83,7 @@ QUERIES = {
     "op3_pii": op3_pii,
     "op4_quality_rules": op4_quality_rules,
     "op5_bpe_codec": op5_bpe_codec,
+    "op6_mixing": op6_mixing,
     "op8_token_output": op8_token_output,
     "op10_quality_classifier": op10_quality_classifier,
 }
