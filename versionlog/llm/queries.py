@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_codec, exact_dedup, mixing, pii, quality_classifier, quality_rules, token_counts, token_output
+from . import bpe_codec, exact_dedup, mixing, ngram_join, pii, quality_classifier, quality_rules, token_counts, token_output
 from ._io import documents, put, shared_dir, text_of
 
 #: Where the vocabulary files are; they are never copied.
@@ -72,6 +72,11 @@ def op8_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.read_documents(spark, path)
 
 
+def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    return ngram_join.Joined(docs, ngram_join.Config(n=4, percent=85)).decisions()
+
+
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
     return quality_classifier.Resampled(docs, documents(spark, sf_dir, "labels")).decisions()
@@ -85,5 +90,6 @@ QUERIES = {
     "op5_bpe_codec": op5_bpe_codec,
     "op6_mixing": op6_mixing,
     "op8_token_output": op8_token_output,
+    "op9_ngram_join": op9_ngram_join,
     "op10_quality_classifier": op10_quality_classifier,
 }
