@@ -86,13 +86,14 @@ def budgets(leaves: DataFrame, mix: Mix) -> DataFrame:
     """Leaves (domain, language, source, tokens) with ``budget`` tokens each."""
     supply = (F.col("tokens") * mix.max_epochs).cast("long")
     leaves = leaves.withColumn("supply", supply)
-    total = leaves.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("t")).select((F.lit(mix.budget_tokens) if mix.budget_tokens is not None else F.floor(F.col("t") * mix.budget_share)).cast("long").alias("amount"))
+    every = F.sum("tokens").over(Window.partitionBy("root"))
+    amount = F.lit(mix.budget_tokens) if mix.budget_tokens is not None else F.floor(every * mix.budget_share)
     given = None
     for k, level in enumerate(LEVELS):
         path = list(LEVELS[: k + 1])
-        nodes = leaves.groupBy(*path).agg(F.sum("supply").cast("long").alias("supply")).withColumn("w", _weight(level, mix)).withColumn("node", F.coalesce(F.col(level), F.lit("")))
+        nodes = leaves.groupBy(*path).agg(F.sum("supply").cast("long").alias("supply"), F.sum("tokens").alias("tokens")).withColumn("w", _weight(level, mix)).withColumn("node", F.coalesce(F.col(level), F.lit("")))
         if given is None:
-            nodes = nodes.withColumn("root", F.lit(0)).join(total.withColumn("root", F.lit(0)), "root")
+            nodes = nodes.withColumn("root", F.lit(0)).withColumn("amount", amount.cast("long"))
         else:
             same = [nodes[c].eqNullSafe(given[f"p_{c}"]) for c in path[:-1]]
             on = same[0]
