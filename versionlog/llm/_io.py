@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,8 +39,25 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the workers, once for each context; they may run elsewhere, in another folder."""
+    context = spark.sparkContext
+    if context.applicationId not in _SHIPPED:
+        package = Path(__file__).parent.parent
+        path = f"{tempfile.mkdtemp(prefix='versionlog-')}/{package.name}.zip"
+        with zipfile.ZipFile(path, "w") as z:
+            for f in sorted(package.rglob("*.py")):
+                z.write(f, str(f.relative_to(package.parent)))
+        context.addPyFile(path)
+        _SHIPPED.add(context.applicationId)
+
+
 def text_of(df: DataFrame, text_col: str = "text") -> Column:
     """The text as string; null counts as empty."""
+    ship(df.sparkSession)
     return F.coalesce(df[text_col].cast("string"), F.lit(""))
 
 

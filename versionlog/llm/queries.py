@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_codec, exact_dedup, mixing, ngram_join, pii, quality_classifier, quality_rules, token_counts, token_output
+from . import bpe_codec, exact_dedup, mixing, ngram_join, pii, quality_classifier, quality_rules, substring_dedup, token_counts, token_output
 from ._io import documents, put, shared_dir, text_of
 
 #: Where the vocabulary files are; they are never copied.
@@ -66,6 +66,10 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.Mixed(docs, corpus_mix(budget_share=0.8, max_epochs=3)).decisions()
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.Passages(documents(spark, sf_dir).select("doc_id", "text")).decisions()
+
+
 def op8_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_dir(spark, "token-output")
     token_output.write_tokens(documents(spark, sf_dir), TOKENIZER, path, END_ID)
@@ -89,6 +93,7 @@ QUERIES = {
     "op4_quality_rules": op4_quality_rules,
     "op5_bpe_codec": op5_bpe_codec,
     "op6_mixing": op6_mixing,
+    "op7_substring_dedup": op7_substring_dedup,
     "op8_token_output": op8_token_output,
     "op9_ngram_join": op9_ngram_join,
     "op10_quality_classifier": op10_quality_classifier,
