@@ -177,8 +177,8 @@ class PreTokens:
         return out
 
 
-def spell(word: str, t: Tables) -> list[int]:
-    raw = word.encode()
+def spell(raw: bytes, t: Tables) -> list[int]:
+    """Symbols of a word's bytes."""
     symbols = [t.first[b] for b in raw]
     symbols[-1] = t.last[raw[-1]]
     return symbols

@@ -23,7 +23,6 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from itertools import chain
 
 import ahocorasick
 import numpy as np
@@ -36,28 +35,68 @@ from . import bpe
 from ._io import put, text_of
 from .bpe import Shared
 
-#: Words of which a worker remembers the encoding.
-MEMO_WORDS = 200_000
+#: Words of which a worker remembers the encoding; twice as many at most.
+MEMO_WORDS = 400_000
+#: Longer words, in bytes, are merged one by one with a heap.
+LONG_WORD = 64
 _NEVER = np.int64(1) << 40
 
 
+class Memo(dict):
+    """A mapping in two generations: what is asked for stays, the rest goes when the young one is full."""
+
+    def __init__(self, most: int) -> None:
+        self.most, self.old = most, {}
+
+    def renew(self) -> None:
+        if len(self) > self.most:
+            self.old = dict(self)
+            self.clear()
+
+    def unknown(self, keys: set) -> list:
+        """Of keys that the young generation lacks, those that the old one lacks too; the others become young again."""
+        out, old = [], self.old
+        for k in keys:
+            if k in old:
+                self[k] = old[k]
+            else:
+                out.append(k)
+        return out
+
+
+def _holes(found: list) -> list[int]:
+    """Where a list has None."""
+    out, k = [], -1
+    try:
+        while True:
+            k = found.index(None, k + 1)
+            out.append(k)
+    except ValueError:
+        return out
+
+
 class Codec:
+    """Ids are kept as little-endian unsigned 32-bit bytes, so that texts are joined, not built up."""
+
     def __init__(self, t: bpe.Tables) -> None:
         self.t, self.pre = t, bpe.PreTokens(t)
-        self.memo: dict[str | int, tuple[int, ...]] = {i: (i,) for i in t.special.values()}
-        # symbols become characters, so that a word's end differs from the same byte within it
-        self.char = {s: chr(0x4E00 + k) for k, s in enumerate(dict.fromkeys(chain(t.first, t.last)))}
+        self.words = Memo(MEMO_WORDS)
+        self.first, self.last = np.array(t.first, np.int64), np.array(t.last, np.int64)
+        self.made = np.array([t.merges[k >> 32, k & 0xFFFFFFFF][1] for k in t.pair_key.tolist()], np.int64)
+        self.special = {i: np.array([i], "<u4").tobytes() for i in t.special.values()}
+        # a word is spelled with a character for each byte, another one for the byte that ends it
         self.trie = ahocorasick.Automaton()
+        chars = {s: chr(b) for b, s in enumerate(t.first)} | {s: chr(256 + b) for b, s in enumerate(t.last)}
         for i, symbols in enumerate(t.spelled):
             if symbols and t.alone[i]:
-                self.trie.add_word("".join(map(self.char.__getitem__, symbols)), (i, len(symbols)))
+                self.trie.add_word("".join(map(chars.__getitem__, symbols)), (i, len(symbols)))
         self.trie.make_automaton()
 
-    def merge_rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Rank of the merge of each pair, or _NEVER."""
+    def pair(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rank and result of the merge of each pair; without one the rank is _NEVER."""
         key = a << 32 | b
         at = np.minimum(np.searchsorted(self.t.pair_key, key), len(self.t.pair_key) - 1)
-        return np.where(self.t.pair_key[at] == key, self.t.pair_rank[at], _NEVER)
+        return np.where(self.t.pair_key[at] == key, self.t.pair_rank[at], _NEVER), self.made[at]
 
     def compatible(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Does encoding the two tokens together keep them apart?
@@ -70,7 +109,7 @@ class Codec:
         ok, live = np.ones(len(a), bool), np.arange(len(a))
         a, b, before = a.astype(np.int64), b.astype(np.int64), np.full(len(a), _NEVER)
         while len(live):
-            crossing = self.merge_rank(a, b) < before
+            crossing = self.pair(a, b)[0] < before
             ok[live[crossing]] = False
             ra, rb = rank[a], rank[b]
             on = ~crossing & ((ra >= 0) | (rb >= 0))
@@ -80,51 +119,96 @@ class Codec:
             a, b = np.where(undo_right, a, right[a]), np.where(undo_right, left[b], b)
         return ok
 
-    def speculate(self, spelled: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
-        """Longest-match ids of all words in a row, and how many each word has (-1: not covered)."""
-        text = "".join(map(self.char.__getitem__, chain.from_iterable(spelled)))
-        found = [v for _, v in self.trie.iter_long(text)]
-        ids = np.array([i for i, _ in found], np.int64)
-        ends = np.cumsum(np.array([n for _, n in found], np.int64))
-        word_ends = np.cumsum(np.array([len(s) for s in spelled], np.int64))
-        if not len(ends) or ends[-1] != len(text):
-            return ids, np.full(len(spelled), -1)
-        upto = np.searchsorted(ends, word_ends, "right")
-        return ids, np.diff(upto, prepend=0)
+    def speculate(self, spelled: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Longest-match ids of all words in a row, and where each word's begin; the last place is the end."""
+        found = list(self.trie.iter_long("".join(spelled)))
+        ids = np.array([v[0] for _, v in found], np.int64)
+        ends = np.cumsum(np.array([v[1] for _, v in found], np.int64))
+        word_ends = np.cumsum(np.array(list(map(len, spelled)), np.int64))
+        if len(ends) == 0 or ends[-1] != word_ends[-1]:
+            raise ValueError("the vocabulary lacks single bytes")
+        return ids, np.concatenate([[0], np.searchsorted(ends, word_ends, "right")])
+
+    def merge_all(self, words: list[bytes]) -> list[bytes]:
+        """Exact merging of many words at once: each step does the next merge of every word."""
+        long = [k for k, w in enumerate(words) if len(w) > LONG_WORD]
+        out: list[bytes] = [b""] * len(words)
+        for k in long:
+            out[k] = np.array(bpe.merge(bpe.spell(words[k], self.t), self.t.merges)[0], "<u4").tobytes()
+        names = np.array([k for k, w in enumerate(words) if len(w) <= LONG_WORD], np.int64)
+        size = np.array([len(words[k]) for k in names.tolist()], np.int64)
+        raw = np.frombuffer(b"".join([words[k] for k in names.tolist()]), np.uint8)
+        end = np.zeros(len(raw), bool)
+        end[np.cumsum(size) - 1] = True
+        ids = np.where(end, self.last[raw], self.first[raw])
+        rank, made = self.pair(ids[:-1], ids[1:])
+        rank, made = np.append(rank, _NEVER), np.append(made, 0)
+        rank[end] = _NEVER
+        while len(names):
+            start = np.cumsum(size) - size
+            least = np.minimum.reduceat(rank, start)
+            done = least == _NEVER
+            if done.any():
+                for k, a, n in zip(names[done].tolist(), start[done].tolist(), size[done].tolist()):
+                    out[k] = ids[a : a + n].astype("<u4").tobytes()
+                stay = np.repeat(~done, size)
+                names, size, least = names[~done], size[~done], least[~done]
+                ids, rank, made = ids[stay], rank[stay], made[stay]
+                if not len(names):
+                    break
+                start = np.cumsum(size) - size
+            word = np.repeat(np.arange(len(names)), size)
+            at = np.flatnonzero(rank == least[word])
+            at = at[np.diff(word[at], prepend=-1) > 0]  # the leftmost of each word
+            ids[at] = made[at]
+            keep = np.ones(len(ids), bool)
+            keep[at + 1] = False
+            ids, rank, made, size = ids[keep], rank[keep], made[keep], size - 1
+            at -= np.arange(len(at))  # one place went in every word before
+            start = np.cumsum(size) - size
+            ends = at == start + size - 1
+            again = np.concatenate([at[~ends], at[at > start] - 1])
+            rank[at[ends]] = _NEVER
+            rank[again], made[again] = self.pair(ids[again], ids[again + 1])
+        return out
 
     def learn(self, words: list[str]) -> None:
-        spelled = [bpe.spell(w, self.t) for w in words]
-        ids, counts = self.speculate(spelled)
-        if len(words) and counts[0] < 0:
-            good = np.zeros(len(words), bool)
-        else:
-            word = np.repeat(np.arange(len(words)), counts)
-            good = np.ones(len(words), bool)
-            inside = word[1:] == word[:-1]
-            if self.t.nested:
-                good[word[1:][inside][~self.compatible(ids[:-1][inside], ids[1:][inside])]] = False
-            else:
-                good[counts > 1] = False
-        at, flat = np.concatenate([[0], np.cumsum(np.maximum(counts, 0))]), ids.tolist()
-        for k, w in enumerate(words):
-            self.memo[w] = tuple(flat[at[k] : at[k + 1]]) if good[k] else tuple(bpe.merge(spelled[k], self.t.merges)[0])
-
-    def encode(self, texts: list[str]) -> list[list[int]]:
+        raw = [w.encode() for w in words]
+        ids, at = self.speculate([r[:-1].decode("latin-1") + chr(256 + r[-1]) for r in raw])
+        word = np.repeat(np.arange(len(words)), np.diff(at))
+        inside = word[1:] == word[:-1]
+        pairs_ok = self.compatible(ids[:-1][inside], ids[1:][inside]) if self.t.nested else np.zeros(inside.sum(), bool)
+        good = np.ones(len(words), bool)
+        good[word[1:][inside][~pairs_ok]] = False
+        flat, at = ids.astype("<u4").tobytes(), (4 * at).tolist()
+        self.words.update(zip(words, [flat[i:j] for i, j in zip(at, at[1:])]))
+        bad = np.flatnonzero(~good).tolist()
+        self.words.update(zip([words[k] for k in bad], self.merge_all([raw[k] for k in bad])))
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of each text: those of its pre-tokens in a row."""
         split = [self.pre(x) for x in texts]
-        new = list(dict.fromkeys(w for ws in split for w in ws if w not in self.memo))
-        if new:
-            self.learn(new)
-        get = self.memo.__getitem__
-        out = [list(chain.from_iterable(map(get, ws))) for ws in split]
-        if len(self.memo) > MEMO_WORDS:
-            self.memo = {i: (i,) for i in self.t.special.values()}
+        memo = self.words
+        found = [list(map(memo.get, ws)) for ws in split]
+        holes = [_holes(fs) for fs in found]
+        lacking = {ws[k] for ws, at in zip(split, holes) for k in at}
+        if lacking:
+            memo.update((i, self.special[i]) for i in lacking.intersection(self.special))
+            if new := memo.unknown(lacking.difference(self.special)):
+                self.learn(new)
+            for ws, fs, at in zip(split, found, holes):
+                for k in at:
+                    fs[k] = memo[ws[k]]
+        out = [np.frombuffer(b"".join(fs), "<u4") for fs in found]
+        memo.renew()
         return out
 
     def decode(self, ids: list[int]) -> str:
+        """Token strings joined by one space."""
         return " ".join(map(self.t.tokens.__getitem__, ids))
 
 
-def _slices(batch: pa.Array, most: int = 250) -> Iterator[list]:
+def _slices(batch: pa.Array, most: int = 500) -> Iterator[list]:
     for k in range(0, len(batch), most):
         yield batch.slice(k, most).to_pylist()
 
@@ -137,7 +221,8 @@ def encode(df: DataFrame, tokenizer: str, text_col: str = "text", out: str = "id
         codec = shared.held(Codec)
         for batch in batches:
             rows = [ids for texts in _slices(batch) for ids in codec.encode(texts)]
-            yield pa.array(rows, pa.list_(pa.int32()))
+            ends = np.cumsum([0, *map(len, rows)]).astype(np.int32)
+            yield pa.ListArray.from_arrays(ends, np.concatenate([np.zeros(0, "<u4"), *rows]).astype(np.int32))
 
     return put(df, {out: F.arrow_udf(run, "array<int>", ArrowUDFType.SCALAR_ITER)(text_of(df, text_col))})
 
@@ -169,7 +254,7 @@ def round_trip(df: DataFrame, tokenizer: str, text_col: str = "text") -> DataFra
             rows = [
                 (len(ids), hashlib.sha256(" ".join(map(decimal.__getitem__, ids)).encode()).hexdigest(), hashlib.sha256(codec.decode(ids).encode()).hexdigest())
                 for texts in _slices(batch)
-                for ids in codec.encode(texts)
+                for ids in map(np.ndarray.tolist, codec.encode(texts))
             ]
             yield pa.StructArray.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(kind)], fields=list(kind))
 

@@ -42,7 +42,7 @@ class Counter:
                 if n is None:
                     word = words[k]
                     if (n := self.known.get(word)) is None:
-                        n = self.known[word] = len(bpe.merge(bpe.spell(word, self.t), self.t.merges)[0])
+                        n = self.known[word] = len(bpe.merge(bpe.spell(word.encode(), self.t), self.t.merges)[0])
                     counts[k] = n
             if len(self.known) > len(self.whole) + MEMO_WORDS:
                 self.known = dict(self.whole)

@@ -110,10 +110,10 @@ def write_tokens(
             return row
 
         for batch in batches:
-            for k in range(0, len(batch), 250):
-                part = batch.slice(k, 250)
+            for k in range(0, len(batch), 500):
+                part = batch.slice(k, 500)
                 for name, ids, shard in zip(part["doc_id"].to_pylist(), codec.encode(part["text"].to_pylist()), part["shard"].to_pylist()):
-                    held.append(np.array([*ids, end_id], np.uint32))
+                    held.append(np.append(ids, np.uint32(end_id)))
                     names.append(name)
                     sizes.append(len(held[-1]))
                     if sum(sizes) >= segment_ids:
