@@ -71,10 +71,9 @@ def compact(log: DataFrame, snapshots: Sequence[int] = (), merge: str | MergeOpe
     floor = based.join(covered, [*KEYS, "s"], "left").withColumn("t", F.coalesce("t", F.lit(-1).cast("long")))
     joined = rows.join(floor, [*KEYS, "s"])
     floor_seq = F.greatest("b", "t")
-    base = (F.col("seq") == F.col("b")) & (F.col("b") > F.col("t")) & F.col("op").isin(*BASES)
-    operand = (F.col("op") == MERGE) & (F.col("seq") > floor_seq)
+    base = (F.col("seq") == F.col("b")) & (F.col("b") >= F.col("t")) & F.col("op").isin(*BASES)
+    operand = (F.col("op") == MERGE) & (F.col("seq") > F.col("b")) & (F.col("seq") >= F.col("t"))
     kept = joined.where(base | operand)
-    counted = kept.withColumn("has_ops", F.lit(False))
     flags = kept.groupBy(*KEYS, "s").agg(F.max(F.col("op") == MERGE).alias("has_ops"), F.max(floor_seq).alias("floor"))
     counted = kept.join(flags, [*KEYS, "s"])
     # no operands: the base row stays as it is, deletions too

@@ -36,8 +36,9 @@ def counting(log: DataFrame, snapshot: int | None = None, ranges: bool = True) -
     rows = points(seen)
     floor = floors(rows, tombstones(seen) if ranges else None)
     joined = rows.select(*KEYS, "seq", "op", "value").join(floor, KEYS)
-    base = F.col("op").isin(*VALUES) & (F.col("seq") == F.col("base_seq")) & (F.col("base_seq") > F.col("cover_seq"))
-    operand = (F.col("op") == MERGE) & (F.col("seq") > F.greatest("base_seq", "cover_seq"))
+    # a row is covered if its seq is below the tombstone's, not at the same one
+    base = F.col("op").isin(*VALUES) & (F.col("seq") == F.col("base_seq")) & (F.col("base_seq") >= F.col("cover_seq"))
+    operand = (F.col("op") == MERGE) & (F.col("seq") > F.col("base_seq")) & (F.col("seq") >= F.col("cover_seq"))
     return joined.where(base | operand).select(*KEYS, "seq", "op", "value")
 
 
