@@ -1,3 +1,5 @@
+import time
+
 import pytest
 from model import collected, frame, u64
 from pyspark.sql import functions as F
@@ -8,7 +10,7 @@ from versionlog.operators import ingest, timetravel, txn, wide
 from versionlog.operators.batch import WriteBatch
 from versionlog.operators.resolve import resolve
 from versionlog.sources.store import Backups, Store
-from versionlog.streaming import cdc
+from versionlog.streaming import cdc, listeners
 
 
 def test_store_round_trip(spark, tmp_path):
@@ -106,6 +108,23 @@ def test_stream_materialises_state(spark, tmp_path):
     assert collected(spark.read.parquet(str(tmp_path / "state" / last / "state"))) == {(0, b"a"): u64(16)}
 
 
+def test_listener_counts_batches(spark, tmp_path):
+    frame(spark, [(0, b"a", 1, PUT, b"1", None)]).write.parquet(str(tmp_path / "log"))
+    listener = listeners.CountingListener()
+    spark.streams.addListener(listener)
+    try:
+        q = cdc.materialise(cdc.read_changes(spark, str(tmp_path / "log")), str(tmp_path / "state"), str(tmp_path / "cp"))
+        q.awaitTermination()
+        for _ in range(50):
+            if listener.counts["ended"]:
+                break
+            time.sleep(0.1)
+    finally:
+        spark.streams.removeListener(listener)
+    assert listener.counts["started"] == listener.counts["ended"] == 1 and listener.rows == 1
+    assert listener.table(spark).count() >= 2
+
+
 def test_updates_since(spark):
     b = WriteBatch().put(b"a", b"1").put(b"b", b"2").put(b"c", b"3")
     log = b.to_log(spark, 1).unionByName(b.to_log(spark, 4))

@@ -13,7 +13,7 @@ from versionlog.model import MERGE, PUT, oplog, points, tombstones
 from versionlog.operators import batch, compact, filters, ingest, inspect, merge, rangedel, scan, timetravel, txn, wide
 from versionlog.operators.resolve import history, latest, resolve
 from versionlog.sources import datasets as d
-from versionlog.streaming import cdc
+from versionlog.streaming import cdc, listeners
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -575,6 +575,13 @@ def properties(spark, sf):
     return inspect.properties(d.events_log(spark, sf, ranges=True), d.files(spark, sf))
 
 
+@query("""select event_type as kind, count(*) as n, count(*) filter (where user_id % 5 = 0) as n_failed, cast(sum(user_id % 13) as bigint) as total_time, max(user_id % 13) as longest from events group by event_type""")
+def listener_counts(spark, sf):
+    e = d.table(spark, sf, "events")
+    rows = e.select(F.col("event_type").alias("kind"), F.col("event_id").alias("started_at"), (F.col("event_id") + F.col("user_id") % 13).alias("ended_at"), (F.col("user_id") % 5 == 0).alias("failed"))
+    return listeners.event_counts(rows)
+
+
 # --- loading and feeds
 
 
