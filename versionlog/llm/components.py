@@ -4,8 +4,9 @@ Each round sends every node's larger neighbours to its smallest neighbour, then
 every node's smaller neighbours likewise; after a number of rounds that grows
 with the logarithm of the longest chain each node points at the smallest of its
 component.  Rounds are written to the shared folder; nothing meets on the driver
-but two sums that tell whether a round changed anything.  Joins that carry the
-neighbours of a hub can be split by adaptive execution.
+but two sums that tell whether a round changed anything.  The least neighbours are
+summed before their shuffle and written too, so that adaptive execution can split
+the join that carries the neighbours of a hub.
 """
 
 from __future__ import annotations
@@ -19,11 +20,12 @@ from ._io import stored
 def _large(edges: DataFrame) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+    least = stored(least, "least")
     return both.where("v > u").join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
 def _small(edges: DataFrame) -> DataFrame:
-    least = edges.groupBy("u").agg(F.min("v").alias("m"))
+    least = stored(edges.groupBy("u").agg(F.min("v").alias("m")), "least")
     onward = edges.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return onward.unionByName(least.select("u", F.col("m").alias("v")))
 
