@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 import zipfile
@@ -39,6 +40,12 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let go of the shuffle files of steps whose results are stored: Spark removes them when their plans are collected."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 _SHIPPED: set[str] = set()
 
 

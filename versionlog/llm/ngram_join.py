@@ -1,21 +1,31 @@
 """N-gram Jaccard join: tiles by size band, bitmap bounds, exact intersections.
 
 A document's set is its distinct word n-grams as 64-bit hashes.  Sets that link
-share an n-gram of their prefixes, the first (1 - t) n + 1 in any common order;
-ours puts n-grams that many documents share last.  The n-grams found in two
-prefixes or more make the tiles.
+share ``SHARED`` n-grams of their prefixes, the first (1 - t) n + SHARED in any
+common order; ours puts n-grams that many documents share last.  The n-grams
+found in two prefixes or more make the tiles.
 
 1.  Equal sets collapse to the document with the smallest id.
-2.  Each tile ties its members to one of a few pivots.  Bit counts of hashed
-    bitmaps bound each overlap from above; what passes is intersected exactly.
-    Links merge into components.
-3.  Tiles that still hold several components are cut into size bands and blocks;
-    inside them all members of different components are held against each other
-    by bit counts, and what passes, again, exactly.
+2.  In each tile, members are held against a few pivots (in a small tile, against
+    each other).  Pairs that fit in size and meet in enough tiles go on; the bit
+    counts of hashed bitmaps bound their overlap from above, and what passes is
+    intersected exactly.  Links merge into components.
+3.  In larger tiles that still hold several components, each member is held
+    against those of other components by bit counts; the best few of its pairs are
+    intersected exactly, which merges most of what belongs together.  Tiles that
+    had more pairs than these then give all.  The largest tiles are cut into size
+    bands and blocks.
 
 So every linked pair that could join two components is tested, no pair within a
 component needs to be, and neither copies nor members of a family are spelled
-out as pairs.  Results are exact up to collisions of 64-bit hashes.
+out as pairs.  N-grams are 64-bit hashes; the last test compares 40 bits of them,
+which for two sets of 500 goes wrong once in four million pairs, and then by one
+n-gram.
+
+Why step 3 may leave out tiles: linked sets share SHARED tiles, or all their
+n-grams if these are fewer.  A pair that meets in fewer than MET small tiles has
+the rest in large ones; each document may leave out half of what is beyond that,
+its largest tiles, and one tile still holds both.
 
 Defined results: A-Z count as lower case, words lie between ASCII spaces; a
 document with fewer words than n has its whole sequence as one n-gram; without
@@ -29,56 +39,98 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.functions import ArrowUDFType
 
-from ._io import stored, text_of
+from ._io import release, stored, text_of
 from .components import components
 
-#: Words whose hashes a worker remembers.
-MEMO_WORDS = 500_000
 #: N-grams that are looked at together for what many documents share.
 CHUNK_GRAMS = 4_000_000
 #: An n-gram is common with so many documents in a chunk, and in all.
 COMMON_IN_CHUNK, COMMON = 4, 32
 #: So many of the most common ones are put last; the order of the others is their hash.  Only speed hangs on it.
 MOST_COMMON = 100_000
-#: Pivots that a family of similar sets is held against before its members are compared.
+#: Members of a tile that the others are held against first; so small a tile is compared whole.
 PIVOTS = 8
 #: Members of a tile that one task compares with as many others.
 BLOCK = 1024
+#: A tile's pairs for each member that are tried before all are.
+BEST = 2
 #: Up to so many ids are broadcast; beyond, they are joined by shuffling.
 BROADCAST_IDS = 200_000
-#: Bits of a bitmap for each n-gram, before rounding up to a power of two.
-BITS_A_GRAM = 4
+#: Pairs that a task remembers, not to give them again from every tile they share.  The rest is told apart later.
+SEEN_PAIRS = 500_000
+#: So many n-grams of their prefixes linked sets share, if they have as many in common at all; in so many small
+#: tiles a pair must meet to be looked at there.
+SHARED, MET = 20, 6
+#: Bits of a bitmap for each n-gram, before rounding up to a power of two: in tiles, and of single pairs.
+BITS_A_GRAM, FINE_BITS = 2, 8
 
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ x >> np.uint64(32)) * _A
+    x = (x ^ x >> np.uint64(29)) * _B
+    return x ^ x >> np.uint64(32)
+
+
+_SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+_BYTE = _mix(np.arange(1, 257, dtype=np.uint64))
+#: An odd base with 2 left after taking 1 away, and its inverse modulo 2^64.
+_BASE = np.uint64(0x8D26CCFE6D9B5A5B)
+_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
+#: Texts are hashed in parts of about so many bytes, cut at spaces.
+PART_BYTES = 1 << 20
+
+
+@lru_cache(1)
+def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
+    out = []
+    for base in (_BASE, _INVERSE):
+        p = np.full(size, base)
+        p[0] = 1
+        out.append(np.multiply.accumulate(p))
+    return out[0], out[1]
+
+
+def word_hashes(raw: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each word: a polynomial over its bytes, taken from running sums, then mixed."""
+    if not len(raw):
+        return np.zeros(0, np.uint64)
+    up, down = _powers(max(PART_BYTES, 1 << (len(raw) - 1).bit_length()))
+    space = np.concatenate([[True], _SPACE[raw], [True]])
+    edges = np.flatnonzero(space[1:] != space[:-1])
+    first, end = edges[::2], edges[1::2]
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTE[raw] * up[: len(raw)])])
+    return _mix((sums[end] - sums[first]) * down[first] ^ (end - first).astype(np.uint64))
+
+
 class Shingler:
-    """Sorted arrays of n-gram hashes."""
+    """Hashes of word n-grams."""
 
     def __init__(self, n: int) -> None:
-        self.n, self.memo = n, {}
+        self.n = n
 
     def words(self, text: str) -> np.ndarray:
-        words = text.encode().lower().split()  # of bytes: A-Z only, six ASCII spaces
-        memo = self.memo
-        try:
-            return np.fromiter(map(memo.__getitem__, words), np.uint64, len(words))
-        except KeyError:
-            if len(memo) > MEMO_WORDS:
-                memo.clear()
-            for w in words:
-                if w not in memo:
-                    memo[w] = xxhash.xxh3_64_intdigest(w)
-            return np.fromiter(map(memo.__getitem__, words), np.uint64, len(words))
+        low = text.encode().lower()  # of bytes: A-Z only
+        if len(low) <= PART_BYTES:
+            return word_hashes(np.frombuffer(low, np.uint8))
+        raw, parts, at = np.frombuffer(low, np.uint8), [], 0
+        spaces = np.flatnonzero(_SPACE[raw])
+        while at < len(raw):
+            k = np.searchsorted(spaces, at + PART_BYTES)
+            to = int(spaces[k]) + 1 if k < len(spaces) else len(raw)
+            parts.append(word_hashes(raw[at:to]))
+            at = to
+        return np.concatenate(parts)
 
     def sequence(self, text: str) -> np.ndarray:
         """Hashes of the text's n-grams in order."""
@@ -94,17 +146,18 @@ class Shingler:
         return h ^ h >> np.uint64(32)
 
     def __call__(self, text: str) -> np.ndarray:
+        """Sorted, each once."""
         return np.unique(self.sequence(text))
 
 
 def prefix_size(n: int, percent: int) -> int:
-    """First n-grams of which a linked set must have one: n - ceil(t n) + 1."""
-    return n - -(-percent * n // 100) + 1
+    """First n-grams of which linked sets share SHARED, or all they share: n - ceil(t n) + SHARED."""
+    return min(n, n - -(-percent * n // 100) + SHARED)
 
 
-def bitmap(grams: np.ndarray) -> bytes:
+def bitmap(grams: np.ndarray, bits_a_gram: int = BITS_A_GRAM) -> bytes:
     bits = 64
-    while bits < BITS_A_GRAM * len(grams):
+    while bits < bits_a_gram * len(grams):
         bits *= 2
     out = np.zeros(bits, np.uint8)
     out[(grams & np.uint64(bits - 1)).astype(np.int64)] = 1
@@ -164,18 +217,19 @@ def _common(texts: DataFrame, n: int) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, config: Config) -> DataFrame:
-    """doc_id, n_shingles, set_hash and keys (the prefix) of every document; docs has doc_id and text."""
+    """doc_id, n_shingles, set_hash, bits and keys (the prefix) of every document; docs has doc_id and text."""
     common = docs.sparkSession.sparkContext.broadcast(_common(docs, config.n))
-    kind = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_hash", pa.binary()), ("keys", pa.list_(pa.int64()))])
+    kind = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_hash", pa.binary()), ("bits", pa.binary()), ("keys", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle, last = Shingler(config.n), common.value
         for batch in batches:
-            sizes, hashes, keys = [], [], []
+            sizes, hashes, bits, keys = [], [], [], []
             for x in batch["text"]:
                 grams = shingle(x.as_py())
                 sizes.append(len(grams))
                 hashes.append(xxhash.xxh3_128_digest(grams))
+                bits.append(bitmap(grams))
                 if not len(grams):
                     keys.append([])
                     continue
@@ -184,9 +238,9 @@ def signatures(docs: DataFrame, config: Config) -> DataFrame:
                     often = last[np.minimum(np.searchsorted(last, grams), len(last) - 1)] == grams
                     grams = np.concatenate([grams[~often], grams[often]])
                 keys.append(grams[:most].view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(sizes, pa.int64()), pa.array(hashes, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], schema=kind)
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(sizes, pa.int64()), pa.array(hashes, pa.binary()), pa.array(bits, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], schema=kind)
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, set_hash binary, keys array<long>")
+    return docs.mapInArrow(run, "doc_id long, n_shingles long, set_hash binary, bits binary, keys array<long>")
 
 
 def _few(df: DataFrame) -> DataFrame:
@@ -194,91 +248,186 @@ def _few(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_IDS else df
 
 
-def _sets(docs: DataFrame, ids: DataFrame, config: Config) -> DataFrame:
-    """id, n, bits and grams of the documents with the given ids (column id)."""
-    kind = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("bits", pa.binary()), ("grams", pa.binary())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingle = Shingler(config.n)
-        for batch in batches:
-            sets = [shingle(x.as_py()) for x in batch["text"]]
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array([len(s) for s in sets], pa.int64()), pa.array(map(bitmap, sets), pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], schema=kind)
+def packed(grams: np.ndarray) -> bytes:
+    """The upper 40 bits of each hash; they keep its order."""
+    return np.ascontiguousarray(grams.view(np.uint8).reshape(-1, 8)[:, 3:]).tobytes()
 
-    return docs.join(_few(ids), docs["doc_id"] == ids["id"], "left_semi").select("doc_id", "text").mapInArrow(run, "id long, n long, bits binary, grams binary")
 
+def unpacked(raw: bytes) -> np.ndarray:
+    out = np.zeros((len(raw) // 5, 8), np.uint8)
+    out[:, :5] = np.frombuffer(raw, np.uint8).reshape(-1, 5)
+    return out.view(np.uint64).reshape(-1)
 
-def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Those of the pairs (u, v) that link: bounded by bit counts, then intersected."""
 
-    def may(a: pa.Array, n_a: pa.Array, b: pa.Array, n_b: pa.Array) -> pa.Array:
-        out = []
-        for x, n_x, y, n_y in zip(a.to_pylist(), n_a.to_pylist(), b.to_pylist(), n_b.to_pylist()):
-            words = min(len(x), len(y)) // 8
-            bound = overlap_bound(folded(x, words), n_x, folded(y, words)[None], np.array([n_y]))[0]
-            out.append(bool(enough(bound, n_x, n_y, percent)))
-        return pa.array(out, pa.bool_())
-
-    def do(a: pa.Array, b: pa.Array) -> pa.Array:
-        out = []
-        for x, y in zip(a, b):
-            x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
-            shared = len(np.intersect1d(x, y, assume_unique=True))
-            out.append(bool(enough(shared, len(x), len(y), percent)))
-        return pa.array(out, pa.bool_())
-
-    def two(what: str, rows: DataFrame) -> DataFrame:
-        for side in "uv":
-            part = sets.select(F.col("id").alias(side), F.col("n").alias(f"n_{side}"), F.col(what).alias(f"x_{side}"))
-            rows = rows.join(part, side)
-        return rows
-
-    may_udf, do_udf = F.arrow_udf(may, "boolean", ArrowUDFType.SCALAR), F.arrow_udf(do, "boolean", ArrowUDFType.SCALAR)
-    passed = two("bits", pairs).where(may_udf("x_u", "n_u", "x_v", "n_v")).select("u", "v")
-    return stored(two("grams", stored(passed, "join-passed")).where(do_udf("x_u", "x_v")).select("u", "v"), "join-links")
+def _tested(pairs: DataFrame, texts: DataFrame, config: Config, make, test) -> DataFrame:
+    """Pairs (u, v) that pass ``test(x, n_x, y, n_y)`` on what ``make`` makes of their sets."""
+    ids = stored(pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct(), "join-ids")
 
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingle = Shingler(config.n)
+        for batch in batches:
+            found = [shingle(x.as_py()) for x in batch["text"]]
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(map(len, found), pa.int64()), pa.array(map(make, found), pa.binary())], ["id", "n", "made"])
+
+    def passes(a: pa.Array, n_a: pa.Array, b: pa.Array, n_b: pa.Array) -> pa.Array:
+        sides = zip(a, n_a.to_pylist(), b, n_b.to_pylist())
+        return pa.array([bool(enough(test(x.as_py(), n_x, y.as_py(), n_y), n_x, n_y, config.percent)) for x, n_x, y, n_y in sides], pa.bool_())
+
+    held = texts.join(_few(ids), texts["doc_id"] == ids["id"], "left_semi").select("doc_id", "text")
+    made = stored(held.mapInArrow(sets, "id long, n long, made binary"), "join-sets")
+    for side in "uv":
+        pairs = pairs.join(made.select(F.col("id").alias(side), F.col("n").alias(f"n_{side}"), F.col("made").alias(f"x_{side}")), side)
+    return stored(pairs.where(F.arrow_udf(passes, "boolean", ArrowUDFType.SCALAR)("x_u", "n_u", "x_v", "n_v")).select("u", "v"), "join-tested")
+
+
+def _bitmap_bound(x: bytes, n_x: int, y: bytes, n_y: int) -> int:
+    words = min(len(x), len(y)) // 8
+    return int(overlap_bound(folded(x, words), n_x, folded(y, words)[None], np.array([n_y]))[0])
+
+
+def _linked(pairs: DataFrame, texts: DataFrame, config: Config) -> DataFrame:
+    """Those of the pairs (u, v) that link: bounded by finer bitmaps, then by intersection of the sorted sets."""
+    passed = _tested(pairs, texts, config, lambda g: bitmap(g, FINE_BITS), _bitmap_bound)
+    return _tested(passed, texts, config, packed, lambda x, n_x, y, n_y: len(np.intersect1d(unpacked(x), unpacked(y), assume_unique=True)))
+
+
+def _tiles(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    """Batches sorted by the keys, recut so that no group crosses two of them; with the ends of the groups."""
+    rest = None
+    for batch in batches:
+        if not len(batch):
+            continue
+        table = batch if rest is None else pa.concat_batches([rest, batch])
+        new = np.zeros(len(table), bool)
+        for k in keys:
+            x = table[k].to_numpy(zero_copy_only=False)
+            new[1:] |= x[1:] != x[:-1]
+        ends = np.flatnonzero(new)
+        if len(ends):
+            yield table.slice(0, int(ends[-1])), ends
+        rest = table.slice(int(ends[-1])) if len(ends) else table
+    if rest is not None:
+        yield rest, np.array([len(rest)])
+
+
+def tile_pairs(ids: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the pairs to look at: a small tile whole, in a larger one each member with those of the least hashes."""
+    sizes = np.diff(ends, prepend=0)
+    starts = ends - sizes
+    ones, others = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for m in range(2, PIVOTS + 1):
+        at = starts[sizes == m][:, None]
+        one, other = np.triu_indices(m, 1)
+        ones.append((at + one).ravel())
+        others.append((at + other).ravel())
+    for a, m in zip(starts[sizes > PIVOTS].tolist(), sizes[sizes > PIVOTS].tolist()):
+        pivots = a + np.argsort(_mix(ids[a : a + m].astype(np.uint64)), kind="stable")[:PIVOTS]
+        one, other = np.repeat(np.arange(a, a + m), PIVOTS), np.tile(pivots, m)
+        once = (one > other) | ~np.isin(one, pivots)
+        ones.append(one[once])
+        others.append(other[once])
+    return np.concatenate(ones), np.concatenate(others)
+
+
+def _near(members: DataFrame, percent: int) -> DataFrame:
+    """Pairs (u, v, n_u, n_v) that fit in size and meet in as many tiles as linked sets do."""
 
-def _sizes_fit(n_one: Column, n_other: Column, percent: int) -> Column:
-    return 100 * F.least(n_one, n_other) >= percent * F.greatest(n_one, n_other)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, ends in _tiles(batches, ["key"]):
+            ids, n = table["id"].to_numpy(), table["n"].to_numpy()
+            one, other = tile_pairs(ids, ends)
+            fit = (100 * np.minimum(n[one], n[other]) >= percent * np.maximum(n[one], n[other])) & (ids[one] != ids[other])
+            one, other = one[fit], other[fit]
+            one, other = np.where(ids[one] > ids[other], one, other), np.where(ids[one] > ids[other], other, one)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (ids[one], ids[other], n[one], n[other])], ["u", "v", "n_u", "n_v"])
+
+    met = members.select("key", "id", "n").repartition("key").sortWithinPartitions("key").mapInArrow(run, "u long, v long, n_u long, n_v long")
+    met = met.groupBy("u", "v").agg(F.count("*").alias("times"), F.max("n_u").alias("n_u"), F.max("n_v").alias("n_v"))
+    return met.where(F.col("times") >= F.least(F.lit(MET), F.ceil(F.greatest("n_u", "n_v") * percent / 100))).select("u", "v", "n_u", "n_v")
+
+
+def _passing(group: dict, maps: np.ndarray, one: np.ndarray, other: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the pairs (one[k], other[k]) of a tile's members those that components, sizes and bit counts let pass, with their bounds on similarity."""
+    n, part = group["n"], group["component"]
+    fit = (part[one] != part[other]) & (100 * np.minimum(n[one], n[other]) >= percent * np.maximum(n[one], n[other]))
+    one, other = one[fit], other[fit]
+    bound = overlap_bound(maps[one], n[one], maps[other], n[other])
+    hit = enough(bound, n[one], n[other], percent)
+    one, other, bound = one[hit], other[hit], bound[hit]
+    return one, other, bound / (n[one] + n[other] - bound)
+
+
+def _across(group: dict, percent: int, best: int | None) -> tuple[np.ndarray, np.ndarray, bool]:
+    """Pairs of different components: of one block each with each, of two blocks each with those of the other.
+
+    With ``best``, so many of each member, by their bounds; and whether there were more.
+    """
+    lower, block, m = group["lower"], group["block"], len(group["id"])
+    words = min(map(len, group["bits"])) // 8
+    maps = np.stack([folded(x, words) for x in group["bits"]])
+    if group["i"][0] == group["j"][0]:
+        other, one = np.triu_indices(m, 1)
+        of_use = ~(lower[one] & lower[other])
+        one, other = one[of_use], other[of_use]
+    else:
+        one, other = np.nonzero((block[:, None] > block[None]) & ~(lower[:, None] & lower[None]))
+    found = [_passing(group, maps, one[k : k + 100_000], other[k : k + 100_000], percent) for k in range(0, len(one), 100_000)]
+    one, other, near = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64),) * 3
+    total = len(one)
+    if best is not None and total > best:
+        times, kept = np.zeros(m, np.int64), []
+        for k in np.argsort(-near, kind="stable").tolist():
+            if times[one[k]] < best or times[other[k]] < best:
+                times[one[k]] += 1
+                times[other[k]] += 1
+                kept.append(k)
+        one, other = one[kept], other[kept]
+    ids = group["id"]
+    return np.maximum(ids[one], ids[other]), np.minimum(ids[one], ids[other]), len(one) < total
+
+
+def _blocks(rows: DataFrame, percent: int) -> DataFrame:
+    """Tiles of more than BLOCK members, cut: a set can link within its size band and with the band below.
+
+    A band's members are dealt into blocks, and one block is held against another.
+    """
+    large = F.col("times") > BLOCK
+    band = F.when(large, F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.001 / percent)))).otherwise(0).cast("long")
+    blocks = F.ceil(F.col("times") / BLOCK).cast("int")
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("id"), blocks).cast("int"))
+    rows = rows.withColumn("lower", F.explode(F.when(large, F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))))
+    rows = rows.withColumn("band", band + F.col("lower").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    return rows.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other")).drop("other", "times")
 
 
-def _open_pairs(rows: DataFrame, percent: int) -> DataFrame:
-    """Pairs of different components in the tiles of ``rows`` (key, id, component, n, bits, times) that the bits let pass.
+def _across_tiles(part: DataFrame, bits: DataFrame, percent: int, best: int | None) -> DataFrame:
+    """Pairs (u, v) from the tiles of ``part`` (key, id, n, times, component) that hold several components.
 
-    A tile is cut into size bands: a set of a band can link within it and with the band
-    below.  A band's members are dealt into blocks; a task holds one block against another.
+    A row with a key instead says that its tile had more pairs than the best.
     """
-    band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.001 / percent))).cast("long")
-    blocks = F.ceil(F.col("times") / BLOCK).cast("int")
-    rows = rows.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    rows = rows.withColumn("lower", F.explode(F.array(F.lit(False), F.lit(True)))).withColumn("band", band + F.col("lower").cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
-
-    def pairs(group: pd.DataFrame) -> pd.DataFrame:
-        words = min(len(x) // 8 for x in group["bits"])
-        bits = np.stack([folded(x, words) for x in group["bits"]])
-        ids, part, n = group["id"].to_numpy(), group["component"].to_numpy(), group["n"].to_numpy()
-        lower, block = group["lower"].to_numpy(), group["block"].to_numpy()
-        one_block = bool((group["i"] == group["j"]).iloc[0])
-        own = np.flatnonzero(~lower)
-        us, vs = [], []
-        for a in range(len(ids)):
-            others = own[(part[own] != part[a])]
-            if one_block:
-                others = others if lower[a] else others[ids[others] > ids[a]]
-            else:
-                others = others[(block[others] != block[a]) & (lower[a] | (block[others] > block[a]))]
-            others = others[100 * np.minimum(n[others], n[a]) >= percent * np.maximum(n[others], n[a])]
-            if len(others):
-                bound = overlap_bound(bits[a], n[a], bits[others], n[others])
-                hit = others[enough(bound, n[a], n[others], percent)]
-                us.append(np.full(len(hit), ids[a]))
-                vs.append(ids[hit])
-        none = np.zeros(0, np.int64)
-        return pd.DataFrame({"u": np.concatenate([none, *us]), "v": np.concatenate([none, *vs])})
-
-    found = rows.groupBy("key", "band", "i", "j").applyInPandas(pairs, "u long, v long")
-    return found.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+    mixed = part.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("key")
+    rows = _blocks(part.join(mixed, "key"), percent).join(bits, "id")
+    keys, columns = ["key", "band", "i", "j"], rows.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple[int, int]] = set()  # a pair meets in many tiles
+        for table, ends in _tiles(batches, keys):
+            held = {c: (table[c].to_pylist() if c == "bits" else table[c].to_numpy(zero_copy_only=False)) for c in columns}
+            new: dict[tuple[int, int], None] = {}
+            more = []
+            for a, b in zip([0, *ends[:-1].tolist()], ends.tolist()):
+                if b - a > 1:
+                    u, v, cut = _across({c: x[a:b] for c, x in held.items()}, percent, best)
+                    if cut:
+                        more.append(int(held["key"][a]))
+                    new.update(dict.fromkeys(p for p in zip(u.tolist(), v.tolist()) if p not in seen))
+            seen.update(new)
+            if len(seen) > SEEN_PAIRS:
+                seen.clear()
+            out = [[p[0] for p in new] + [None] * len(more), [p[1] for p in new] + [None] * len(more), [None] * len(new) + more]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], ["u", "v", "key"])
+
+    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "u long, v long, key long").distinct()
 
 
 class Joined:
@@ -292,38 +441,38 @@ class Joined:
         self.signed = signed
         # equal sets: the smallest id stands for all
         usable = signed.where("n_shingles > 0 and doc_id is not null")
-        equal = usable.groupBy("set_hash").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies")).where("copies > 1")
-        self.equal = stored(equal, "join-equal")
-        copies = stored(usable.select("set_hash", "doc_id").join(_few(self.equal.select("set_hash", "first")), "set_hash").where("doc_id <> first").select(F.col("first").alias("u"), F.col("doc_id").alias("v")), "join-copies")
+        equal = usable.groupBy("set_hash").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first <> last")
+        equal = stored(equal.select("set_hash", "first"), "join-equal")
+        copies = stored(usable.select("set_hash", "doc_id").join(_few(equal), "set_hash").where("doc_id <> first").select(F.col("first").alias("u"), F.col("doc_id").alias("v")), "join-copies")
         single = usable.join(_few(copies.select(F.col("v").alias("doc_id")).distinct()), "doc_id", "left_anti")
-        # tiles: keys of two documents or more, each with a pivot
+        # tiles: keys of two documents or more
         rows = single.select(F.explode("keys").alias("key"), F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"))
-        pivot = F.min(F.struct(F.xxhash64("id", F.pmod("key", F.lit(PIVOTS))).alias("h"), "id", "n"))
-        tiles = rows.groupBy("key").agg(pivot.alias("pivot"), F.count("*").alias("times")).where("times > 1")
-        members = stored(rows.join(tiles, "key").select("key", "id", "n", "pivot.h", F.col("pivot.id").alias("p"), F.col("pivot.n").alias("p_n"), "times").drop("h"), "join-members")
-        stars = members.where((F.col("id") != F.col("p")) & _sizes_fit(F.col("n"), F.col("p_n"), percent))
-        stars = stored(stars.select(F.greatest("id", "p").alias("u"), F.least("id", "p").alias("v")).distinct(), "join-stars")
-        sets = stored(_sets(texts, stored(members.select("id").distinct(), "join-ids"), self.config).dropDuplicates(["id", "grams"]), "join-sets")
-        links = _linked(stars, sets, percent)
-        found = components(links)
-        # tiles of three or more that still hold several components
-        part = members.where("times > 2").select("key", "id", "n", "times").join(found, F.col("id") == F.col("node"), "left").select("key", "id", "n", "times", F.coalesce("component", "id").alias("component"))
-        part = stored(part, "join-parts")
-        mixed = part.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("key")
-        rows = part.join(mixed, "key").join(sets.select("id", "bits"), "id")
-        pairs = _open_pairs(rows, percent).join(stars, ["u", "v"], "left_anti")
-        more = _linked(stored(pairs, "join-pairs"), sets, percent)
-        # copies hang on their set's first document; the component's id is its smallest
-        every = found.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(more)
-        self.found = components(every) if not more.isEmpty() else found
-        self.copies = copies
+        tiles = rows.groupBy("key").agg(F.count("*").alias("times")).where("times > 1")
+        members = stored(rows.join(tiles, "key"), "join-members")
+        bits = signed.select(F.col("doc_id").alias("id"), "bits")
+        near = stored(_near(members, percent), "join-near").select("u", "v")
+        release(docs.sparkSession)
+        edges = _linked(near, texts, self.config)
+        # larger tiles that still hold several components, without those that a document may leave out
+        may_go = F.floor((F.least(F.lit(SHARED), F.ceil(F.col("n") * percent / 100)) - MET) / 2)
+        order = Window.partitionBy("id").orderBy(F.desc("times"), "key")
+        large = members.where(F.col("times") > PIVOTS).withColumn("nth", F.row_number().over(order)).where(F.col("nth") > may_go).drop("nth")
+        large = stored(large, "join-large")
+        for best in (BEST, None):
+            found = components(edges)
+            part = large.join(found, F.col("id") == F.col("node"), "left").select("key", "id", "n", "times", F.coalesce("component", "id").alias("component"))
+            out = stored(_across_tiles(stored(part, "join-parts"), bits, percent, best), "join-pairs")
+            pairs = out.where("key is null").select("u", "v").join(near, ["u", "v"], "left_anti")
+            release(docs.sparkSession)
+            edges = edges.unionByName(_linked(pairs, texts, self.config))
+            near, large = near.unionByName(pairs), large.join(out.where("key is not null").select("key").distinct(), "key")
+        # copies hang on the document that stands for their set
+        self.found = components(edges.unionByName(copies))
 
     def decisions(self) -> DataFrame:
-        """doc_id, n_shingles, component_id of every document."""
-        first = self.signed.select("doc_id", "n_shingles", "set_hash").join(self.equal.select("set_hash", "first"), "set_hash", "left")
-        stands = F.when(F.col("n_shingles") > 0, F.coalesce("first", "doc_id")).otherwise(F.col("doc_id"))
-        named = first.select("doc_id", "n_shingles", stands.alias("stands"))
-        return named.join(self.found, F.col("stands") == F.col("node"), "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "stands")).alias("component_id"))
+        """doc_id, n_shingles, component_id (the smallest id reachable by links, its own included) of every document."""
+        named = self.signed.select("doc_id", "n_shingles").join(self.found, F.col("doc_id") == F.col("node"), "left")
+        return named.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
     def keep_one(self) -> DataFrame:
         """The documents with the smallest id of each component, with their own columns."""
