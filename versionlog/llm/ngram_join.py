@@ -48,11 +48,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.functions import ArrowUDFType
 
-from ._io import release, stored, text_of
+from ._io import release, stored, text_of, trim
 from .components import components
 
 #: N-grams that are looked at together for what many documents share.
-CHUNK_GRAMS = 4_000_000
+CHUNK_GRAMS = 2_000_000
 #: An n-gram is common with so many documents in a chunk, and in all.
 COMMON_IN_CHUNK, COMMON = 4, 32
 #: So many of the most common ones are put last; the order of the others is their hash.  Only speed hangs on it.
@@ -60,7 +60,7 @@ MOST_COMMON = 100_000
 #: Members of a tile that the others are held against first; so small a tile is compared whole.
 PIVOTS = 8
 #: Members of a tile that one task compares with as many others.
-BLOCK = 1024
+BLOCK = 8192
 #: A tile's pairs for each member that are tried before all are.
 BEST = 2
 #: Up to so many ids are broadcast; beyond, they are joined by shuffling.
@@ -71,7 +71,7 @@ SEEN_PAIRS = 500_000
 #: tiles a pair must meet to be looked at there.
 SHARED, MET = 20, 6
 #: Bits of a bitmap for each n-gram, before rounding up to a power of two: in tiles, and of single pairs.
-BITS_A_GRAM, FINE_BITS = 2, 8
+BITS_A_GRAM, FINE_BITS = 2, 4
 
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -210,6 +210,8 @@ def _common(texts: DataFrame, n: int) -> np.ndarray:
                     held, size = [], 0
         if held:
             yield out()
+        held.clear()
+        trim()
 
     found = texts.select("text").mapInArrow(run, "gram long, times long").groupBy("gram").agg(F.sum("times").alias("times"))
     top = found.where(F.col("times") >= COMMON).orderBy(F.desc("times"), "gram").limit(MOST_COMMON)
@@ -239,6 +241,7 @@ def signatures(docs: DataFrame, config: Config) -> DataFrame:
                     grams = np.concatenate([grams[~often], grams[often]])
                 keys.append(grams[:most].view(np.int64))
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(sizes, pa.int64()), pa.array(hashes, pa.binary()), pa.array(bits, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], schema=kind)
+        trim()
 
     return docs.mapInArrow(run, "doc_id long, n_shingles long, set_hash binary, bits binary, keys array<long>")
 
@@ -268,6 +271,7 @@ def _tested(pairs: DataFrame, texts: DataFrame, config: Config, make, test) -> D
         for batch in batches:
             found = [shingle(x.as_py()) for x in batch["text"]]
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(map(len, found), pa.int64()), pa.array(map(make, found), pa.binary())], ["id", "n", "made"])
+        trim()
 
     def passes(a: pa.Array, n_a: pa.Array, b: pa.Array, n_b: pa.Array) -> pa.Array:
         sides = zip(a, n_a.to_pylist(), b, n_b.to_pylist())
@@ -340,6 +344,7 @@ def _near(members: DataFrame, percent: int) -> DataFrame:
             one, other = one[fit], other[fit]
             one, other = np.where(ids[one] > ids[other], one, other), np.where(ids[one] > ids[other], other, one)
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in (ids[one], ids[other], n[one], n[other])], ["u", "v", "n_u", "n_v"])
+        trim()
 
     met = members.select("key", "id", "n").repartition("key").sortWithinPartitions("key").mapInArrow(run, "u long, v long, n_u long, n_v long")
     met = met.groupBy("u", "v").agg(F.count("*").alias("times"), F.max("n_u").alias("n_u"), F.max("n_v").alias("n_v"))
@@ -365,14 +370,15 @@ def _across(group: dict, percent: int, best: int | None) -> tuple[np.ndarray, np
     lower, block, m = group["lower"], group["block"], len(group["id"])
     words = min(map(len, group["bits"])) // 8
     maps = np.stack([folded(x, words) for x in group["bits"]])
-    if group["i"][0] == group["j"][0]:
-        other, one = np.triu_indices(m, 1)
-        of_use = ~(lower[one] & lower[other])
-        one, other = one[of_use], other[of_use]
-    else:
-        one, other = np.nonzero((block[:, None] > block[None]) & ~(lower[:, None] & lower[None]))
-    found = [_passing(group, maps, one[k : k + 100_000], other[k : k + 100_000], percent) for k in range(0, len(one), 100_000)]
-    one, other, near = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64),) * 3
+    whole, step, found = group["i"][0] == group["j"][0], max(1, 100_000 // m), []
+    for a in range(0, m, step):
+        one = np.repeat(np.arange(a, min(m, a + step)), m)
+        other = np.tile(np.arange(m), len(one) // m)
+        of_use = (other < one) & ~(lower[one] & lower[other])
+        if not whole:
+            of_use &= block[one] != block[other]
+        found.append(_passing(group, maps, one[of_use], other[of_use], percent))
+    one, other, near = (np.concatenate(x) for x in zip(*found))
     total = len(one)
     if best is not None and total > best:
         times, kept = np.zeros(m, np.int64), []
@@ -405,7 +411,7 @@ def _across_tiles(part: DataFrame, bits: DataFrame, percent: int, best: int | No
 
     A row with a key instead says that its tile had more pairs than the best.
     """
-    mixed = part.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("key")
+    mixed = part.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.min("id").alias("first")).where("a <> b").select("key", "first")
     rows = _blocks(part.join(mixed, "key"), percent).join(bits, "id")
     keys, columns = ["key", "band", "i", "j"], rows.columns
 
@@ -426,8 +432,11 @@ def _across_tiles(part: DataFrame, bits: DataFrame, percent: int, best: int | No
                 seen.clear()
             out = [[p[0] for p in new] + [None] * len(more), [p[1] for p in new] + [None] * len(more), [None] * len(new) + more]
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], ["u", "v", "key"])
+        trim()
 
-    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "u long, v long, key long").distinct()
+    # tiles of one family mostly begin with the same document: dealt by it, their pairs are told apart in one task
+    dealt = rows.repartition("first", "band", "i", "j").sortWithinPartitions(*keys)
+    return dealt.mapInArrow(run, "u long, v long, key long").distinct()
 
 
 class Joined:
