@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.functions import ArrowUDFType
 
-from ._io import stored, text_of
+from ._io import stored, text_of, trim
 
 BITS = 16
 GRAM_BYTES = 3
@@ -89,6 +89,7 @@ def _sums(docs: DataFrame, bits: int) -> np.ndarray:
                 if target.as_py():
                     total[1] += found
         yield pa.RecordBatch.from_pydict({"sums": [zstandard.compress(total.tobytes(), 1)]}, pa.schema([("sums", pa.binary())]))
+        trim()
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(2 * size, np.int64)
@@ -174,6 +175,7 @@ class Resampled:
             for batch in batches:
                 rows = [model.value.score(x.as_py()) for x in batch]
                 yield pa.StructArray.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.float64())], ["n_grams", "log_weight"])
+            trim()
 
         return F.arrow_udf(run, "n_grams long, log_weight double", ArrowUDFType.SCALAR_ITER)(text)
 
