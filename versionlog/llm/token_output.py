@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from ._io import text_of
 from .bpe import Shared
-from .bpe_codec import Codec
+from .bpe_codec import MEMO_WORDS, Codec, Memo
 
 BLOCK_IDS = 1 << 16
 SEGMENT_IDS = 1 << 19
@@ -44,6 +44,14 @@ _HEAD = struct.Struct("<4sBBHII")
 SEGMENT = "shard int, segment int, first_id long, n_ids long, doc_ids array<long>, doc_sizes array<long>, payload binary"
 
 
+class RoomyCodec(Codec):
+    """Nothing else runs beside the writer, so its workers may remember more words."""
+
+    def __init__(self, t) -> None:
+        super().__init__(t)
+        self.words = Memo(2 * MEMO_WORDS)
+
+
 def planes_of(block: np.ndarray, bits: int) -> np.ndarray:
     """A row for each plane."""
     raw = block.astype("<u4").view(np.uint8).reshape(-1, 4)
@@ -100,7 +108,7 @@ def write_tokens(
     kind = pa.schema([("shard", pa.int32()), ("segment", pa.int32()), ("first_id", pa.int64()), ("n_ids", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("doc_sizes", pa.list_(pa.int64())), ("payload", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec, segment, first, held, names, sizes, shard = shared.held(Codec), 0, 0, [], [], [], 0
+        codec, segment, first, held, names, sizes, shard = shared.held(RoomyCodec), 0, 0, [], [], [], 0
 
         def full() -> pa.RecordBatch:
             nonlocal segment, first, held, names, sizes
@@ -110,8 +118,8 @@ def write_tokens(
             return row
 
         for batch in batches:
-            for k in range(0, len(batch), 250):
-                part = batch.slice(k, 250)
+            for k in range(0, len(batch), 500):
+                part = batch.slice(k, 500)
                 for name, ids, shard in zip(part["doc_id"].to_pylist(), codec.encode(part["text"].to_pylist()), part["shard"].to_pylist()):
                     held.append(np.append(ids, np.uint32(end_id)))
                     names.append(name)
