@@ -230,6 +230,49 @@ def test_passages_on_odd_rows(spark):
     assert substring_dedup.Passages(spark.createDataFrame([], "doc_id long, text string")).decisions().count() == 0
 
 
+def held_against_all(rows):
+    """Class of each text and whether an earlier one shares a passage, from all pairs."""
+    config, shingle, union = substring_dedup.Config(), ngram_join.Shingler(5), Union()
+    seqs, later, n = {k: shingle.sequence(t) for k, t in rows}, set(), 0
+    for a in seqs:
+        for b in seqs:
+            if a < b and substring_dedup.passages(seqs[a], seqs[b], config) and substring_dedup.passages(seqs[b], seqs[a], config):
+                union.join(a, b)
+                later.add(b)
+                n += 1
+    return {k: min(j for j in seqs if union.find(j) == union.find(k)) for k in seqs}, later, n
+
+
+def check_passages(spark, rows):
+    classes, later, n = held_against_all(rows)
+    found = substring_dedup.Passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    got = found.decisions().collect()
+    assert {r.doc_id: r.class_id for r in got} == classes
+    assert {r.doc_id for r in got if not r.kept} == later
+    assert {len(r.partners) > 0 for r in got if r.doc_id in later} <= {True}
+    return found.links.select("u", "v").distinct().count(), n
+
+
+def variants(rng, families, copies):
+    """Of each passage of 50 words, first a variant too far from it, then exact copies, among other text."""
+    rows = []
+    other = lambda: [f"w{k}" for k in rng.integers(0, 1 << 40, 60)]
+    for f in range(families):
+        p = [f"p{k}" for k in rng.integers(0, 1 << 40, 50)]
+        far = [*p]
+        far[2] = far[46] = "changed"
+        for k, q in enumerate([far] + [p] * copies):
+            rows.append((1000 * k + f, " ".join(other() + q + other())))
+    return rows
+
+
+@pytest.mark.parametrize("pivots", [1, 4])
+def test_texts_that_fail_against_the_first_are_held_against_each_other(spark, monkeypatch, pivots):
+    monkeypatch.setattr(substring_dedup, "PIVOTS", pivots)
+    linked, n = check_passages(spark, variants(np.random.default_rng(3), 40, 2))
+    assert linked == n == 40
+
+
 # --- mixing
 
 
