@@ -273,6 +273,39 @@ def test_texts_that_fail_against_the_first_are_held_against_each_other(spark, mo
     assert linked == n == 40
 
 
+def edited(rng, sizes, times):
+    """Pairs of passages of so many words among other text; one has a word changed, put in or taken out, or two near each other."""
+    rows, other = [], lambda: [f"w{k}" for k in rng.integers(0, 1 << 40, 60)]
+    for k, size in enumerate(np.repeat(sizes, times)):
+        p = [f"p{x}" for x in rng.integers(0, 1 << 40, size)]
+        at = int(rng.integers(0, size))
+        q = (p[:at] + ["new"] + p[at + 1 :], p[:at] + ["new"] + p[at:], p[:at] + p[at + 1 :], p[:at] + ["new"] * len(p[at : at + 2]) + p[at + 2 :])[k % 4]
+        rows += [(2 * k, " ".join(other() + p + other())), (2 * k + 1, " ".join(other() + q + other()))]
+    return rows
+
+
+def test_near_passages_are_never_missed(spark):
+    rows = edited(np.random.default_rng(5), [50, 52, 54, 57, 60], 40)
+    linked, n = check_passages(spark, rows)
+    assert linked == n > 100
+
+
+@pytest.mark.parametrize("words_", [3, 4, 400])
+def test_prefixes_meet_whenever_windows_are_near(words_):
+    config, rng = substring_dedup.Config(window=12), np.random.default_rng(words_)
+    met = 0
+    for _ in range(300):
+        one = rng.integers(1, words_, 40).astype(np.uint64)
+        other = np.where(rng.random(40) < 0.08, rng.integers(1, words_, 40).astype(np.uint64), one)
+        sets = [np.lib.stride_tricks.sliding_window_view(x, 12) for x in (one, other)]
+        near = any(min(np.isin(a, b).sum(), np.isin(b, a).sum()) >= config.shared for a in sets[0] for b in sets[1])
+        common = np.unique(rng.choice(one, 5))
+        keys = [substring_dedup.prefixes(x, config, common) for x in (one, other)]
+        met += near
+        assert not near or len(np.intersect1d(*keys)) >= substring_dedup.SHARED_KEYS
+    assert met > 50
+
+
 # --- mixing
 
 
