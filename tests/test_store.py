@@ -188,6 +188,12 @@ def test_locks(spark):
     assert {tuple(r) for r in txn.lock_conflicts(locks).collect()} == {(3, 1)}
 
 
+def test_long_wait_cycles_are_deadlocks(spark):
+    waits = [(k, (k + 1) % 20) for k in range(20)] + [(30, 0), (40, 41), (41, 40), (40, 3)]
+    got = {tuple(r) for r in txn.deadlocks(spark.createDataFrame(waits, "waiter long, holder long")).collect()}
+    assert got == {(k, 20) for k in range(20)} | {(40, 2), (41, 2)}
+
+
 def test_pending_rows_stay_hidden(spark):
     log = frame(spark, [(0, b"a", 1, PUT, b"1", None), (0, b"a", 2, PUT, b"2", None)]).withColumn("txn_id", F.col("seq"))
     commits = spark.createDataFrame([(1, "one", "committed", 5), (2, "two", "prepared", None)], "txn_id long, name string, state string, commit_seq long")

@@ -53,20 +53,19 @@ def lock_conflicts(locks: DataFrame) -> DataFrame:
     return asked.join(held, ["cf_id", "key"]).where((F.col("waiter") != F.col("holder")) & (F.col("h_x") | F.col("w_x"))).select("waiter", "holder").distinct()
 
 
-def deadlocks(waits: DataFrame, longest: int = 16) -> DataFrame:
-    """Transactions on a cycle of at most ``longest`` waits (waiter, holder), with their shortest cycle's length.
+def deadlocks(waits: DataFrame) -> DataFrame:
+    """Transactions on a cycle of waits (waiter, holder), with their shortest cycle's length.
 
-    Reachability grows by one wait a round and stops when nothing new is reached.
+    Reachability grows by one wait a round, for waiters whose cycle is not found yet, and stops when nothing new is reached.
     """
-    edges = waits.select("waiter", "holder").distinct()
-    front = edges.select("waiter", "holder")
-    found = front.where("waiter = holder").select(F.col("waiter").alias("txn_id"), F.lit(1).alias("length"))
-    seen = front
-    for length in range(2, longest + 1):
-        onward = front.select("waiter", F.col("holder").alias("mid")).join(edges.select(F.col("waiter").alias("mid"), "holder"), "mid").select("waiter", "holder").distinct()
-        found = found.unionByName(onward.where("waiter = holder").select(F.col("waiter").alias("txn_id"), F.lit(length).alias("length")))
-        front = onward.join(seen, ["waiter", "holder"], "left_anti")
-        if front.isEmpty():
-            break
-        seen = seen.unionByName(front)
-    return found.groupBy("txn_id").agg(F.min("length").alias("length"))
+    edges = waits.select("waiter", "holder").distinct().localCheckpoint()
+    front = seen = edges
+    found, length = edges.where("waiter = holder").select(F.col("waiter").alias("txn_id"), F.lit(1).alias("length")), 1
+    while not front.isEmpty():
+        length += 1
+        open_ = front.join(found.select(F.col("txn_id").alias("waiter")), "waiter", "left_anti")
+        onward = open_.select("waiter", F.col("holder").alias("mid")).join(edges.select(F.col("waiter").alias("mid"), "holder"), "mid").select("waiter", "holder").distinct()
+        front = onward.join(seen, ["waiter", "holder"], "left_anti").localCheckpoint()
+        found = found.unionByName(front.where("waiter = holder").select(F.col("waiter").alias("txn_id"), F.lit(length).alias("length"))).localCheckpoint()
+        seen = seen.unionByName(front).localCheckpoint()
+    return found
