@@ -408,6 +408,13 @@ def lock_conflicts(spark, sf):
     return txn.lock_conflicts(locks)
 
 
+@query(f"with {_LOCKS.replace(' where o_custkey < 40', '')} select distinct w.txn_id as waiter, h.txn_id as holder from locks w join locks h using (key) where not w.granted and h.granted and w.txn_id <> h.txn_id and (w.x or h.x)")
+def lock_conflicts_all(spark, sf):
+    o = d.table(spark, sf, "orders")
+    locks = o.select(F.col("o_orderkey").alias("txn_id"), F.lit(0).alias("cf_id"), F.col("o_custkey").alias("key"), (F.col("o_orderkey") % 3 == 0).alias("exclusive"), (F.col("o_orderkey") % 2 == 0).alias("granted"))
+    return txn.lock_conflicts(locks)
+
+
 @query("select range as txn_id, cast(case when range < 3 then 3 when range in (10, 11) then 2 else 1 end as int) as length from range(30) where range < 3 or range in (10, 11, 20)")
 def deadlocks(spark, sf):
     waits = spark.createDataFrame([(0, 1), (1, 2), (2, 0), (2, 5), (5, 6), (10, 11), (11, 10), (20, 20)], "waiter long, holder long")
