@@ -104,6 +104,11 @@ def version_history(spark, sf):
     return history(log).select(text("key").alias("key"), "seq", F.col("op").cast("int").alias("op"), text("value").alias("value"))
 
 
+@query(f"with {_LOG} select {_U.format('k')} as key, seq, op, case when op <> 0 then t end as value from log")
+def version_history_all(spark, sf):
+    return history(d.texts_log(spark, sf)).select(text("key").alias("key"), "seq", F.col("op").cast("int").alias("op"), text("value").alias("value"))
+
+
 # --- scans
 
 _S = f"with {_ORDERS}, {_STATE} select key, value, seq from state "
