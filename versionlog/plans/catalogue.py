@@ -630,6 +630,14 @@ def ingest_overlap_check(spark, sf):
     return ingest.overlapping(ingest.file_info(rows)).select("file_id", "n")
 
 
+@query("""with f as (select o_orderkey // 1000 as file_id, min(o_custkey) as a, max(o_custkey) as b, count(*) as n from orders group by all),
+    r as (select *, max(b) over (order by a, file_id rows between unbounded preceding and 1 preceding) as reach from f) select file_id, n from r where reach >= a""")
+def ingest_overlap_all(spark, sf):
+    o = d.table(spark, sf, "orders")
+    rows = o.select(F.floor(F.col("o_orderkey") / 1000).alias("file_id"), d.key_of("c", F.col("o_custkey"), 8).alias("key"), F.lit(PUT).alias("op"), F.lit(b"v").alias("value"))
+    return ingest.overlapping(ingest.file_info(rows)).select("file_id", "n")
+
+
 @query("""with r as (select o_orderkey % 7 as file_id, o_orderkey as pos, o_custkey as k from orders), p as (select *, lag(k) over (partition by file_id order by pos) as b from r)
     select file_id, pos, 'order' as reason from p where b >= k""")
 def ingest_order_check(spark, sf):
