@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import ctypes
-import gc
 import tempfile
 import uuid
 import zipfile
@@ -13,23 +12,29 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows that a Python worker gets at once; with long texts the default of 10,000 is too many.
-BATCH_ROWS = 1000
+#: What operators need of a session.  Python workers get batches of so many rows and bytes at most, as texts may be
+#: long; shuffle files of a step go when it has ended, as its result is stored.
+SETTINGS = {
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20),
+    "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
+}
 
 
 def documents(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
-    """A table of the data folder, with Arrow batches small enough for long texts."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    """A table of the data folder."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_dir(spark: SparkSession, label: str) -> str:
     """A fresh path in the folder that all executors share (``spark.checkpoint.dir``).
 
-    Only where the session names none, as in local tests, a local folder is set.
+    Only where the session names none and runs on one machine, as in local tests, a local folder is set.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = f"file://{tempfile.mkdtemp(prefix='versionlog-')}"
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base}/{label}-{uuid.uuid4().hex}"
@@ -42,10 +47,15 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Let go of the shuffle files of steps whose results are stored: Spark removes them when their plans are collected."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+#: What a Python worker keeps between tasks; one thing at a time.
+KEPT: dict[tuple, object] = {}
+
+
+def forget() -> None:
+    """Called at the start of tasks that need nothing kept: another operator's tables give way."""
+    if KEPT:
+        KEPT.clear()
+        trim()
 
 
 def trim() -> None:
@@ -59,8 +69,11 @@ _SHIPPED: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the workers, once for each context; they may run elsewhere, in another folder."""
+    """Prepare the session, and send this package to the workers, once for each context; they may run elsewhere."""
     context = spark.sparkContext
+    for name, value in SETTINGS.items():
+        if spark.conf.get(name, None) != value:
+            spark.conf.set(name, value)
     if context.applicationId not in _SHIPPED:
         package = Path(__file__).parent.parent
         path = f"{tempfile.mkdtemp(prefix='versionlog-')}/{package.name}.zip"

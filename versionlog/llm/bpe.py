@@ -12,12 +12,14 @@ import json
 import re
 import unicodedata
 from dataclasses import dataclass
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 from pyspark.sql import DataFrame
 from tokenizers import Tokenizer
 
+from ._io import KEPT, forget
+
 #: Characters that the fast path takes: up to U+017F without U+0130, whose lower case is two characters.
 _SLOW = re.compile("[^\x00-įı-ſ]")
 _FAST = [chr(c) for c in range(0x180)]
@@ -32,6 +34,37 @@ _L, _N = _class("L"), _class("N")
 _WORD = re.compile(rf"[{_L}]+|[{_N}]|'(?:[stmd]|re|ve|ll)|[^{re.escape(_SPACE)}{_L}{_N}]+")
 
 
+#: What these modules do in their own code; a file that asks for anything else is refused.
+#: They must equal what the file says.
+_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+SUPPORTED = {
+    "truncation": None,
+    "padding": None,
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": _SPLIT}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+    "post_processor": None,
+    "decoder": None,
+}
+SUPPORTED_MODEL = {"type": "BPE", "dropout": None, "unk_token": None, "continuing_subword_prefix": None, "end_of_word_suffix": "</w>", "fuse_unk": False, "byte_fallback": False, "ignore_merges": False}
+SUPPORTED_ADDED = {"single_word": False, "lstrip": False, "rstrip": False, "normalized": False}
+
+
+def refuse_others(file: dict) -> None:
+    """Raise unless the file's settings are those that this module follows; another file would give wrong ids silently."""
+    asked = [(k, file.get(k), v) for k, v in SUPPORTED.items()] + [(k, file["model"].get(k), v) for k, v in SUPPORTED_MODEL.items()]
+    asked += [(k, t.get(k), v) for t in file["added_tokens"] for k, v in SUPPORTED_ADDED.items()]
+    if odd := [k for k, got, want in asked if got != want]:
+        raise ValueError(f"a vocabulary with other settings: {', '.join(dict.fromkeys(odd))}")
+    if lacking := [c for c in byte_chars() if c not in file["model"]["vocab"] or f"{c}</w>" not in file["model"]["vocab"]]:
+        raise ValueError(f"a vocabulary without {len(lacking)} of the single bytes")
+
+
 @lru_cache(1)
 def byte_chars() -> list[str]:
     """The visible character that stands for each byte in byte-level vocabularies."""
@@ -113,6 +146,7 @@ def merge(symbols: list[int], merges: dict) -> tuple[list[int], list[tuple[int,
 def tables(blob: bytes) -> Tables:
     """Read a vocabulary and prove, token by token, what encodes alone."""
     model = json.loads(blob)
+    refuse_others(model)
     vocab, pairs = model["model"]["vocab"], model["model"]["merges"]
     special = {t["content"]: t["id"] for t in model["added_tokens"]}
     tokens = [""] * (max([*vocab.values(), *special.values()]) + 1)
@@ -152,12 +186,16 @@ class PreTokens:
     """The library's pre-tokens of a text, as lower-case strings, and its special strings' ids."""
 
     def __init__(self, t: Tables) -> None:
-        self.library = Tokenizer.from_str(t.blob.decode())
-        self.special = t.special
+        self.blob, self.special = t.blob, t.special
         names = sorted(t.special, key=len, reverse=True)
         self.split = re.compile("(" + "|".join(map(re.escape, names)) + ")") if names else None
         self.back = {c: b for b, c in enumerate(byte_chars())}
 
+    @cached_property
+    def library(self) -> Tokenizer:
+        """Only for characters beyond the fast path."""
+        return Tokenizer.from_str(self.blob.decode())
+
     def plain(self, text: str) -> list[str]:
         if text.isascii() or not _SLOW.search(text):
             return _WORD.findall(text.lower())
@@ -192,10 +230,9 @@ def tables_of(path: str) -> Tables:
 
 
 class Shared:
-    """A broadcast vocabulary.  Workers keep what they build from it, as long as they live."""
+    """A broadcast vocabulary.  Workers keep what they build from it, until they build something else."""
 
     _sent: dict[tuple[str, str], Shared] = {}
-    _kept: dict[tuple[str, str, str], object] = {}
 
     def __init__(self, key: tuple[str, str], broadcast) -> None:
         self.key, self.broadcast = key, broadcast
@@ -211,6 +248,7 @@ class Shared:
     def held(self, make):
         """``make(tables)``, made once per worker process."""
         key = (*self.key, make.__qualname__)
-        if key not in self._kept:
-            self._kept[key] = make(self.broadcast.value)
-        return self._kept[key]
+        if key not in KEPT:
+            forget()
+            KEPT[key] = make(self.broadcast.value)
+        return KEPT[key]

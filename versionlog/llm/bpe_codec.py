@@ -35,8 +35,10 @@ from . import bpe
 from ._io import put, text_of
 from .bpe import Shared
 
-#: Words of which a worker remembers the encoding; twice as many at most.
-MEMO_WORDS = 200_000
+#: Memory, in bytes, for the words of which a worker remembers the encoding; twice as much at most.
+MEMO_BYTES = 24 << 20
+#: What a remembered word takes besides its characters and ids.
+ENTRY_BYTES = 200
 #: Longer words, in bytes, are merged one by one with a heap.
 LONG_WORD = 64
 _NEVER = np.int64(1) << 40
@@ -46,22 +48,23 @@ class Memo(dict):
     """A mapping in two generations: what is asked for stays, the rest goes when the young one is full."""
 
     def __init__(self, most: int) -> None:
-        self.most, self.old = most, {}
+        self.most, self.size, self.old = most, 0, {}
+
+    def add(self, keys: list[str], values: list[bytes]) -> None:
+        self.update(zip(keys, values))
+        self.size += ENTRY_BYTES * len(keys) + sum(map(len, keys)) + sum(map(len, values))
 
     def renew(self) -> None:
-        if len(self) > self.most:
+        if self.size > self.most:
             self.old = dict(self)
             self.clear()
+            self.size = 0
 
     def unknown(self, keys: set) -> list:
         """Of keys that the young generation lacks, those that the old one lacks too; the others become young again."""
-        out, old = [], self.old
-        for k in keys:
-            if k in old:
-                self[k] = old[k]
-            else:
-                out.append(k)
-        return out
+        again = [k for k in keys if k in self.old]
+        self.add(again, [self.old[k] for k in again])
+        return list(keys.difference(again))
 
 
 def _holes(found: list) -> list[int]:
@@ -78,9 +81,9 @@ def _holes(found: list) -> list[int]:
 class Codec:
     """Ids are kept as little-endian unsigned 32-bit bytes, so that texts are joined, not built up."""
 
-    def __init__(self, t: bpe.Tables) -> None:
+    def __init__(self, t: bpe.Tables, memo_bytes: int = MEMO_BYTES) -> None:
         self.t, self.pre = t, bpe.PreTokens(t)
-        self.words = Memo(MEMO_WORDS)
+        self.words = Memo(memo_bytes)
         self.first, self.last = np.array(t.first, np.int64), np.array(t.last, np.int64)
         self.made = np.array([t.merges[k >> 32, k & 0xFFFFFFFF][1] for k in t.pair_key.tolist()], np.int64)
         self.special = {i: np.array([i], "<u4").tobytes() for i in t.special.values()}
@@ -181,7 +184,7 @@ class Codec:
         good = np.ones(len(words), bool)
         good[word[1:][inside][~pairs_ok]] = False
         flat, at = ids.astype("<u4").tobytes(), (4 * at).tolist()
-        self.words.update(zip(words, [flat[i:j] for i, j in zip(at, at[1:])]))
+        self.words.add(words, [flat[i:j] for i, j in zip(at, at[1:])])
         bad = np.flatnonzero(~good).tolist()
         self.words.update(zip([words[k] for k in bad], self.merge_all([raw[k] for k in bad])))
 

@@ -3,7 +3,8 @@
 A document's set is its distinct word n-grams as 64-bit hashes.  Sets that link
 share ``SHARED`` n-grams of their prefixes, the first (1 - t) n + SHARED in any
 common order; ours puts n-grams that many documents share last.  The n-grams
-found in two prefixes or more make the tiles.
+found in two prefixes or more make the tiles; tiles of many members are dealt
+in blocks.
 
 1.  Equal sets collapse to the document with the smallest id.
 2.  In each tile, members are held against a few pivots (in a small tile, against
@@ -13,14 +14,13 @@ found in two prefixes or more make the tiles.
 3.  In larger tiles that still hold several components, each member is held
     against those of other components by bit counts; the best few of its pairs are
     intersected exactly, which merges most of what belongs together.  Tiles that
-    had more pairs than these then give all.  The largest tiles are cut into size
-    bands and blocks.
+    had more pairs than these go on to another round with more of them, among the
+    components as they are then, until no pair is left.  The largest tiles are cut
+    into size bands and blocks.
 
 So every linked pair that could join two components is tested, no pair within a
 component needs to be, and neither copies nor members of a family are spelled
-out as pairs.  N-grams are 64-bit hashes; the last test compares 40 bits of them,
-which for two sets of 500 goes wrong once in four million pairs, and then by one
-n-gram.
+out as pairs.  N-grams are told apart by 64-bit hashes.
 
 Why step 3 may leave out tiles: linked sets share SHARED tiles, or all their
 n-grams if these are fewer.  A pair that meets in fewer than MET small tiles has
@@ -44,15 +44,15 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.functions import ArrowUDFType
 
-from ._io import release, stored, text_of, trim
+from ._io import forget, stored, text_of, trim
 from .components import components
 
 #: N-grams that are looked at together for what many documents share.
-CHUNK_GRAMS = 2_000_000
+CHUNK_GRAMS = 1_000_000
 #: An n-gram is common with so many documents in a chunk, and in all.
 COMMON_IN_CHUNK, COMMON = 4, 32
 #: So many of the most common ones are put last; the order of the others is their hash.  Only speed hangs on it.
@@ -61,17 +61,20 @@ MOST_COMMON = 100_000
 PIVOTS = 8
 #: Members of a tile that one task compares with as many others.
 BLOCK = 8192
-#: A tile's pairs for each member that are tried before all are.
-BEST = 2
+#: Pairs of each member of a tile that are tried in the first round, and times as many in each further one.
+BEST, MORE = 2, 8
+#: Pairs that are given on at once.
+PAIR_ROWS = 50_000
+#: Bytes of bitmaps that are compared at once.
+COMPARED_BYTES = 4 << 20
 #: Up to so many ids are broadcast; beyond, they are joined by shuffling.
 BROADCAST_IDS = 200_000
-#: Pairs that a task remembers, not to give them again from every tile they share.  The rest is told apart later.
-SEEN_PAIRS = 500_000
 #: So many n-grams of their prefixes linked sets share, if they have as many in common at all; in so many small
 #: tiles a pair must meet to be looked at there.
 SHARED, MET = 20, 6
-#: Bits of a bitmap for each n-gram, before rounding up to a power of two: in tiles, and of single pairs.
-BITS_A_GRAM, FINE_BITS = 2, 4
+#: Bits of a bitmap for each n-gram, before rounding up to a power of two: in tiles, and of single pairs.  In tiles
+#: there are so many at most, as every tile of a document has them; larger sets pass there more easily.
+BITS_A_GRAM, FINE_BITS, TILE_BITS = 2, 4, 1 << 13
 
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -155,9 +158,9 @@ def prefix_size(n: int, percent: int) -> int:
     return min(n, n - -(-percent * n // 100) + SHARED)
 
 
-def bitmap(grams: np.ndarray, bits_a_gram: int = BITS_A_GRAM) -> bytes:
+def bitmap(grams: np.ndarray, bits_a_gram: int, most: int | None = None) -> bytes:
     bits = 64
-    while bits < bits_a_gram * len(grams):
+    while bits < bits_a_gram * len(grams) and bits != most:
         bits *= 2
     out = np.zeros(bits, np.uint8)
     out[(grams & np.uint64(bits - 1)).astype(np.int64)] = 1
@@ -194,6 +197,7 @@ def _common(texts: DataFrame, n: int) -> np.ndarray:
     """The n-grams that many documents share, from all n-grams of all documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         shingle, held, size = Shingler(n), [], 0
 
         def out() -> pa.RecordBatch:
@@ -224,6 +228,7 @@ def signatures(docs: DataFrame, config: Config) -> DataFrame:
     kind = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_hash", pa.binary()), ("bits", pa.binary()), ("keys", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         shingle, last = Shingler(config.n), common.value
         for batch in batches:
             sizes, hashes, bits, keys = [], [], [], []
@@ -231,7 +236,7 @@ def signatures(docs: DataFrame, config: Config) -> DataFrame:
                 grams = shingle(x.as_py())
                 sizes.append(len(grams))
                 hashes.append(xxhash.xxh3_128_digest(grams))
-                bits.append(bitmap(grams))
+                bits.append(bitmap(grams, BITS_A_GRAM, TILE_BITS))
                 if not len(grams):
                     keys.append([])
                     continue
@@ -251,22 +256,12 @@ def _few(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_IDS else df
 
 
-def packed(grams: np.ndarray) -> bytes:
-    """The upper 40 bits of each hash; they keep its order."""
-    return np.ascontiguousarray(grams.view(np.uint8).reshape(-1, 8)[:, 3:]).tobytes()
-
-
-def unpacked(raw: bytes) -> np.ndarray:
-    out = np.zeros((len(raw) // 5, 8), np.uint8)
-    out[:, :5] = np.frombuffer(raw, np.uint8).reshape(-1, 5)
-    return out.view(np.uint64).reshape(-1)
-
-
 def _tested(pairs: DataFrame, texts: DataFrame, config: Config, make, test) -> DataFrame:
     """Pairs (u, v) that pass ``test(x, n_x, y, n_y)`` on what ``make`` makes of their sets."""
     ids = stored(pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct(), "join-ids")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         shingle = Shingler(config.n)
         for batch in batches:
             found = [shingle(x.as_py()) for x in batch["text"]]
@@ -292,7 +287,7 @@ def _bitmap_bound(x: bytes, n_x: int, y: bytes, n_y: int) -> int:
 def _linked(pairs: DataFrame, texts: DataFrame, config: Config) -> DataFrame:
     """Those of the pairs (u, v) that link: bounded by finer bitmaps, then by intersection of the sorted sets."""
     passed = _tested(pairs, texts, config, lambda g: bitmap(g, FINE_BITS), _bitmap_bound)
-    return _tested(passed, texts, config, packed, lambda x, n_x, y, n_y: len(np.intersect1d(unpacked(x), unpacked(y), assume_unique=True)))
+    return _tested(passed, texts, config, lambda g: g.tobytes(), lambda x, n_x, y, n_y: len(np.intersect1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True)))
 
 
 def _tiles(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
@@ -333,11 +328,17 @@ def tile_pairs(ids: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return np.concatenate(ones), np.concatenate(others)
 
 
+def _block(times: str) -> Column:
+    """Members of a tile are dealt into blocks of about BLOCK."""
+    return F.pmod(F.xxhash64("id"), F.ceil(F.col(times) / BLOCK)).cast("int")
+
+
 def _near(members: DataFrame, percent: int) -> DataFrame:
     """Pairs (u, v, n_u, n_v) that fit in size and meet in as many tiles as linked sets do."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table, ends in _tiles(batches, ["key"]):
+        forget()
+        for table, ends in _tiles(batches, ["key", "block"]):
             ids, n = table["id"].to_numpy(), table["n"].to_numpy()
             one, other = tile_pairs(ids, ends)
             fit = (100 * np.minimum(n[one], n[other]) >= percent * np.maximum(n[one], n[other])) & (ids[one] != ids[other])
@@ -346,7 +347,8 @@ def _near(members: DataFrame, percent: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in (ids[one], ids[other], n[one], n[other])], ["u", "v", "n_u", "n_v"])
         trim()
 
-    met = members.select("key", "id", "n").repartition("key").sortWithinPartitions("key").mapInArrow(run, "u long, v long, n_u long, n_v long")
+    dealt = members.select("key", _block("times").alias("block"), "id", "n").repartition("key", "block").sortWithinPartitions("key", "block")
+    met = dealt.mapInArrow(run, "u long, v long, n_u long, n_v long")
     met = met.groupBy("u", "v").agg(F.count("*").alias("times"), F.max("n_u").alias("n_u"), F.max("n_v").alias("n_v"))
     return met.where(F.col("times") >= F.least(F.lit(MET), F.ceil(F.greatest("n_u", "n_v") * percent / 100))).select("u", "v", "n_u", "n_v")
 
@@ -362,32 +364,49 @@ def _passing(group: dict, maps: np.ndarray, one: np.ndarray, other: np.ndarray,
     return one, other, bound / (n[one] + n[other] - bound)
 
 
-def _across(group: dict, percent: int, best: int | None) -> tuple[np.ndarray, np.ndarray, bool]:
+def _best(one: np.ndarray, other: np.ndarray, near: np.ndarray, best: int) -> np.ndarray:
+    """Places of the pairs that are among the ``best`` nearest of either member."""
+    member, pair = np.concatenate([one, other]), np.tile(np.arange(len(one)), 2)
+    order = np.lexsort((-np.tile(near, 2), member))
+    member, pair = member[order], pair[order]
+    first = np.searchsorted(member, member)
+    return np.unique(pair[np.arange(len(member)) - first < best])
+
+
+def _across(group: dict, percent: int, best: int) -> tuple[np.ndarray, np.ndarray, bool]:
     """Pairs of different components: of one block each with each, of two blocks each with those of the other.
 
-    With ``best``, so many of each member, by their bounds; and whether there were more.
+    The ``best`` of each member, by their bounds; and whether there were more.  No more than these are held
+    beside what is compared at once.
     """
     lower, block, m = group["lower"], group["block"], len(group["id"])
     words = min(map(len, group["bits"])) // 8
     maps = np.stack([folded(x, words) for x in group["bits"]])
-    whole, step, found = group["i"][0] == group["j"][0], max(1, 100_000 // m), []
+    whole, total, waiting = group["i"][0] == group["j"][0], 0, 0
+    most, found = max(1, COMPARED_BYTES // (8 * words)), []
+    step = max(1, most // m)
+
+    def best_so_far() -> list:
+        one, other, near = (np.concatenate(x) for x in zip(*found))
+        kept = _best(one, other, near, best)
+        return [(one[kept], other[kept], near[kept])]
+
     for a in range(0, m, step):
-        one = np.repeat(np.arange(a, min(m, a + step)), m)
-        other = np.tile(np.arange(m), len(one) // m)
+        rows = np.arange(a, min(m, a + step))
+        one, other = np.repeat(rows, m), np.tile(np.arange(m), len(rows))
         of_use = (other < one) & ~(lower[one] & lower[other])
         if not whole:
             of_use &= block[one] != block[other]
-        found.append(_passing(group, maps, one[of_use], other[of_use], percent))
-    one, other, near = (np.concatenate(x) for x in zip(*found))
-    total = len(one)
-    if best is not None and total > best:
-        times, kept = np.zeros(m, np.int64), []
-        for k in np.argsort(-near, kind="stable").tolist():
-            if times[one[k]] < best or times[other[k]] < best:
-                times[one[k]] += 1
-                times[other[k]] += 1
-                kept.append(k)
-        one, other = one[kept], other[kept]
+        one, other = one[of_use], other[of_use]
+        for k in range(0, len(one), most):
+            found.append(_passing(group, maps, one[k : k + most], other[k : k + most], percent))
+            total += len(found[-1][0])
+            waiting += len(found[-1][0])
+        if waiting > best * m + most:
+            found, waiting = best_so_far(), 0
+    if not total:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), False
+    ((one, other, _),) = best_so_far()
     ids = group["id"]
     return np.maximum(ids[one], ids[other]), np.minimum(ids[one], ids[other]), len(one) < total
 
@@ -400,42 +419,42 @@ def _blocks(rows: DataFrame, percent: int) -> DataFrame:
     large = F.col("times") > BLOCK
     band = F.when(large, F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.001 / percent)))).otherwise(0).cast("long")
     blocks = F.ceil(F.col("times") / BLOCK).cast("int")
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("id"), blocks).cast("int"))
+    rows = rows.withColumn("block", _block("times"))
     rows = rows.withColumn("lower", F.explode(F.when(large, F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))))
     rows = rows.withColumn("band", band + F.col("lower").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     return rows.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other")).drop("other", "times")
 
 
-def _across_tiles(part: DataFrame, bits: DataFrame, percent: int, best: int | None) -> DataFrame:
+def _across_tiles(part: DataFrame, bits: DataFrame, percent: int, best: int) -> DataFrame:
     """Pairs (u, v) from the tiles of ``part`` (key, id, n, times, component) that hold several components.
 
-    A row with a key instead says that its tile had more pairs than the best.
+    A row with a key instead says that its tile had more pairs than the best.  A block of a tile is one task's.
     """
-    mixed = part.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.min("id").alias("first")).where("a <> b").select("key", "first")
+    mixed = part.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("key")
     rows = _blocks(part.join(mixed, "key"), percent).join(bits, "id")
     keys, columns = ["key", "band", "i", "j"], rows.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[tuple[int, int]] = set()  # a pair meets in many tiles
+        forget()
         for table, ends in _tiles(batches, keys):
             held = {c: (table[c].to_pylist() if c == "bits" else table[c].to_numpy(zero_copy_only=False)) for c in columns}
-            new: dict[tuple[int, int], None] = {}
-            more = []
+            us, vs, more = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], []
             for a, b in zip([0, *ends[:-1].tolist()], ends.tolist()):
                 if b - a > 1:
                     u, v, cut = _across({c: x[a:b] for c, x in held.items()}, percent, best)
+                    us.append(u)
+                    vs.append(v)
                     if cut:
                         more.append(int(held["key"][a]))
-                    new.update(dict.fromkeys(p for p in zip(u.tolist(), v.tolist()) if p not in seen))
-            seen.update(new)
-            if len(seen) > SEEN_PAIRS:
-                seen.clear()
-            out = [[p[0] for p in new] + [None] * len(more), [p[1] for p in new] + [None] * len(more), [None] * len(new) + more]
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], ["u", "v", "key"])
+            pairs = np.unique(np.stack([np.concatenate(us), np.concatenate(vs)]), axis=1)  # a pair meets in many tiles
+            for k in range(0, pairs.shape[1], PAIR_ROWS):
+                u, v = pairs[:, k : k + PAIR_ROWS]
+                yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v), pa.nulls(len(u), pa.int64())], ["u", "v", "key"])
+            none = pa.nulls(len(more), pa.int64())
+            yield pa.RecordBatch.from_arrays([none, none, pa.array(more, pa.int64())], ["u", "v", "key"])
         trim()
 
-    # tiles of one family mostly begin with the same document: dealt by it, their pairs are told apart in one task
-    dealt = rows.repartition("first", "band", "i", "j").sortWithinPartitions(*keys)
+    dealt = rows.repartition(*keys).sortWithinPartitions(*keys)
     return dealt.mapInArrow(run, "u long, v long, key long").distinct()
 
 
@@ -460,21 +479,21 @@ class Joined:
         members = stored(rows.join(tiles, "key"), "join-members")
         bits = signed.select(F.col("doc_id").alias("id"), "bits")
         near = stored(_near(members, percent), "join-near").select("u", "v")
-        release(docs.sparkSession)
         edges = _linked(near, texts, self.config)
         # larger tiles that still hold several components, without those that a document may leave out
         may_go = F.floor((F.least(F.lit(SHARED), F.ceil(F.col("n") * percent / 100)) - MET) / 2)
         order = Window.partitionBy("id").orderBy(F.desc("times"), "key")
         large = members.where(F.col("times") > PIVOTS).withColumn("nth", F.row_number().over(order)).where(F.col("nth") > may_go).drop("nth")
         large = stored(large, "join-large")
-        for best in (BEST, None):
+        best = BEST
+        while not large.isEmpty():
             found = components(edges)
             part = large.join(found, F.col("id") == F.col("node"), "left").select("key", "id", "n", "times", F.coalesce("component", "id").alias("component"))
             out = stored(_across_tiles(stored(part, "join-parts"), bits, percent, best), "join-pairs")
-            pairs = out.where("key is null").select("u", "v").join(near, ["u", "v"], "left_anti")
-            release(docs.sparkSession)
+            pairs = stored(out.where("key is null").select("u", "v").join(near, ["u", "v"], "left_anti"), "join-untested")
             edges = edges.unionByName(_linked(pairs, texts, self.config))
-            near, large = near.unionByName(pairs), large.join(out.where("key is not null").select("key").distinct(), "key")
+            near, large = near.unionByName(pairs), stored(large.join(out.where("key is not null").select("key").distinct(), "key"), "join-large")
+            best *= MORE
         # copies hang on the document that stands for their set
         self.found = components(edges.unionByName(copies))
 

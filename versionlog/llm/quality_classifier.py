@@ -9,7 +9,8 @@ fitting show to part good from bad.
 Words equal to the word before are read as ``=``, so that repetition is a
 feature of its own.  The raw model counts every n-gram of every document; only
 the labelled rows are a sample, of ``max_labelled`` rows at most, by seeded hash.
-What meets on the driver is that sample's scores and two arrays of ``2 ** bits``
+What meets on the driver is that sample's scores, one for each label (of several
+documents with its id the least), and two arrays of ``2 ** bits``
 counts from each of ``MEETING`` partial sums.
 
 Defined results: a null or empty text has no n-grams and weight 0; of several
@@ -30,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.functions import ArrowUDFType
 
-from ._io import stored, text_of, trim
+from ._io import forget, stored, text_of, trim
 
 BITS = 16
 GRAM_BYTES = 3
@@ -81,6 +82,7 @@ def _sums(docs: DataFrame, bits: int) -> np.ndarray:
     size = 1 << bits
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         total = np.zeros((2, size), np.int64)
         for batch in batches:
             for text, target in zip(batch["text"], batch["target"]):
@@ -153,17 +155,20 @@ def threshold(scores: DataFrame, column: str, k: int) -> int | None:
 class Resampled:
     """The drawn sample: ``decisions`` of all documents, ``kept`` documents."""
 
-    def __init__(self, docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_labelled: int = MAX_LABELLED, bits: int = BITS, seed: int = SEED) -> None:
-        self.docs, self.id_col, self.text_col, self.seed = docs, id_col, text_col, seed
-        slim = docs.select(docs[id_col].cast("long").alias("__id"), text_of(docs, text_col).alias("text"))
+    def __init__(self, docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_labelled: int = MAX_LABELLED, bits: int = BITS, seed: int = SEED, carry: bool = False) -> None:
+        """``carry`` writes the documents beside their scores, so that ``kept`` reads them there."""
+        self.columns, self.seed, self.carry = docs.columns, seed, carry
+        own = [F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("__row")] if carry else []
+        slim = docs.select(docs[id_col].cast("long").alias("__id"), text_of(docs, text_col).alias("text"), *own)
         # max_labelled bounds what is broadcast
         sample = F.broadcast(stored(labelled(labels, id_col="doc_id", most=max_labelled, seed=seed), "labelled"))
         marked = slim.join(sample, F.col("__id") == F.col("__label_id"), "left")
         raw, target = _sums(marked.select("text", F.coalesce(F.col("__good") & F.col("__fit"), F.lit(False)).alias("target")), bits)
         self.model = docs.sparkSession.sparkContext.broadcast(fit(raw, target, bits))
-        scored = marked.withColumn("__s", self._score(F.col("text"))).select("__id", "__good", "__fit", "__s.n_grams", "__s.log_weight")
+        scored = marked.withColumn("__s", self._score(F.col("text"))).select("__id", "__good", "__fit", "__s.n_grams", "__s.log_weight", *["__row"] * carry)
         self.scores = stored(scored.withColumn("__rank", self._rank(F.col("log_weight"), F.col("__id"))), "weights")
-        held = self.scores.where("__good is not null and not __fit").select("__good", "log_weight").collect()
+        # one row for each label at most, however many documents have its id
+        held = self.scores.where("__good is not null and not __fit").groupBy("__id", "__good").agg(F.min("log_weight").alias("log_weight")).collect()
         self.cut = cut(np.array([r.log_weight for r in held if r["__good"]]), np.array([r.log_weight for r in held if not r["__good"]]))
         self.k = self.scores.where(F.col("log_weight") >= self.cut).count()
         self.least = threshold(self.scores, "__rank", self.k)
@@ -172,6 +177,7 @@ class Resampled:
         model = self.model
 
         def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            forget()
             for batch in batches:
                 rows = [model.value.score(x.as_py()) for x in batch]
                 yield pa.StructArray.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.float64())], ["n_grams", "log_weight"])
@@ -192,6 +198,6 @@ class Resampled:
 
     def kept(self) -> DataFrame:
         """The drawn documents, with their own columns."""
-        scored = self.docs.withColumn("__s", self._score(text_of(self.docs, self.text_col)))
-        rank = self._rank(F.col("__s.log_weight"), F.col(self.id_col).cast("long"))
-        return scored.where(self._stays(rank)).select(*[f"`{c}`" for c in self.docs.columns])
+        if not self.carry:
+            raise ValueError("the documents were not carried along")
+        return self.scores.where(self._stays(F.col("__rank"))).select(*[F.col("__row")[c].alias(c) for c in self.columns])

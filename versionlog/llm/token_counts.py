@@ -23,8 +23,8 @@ from . import bpe
 from ._io import put, text_of
 from .bpe import Shared
 
-#: Words a worker remembers besides the proven ones.
-MEMO_WORDS = 400_000
+#: Memory, in bytes, for the words a worker remembers besides the proven ones, and what one takes besides its text.
+MEMO_BYTES, ENTRY_BYTES = 56 << 20, 140
 
 
 class Counter:
@@ -32,7 +32,7 @@ class Counter:
         self.t, self.pre = t, bpe.PreTokens(t)
         self.whole = dict.fromkeys(t.words(), 1)
         self.whole |= dict.fromkeys(t.special.values(), 1)
-        self.known = dict(self.whole)
+        self.known, self.size = dict(self.whole), 0
 
     def count(self, text: str) -> int:
         words = self.pre(text)
@@ -43,9 +43,10 @@ class Counter:
                     word = words[k]
                     if (n := self.known.get(word)) is None:
                         n = self.known[word] = len(bpe.merge(bpe.spell(word.encode(), self.t), self.t.merges)[0])
+                        self.size += ENTRY_BYTES + len(word)
                     counts[k] = n
-            if len(self.known) > len(self.whole) + MEMO_WORDS:
-                self.known = dict(self.whole)
+            if self.size > MEMO_BYTES:
+                self.known, self.size = dict(self.whole), 0
         return sum(counts)
 
 

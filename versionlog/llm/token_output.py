@@ -35,21 +35,26 @@ from pyspark.sql import functions as F
 
 from ._io import text_of
 from .bpe import Shared
-from .bpe_codec import MEMO_WORDS, Codec, Memo
+from .bpe_codec import Codec
 
 BLOCK_IDS = 1 << 16
 SEGMENT_IDS = 1 << 19
+#: Documents of a segment at most; only empty ones come near it.
+SEGMENT_DOCS = 1 << 17
 LEVEL = 3
 _HEAD = struct.Struct("<4sBBHII")
 SEGMENT = "shard int, segment int, first_id long, n_ids long, doc_ids array<long>, doc_sizes array<long>, payload binary"
 
 
+#: Memory, in bytes, for the words that a writer remembers; twice as much at most.
+MEMO_BYTES = 64 << 20
+
+
 class RoomyCodec(Codec):
-    """Nothing else runs beside the writer, so its workers may remember more words."""
+    """A writer's tasks have no other operator's tables beside theirs, so they may remember more words."""
 
     def __init__(self, t) -> None:
-        super().__init__(t)
-        self.words = Memo(2 * MEMO_WORDS)
+        super().__init__(t, MEMO_BYTES)
 
 
 def planes_of(block: np.ndarray, bits: int) -> np.ndarray:
@@ -108,13 +113,13 @@ def write_tokens(
     kind = pa.schema([("shard", pa.int32()), ("segment", pa.int32()), ("first_id", pa.int64()), ("n_ids", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("doc_sizes", pa.list_(pa.int64())), ("payload", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec, segment, first, held, names, sizes, shard = shared.held(RoomyCodec), 0, 0, [], [], [], 0
+        codec, segment, first, held, names, sizes, shard, n_ids = shared.held(RoomyCodec), 0, 0, [], [], [], 0, 0
 
         def full() -> pa.RecordBatch:
-            nonlocal segment, first, held, names, sizes
+            nonlocal segment, first, held, names, sizes, n_ids
             ids = np.concatenate(held)
             row = pa.RecordBatch.from_pylist([{"shard": shard, "segment": segment, "first_id": first, "n_ids": len(ids), "doc_ids": names, "doc_sizes": sizes, "payload": pack(ids, bits, block_ids)}], kind)
-            segment, first, held, names, sizes = segment + 1, first + len(ids), [], [], []
+            segment, first, held, names, sizes, n_ids = segment + 1, first + len(ids), [], [], [], 0
             return row
 
         for batch in batches:
@@ -124,7 +129,8 @@ def write_tokens(
                     held.append(np.append(ids, np.uint32(end_id)))
                     names.append(name)
                     sizes.append(len(held[-1]))
-                    if sum(sizes) >= segment_ids:
+                    n_ids += sizes[-1]
+                    if n_ids >= segment_ids or len(sizes) >= SEGMENT_DOCS:
                         yield full()
         if held:
             yield full()
