@@ -3,9 +3,11 @@
 A tree domain - language - source has a weight at every node, relative to its
 siblings.  A token budget is shared out from the root: each node passes its
 amount to its children by weight, no child takes more than its subtree can
-supply (its tokens times ``max_epochs``), and what a short child leaves goes to
-its siblings.  Only a node whose whole subtree is short leaves anything to its
-own siblings, so shortages are settled among siblings before ancestors.
+supply (the tokens times ``max_epochs`` of its leaves that are reached by weights
+above 0), and what a short child leaves goes to its siblings.  Only a node whose
+whole subtree is short leaves anything to its own siblings, so shortages are
+settled among siblings before ancestors.  Amounts are whole tokens; fractions go
+to the largest remainders.
 
 Each leaf then takes whole epochs and of the last one a token-prefix: documents
 in the seeded order of that epoch, as long as their running token sum stays
@@ -66,8 +68,10 @@ def _fill(nodes: DataFrame, parents: list[str]) -> DataFrame:
     """Share ``amount`` among siblings by ``w``, none above ``supply``: adds ``given``.
 
     In order of supply / weight, a child is full as long as all that remains, shared over
-    the weights that remain, would give it at least its supply.  A window sees the
-    children of one node, which are rows of the tree, not documents.
+    the weights that remain, would give it at least its supply.  The others get the whole
+    tokens of their shares, and the tokens left over go one each to the largest fractions
+    (to six places; of equal ones by name), so none is lost.  A window sees the children of one node, which
+    are rows of the tree, not documents.
     """
     by = Window.partitionBy(*parents)
     order = by.orderBy("fullness", "node").rowsBetween(Window.unboundedPreceding, -1)
@@ -75,17 +79,26 @@ def _fill(nodes: DataFrame, parents: list[str]) -> DataFrame:
     nodes = nodes.withColumn("fullness", fullness)
     nodes = nodes.withColumn("supply_before", F.coalesce(F.sum("supply").over(order), F.lit(0))).withColumn("w_left", F.sum("w").over(by) - F.coalesce(F.sum("w").over(order), F.lit(0.0)))
     nodes = nodes.withColumn("full", (F.col("w") > 0) & ((F.col("amount") - F.col("supply_before")) * F.col("w") >= F.col("supply") * F.col("w_left")))
+    open_ = ~F.col("full") & (F.col("w") > 0)
     nodes = nodes.withColumn("rest", F.col("amount") - F.coalesce(F.sum(F.when(F.col("full"), F.col("supply"))).over(by), F.lit(0)))
-    nodes = nodes.withColumn("rest_w", F.sum(F.when(~F.col("full"), F.col("w"))).over(by))
-    share = F.floor(F.col("rest") * F.col("w") / F.col("rest_w")).cast("long")
-    given = F.when(F.col("full"), F.col("supply")).when(F.col("w") > 0, F.least(share, F.col("supply"))).otherwise(F.lit(0))
-    return nodes.withColumn("given", given.cast("long")).drop("fullness", "supply_before", "w_left", "full", "rest", "rest_w")
+    nodes = nodes.withColumn("share", F.when(open_, F.col("rest") * F.col("w") / F.sum(F.when(open_, F.col("w"))).over(by)))
+    nodes = nodes.withColumn("whole", F.floor("share").cast("long"))
+    nodes = nodes.withColumn("over", F.col("rest") - F.sum("whole").over(by))
+    nodes = nodes.withColumn("nth", F.row_number().over(by.orderBy(F.desc_nulls_last(F.round(F.col("share") - F.col("whole"), 6)), "node")))
+    one = F.when(F.col("nth") <= F.col("over"), 1).otherwise(0)
+    given = F.when(F.col("full"), F.col("supply")).when(open_, F.least(F.col("whole") + one, F.col("supply"))).otherwise(F.lit(0))
+    return nodes.withColumn("given", given.cast("long")).drop("fullness", "supply_before", "w_left", "full", "rest", "share", "whole", "over", "nth")
 
 
 def budgets(leaves: DataFrame, mix: Mix) -> DataFrame:
-    """Leaves (domain, language, source, tokens) with ``budget`` tokens each."""
-    supply = (F.col("tokens") * mix.max_epochs).cast("long")
-    leaves = leaves.withColumn("supply", supply)
+    """Leaves (domain, language, source, tokens) with ``budget`` tokens each.
+
+    A leaf below a weight of 0 supplies nothing to any node above it.
+    """
+    reached = F.lit(True)
+    for level in LEVELS:
+        reached = reached & (_weight(level, mix) > 0)
+    leaves = leaves.withColumn("supply", F.when(reached, F.col("tokens") * mix.max_epochs).otherwise(0).cast("long"))
     every = F.sum("tokens").over(Window.partitionBy("root"))
     amount = F.lit(mix.budget_tokens) if mix.budget_tokens is not None else F.floor(every * mix.budget_share)
     given = None

@@ -3,7 +3,6 @@
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-
 def _shared(level: str, parents: str, keys: str, amount: str, weight: str) -> str:
     """Amounts of a node's children: full ones take their supply, the others share the rest by weight."""
     return f"""
@@ -15,8 +14,11 @@ def _shared(level: str, parents: str, keys: str, amount: str, weight: str) -> st
         f_{level} as (select *, (amount - s0) * w >= supply * w0 as full_ from o_{level}),
         r_{level} as (select *, amount - coalesce(sum(case when full_ then supply end) over (partition by {parents}), 0) as rest_,
                sum(case when not full_ then w end) over (partition by {parents}) as rest_w from f_{level}),
+        s_{level} as (select *, case when not full_ then cast(rest_ * w as double) / rest_w end as share_ from r_{level}),
+        t_{level} as (select *, rest_ - sum(floor(share_)) over (partition by {parents}) as over_,
+               row_number() over (partition by {parents} order by round(share_ - floor(share_), 6) desc nulls last, {level}) as nth_ from s_{level}),
         g_{level} as (select {keys}, cast(case when full_ then supply
-               else least(supply, floor(cast(rest_ * w as double) / rest_w)) end as bigint) as given from r_{level})"""
+               else least(supply, floor(share_) + case when nth_ <= over_ then 1 else 0 end) end as bigint) as given from t_{level})"""
 
 
 _DOMAIN = "case cast(regexp_extract(source, '[0-9]+') as int) % 4 when 0 then 'web' when 1 then 'books' when 2 then 'code' else 'forums' end"
