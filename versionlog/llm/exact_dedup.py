@@ -42,6 +42,9 @@ _STATE = {
     # else every small store reserves disk ahead
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
     "spark.sql.streaming.stateStore.rocksdb.trackTotalNumberOfRows": "false",
+    # all stores of an executor share this much memory outside the heap
+    "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
+    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "128",
 }
 _QUEUE = "doc_id long, digest binary, path string, row long"
 
@@ -93,24 +96,45 @@ def read_state(spark: SparkSession, state: str) -> DataFrame:
 class Deduplicated:
     """What the stream found; ``decisions`` and ``unique`` are two views of it."""
 
-    def __init__(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest: Callable[[Column], Column] = sha256) -> None:
-        self.spark, self.columns = docs.sparkSession, docs.columns
-        placed = located(docs)
-        self.docs = placed.withColumn("__norm", normalised(text_of(placed, text_col)))
-        self.docs = self.docs.withColumn("__digest", digest(F.col("__norm")))
-        queue, state = shared_dir(self.spark, "dedup-queue"), shared_dir(self.spark, "dedup-state")
-        self.docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col("__digest").alias("digest"), F.col("__path").alias("path"), F.col("__row").alias("row")).write.parquet(queue)
-        self.queue = self.spark.read.schema(_QUEUE).parquet(queue)
-        ingest(self.spark, queue, state)
-        self.state = stored(read_state(self.spark, state), "dedup-groups")
-        self.id_col = id_col
+    def __init__(
+        self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest: Callable[[Column], Column] = sha256, queue: str | None = None, state: str | None = None
+    ) -> None:
+        """``queue`` and ``state`` name the folders of an earlier call, to go on from there with further documents.
+
+        The files that its documents came from must still be there, as their bytes are read again on hits.
+        """
+        self.spark, self.columns, self.id_col, self.text_col = docs.sparkSession, docs.columns, id_col, text_col
+        self.digest, self.earlier = digest, queue is not None
+        self.docs = self._digested(located(docs))
+        self.queue_path, self.state_path = queue or shared_dir(self.spark, "dedup-queue"), state or shared_dir(self.spark, "dedup-state")
+        slim = self.docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col("__digest").alias("digest"), F.col("__path").alias("path"), F.col("__row").alias("row"))
+        slim.write.mode("append").parquet(self.queue_path)
+        ingest(self.spark, self.queue_path, self.state_path)
+        self.queue = self.spark.read.schema(_QUEUE).parquet(self.queue_path)
+        self.state = stored(read_state(self.spark, self.state_path), "dedup-groups")
         hits = self.state.where("n > 1").select(F.col("digest").alias("__digest"), F.col("keep").alias("__keep"))
         self.hits = F.broadcast(hits) if hits.count() <= BROADCAST_DIGESTS else hits
         self.regrouped = self._compare()
 
+    def _digested(self, placed: DataFrame) -> DataFrame:
+        return placed.withColumn("__norm", normalised(text_of(placed, self.text_col))).withColumn("__digest", self.digest(F.col("__norm")))
+
+    def _content(self) -> DataFrame:
+        """Documents of this call and of earlier ones that were hit, by their locators.  What meets on the driver is a list of files."""
+        names = [self.id_col, "__norm", "__digest", "__path", "__row"]
+        own = self.docs.select(*names)
+        if not self.earlier:
+            return own
+        met = self.queue.join(self.hits.select(F.col("__digest").alias("digest")), "digest", "left_semi").select("path").distinct()
+        files = [r.path for r in met.join(self.docs.select(F.col("__path").alias("path")).distinct(), "path", "left_anti").collect()]
+        if not files:
+            return own
+        there = self._digested(located(self.spark.read.parquet(*files).select(self.id_col, self.text_col, "_metadata")))
+        return own.unionByName(there.select(*names))
+
     def _compare(self) -> DataFrame | None:
         """Compare bytes on hits.  Groups of texts, if any digest has two texts; None is the rule."""
-        copies = self.docs.join(self.hits, "__digest").select("__digest", "__norm", F.col(self.id_col).cast("long").alias("doc_id"), F.col("__path").alias("path"), F.col("__row").alias("row"), "__keep")
+        copies = self._content().join(self.hits, "__digest").select("__digest", "__norm", F.col(self.id_col).cast("long").alias("doc_id"), F.col("__path").alias("path"), F.col("__row").alias("row"), "__keep")
         stays = (F.col("path") == F.col("__keep.path")) & (F.col("row") == F.col("__keep.row"))
         kept = copies.where(stays).select("__digest", F.col("__norm").alias("__other"))
         differ = copies.join(kept.hint("merge"), "__digest").where(F.col("__norm") != F.col("__other"))
