@@ -78,11 +78,32 @@ def test_memo_generations(tables, library, monkeypatch):
     codec.words.most = 3
     for _ in range(2):
         assert [x.tolist() for x in codec.encode(TEXTS)] == expected(library, TEXTS)
-    monkeypatch.setattr(token_counts, "MEMO_WORDS", 2)
+    monkeypatch.setattr(token_counts, "MEMO_BYTES", 300)
     counter = token_counts.Counter(tables)
     assert [counter.count(x) for x in TEXTS * 2] == [len(x) for x in expected(library, TEXTS * 2)]
 
 
+def test_other_vocabularies_are_refused():
+    import json
+
+    with pytest.raises(ValueError):
+        bpe.tables_of(public_tokenizers.path("byte_bpe_50k.json"))
+    with open(PATH) as f:
+        file = json.load(f)
+    bpe.refuse_others(file)
+    for change in ({"normalizer": None}, {"decoder": {"type": "ByteLevel"}}, {"model": {**file["model"], "ignore_merges": True}}, {"added_tokens": [{**file["added_tokens"][0], "lstrip": True}]}):
+        with pytest.raises(ValueError):
+            bpe.refuse_others({**file, **change})
+
+
+def test_many_empty_documents_make_several_segments(spark, library, tmp_path, monkeypatch):
+    monkeypatch.setattr(token_output, "SEGMENT_DOCS", 100)
+    path = f"file://{tmp_path}/out"
+    token_output.write_tokens(spark.range(1000).select(F.col("id").alias("doc_id"), F.lit("").alias("text")), PATH, path, 2)
+    assert token_output.read_segments(spark, path).count() >= 10
+    assert [r.start for r in token_output.read_documents(spark, path).orderBy("doc_id").collect()] == list(range(1000))
+
+
 def test_operators_on_odd_rows(spark, library):
     rows = [(k, t, "old", None) for k, t in enumerate(TEXTS)] + [(3, None, "old", "s"), (None, "two words", "old", "s"), (3, None, "old", "s")]
     df = table(spark, rows)
