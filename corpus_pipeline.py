@@ -17,7 +17,7 @@ from versionlog.llm.queries import TOKENIZER, corpus_mix
 
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the importance-resampling classifier rejects go."""
-    return quality_classifier.Resampled(docs, documents(spark, sf_dir, "labels")).kept()
+    return quality_classifier.Resampled(docs, documents(spark, sf_dir, "labels"), carry=True).kept()
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
