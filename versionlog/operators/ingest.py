@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -52,7 +53,7 @@ def ingest(log: DataFrame, files: list[DataFrame], next_seq: int, options: Inges
     """The log with external files (key, op, value, end_key) behind or above it.
 
     Above, a file's rows take one seq each file, in order of the arguments, from ``next_seq`` on; behind, seq
-    0, so that anything in the log wins.
+    0, so that anything in the log wins; a key that several files behind have counts in the last of them alone.
     """
     options = options or IngestOptions()
     if not files:
@@ -64,6 +65,10 @@ def ingest(log: DataFrame, files: list[DataFrame], next_seq: int, options: Inges
             raise InvalidInput(f"file {n} does not fit below the log")
         if not options.behind and not options.allow_global_seq:
             raise InvalidInput("ingesting above a log needs seqs")
+        if options.behind and files[n + 1 :]:
+            later = reduce(DataFrame.unionByName, [f.where(F.col("op") != RANGE_DELETE).select("key") for f in files[n + 1 :]]).distinct()
+            ranges = rows.where(F.col("op") == RANGE_DELETE)
+            rows = rows.where(F.col("op") != RANGE_DELETE).join(later, "key", "left_anti").select(rows.columns).unionByName(ranges)
         seq = F.lit(0 if options.behind else next_seq + n).cast("long")
         made = oplog(rows, cf_id=F.lit(cf_id), key=F.col("key"), seq=seq, op=F.col("op"), value=F.col("value"), end_key=F.col("end_key") if "end_key" in rows.columns else F.lit(None))
         log = log.unionByName(made)

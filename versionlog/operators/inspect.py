@@ -147,10 +147,15 @@ def dump(rows: DataFrame, hexed: bool = False) -> DataFrame:
 
 
 def verify_values(state: DataFrame) -> DataFrame:
-    """Keys whose test value (LE64 key, LE32 id, then (key + id + i) mod 256) is wrong."""
+    """Keys whose test value is wrong in any byte: LE64 key, LE32 id, then at place i from 12 on (key + id + i) mod 256."""
     from versionlog.functions.codecs import decode_u64le
 
+    number = F.regexp_extract(F.decode("key", "UTF-8"), "([0-9]+)$", 1).try_cast("decimal(20,0)")
     head = decode_u64le(F.substring("value", 1, 8))
-    return state.where((F.length("value") < 12) | (head.cast("string") != F.regexp_replace(F.decode("key", "UTF-8"), "^[^0-9]*0*(?=[0-9])", "")))
-
-
+    digits = F.hex("value")
+    byte = lambda k: F.conv(F.substring(digits, 2 * k + 1, F.lit(2)), 16, 10).try_cast("long")
+    ident = byte(F.lit(8)) + byte(F.lit(9)) * 256 + byte(F.lit(10)) * 65536 + byte(F.lit(11)) * 16777216
+    base = (number % 256).cast("long") + ident
+    places = F.sequence(F.lit(12), F.greatest(F.length("value") - 1, F.lit(12)))
+    wrong = F.exists(places, lambda k: (k < F.length("value")) & (byte(k) != (base + k) % 256))
+    return state.where(number.isNull() | (F.length("value") < 12) | F.coalesce((head != number) | wrong, F.lit(True)))

@@ -6,7 +6,7 @@ tombstones: one that starts below a lower bound still covers keys above it.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from versionlog.functions.keys import Prefix
 from versionlog.model import RANGE_DELETE, NotFound
 from versionlog.operators.resolve import resolve
+from versionlog.sources.scratch import stored
 
 
 def _key(key: bytes | str) -> Column:
@@ -50,19 +51,23 @@ def get_value(log: DataFrame, key: bytes | str, cf_id: int = 0, **how) -> bytes:
     return rows[0][0] if rows[0][0] is None else bytes(rows[0][0])
 
 
+def _of(log: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The point rows of the wanted keys (cf_id, key), and all tombstones."""
+    rows = log.where(F.col("op") != RANGE_DELETE).join(wanted.select("cf_id", "key").distinct(), ["cf_id", "key"], "left_semi")
+    return rows.unionByName(log.where(F.col("op") == RANGE_DELETE))
+
+
 def multi_get(log: DataFrame, probes: DataFrame, **how) -> DataFrame:
     """Probes (pos, key; cf_id if the log has several) -> pos, key, found, value: in order, repeated ones repeated, misses kept."""
     if "cf_id" not in probes.columns:
         probes = probes.withColumn("cf_id", F.lit(0))
-    wanted = probes.select("cf_id", "key").distinct().withColumn("__asked", F.lit(True))
-    rows = log.where(F.col("op") != RANGE_DELETE).join(wanted.drop("__asked"), ["cf_id", "key"], "left_semi").unionByName(log.where(F.col("op") == RANGE_DELETE))
-    state = resolve(rows, **how).select("cf_id", "key", "value", F.lit(True).alias("found"))
+    state = resolve(_of(log, probes), **how).select("cf_id", "key", "value", F.lit(True).alias("found"))
     return probes.join(state, ["cf_id", "key"], "left").select("pos", "cf_id", "key", F.coalesce("found", F.lit(False)).alias("found"), "value").orderBy("pos")
 
 
 def key_may_exist(log: DataFrame, probes: DataFrame, **how) -> DataFrame:
-    """Exact: the probes (cf_id, key) that exist."""
-    return probes.join(resolve(log, **how).select("cf_id", "key"), ["cf_id", "key"], "left_semi")
+    """Exact: the probes (cf_id, key) that exist.  Only their rows are resolved."""
+    return probes.join(resolve(_of(log, probes), **how).select("cf_id", "key"), ["cf_id", "key"], "left_semi")
 
 
 def prefix_scan(log: DataFrame, target: bytes | str, prefix: Prefix, **how) -> DataFrame:
@@ -89,26 +94,35 @@ def page_after(log: DataFrame, cursor: bytes | str, n: int, **how) -> DataFrame:
     return scan(log, lower=after, limit=n, **how)
 
 
-def neighbours(state: DataFrame, part: Callable[[Column], Column] | None = None) -> DataFrame:
+def neighbours(state: DataFrame) -> DataFrame:
     """Every key with the one before and the one after it.
 
-    ``part`` deals keys into ranges that follow each other (say, the first bytes); neighbours
-    are then looked up within a range and only the ranges' ends across them, so no task sees
-    more than a range.
+    Keys are sorted into ranges of about equal size; neighbours are looked up within a range and only the ranges' ends,
+    a row for each, across them.
     """
-    if part is None:
-        by = Window.partitionBy("cf_id").orderBy("key")
-        return state.withColumn("prev_key", F.lag("key").over(by)).withColumn("next_key", F.lead("key").over(by))
-    state = state.withColumn("__part", part(F.col("key")))
+    ranged = stored(state.repartitionByRange("cf_id", "key").withColumn("__part", F.spark_partition_id()), "neighbours")
     by = Window.partitionBy("cf_id", "__part").orderBy("key")
-    ends = state.groupBy("cf_id", "__part").agg(F.min("key").alias("lo"), F.max("key").alias("hi"))
+    ends = ranged.groupBy("cf_id", "__part").agg(F.min("key").alias("lo"), F.max("key").alias("hi"))
     across = Window.partitionBy("cf_id").orderBy("__part")
     ends = ends.select("cf_id", "__part", F.lag("hi").over(across).alias("__before"), F.lead("lo").over(across).alias("__after"))
-    joined = state.join(ends, ["cf_id", "__part"])
+    joined = ranged.join(ends, ["cf_id", "__part"])
     prev, following = F.coalesce(F.lag("key").over(by), "__before"), F.coalesce(F.lead("key").over(by), "__after")
     return joined.withColumn("prev_key", prev).withColumn("next_key", following).drop("__part", "__before", "__after")
 
 
+def placed(rows: DataFrame, order: Sequence[Column], by: str = "place") -> DataFrame:
+    """Rows with their place (from 1) in a caller's order.
+
+    The rows are sorted once into ranges; of each range only its size meets in one place.
+    """
+    ranged = rows.repartitionByRange(*order).withColumn("__part", F.spark_partition_id())
+    ranged = stored(ranged, "placed")
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = ranged.groupBy("__part").agg(F.count("*").alias("n")).select("__part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__before"))
+    nth = F.row_number().over(Window.partitionBy("__part").orderBy(*order))
+    return ranged.join(sizes, "__part").withColumn(by, (F.col("__before") + nth).cast("long")).drop("__part", "__before")
+
+
 def merged_runs(*runs: DataFrame) -> DataFrame:
     """One log of several sorted runs."""
     out = runs[0]
