@@ -3,22 +3,32 @@
 Tables: keys have cf_id and key; tombstones cf_id, start_key, end_key, seq.  A
 tombstone covers start <= key < end where the key's seq is below its own.
 Snapshots must be applied before anything here: a fragment keeps one seq only.
+
+Few tombstones are broadcast.  Many are swept: (column family, key) space is cut
+into ranges at quantiles of a bounded sample; a tombstone goes to the ranges
+that hold its ends, and to those in between as one number, the largest seq that
+covers the whole of a range, summed before the shuffle.  Within a range rows go
+by in order of keys and a heap holds the tombstones that are open; no pair of a
+key and a tombstone, or of two tombstones, is made.
 """
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.functions import ArrowUDFType
 
-#: Up to so many tombstones are broadcast and tested one by one; beyond, they are cut into fragments.
+from versionlog.sources.scratch import stored
+
+#: Up to so many tombstones are broadcast and tested one by one; beyond, they are swept.
 BROADCAST_TOMBSTONES = 1000
-#: Ranges that keys and fragments are dealt into.  Only speed hangs on them.
-RANGES = 256
+#: Ranges for each shuffle partition, and sampled rows for each range.  Only speed hangs on them.
+RANGES_A_PARTITION, SAMPLED_A_RANGE = 2, 20
 
 
 def contains(key: Column, start: Column, end: Column) -> Column:
@@ -33,27 +43,21 @@ def overlaps(start: Column, end: Column, other_start: Column, other_end: Column)
     return (start < other_end) & (other_start < end)
 
 
-def fragments(tombs: DataFrame) -> DataFrame:
-    """Disjoint intervals with the largest seq that covers each: cf_id, start_key, end_key, seq.
-
-    Boundaries are all starts and ends; a fragment lies between neighbours.  The window sees
-    the boundaries of one column family, which are rows of tombstones, never of data.
-    """
-    edges = tombs.select("cf_id", F.col("start_key").alias("lo")).union(tombs.select("cf_id", F.col("end_key"))).distinct()
-    edges = edges.withColumn("hi", F.lead("lo").over(Window.partitionBy("cf_id").orderBy("lo"))).where("hi is not null")
-    t = tombs.select(F.col("cf_id").alias("t_cf"), "start_key", "end_key", F.col("seq").alias("t_seq"))
-    on = (F.col("cf_id") == F.col("t_cf")) & (F.col("start_key") <= F.col("lo")) & (F.col("end_key") >= F.col("hi"))
-    return edges.join(t, on).groupBy("cf_id", "lo", "hi").agg(F.max("t_seq").alias("seq")).select("cf_id", F.col("lo").alias("start_key"), F.col("hi").alias("end_key"), "seq")
+def _place(cf: Column, key: Column) -> Column:
+    """Bytes in order of column family, then key."""
+    return F.concat(F.unhex(F.lpad(F.hex(cf.cast("long")), 16, "0")), key)
 
 
-def _cover_each(keys: DataFrame, tombs: DataFrame) -> DataFrame:
-    t = F.broadcast(tombs.select(F.col("cf_id").alias("t_cf"), "start_key", "end_key", F.col("seq").alias("t_seq")))
-    on = (F.col("cf_id") == F.col("t_cf")) & contains(F.col("key"), F.col("start_key"), F.col("end_key"))
-    return keys.join(t, on).groupBy("cf_id", "key").agg(F.max("t_seq").alias("cover_seq"))
+def _splits(places: DataFrame) -> list[bytes]:
+    """Quantiles of a sample of places (one column, ``at``); sample and result are bounded by the shuffle partitions."""
+    ranges = max(8, RANGES_A_PARTITION * int(places.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    sample = sorted({bytes(r[0]) for r in places.orderBy(F.xxhash64("at"), "at").limit(SAMPLED_A_RANGE * ranges).collect()})
+    return sample[SAMPLED_A_RANGE::SAMPLED_A_RANGE]
 
 
 def _range_of(splits: list[bytes]):
-    edges = np.array(sorted(set(splits)), object)
+    """The range of a place: how many splits lie at or below it."""
+    edges = np.array(splits, object)
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
@@ -63,31 +67,92 @@ def _range_of(splits: list[bytes]):
     return F.arrow_udf(run, "int", ArrowUDFType.SCALAR_ITER)
 
 
-def _cover_fragments(keys: DataFrame, tombs: DataFrame) -> DataFrame:
-    """As-of lookup: within a range of keys the last fragment that starts at or before a key.
+_ASKED, _SWEPT = "part int, at binary, kind int, until binary, seq long", "at binary, until binary, seq long"
+
 
-    Ranges come from a bounded sample of tombstone starts; a fragment goes to every range it
-    reaches into.
+def _sweep(tombs: DataFrame, asked: DataFrame, splits: list[bytes]) -> DataFrame:
+    """at, until, seq: for every place asked that is covered the largest seq over it; ``until`` is the next place asked.
+
+    ``asked`` has distinct places (at).  ``until`` is the next split where a range has no further place.
     """
-    spark = keys.sparkSession
-    cut = fragments(tombs)
-    sample = [bytes(r[0]) for r in cut.select("start_key").orderBy(F.xxhash64("start_key")).limit(RANGES).collect()]
-    nth = _range_of(sample)
-    cut = cut.withColumn("a", nth("start_key")).withColumn("b", nth("end_key")).withColumn("part", F.explode(F.sequence("a", "b")))
-    starts = cut.select("cf_id", "part", F.col("start_key").alias("key"), F.lit(0).alias("kind"), F.struct("end_key", "seq").alias("frag"))
-    nothing = spark.range(1).select(F.lit(None).cast(starts.schema["frag"].dataType).alias("frag")).schema["frag"].dataType
-    asked = keys.select("cf_id", nth("key").alias("part"), "key", F.lit(1).alias("kind"), F.lit(None).cast(nothing).alias("frag"))
-    order = Window.partitionBy("cf_id", "part").orderBy("key", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    found = starts.unionByName(asked).withColumn("at", F.last("frag", ignorenulls=True).over(order))
-    return found.where((F.col("kind") == 1) & (F.col("key") < F.col("at.end_key"))).select("cf_id", "key", F.col("at.seq").alias("cover_seq"))
+    nth = _range_of(splits)
+    t = tombs.select(_place(F.col("cf_id"), F.col("start_key")).alias("at"), _place(F.col("cf_id"), F.col("end_key")).alias("until"), "seq")
+    t = t.withColumn("a", nth("at")).withColumn("b", nth("until"))
+    inner = t.where("b - a > 1").select(F.explode(F.sequence(F.col("a") + 1, F.col("b") - 1)).alias("part"), "seq")
+    whole = inner.groupBy("part").agg(F.max("seq").alias("seq"))
+    ends = t.select(F.explode(F.array_distinct(F.array("a", "b"))).alias("part"), "at", "until", "seq")
+    rows = ends.select("part", "at", F.lit(1).alias("kind"), "until", "seq")
+    rows = rows.unionByName(whole.select("part", F.lit(b"").alias("at"), F.lit(0).alias("kind"), F.lit(None).cast("binary").alias("until"), "seq"))
+    rows = rows.unionByName(asked.select(nth("at").alias("part"), "at", F.lit(2).alias("kind"), F.lit(None).cast("binary").alias("until"), F.lit(None).cast("long").alias("seq")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, floor, waiting, open_ = None, -1, None, []
+        for batch in batches:
+            out = []
+            for n, at, kind, until, seq in zip(*(batch[c].to_pylist() for c in ("part", "at", "kind", "until", "seq"))):
+                if n != part:
+                    if waiting:
+                        out.append((waiting[0], splits[part] if part < len(splits) else None, waiting[1]))
+                    part, floor, waiting, open_ = n, -1, None, []
+                if kind == 0:
+                    floor = seq
+                elif kind == 1:
+                    heapq.heappush(open_, (-seq, until))
+                else:
+                    if waiting:
+                        out.append((waiting[0], at, waiting[1]))
+                    while open_ and open_[0][1] <= at:
+                        heapq.heappop(open_)
+                    over = max(floor, -open_[0][0] if open_ else -1)
+                    waiting = (at, over) if over >= 0 else None
+            yield _rows(out)
+        if waiting:
+            yield _rows([(waiting[0], splits[part] if part < len(splits) else None, waiting[1])])
+
+    return rows.repartition("part").sortWithinPartitions("part", "at", "kind").mapInArrow(run, _SWEPT)
+
+
+def _rows(out: list[tuple]) -> pa.RecordBatch:
+    kinds = (pa.binary(), pa.binary(), pa.int64())
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], kind) for k, kind in enumerate(kinds)], ["at", "until", "seq"])
+
+
+def _cf_and_key(place: Column) -> tuple[Column, Column]:
+    return F.conv(F.substring(F.hex(place), 1, 16), 16, 10).cast("long"), F.substring(place, 9, 1 << 30)
+
+
+def fragments(tombs: DataFrame) -> DataFrame:
+    """Disjoint intervals with the largest seq that covers each: cf_id, start_key, end_key, seq.
+
+    Boundaries are all starts and ends; a fragment lies between neighbours.  Splits are boundaries too, so none is cut.
+    """
+    edge = F.explode(F.array("start_key", "end_key"))
+    edges = stored(tombs.select("cf_id", edge.alias("key")).distinct().select(_place(F.col("cf_id"), F.col("key")).alias("at")), "tombstone-edges")
+    found = _sweep(tombs, edges, _splits(edges))
+    cf, start = _cf_and_key(F.col("at"))
+    return found.select(cf.cast(tombs.schema["cf_id"].dataType).alias("cf_id"), start.alias("start_key"), _cf_and_key(F.col("until"))[1].alias("end_key"), "seq")
+
+
+def _cover_each(keys: DataFrame, tombs: DataFrame) -> DataFrame:
+    t = F.broadcast(tombs.select(F.col("cf_id").alias("t_cf"), "start_key", "end_key", F.col("seq").alias("t_seq")))
+    on = (F.col("cf_id") == F.col("t_cf")) & contains(F.col("key"), F.col("start_key"), F.col("end_key"))
+    return keys.join(t, on).groupBy("cf_id", "key").agg(F.max("t_seq").alias("cover_seq"))
+
+
+def _cover_swept(keys: DataFrame, tombs: DataFrame) -> DataFrame:
+    """Keys are sampled for the ranges, so that none holds most of them, wherever the tombstones lie."""
+    asked = stored(keys.select(_place(F.col("cf_id"), F.col("key")).alias("at")), "covered-keys")
+    found = _sweep(tombs, asked, _splits(asked))
+    cf, key = _cf_and_key(F.col("at"))
+    return found.select(cf.cast(keys.schema["cf_id"].dataType).alias("cf_id"), key.alias("key"), F.col("seq").alias("cover_seq"))
 
 
 def cover(keys: DataFrame, tombs: DataFrame, method: str | None = None) -> DataFrame:
     """cf_id, key, cover_seq: the largest seq of a tombstone over each distinct key that has one."""
     keys = keys.select("cf_id", "key").distinct()
     if method is None:
-        method = "each" if len(tombs.limit(BROADCAST_TOMBSTONES + 1).take(BROADCAST_TOMBSTONES + 1)) <= BROADCAST_TOMBSTONES else "fragments"
-    return _cover_each(keys, tombs) if method == "each" else _cover_fragments(keys, tombs)
+        method = "each" if len(tombs.select("seq").take(BROADCAST_TOMBSTONES + 1)) <= BROADCAST_TOMBSTONES else "sweep"
+    return _cover_each(keys, tombs) if method == "each" else _cover_swept(keys, tombs)
 
 
 def max_cover_seq(keys: DataFrame, tombs: DataFrame) -> DataFrame:
