@@ -41,10 +41,11 @@ def _row(cf: str, key: str, seq: Column, op: Column, value: Column) -> list[Colu
     return [made.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in OPLOG]
 
 
-def compact(log: DataFrame, snapshots: Sequence[int] = (), merge: str | MergeOperator | None = None, filter_: CompactionFilter | None = None, lower: bytes | None = None, upper: bytes | None = None, full: bool = False) -> DataFrame:
+def compact(log: DataFrame, snapshots: Sequence[int] = (), merge: str | MergeOperator | None = None, filter_: CompactionFilter | None = None, lower: bytes | None = None, upper: bytes | None = None, full: bool = False, ranges_too: bool | None = None) -> DataFrame:
     """The rewritten log.  With bounds only keys in [lower, upper) are rewritten.
 
-    ``full`` says that no other file holds older rows: deletions in the oldest stratum go.  A filter sees
+    ``full`` says that no other file holds older rows of these keys: deletions in the oldest stratum go.  Range
+    deletions go too, without live snapshots and bounds, unless ``ranges_too`` says that other files have rows under them.  A filter sees
     the newest stratum's values after the fold; what it removes becomes a deletion if older strata remain.
     """
     snapshots = sorted(set(snapshots))
@@ -64,41 +65,39 @@ def compact(log: DataFrame, snapshots: Sequence[int] = (), merge: str | MergeOpe
     based = rows.groupBy(*KEYS, "s").agg(F.coalesce(F.max(F.when(F.col("op").isin(*BASES), F.col("seq"))), F.lit(-1)).alias("b"))
     t = tombstones(tombs).withColumn("s", stratum(F.col("seq"), snapshots))
     # a stratum is tested like a column family of its own
-    one = F.col("cf_id") * (len(snapshots) + 1) + F.col("s")
+    width = F.lit(len(snapshots) + 1).cast("long")
+    one = F.col("cf_id").cast("long") * width + F.col("s")
     covered = rangedel.cover(based.select(one.alias("cf_id"), "key"), t.select(one.alias("cf_id"), "start_key", "end_key", "seq"))
-    width = F.lit(len(snapshots) + 1)
     covered = covered.select(F.floor(F.col("cf_id") / width).cast("int").alias("cf_id"), "key", (F.col("cf_id") % width).cast("int").alias("s"), F.col("cover_seq").alias("t"))
     floor = based.join(covered, [*KEYS, "s"], "left").withColumn("t", F.coalesce("t", F.lit(-1).cast("long")))
     joined = rows.join(floor, [*KEYS, "s"])
-    floor_seq = F.greatest("b", "t")
     base = (F.col("seq") == F.col("b")) & (F.col("b") >= F.col("t")) & F.col("op").isin(*BASES)
     operand = (F.col("op") == MERGE) & (F.col("seq") > F.col("b")) & (F.col("seq") >= F.col("t"))
     kept = joined.where(base | operand)
-    flags = kept.groupBy(*KEYS, "s").agg(F.max(F.col("op") == MERGE).alias("has_ops"), F.max(floor_seq).alias("floor"))
-    counted = kept.join(flags, [*KEYS, "s"])
-    # no operands: the base row stays as it is, deletions too
-    plain = counted.where(~F.col("has_ops")).select("cf_id", "key", "seq", "op", "value", "s")
-    with_ops = counted.where("has_ops")
-    grounded = with_ops.where("floor >= 0")
-    floating = with_ops.where("floor < 0")
-
-    def fold(part: DataFrame) -> DataFrame:
-        """Fold within (key, stratum): the stratum travels in cf_id."""
-        packed = part.where(F.col("op").isin(*VALUES, MERGE)).select(one.cast("int").alias("cf_id"), "key", "seq", "op", "value")
-        done = folded(packed, op)
-        return done.select(F.floor(F.col("cf_id") / width).cast("int").alias("cf_id"), "key", "seq", "value", (F.col("cf_id") % width).cast("int").alias("s"))
-
+    # one aggregate: what a stratum folds to, and what it is made of
+    has_ops = F.max(F.col("op") == MERGE)
+    more = {"has_ops": has_ops, "floor": F.max(F.greatest("b", "t")), "top": F.max(F.struct("seq", "op", "value"))}
+    each = F.collect_list(F.struct("seq", "op", "value"))
     if op is None:
-        out = plain.unionByName(with_ops.select("cf_id", "key", "seq", "op", "value", "s"))
+        done = kept.groupBy(*KEYS, "s").agg(*[c.alias(n) for n, c in more.items()], each.alias("rows"))
+        done = done.select(*KEYS, "s", F.explode(F.when(F.col("has_ops"), F.col("rows")).otherwise(F.array("top"))).alias("r"))
+        out = done.select("cf_id", "key", "r.seq", "r.op", "r.value", "s")
     else:
-        out = plain.unionByName(fold(grounded).withColumn("op", F.lit(PUT).cast("byte")).select("cf_id", "key", "seq", "op", "value", "s"))
+        if not op.associative:
+            more["rows"] = each
+        done = folded(kept.select(*KEYS, "s", "seq", "op", "value", "b", "t"), op, by=[*KEYS, "s"], more=more)
+        kind = F.when(F.col("floor") >= 0, F.lit(PUT)).otherwise(F.lit(MERGE)).cast("byte")
+        fold = F.struct(F.col("seq"), kind.alias("op"), F.col("value"))
+        floating = F.col("has_ops") & (F.col("floor") < 0)
         if op.associative:
-            out = out.unionByName(fold(floating).withColumn("op", F.lit(MERGE).cast("byte")).select("cf_id", "key", "seq", "op", "value", "s"))
+            out = done.select(*KEYS, "s", F.when(F.col("has_ops"), fold).otherwise(F.col("top")).alias("r"))
         else:
-            out = out.unionByName(floating.select("cf_id", "key", "seq", "op", "value", "s"))
-    oldest = F.min("s").over(Window.partitionBy(*KEYS))
+            several = F.when(floating, F.col("rows")).when(F.col("has_ops"), F.array(fold)).otherwise(F.array("top"))
+            out = done.select(*KEYS, "s", F.explode(several).alias("r"))
+        out = out.select("cf_id", "key", "r.seq", "r.op", "r.value", "s")
     if filter_ is not None or full:
-        out = out.withColumn("older", F.col("s") > oldest)
+        # without snapshots there is one stratum, and nothing older
+        out = out.withColumn("older", F.col("s") > F.min("s").over(Window.partitionBy(*KEYS)) if snapshots else F.lit(False))
     if filter_ is not None:
         newest = (F.col("s") == len(snapshots)) & (F.col("op") == PUT)
         out = out.withColumn("d", F.when(newest, filter_.decide(F.col("key"), F.col("value"))))
@@ -113,7 +112,7 @@ def compact(log: DataFrame, snapshots: Sequence[int] = (), merge: str | MergeOpe
         gone = F.col("op").isin(*[b for b in BASES if b not in VALUES]) & ~F.col("older")
         out = out.where(~gone)
     made = out.select(*_row("cf_id", "key", F.col("seq"), F.col("op"), F.col("value")))
-    if full and not snapshots and lower is None and upper is None:
+    if (full if ranges_too is None else ranges_too) and not snapshots and lower is None and upper is None:
         return made  # the fold has applied every tombstone, and nothing below remains
     return made.unionByName(untouched.select(made.columns)).unionByName(tombs.select(made.columns))
 
