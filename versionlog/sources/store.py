@@ -3,7 +3,13 @@
 A commit writes its files first and then one manifest file under a name that must
 not exist; readers see what a manifest lists and nothing else, so a job that dies
 half way leaves only files to vacuum.  All paths go through Hadoop's file systems.
-Manifest rows are one for each commit's folder, not for each row of data.
+Manifest rows are one for each commit's folder and column family, not for each row
+of data; they hold key ranges and counts, so reads and rewrites with bounds leave
+out folders, and tables of files need no data.
+
+Of two writers one wins where a name is taken at once: in HDFS, whose rename does
+not overwrite, and on a local disk, by a hard link.  Object stores whose rename
+overwrites need a single writer.
 """
 
 from __future__ import annotations
@@ -14,15 +20,17 @@ import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from versionlog.model import DEFAULT_CF, OPLOG, Conflict, InvalidInput, NotFound, ReadOnly, empty_log, points, tombstones
+from versionlog.model import DEFAULT_CF, DELETE, FILES, MERGE, OPLOG, RANGE_DELETE, SINGLE_DELETE, Conflict, InvalidInput, NotFound, ReadOnly, empty_log
 from versionlog.operators import compact as rewriting
 from versionlog.operators import ingest as loading
 from versionlog.operators.batch import WriteBatch
 from versionlog.operators.merge import MergeOperator
 from versionlog.operators.resolve import resolve
+from versionlog.operators.scan import bounded
 from versionlog.operators.txn import conflicts
 
 
@@ -50,17 +58,32 @@ class _Files:
             stream.close()
 
     def create(self, p: str, text: str) -> None:
-        """Write under a temporary name and rename, which fails if the name is taken."""
-        aside = f"{p}.{uuid.uuid4().hex}"
-        stream = self.fs.create(self.path(aside), False)
+        """Write under a temporary name, then take the final one, which fails if it is taken."""
+        aside, final = self.path(f"{p}.{uuid.uuid4().hex}"), self.path(p)
+        stream = self.fs.create(aside, False)
         try:
             stream.write(bytearray(text.encode()))
         finally:
             stream.close()
-        if self.exists(p) or not self.fs.rename(self.path(aside), self.path(p)):
-            self.fs.delete(self.path(aside), False)
+        try:
+            taken = self.exists(p) or not self._take(aside, final)
+        finally:
+            self.fs.delete(aside, False)
+        if taken:
             raise Conflict(f"{p} was committed by another writer")
 
+    def _take(self, aside, final) -> bool:
+        if self.fs.getUri().getScheme() != "file":
+            return self.fs.rename(aside, final)
+        local = [self.jvm.java.nio.file.Paths.get(self.fs.makeQualified(x).toUri()) for x in (final, aside)]
+        try:
+            self.jvm.java.nio.file.Files.createLink(*local)
+        except Py4JJavaError as e:
+            if "FileAlreadyExistsException" in str(e.java_exception):
+                return False
+            raise
+        return True
+
     def delete(self, p: str) -> None:
         self.fs.delete(self.path(p), True)
 
@@ -74,7 +97,7 @@ class Version:
 
     number: int
     last_seq: int
-    folders: list[dict]  # path, first_seq, last_seq, cf ids, created_at
+    folders: list[dict]  # path, level, first_seq, last_seq, created_at, stats (a dict for each column family)
     cfs: dict[str, int]
     next_cf: int
     snapshots: dict[str, list[int]]  # seq -> created_at of each
@@ -137,12 +160,45 @@ class Store:
         path = f"{self.root}/data/{uuid.uuid4().hex}"
         # clustered by column family and key, so that bounds on keys skip row groups
         rows.sortWithinPartitions("cf_id", "key", F.desc("seq")).write.parquet(path)
-        folder = {"path": path, "first_seq": first_seq, "last_seq": last_seq, "created_at": int(time.time())}
+        folder = self._folder(path, 0, first_seq, last_seq)
         return self._commit(self._next(last_seq=max(last_seq, self.version.last_seq), folders=[*self.version.folders, folder]))
 
-    def log(self, version: Version | None = None) -> DataFrame:
-        folders = (version or self.version).folders
-        return self.spark.read.schema(OPLOG).parquet(*[f["path"] for f in folders]) if folders else empty_log(self.spark)
+    def _folder(self, path: str, level: int, first_seq: int, last_seq: int) -> dict:
+        """A manifest's entry of a folder that was written, with its counts."""
+        is_range = F.col("op") == RANGE_DELETE
+        size = F.sum((F.length("key") + F.coalesce(F.length("value"), F.lit(0))).cast("long"))
+        counted = self.spark.read.schema(OPLOG).parquet(path).groupBy("cf_id").agg(
+            size.alias("size"), F.hex(F.min("key")).alias("smallest"), F.hex(F.max("key")).alias("largest"), F.hex(F.max(F.when(is_range, F.col("end_key")))).alias("reach"),
+            F.min("seq").alias("smallest_seq"), F.max("seq").alias("largest_seq"), F.count("*").alias("num_entries"), F.count_if(F.col("op").isin(DELETE, SINGLE_DELETE)).alias("num_deletes"),
+            F.count_if(F.col("op") == MERGE).alias("num_merges"), F.count_if(is_range).alias("num_range_dels"),
+        )
+        stats = sorted((r.asDict() for r in counted.collect()), key=lambda r: r["cf_id"])
+        return {"path": path, "level": level, "first_seq": first_seq, "last_seq": last_seq, "created_at": int(time.time()), "stats": stats}
+
+    @staticmethod
+    def _meets(folder: dict, lower: bytes | None, upper: bytes | None, cfs: Sequence[int] | None = None) -> bool:
+        """May the folder hold anything of the keys in [lower, upper)?  Hexadecimal digits sort as their bytes do."""
+        low, high = (None if x is None else x.hex().upper() for x in (lower, upper))
+        for s in folder["stats"]:
+            last = max(s["largest"], s["reach"] or "")
+            if (cfs is None or s["cf_id"] in cfs) and (high is None or s["smallest"] < high) and (low is None or last >= low):
+                return True
+        return False
+
+    def _overlap(self, one: dict, other: dict) -> bool:
+        for s in one["stats"]:
+            for t in other["stats"]:
+                if s["cf_id"] == t["cf_id"] and s["smallest"] <= max(t["largest"], t["reach"] or "") and t["smallest"] <= max(s["largest"], s["reach"] or ""):
+                    return True
+        return False
+
+    def log(self, version: Version | None = None, lower: bytes | None = None, upper: bytes | None = None, cfs: Sequence[int] | None = None) -> DataFrame:
+        """Rows of the column families that exist.  With bounds, of the folders that may hold such keys."""
+        version = version or self.version
+        paths = [f["path"] for f in version.folders if self._meets(f, lower, upper, cfs)]
+        if not paths:
+            return empty_log(self.spark)
+        return self.spark.read.schema(OPLOG).parquet(*paths).where(F.col("cf_id").isin(*version.cfs.values()))
 
     def write(self, batch: WriteBatch) -> int:
         """Commit a batch; returns the seq of its first operation."""
@@ -161,8 +217,8 @@ class Store:
         if low is not None:
             self._append(rows, low, high)
 
-    def state(self, snapshot: int | None = None, **how) -> DataFrame:
-        return resolve(self.log(), snapshot, merge=self.merge, **how)
+    def state(self, snapshot: int | None = None, lower: bytes | None = None, upper: bytes | None = None, cfs: Sequence[int] | None = None, **how) -> DataFrame:
+        return resolve(bounded(self.log(lower=lower, upper=upper, cfs=cfs), lower, upper, cfs), snapshot, merge=self.merge, **how)
 
     def ingest(self, files: list[DataFrame], options: loading.IngestOptions | None = None, cf: str = "default") -> None:
         """One commit for all files; seqs by order of the arguments."""
@@ -173,14 +229,62 @@ class Store:
             loading.ingest(self.log(), files, first, options, self.cf(cf))
         self._append(rows, 0 if options.behind else first, 0 if options.behind else first + len(files) - 1)
 
-    def compact(self, filter_=None, lower: bytes | None = None, upper: bytes | None = None) -> None:
-        """Rewrite the whole log for its live snapshots; old folders stay until vacuumed."""
-        full = lower is None and upper is None
+    def compact(self, filter_=None, lower: bytes | None = None, upper: bytes | None = None) -> list[str]:
+        """Rewrite what the live snapshots need of keys in [lower, upper), or of all; returns the folders that went.
+
+        Only folders that may hold such keys are read.  One alone that is not on the last level, overlaps no other and
+        has neither deletions nor operands is moved there instead.  Old folders stay until vacuumed.
+        """
+        chosen = [f for f in self.version.folders if self._meets(f, lower, upper)]
+        if not chosen:
+            return []
+        alone = filter_ is None and len(chosen) == 1 and chosen[0]["level"] < rewriting.LEVELS - 1
+        if alone and self._plain(chosen[0]) and not any(self._overlap(chosen[0], f) for f in self.version.folders if f is not chosen[0]):
+            self.move(chosen[0]["path"])
+            return []
+        return self._rewrite(chosen, True, filter_, lower, upper)
+
+    def compact_files(self, paths: Sequence[str], filter_=None) -> list[str]:
+        """Rewrite these folders into one.  Deletions stay where another folder may hold older rows.
+
+        Folders that overlap in keys and lie between them by seqs are taken along: operands must not fold past their rows.
+        """
+        chosen = [f for f in self.version.folders if f["path"] in paths]
+        if len(chosen) != len(set(paths)) or not chosen:
+            raise NotFound("a folder that is not live")
+        rest = [f for f in self.version.folders if f["path"] not in paths]
+        while True:
+            low, high = min(f["first_seq"] for f in chosen), max(f["last_seq"] for f in chosen)
+            between = [f for f in rest if f["first_seq"] <= high and f["last_seq"] >= low and any(self._overlap(f, g) for g in chosen)]
+            if not between:
+                break
+            chosen, rest = chosen + between, [f for f in rest if f not in between]
+        return self._rewrite(chosen, not any(self._overlap(f, g) for f in chosen for g in rest), filter_, None, None)
+
+    @staticmethod
+    def _plain(folder: dict) -> bool:
+        return all(s["num_deletes"] == s["num_merges"] == s["num_range_dels"] == 0 for s in folder["stats"])
+
+    def move(self, path: str, level: int = rewriting.LEVELS - 1) -> None:
+        """Put a folder on a deeper level without reading it; none on the way may overlap it."""
+        (folder,) = [f for f in self.version.folders if f["path"] == path] or [None]
+        if folder is None:
+            raise NotFound(path)
+        if any(self._overlap(folder, f) for f in self.version.folders if f is not folder and folder["level"] < f["level"] <= level):
+            raise InvalidInput("a folder of a deeper level overlaps")
+        self._commit(self._next(folders=[{**f, "level": level} if f["path"] == path else f for f in self.version.folders]))
+
+    def _rewrite(self, chosen: list[dict], full: bool, filter_, lower: bytes | None, upper: bytes | None) -> list[str]:
         snapshots = [int(s) for s in self.version.snapshots]
-        rows = rewriting.compact(self.log(), snapshots, self.merge, filter_, lower, upper, full=full)
+        paths = [f["path"] for f in chosen]
+        log = self.spark.read.schema(OPLOG).parquet(*paths).where(F.col("cf_id").isin(*self.version.cfs.values()))
+        whole = len(chosen) == len(self.version.folders)
+        rows = rewriting.compact(log, snapshots, self.merge, filter_, lower, upper, full=full, ranges_too=full and whole)
         path = f"{self.root}/data/{uuid.uuid4().hex}"
         rows.repartitionByRange("cf_id", "key").sortWithinPartitions("cf_id", "key", F.desc("seq")).write.parquet(path)
-        self._commit(self._next(folders=[{"path": path, "first_seq": 0, "last_seq": self.version.last_seq, "created_at": int(time.time())}]))
+        made = self._folder(path, rewriting.LEVELS - 1 if full else max(f["level"] for f in chosen), min(f["first_seq"] for f in chosen), max(f["last_seq"] for f in chosen))
+        self._commit(self._next(folders=[*[f for f in self.version.folders if f["path"] not in paths], made]))
+        return paths
 
     def vacuum(self, keep_versions: int = 1) -> list[str]:
         """Delete folders that none of the last versions lists; returns them."""
@@ -273,18 +377,20 @@ class Store:
         if self.files.exists(target):
             raise InvalidInput(f"{target} exists")
         out = Store(self.spark, target, self.merge)
-        rows = self.log().where(F.col("cf_id") == self.cf(name))
+        rows = self.log(cfs=[self.cf(name)]).where(F.col("cf_id") == self.cf(name))
         out._commit(out._next(cfs={**out.version.cfs, name: self.cf(name)}, next_cf=self.version.next_cf))
         out.append_log(rows)
         return out
 
     def files_table(self) -> DataFrame:
-        """FILES of this version: a row for each folder and column family, counted from its rows."""
-        log = self.log().withColumn("path", F.regexp_extract(F.col("_metadata.file_path"), "/data/([0-9a-f]+)/", 1))
-        number = self.spark.createDataFrame([(f["path"].rsplit("/", 1)[1], k, f["created_at"]) for k, f in enumerate(self.version.folders)], "path string, file_number long, created_at long")
-        size = F.sum((F.length("key") + F.coalesce(F.length("value"), F.lit(0))).cast("long"))
-        rows = log.groupBy("path", "cf_id").agg(size.alias("size"), F.min("key").alias("smallest"), F.max("key").alias("largest"), F.min("seq").alias("smallest_seq"), F.max("seq").alias("largest_seq"), F.count("*").alias("num_entries"), F.count_if(F.col("op").isin(0, 7)).alias("num_deletes"), F.count_if(F.col("op") == 2).alias("num_merges"), F.count_if(F.col("op") == 15).alias("num_range_dels"))
-        return rows.join(number, "path").select(F.lit(self.version.number).cast("long").alias("version_id"), "file_number", F.lit(0).alias("level"), *[c for c in rows.columns if c != "path"], "created_at")
+        """FILES of this version, from the manifest alone: a row for each folder and column family."""
+        unhex = lambda x: None if x is None else bytes.fromhex(x)
+        rows = [
+            (self.version.number, k, f["level"], s["cf_id"], s["size"], unhex(s["smallest"]), unhex(s["largest"]), s["smallest_seq"], s["largest_seq"], s["num_entries"], s["num_deletes"], s["num_merges"], s["num_range_dels"], f["created_at"])
+            for k, f in enumerate(self.version.folders)
+            for s in f["stats"]
+        ]
+        return self.spark.createDataFrame(rows, FILES)
 
 
 class Backups:
@@ -318,13 +424,3 @@ class Backups:
             self.delete(n)
         return gone
 
-
-def key_range_summary(log: DataFrame) -> DataFrame:
-    """Point rows and tombstones of a log, counted by column family."""
-    p = points(log).groupBy("cf_id").agg(F.count("*").alias("n_points"))
-    t = tombstones(log).groupBy("cf_id").agg(F.count("*").alias("n_tombstones"))
-    return p.join(t, "cf_id", "full").select("cf_id", F.coalesce("n_points", F.lit(0)).alias("n_points"), F.coalesce("n_tombstones", F.lit(0)).alias("n_tombstones"))
-
-
-def live_snapshots(version: Version) -> Sequence[tuple[int, int]]:
-    return [(int(s), t) for s, times in version.snapshots.items() for t in times]
