@@ -9,10 +9,12 @@ from pyspark.sql import functions as F
 
 from versionlog.functions import codecs, keys
 from versionlog.functions.codecs import decode_u64le
-from versionlog.model import MERGE, PUT, oplog, points, tombstones
+from versionlog.model import MERGE, PUT, RANGE_DELETE, SINGLE_DELETE, oplog, points, tombstones
 from versionlog.operators import batch, compact, filters, ingest, inspect, merge, rangedel, scan, timetravel, txn, wide
 from versionlog.operators.resolve import history, latest, resolve
 from versionlog.sources import datasets as d
+from versionlog.sources.scratch import shared_dir
+from versionlog.sources.store import Backups, Store
 from versionlog.streaming import cdc, listeners
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -98,15 +100,39 @@ def key_may_exist(spark, sf):
     return scan.key_may_exist(d.orders_log(spark, sf), probes).agg(F.count("*").alias("n_exist"))
 
 
-@query(f"with {_LOG} select {_U.format('k')} as key, seq, op, case when op <> 0 then t end as value from log where k < 10")
+@query(f"with {_LOG} select {_U.format('k')} as key, seq, op, case when op <> 0 then t end as value from log")
 def version_history(spark, sf):
-    log = d.texts_log(spark, sf).where(F.col("key") < F.lit(b"u000010"))
-    return history(log).select(text("key").alias("key"), "seq", F.col("op").cast("int").alias("op"), text("value").alias("value"))
+    return history(d.texts_log(spark, sf)).select(text("key").alias("key"), "seq", F.col("op").cast("int").alias("op"), text("value").alias("value"))
 
 
-@query(f"with {_LOG} select {_U.format('k')} as key, seq, op, case when op <> 0 then t end as value from log")
-def version_history_all(spark, sf):
-    return history(d.texts_log(spark, sf)).select(text("key").alias("key"), "seq", F.col("op").cast("int").alias("op"), text("value").alias("value"))
+@query(f"with {_ORDERS} select key, v as value, seq from (select *, row_number() over (partition by key order by seq desc) as r from olog) where r = 1 and op = 1")
+def single_delete(spark, sf):
+    """Single deletions hide like deletions."""
+    log = d.orders_log(spark, sf)
+    return _shown(resolve(log.withColumn("op", F.when(F.col("op") == 0, SINGLE_DELETE).otherwise(F.col("op")).cast("byte")), ranges=False))
+
+
+@query(f"with {_LOG} select {_U.format('k')} as key, cast(sum(case when op = 0 then -v else v end) as bigint) as total from log group by k")
+def merge_signed(spark, sf):
+    """Signed counters: errors count down."""
+    e = d.table(spark, sf, "events")
+    n = F.floor(F.abs("value")).cast("decimal(20,0)")
+    signed = F.when((F.col("event_type") == "error") & (n > 0), F.lit(str(1 << 64)).cast("decimal(21,0)") - n).otherwise(n)
+    log = oplog(e, key=d.user_key(F.col("user_id")), seq=F.col("event_id") + 1, op=F.lit(MERGE), value=codecs.encode_u64le(signed.cast("decimal(20,0)")))
+    return resolve(log, merge="signed_add", ranges=False).select(text("key").alias("key"), _signed(decode_u64le(F.col("value"))).alias("total"))
+
+
+def _signed(n):
+    full = F.lit(str(1 << 64)).cast("decimal(21,0)")
+    return F.when(n >= F.lit(str(1 << 63)).cast("decimal(20,0)"), n - full).otherwise(n).cast("long")
+
+
+@query(f"with {_ORDERS} select key, ts, seq, row_number() over (order by key desc, ts desc, seq desc) as place from olog")
+def timestamp_order(spark, sf):
+    """User keys backwards, of each the newest timestamp first."""
+    log = d.orders_log(spark, sf)
+    order = [*keys.timestamped_order(reverse=True), F.desc("seq")]
+    return scan.placed(log, order).select(text("key").alias("key"), F.col("ts").cast("long").alias("ts"), "seq", "place")
 
 
 # --- scans
@@ -156,7 +182,7 @@ def prefix_scan(spark, sf):
 
 @query(f"with {_ORDERS}, {_STATE} select key, lag(key) over (order by key) as prev_key, lead(key) over (order by key) as next_key from state")
 def neighbours(spark, sf):
-    found = scan.neighbours(latest(d.orders_log(spark, sf)), lambda k: F.substring(k, 1, 7))
+    found = scan.neighbours(latest(d.orders_log(spark, sf)))
     return found.select(text("key").alias("key"), text("prev_key").alias("prev_key"), text("next_key").alias("next_key"))
 
 
@@ -260,7 +286,7 @@ def max_cover_seq(spark, sf):
     select {_U.format('k')} as key, max(tb.seq) as cover_seq from ks join tb on k >= lo and k < hi group by k""")
 def cover_by_fragments(spark, sf):
     log = d.events_log(spark, sf, ranges=True)
-    return rangedel.cover(points(log), tombstones(log), method="fragments").select(text("key").alias("key"), "cover_seq")
+    return rangedel.cover(points(log), tombstones(log), method="sweep").select(text("key").alias("key"), "cover_seq")
 
 
 # --- time
@@ -367,12 +393,13 @@ def multi_cf_scan(spark, sf):
     return scan.scan(d.orders_log(spark, sf, by_nation=True), cfs=(1, 3)).select("cf_id", text("key").alias("key"))
 
 
-@query(f"""with {_ORDERS}, tr as (select o_orderkey as txn_id, {_C.format('o_custkey')} as key, o_orderkey + 1 as seq from orders where o_orderkey % 20 = 0),
-    hit as (select txn_id, count(*) as n from (select distinct tr.txn_id, tr.key from tr join olog on olog.key = tr.key and olog.seq > tr.seq) group by txn_id)
+@query(f"""with {_ORDERS}, tr as (select o_orderkey as txn_id, {_C.format('o_custkey')} as key, o_orderkey + 1 as seq from orders),
+    last as (select key, max(seq) as last from olog group by key),
+    hit as (select txn_id, count(*) as n from (select distinct tr.txn_id, tr.key from tr join last using (key) where last > tr.seq) group by txn_id)
     select distinct tr.txn_id, n is null as commits, coalesce(n, 0) as n_conflicts from tr left join hit using (txn_id)""")
 def optimistic_conflicts(spark, sf):
     log = d.orders_log(spark, sf)
-    tracked = log.where((F.col("seq") - 1) % 20 == 0).select((F.col("seq") - 1).alias("txn_id"), "cf_id", "key", "seq")
+    tracked = log.select((F.col("seq") - 1).alias("txn_id"), "cf_id", "key", "seq")
     return txn.validate(tracked, log, tracked.select("txn_id").distinct())
 
 
@@ -403,27 +430,29 @@ def savepoint_rollback(spark, sf):
     return latest(b.to_log(spark, 1)).select(text("key").alias("key"), text("value").alias("value"))
 
 
-_LOCKS = """locks as (select o_orderkey as txn_id, o_custkey as key, o_orderkey % 3 = 0 as x, o_orderkey % 2 = 0 as granted from orders where o_custkey < 40)"""
+_LOCKS = "locks as (select o_orderkey as txn_id, o_custkey as key, o_orderkey % 3 = 0 as x, o_orderkey % 2 = 0 as granted from orders)"
 
 
-@query(f"with {_LOCKS} select distinct w.txn_id as waiter, h.txn_id as holder from locks w join locks h using (key) where not w.granted and h.granted and w.txn_id <> h.txn_id and (w.x or h.x)")
+@query(f"""with {_LOCKS}, h as (select key, count(*) as n, count(*) filter (where x) as nx, min(txn_id) as a, min(txn_id) filter (where x) as ax from locks where granted group by key),
+    w as (select locks.txn_id as waiter, key, case when x then n else nx end as n_holders, case when x then a else ax end as first_holder from locks join h using (key) where not granted)
+    select waiter, 0 as cf_id, key, n_holders, first_holder from w where n_holders > 0""")
 def lock_conflicts(spark, sf):
-    o = d.table(spark, sf, "orders").where("o_custkey < 40")
+    o = d.table(spark, sf, "orders")
     locks = o.select(F.col("o_orderkey").alias("txn_id"), F.lit(0).alias("cf_id"), F.col("o_custkey").alias("key"), (F.col("o_orderkey") % 3 == 0).alias("exclusive"), (F.col("o_orderkey") % 2 == 0).alias("granted"))
     return txn.lock_conflicts(locks)
 
 
-@query(f"with {_LOCKS.replace(' where o_custkey < 40', '')} select distinct w.txn_id as waiter, h.txn_id as holder from locks w join locks h using (key) where not w.granted and h.granted and w.txn_id <> h.txn_id and (w.x or h.x)")
-def lock_conflicts_all(spark, sf):
-    o = d.table(spark, sf, "orders")
-    locks = o.select(F.col("o_orderkey").alias("txn_id"), F.lit(0).alias("cf_id"), F.col("o_custkey").alias("key"), (F.col("o_orderkey") % 3 == 0).alias("exclusive"), (F.col("o_orderkey") % 2 == 0).alias("granted"))
-    return txn.lock_conflicts(locks)
+#: Orders wait in groups of six: the first 2 to 6 of a group in a circle, the others for the first.
+_WAITS = """waits as (select o_orderkey as waiter, o_orderkey - o_orderkey % 6 + case when o_orderkey % 6 < 2 + (o_orderkey // 6) % 5 then (o_orderkey % 6 + 1) % (2 + (o_orderkey // 6) % 5) else 0 end as holder from orders)"""
 
 
-@query("select range as txn_id, cast(case when range < 3 then 3 when range in (10, 11) then 2 else 1 end as int) as length from range(30) where range < 3 or range in (10, 11, 20)")
+@query(f"""with recursive {_WAITS}, r(origin, place, length) as (select waiter, holder, 1 from waits union all select origin, holder, length + 1 from r join waits on waiter = place where place <> origin and length < 7)
+    select origin as txn_id, cast(min(length) as int) as length from r where place = origin group by origin""")
 def deadlocks(spark, sf):
-    waits = spark.createDataFrame([(0, 1), (1, 2), (2, 0), (2, 5), (5, 6), (10, 11), (11, 10), (20, 20)], "waiter long, holder long")
-    return txn.deadlocks(waits)
+    k = F.col("o_orderkey")
+    circle = F.lit(2) + F.floor(k / 6) % 5
+    holder = k - k % 6 + F.when(k % 6 < circle, (k % 6 + 1) % circle).otherwise(0)
+    return txn.deadlocks(d.table(spark, sf, "orders").select(k.alias("waiter"), holder.cast("long").alias("holder")))
 
 
 # --- filters and compaction
@@ -456,10 +485,133 @@ def compact_state(spark, sf):
     return _counted(resolve(compact.compact(d.events_log(spark, sf, ranges=True), merge="uint64_add", full=True), merge="uint64_add"))
 
 
-@query(_merged("cast(sum(v) as bigint) as total", _LOGR, "seq <= 400").replace(", max(seq) as seq", ""))
+@query(_merged("cast(sum(v) as bigint) as total", _LOGR, "seq <= 400"))
 def compact_keeps_snapshots(spark, sf):
     small = compact.compact(d.events_log(spark, sf, ranges=True), snapshots=(200, 400, 700), merge="uint64_add")
-    return _counted(resolve(small, 400, "uint64_add")).drop("seq")
+    return _counted(resolve(small, 400, "uint64_add"))
+
+
+@query(_merged("cast(sum(v) as bigint) as total").replace("select 'u'", "select * from (select 'u'").replace("from p group by k", "from p group by k) where key not like 'u00000%'"))
+def filter_in_rewrite(spark, sf):
+    """A rewrite of the whole log that drops the keys of a prefix after the fold."""
+    log = d.events_log(spark, sf)
+    return _counted(resolve(compact.compact(log, merge="uint64_add", filter_=filters.remove_by_prefix("u00000"), full=True), merge="uint64_add", ranges=False))
+
+
+@query(f"select event_id, created_at from ({_TTL}) where not ((select cast(floor(max(epoch(ts))) as bigint) from events) > created_at + 864000)")
+def filter_expired(spark, sf):
+    """A rewrite that drops expired values."""
+    rows = _stamped(spark, sf)
+    value = codecs.append_expiry_base(F.encode(F.col("event_id").cast("string"), "UTF-8"), F.col("created_at"))
+    log = oplog(rows, key=d.key_of("e", F.col("event_id"), 9), seq=F.col("event_id") + 1, op=F.lit(PUT), value=value)
+    left = latest(compact.compact(log, filter_=compact.factory(lambda context: filters.remove_expired(864000, _middle(spark, sf))), full=True))
+    return left.select(text(codecs.strip_expiry_base(F.col("value"))).cast("long").alias("event_id"), codecs.created_at_of(F.col("value")).alias("created_at"))
+
+
+def _store(spark, sf) -> Store:
+    """Orders in a store: commits of puts by thirds of the customers, then one of deletions of all, and one apart."""
+    store = Store(spark, shared_dir(spark, "store"))
+    log, top = d.orders_log(spark, sf), d.table(spark, sf, "customer").agg(F.max("c_custkey")).first()[0]
+    third = F.least(F.floor(F.substring(text("key"), 2, 8).cast("long") * 3 / (top + 1)), F.lit(2))
+    for k in range(3):
+        store.append_log(log.where((F.col("op") == PUT) & (third == k)))
+    store.append_log(log.where(F.col("op") != PUT))
+    apart = d.table(spark, sf, "nation")
+    store.append_log(oplog(apart, key=d.key_of("n", F.col("n_nationkey"), 8), seq=F.col("n_nationkey") + (1 << 40), op=F.lit(PUT), value=F.encode("n_name", "UTF-8")))
+    return store
+
+
+_NATIONS = f"nations as (select 'n' || lpad(cast(n_nationkey as varchar), 8, '0') as key, n_name as value, n_nationkey + 1099511627776 as seq from nation)"
+_STORED = f"with {_ORDERS}, {_STATE}, {_NATIONS}, every as (select key, value, seq from state union all select * from nations)"
+
+
+@query(_STORED + " select key, value, seq from every")
+def compact_files(spark, sf):
+    """Two folders are rewritten into one, the others stay; the state is as before."""
+    store = _store(spark, sf)
+    paths = store.live_files()
+    store.compact_files([paths[0], paths[3]])
+    assert len(store.live_files()) < len(paths)
+    return _shown(store.state())
+
+
+@query(_STORED + " select key, value, seq from every")
+def compact_range(spark, sf):
+    """Only folders that may hold the keys are rewritten."""
+    store = _store(spark, sf)
+    kept = store.live_files()[4]
+    store.compact(lower=b"c00000010", upper=b"c00000020")
+    assert kept in store.live_files()
+    return _shown(store.state())
+
+
+@query(_STORED + " select key, value, seq from every where key >= 'n'")
+def trivial_move(spark, sf):
+    """A folder that nothing overlaps changes its level and is not rewritten; a read with bounds takes no other."""
+    store = _store(spark, sf)
+    paths = store.live_files()
+    store.compact(lower=b"n")
+    assert store.live_files() == paths and store.version.folders[4]["level"] == compact.LEVELS - 1
+    return _shown(store.state(lower=b"n"))
+
+
+@query(f"""with {_ORDERS}, l as (select case when op = 0 then 3 else least(cast(substr(key, 2) as bigint) * 3 // ((select max(c_custkey) from customer) + 1), 2) end as file_number, * from olog where cf = cf)
+    select file_number, 0 as level, count(*) as num_entries, count(*) filter (where op = 0) as num_deletes, min(key) as smallest, max(key) as largest, min(seq) as smallest_seq, max(seq) as largest_seq,
+    cast(sum(length(key) + case when op = 1 then length(v) else 0 end) as bigint) as size from l group by all
+    union all select 4, 0, count(*), 0, min('n' || lpad(cast(n_nationkey as varchar), 8, '0')), max('n' || lpad(cast(n_nationkey as varchar), 8, '0')), min(n_nationkey) + 1099511627776, max(n_nationkey) + 1099511627776, cast(sum(9 + length(n_name)) as bigint) from nation""")
+def live_files(spark, sf):
+    """Files, key ranges and counts come from the manifest."""
+    f = _store(spark, sf).files_table()
+    return f.select("file_number", "level", "num_entries", "num_deletes", text("smallest").alias("smallest"), text("largest").alias("largest"), "smallest_seq", "largest_seq", "size")
+
+
+@query(_STORED + " select key, value, seq from every")
+def checkpoint_state(spark, sf):
+    """A checkpoint reads like its store, whatever is written after it."""
+    store = _store(spark, sf)
+    copy = store.checkpoint(shared_dir(spark, "copy"))
+    store.write(batch.WriteBatch().delete_range(b"a", b"z"))
+    return _shown(copy.state())
+
+
+@query("select unnest([2, 3]) as backup, (select count(*) from nation) as n_keys")
+def backup_purge(spark, sf):
+    """Of three backups the newest two stay and can be restored."""
+    store = Store(spark, shared_dir(spark, "store"))
+    apart = d.table(spark, sf, "nation")
+    store.append_log(oplog(apart, key=d.key_of("n", F.col("n_nationkey"), 8), seq=F.col("n_nationkey") + 1, op=F.lit(PUT), value=F.encode("n_name", "UTF-8")))
+    backups = Backups(spark, shared_dir(spark, "backups"))
+    for _ in range(3):
+        backups.create(store)
+    backups.purge(2)
+    restored = [(k, backups.restore(k, shared_dir(spark, "restored")).state()) for k in backups.list()]
+    counted = [s.agg(F.count("*").alias("n_keys")).select(F.lit(k).alias("backup"), "n_keys") for k, s in restored]
+    return counted[0].unionByName(counted[1])
+
+
+@query(f"with {_ORDERS} select key, v as value, seq from (select *, row_number() over (partition by cf, key order by seq desc) as r from olog) where r = 1 and op = 1 and cf <> 3")
+def cf_dropped(spark, sf):
+    """Rows of a column family that was dropped are gone, for reads and rewrites."""
+    store = Store(spark, shared_dir(spark, "store"))
+    for k in range(1, 5):
+        store.create_cf(f"cf{k}")
+    store.append_log(d.orders_log(spark, sf, by_nation=True))
+    store.drop_cf("cf3")
+    before = store.state().count()
+    store.compact()
+    assert store.state().count() == before
+    return _shown(store.state())
+
+
+@query(f"""with {_ORDERS}, {_STATE}, tb as (select {_C.format('o_custkey')} as lo, {_C.format('o_custkey + 2')} as hi, o_orderkey * 3 % (select max(o_orderkey) from orders) as seq from orders),
+    c as (select state.key, max(tb.seq) as c from state join tb on state.key >= lo and state.key < hi group by state.key)
+    select key, value, state.seq from state left join c using (key) where c is null or state.seq >= c""")
+def range_delete_many(spark, sf):
+    """As many range deletions as orders: they are swept along with the keys."""
+    o, log = d.table(spark, sf, "orders"), d.orders_log(spark, sf)
+    top = o.agg(F.max("o_orderkey")).first()[0]
+    t = oplog(o, key=d.key_of("c", F.col("o_custkey"), 8), seq=F.col("o_orderkey") * 3 % top, op=F.lit(RANGE_DELETE), value=F.lit(None), end_key=d.key_of("c", F.col("o_custkey") + 2, 8))
+    return _shown(resolve(log.unionByName(t)))
 
 
 _FILES = """files as (select event_id // 250 as file_number, cast((event_id // 250) % 4 as int) as level, cast(sum(length(props)) * 1000 as bigint) as size, min(user_id) as lo, max(user_id) as hi,
@@ -467,11 +619,11 @@ _FILES = """files as (select event_id // 250 as file_number, cast((event_id // 2
 
 
 @query(f"""with {_FILES}, l as (select level, count(*) as n_files, cast(sum(size) as bigint) as bytes from files group by level),
-    s as (select *, case when level = 0 then n_files / 4.0 when level < 6 then bytes / (20000.0 * pow(10, level - 1)) else 0 end as score from l),
+    s as (select *, case when level = 0 then n_files / cast(4 as double) when level < 6 then bytes / (cast(20000 as double) * pow(cast(10 as double), level - 1)) else cast(0 as double) end as score from l),
     r as (select *, row_number() over (order by score desc, level) = 1 and score >= 1 as picked from s)
-    select level, n_files, bytes, picked, case when picked and level > 0 then (select arg_max(file_number, size * 100000 - file_number) from files f where f.level = r.level) end as picked_file from r""")
+    select level, n_files, bytes, score, picked, case when picked and level > 0 then (select arg_max(file_number, size * 100000 - file_number) from files f where f.level = r.level) end as picked_file from r""")
 def compaction_pick_leveled(spark, sf):
-    return compact.pick_leveled(d.files(spark, sf), base_bytes=20000).drop("score")
+    return compact.pick_leveled(d.files(spark, sf), base_bytes=20000)
 
 
 @query(f"""with {_FILES}, k as (select *, sum(size) over (order by created_at desc, file_number desc) as kept from files)
@@ -505,17 +657,18 @@ def level_stats(spark, sf):
     return inspect.level_stats(d.files(spark, sf))
 
 
-@query(f"""with {_ORDERS} select cf as cf_id, count(*) as entries, cast(sum(length(key)) as bigint) as key_bytes, cast(sum(case when op = 1 then length(v) else 0 end) as bigint) as value_bytes,
+@query(f"""with {_ORDERS} select cf as cf_id, count(*) as entries, cast(sum(length(key)) as bigint) as key_bytes, cast(sum(case when op = 1 then length(v) else 0 end) as bigint) as value_bytes, avg(length(key)) as avg_key, avg(case when op = 1 then length(v) else 0 end) as avg_value,
     min(key) as smallest, max(key) as largest from olog group by cf""")
 def file_properties(spark, sf):
     stats = inspect.table_stats(d.orders_log(spark, sf, by_nation=True), ["cf_id"])
-    return stats.select("cf_id", "entries", "key_bytes", "value_bytes", text("smallest").alias("smallest"), text("largest").alias("largest"))
+    return stats.select("cf_id", "entries", "key_bytes", "value_bytes", "avg_key", "avg_value", text("smallest").alias("smallest"), text("largest").alias("largest"))
 
 
 @query(f"""with {_LOGR} select count(*) as num_entries, count(*) filter (where op = 0) as num_deletes, count(*) filter (where op = 2) as num_merges,
-    count(*) filter (where op = 15) as num_range_dels, min(seq) as smallest_seq, max(seq) as largest_seq from log""")
+    count(*) filter (where op = 15) as num_range_dels, min(seq) as smallest_seq, max(seq) as largest_seq,
+    7 * count(*) as raw_key_bytes, 8 * count(*) filter (where op in (1, 2)) as raw_value_bytes from log""")
 def entry_stats(spark, sf):
-    return inspect.entry_stats(d.events_log(spark, sf, ranges=True)).drop("raw_key_bytes", "raw_value_bytes")
+    return inspect.entry_stats(d.events_log(spark, sf, ranges=True))
 
 
 @query(f"""with {_FILES}, r as (select range as range_id, range * 5 as a, range * 5 + 3 as b from range(8))
@@ -540,9 +693,10 @@ def collision_check(spark, sf):
 _TRACE = "tr as (select event_id * 1000000 as ts_ns, case event_type when 'click' then 'put' when 'error' then 'delete' when 'purchase' then 'merge' when 'view' then 'get' else 'new_iterator' end as type from events)"
 
 
-@query(f"""with {_TRACE} select type, count(*) as n, (select count(*) from tr) as total, (select max(ts_ns) - min(ts_ns) from tr) as span_ns from tr group by type""")
+@query(f"""with {_TRACE} select type, count(*) as n, (select count(*) from tr) as total, (select max(ts_ns) - min(ts_ns) from tr) as span_ns,
+    (select count(*) * cast(1000000000 as double) / (max(ts_ns) - min(ts_ns)) from tr) as per_second from tr group by type""")
 def trace_stats(spark, sf):
-    return inspect.trace_stats(d.trace(spark, sf)).drop("per_second")
+    return inspect.trace_stats(d.trace(spark, sf))
 
 
 @query(f"with {_TRACE} select type, case when type in ('put', 'delete', 'merge') then 'applied' when type = 'get' then 'read' else 'skipped' end as outcome, count(*) as n from tr group by type")
@@ -555,14 +709,16 @@ def trace_replay(spark, sf):
     return _counted(resolve(cdc.replay(d.trace(spark, sf)), merge="uint64_add", ranges=False))
 
 
-@query()
+@query(f"""with {_ORDERS}, {_STATE}, x as (select row_number() over (order by key) - 1 as place, list_reduce(list_transform(string_split(key || value, ''), lambda c: cast(ascii(c) as bigint)), lambda a, b: xor(a, b)) as x from state)
+    select count(*) as n_keys, coalesce(bit_xor(x << cast((place % 8) * 8 as int)), 0) as digest from x""")
 def state_digest(spark, sf):
     return inspect.state_digest(latest(d.orders_log(spark, sf)))
 
 
-@query("select event_type as metric, count(*) as n, min(value) as least, max(value) as most from events group by event_type")
+@query("""select event_type as metric, count(*) as n, round(sum(value), 4) as total, min(value) as least, max(value) as most, round(avg(value), 6) as average,
+    quantile_disc(value, 0.5) as median, quantile_disc(value, 0.95) as p95, quantile_disc(value, 0.99) as p99, round(stddev_pop(value), 6) as deviation from events group by event_type""")
 def histogram_stats(spark, sf):
-    return inspect.histogram(d.table(spark, sf, "events").withColumnRenamed("event_type", "metric"), "metric", "value").select("metric", "n", "least", "most")
+    return inspect.histogram(d.table(spark, sf, "events").withColumnRenamed("event_type", "metric"), "metric", "value").select("metric", "n", F.round("total", 4).alias("total"), "least", "most", F.round("average", 6).alias("average"), "median", "p95", "p99", F.round("deviation", 6).alias("deviation"))
 
 
 @query("""with m as (select user_id as ticker, event_id as seq, case when event_type = 'error' then 'set' else 'add' end as action, cast(floor(abs(value)) as bigint) as n from events),
@@ -573,9 +729,9 @@ def ticker_counters(spark, sf):
     return inspect.tickers(e.select(F.col("user_id").alias("ticker"), F.col("event_id").alias("seq"), F.when(F.col("event_type") == "error", "set").otherwise("add").alias("action"), F.floor(F.abs("value")).alias("n")))
 
 
-@query("select count(*) as n_snapshots, coalesce(arg_min(user_id * 7, event_id), 0) as oldest_time from events where event_id % 100 = 37")
+@query("select count(*) as n_snapshots, coalesce(arg_min(user_id * 7, event_id), 0) as oldest_time from events")
 def snapshot_stats(spark, sf):
-    e = d.table(spark, sf, "events").where("event_id % 100 = 37")
+    e = d.table(spark, sf, "events")
     return inspect.snapshot_stats(e.select(F.col("event_id").alias("seq"), (F.col("user_id") * 7).alias("created_at")))
 
 
@@ -622,17 +778,9 @@ def ingest_behind(spark, sf):
     return state.select(text("key").alias("key"), text("value").alias("value"))
 
 
-@query("""with f as (select o_orderkey % 50 as file_id, min(o_custkey) as a, max(o_custkey) as b, count(*) as n from orders where o_custkey // 20 = o_orderkey % 50 group by all),
-    r as (select *, max(b) over (order by a, file_id rows between unbounded preceding and 1 preceding) as reach from f) select file_id, n from r where reach >= a""")
-def ingest_overlap_check(spark, sf):
-    o = d.table(spark, sf, "orders").where("o_custkey div 20 = o_orderkey % 50")
-    rows = o.select((F.col("o_orderkey") % 50).alias("file_id"), d.key_of("c", F.col("o_custkey"), 8).alias("key"), F.lit(PUT).alias("op"), F.lit(b"v").alias("value"))
-    return ingest.overlapping(ingest.file_info(rows)).select("file_id", "n")
-
-
 @query("""with f as (select o_orderkey // 1000 as file_id, min(o_custkey) as a, max(o_custkey) as b, count(*) as n from orders group by all),
     r as (select *, max(b) over (order by a, file_id rows between unbounded preceding and 1 preceding) as reach from f) select file_id, n from r where reach >= a""")
-def ingest_overlap_all(spark, sf):
+def ingest_overlap_check(spark, sf):
     o = d.table(spark, sf, "orders")
     rows = o.select(F.floor(F.col("o_orderkey") / 1000).alias("file_id"), d.key_of("c", F.col("o_custkey"), 8).alias("key"), F.lit(PUT).alias("op"), F.lit(b"v").alias("value"))
     return ingest.overlapping(ingest.file_info(rows)).select("file_id", "n")
