@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from model import collected, frame, interpret, random_log, u64
 from pyspark.sql import functions as F
@@ -106,7 +108,7 @@ def test_fragments_equal_interval_join(spark, seed):
     log = frame(spark, random_log(seed + 30, n=200, keys=30))
     keys, tombs = points(log), tombstones(log).cache()
     each = {tuple(r) for r in rangedel.cover(keys, tombs, "each").collect()}
-    assert each == {tuple(r) for r in rangedel.cover(keys, tombs, "fragments").collect()}
+    assert each == {tuple(r) for r in rangedel.cover(keys, tombs, "sweep").collect()}
     assert each
 
 
@@ -136,6 +138,62 @@ def test_reads_agree(spark):
     one = [bytes(r.key) for r in scan.seek(log, b"k03", cfs=[0], merge="uint64_add").collect()]
     assert one == [min(k for cf, k in want if cf == 0 and k >= b"k03")]
     state = resolve(log, merge="uint64_add").where("cf_id = 0")
-    plain = scan.neighbours(state).orderBy("key").collect()
-    dealt = scan.neighbours(state, lambda k: F.substring(k, 1, 3)).select(plain[0].__fields__).orderBy("key").collect()
-    assert plain == dealt
+    keys = sorted(bytes(r.key) for r in state.collect())
+    got = [(r.prev_key and bytes(r.prev_key), bytes(r.key), r.next_key and bytes(r.next_key)) for r in scan.neighbours(state).orderBy("key").collect()]
+    assert got == list(zip([None, *keys], keys, [*keys[1:], None]))
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_sweep_matches_interval_tests(spark, monkeypatch, seed):
+    monkeypatch.setattr(rangedel, "SAMPLED_A_RANGE", 3)
+    rng = random.Random(seed)
+    key = lambda: b"%c" % rng.randrange(97, 101) * rng.randrange(0, 3) + b"%d" % rng.randrange(30)
+    tombs = [(rng.randrange(3), *sorted((key(), key())), rng.randrange(1, 99)) for _ in range(120)]
+    tombs = [t for t in tombs if t[1] < t[2]]
+    t = spark.createDataFrame(tombs, "cf_id int, start_key binary, end_key binary, seq long")
+    asked = {(rng.randrange(4), key()) for _ in range(300)}
+    got = {(r.cf_id, bytes(r.key)): r.cover_seq for r in rangedel.cover(spark.createDataFrame(list(asked), "cf_id int, key binary"), t, "sweep").collect()}
+    over = {(c, k): [s for cf, a, b, s in tombs if cf == c and a <= k < b] for c, k in asked}
+    assert got == {at: max(s) for at, s in over.items() if s}
+    edges = {c: sorted({k for cf, a, b, _ in tombs if cf == c for k in (a, b)}) for c in range(3)}
+    want = set()
+    for c, points_ in edges.items():
+        for lo, hi in zip(points_, points_[1:]):
+            if over_ := [s for cf, a, b, s in tombs if cf == c and a <= lo and hi <= b]:
+                want.add((c, lo, hi, max(over_)))
+    assert {(r.cf_id, bytes(r.start_key), bytes(r.end_key), r.seq) for r in rangedel.fragments(t).collect()} == want
+
+
+def test_many_tombstones_make_no_pairs(spark):
+    n = 100_000
+    name = lambda c: F.encode(F.lpad(c.cast("string"), 7, "0"), "UTF-8")
+    k = F.col("id")
+    # every thousandth covers a tenth of the keys
+    width = F.when(k % 1000 == 0, n // 10).otherwise(5)
+    tombs = spark.range(n).select(F.lit(0).alias("cf_id"), name(k).alias("start_key"), name(k + width).alias("end_key"), (k * 7919 % 100_003).alias("seq"))
+    keys = spark.range(0, n, 10).select(F.lit(0).alias("cf_id"), name(k).alias("key"))
+    covered = rangedel.cover(keys, tombs)
+    assert "NestedLoop" not in covered._jdf.queryExecution().toString() and "Cartesian" not in covered._jdf.queryExecution().toString()
+    got = {int(bytes(r.key)): r.cover_seq for r in covered.collect()}
+    seq = lambda j: j * 7919 % 100_003
+    for key in random.Random(1).sample(range(0, n, 10), 300):
+        near = [seq(j) for j in range(max(0, key - 4), key + 1)]
+        far = [seq(j) for j in range(0, key + 1, 1000) if key < j + n // 10]
+        assert got[key] == max(near + far)
+    assert len(got) == n // 10
+
+
+def test_large_column_family_ids_in_a_rewrite(spark):
+    big = (1 << 31) - 2
+    rows = [(big, b"a", 1, PUT, u64(1), None), (big, b"a", 5, MERGE, u64(2), None), (big, b"b", 6, RANGE_DELETE, None, b"c"), (0, b"a", 9, PUT, u64(3), None)]
+    small = compact.compact(frame(spark, rows), (3, 7), "uint64_add")
+    for snapshot in (3, 7, None):
+        assert collected(resolve(small, snapshot, "uint64_add")) == interpret(rows, snapshot)
+
+
+def test_a_rewrite_has_one_fold(spark, tmp_path):
+    frame(spark, random_log(5)).write.parquet(str(tmp_path / "log"))
+    log = spark.read.parquet(str(tmp_path / "log"))
+    plan = compact.compact(log, merge="uint64_add", full=True)._jdf.queryExecution().optimizedPlan().toString()
+    # rows, the newest base of each key, and the same again under the tombstones, which are one more
+    assert plan.count("Relation [") <= 4

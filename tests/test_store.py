@@ -1,3 +1,4 @@
+import random
 import time
 
 import pytest
@@ -183,9 +184,107 @@ def test_entities(spark):
     assert wide.project(merged, ["age", "none"]).first()["none"] is None
 
 
+LOCKS = "txn_id int, cf_id int, key binary, exclusive boolean, granted boolean"
+
+
 def test_locks(spark):
-    locks = spark.createDataFrame([(1, 0, b"a", False, True), (2, 0, b"a", False, False), (3, 0, b"a", True, False), (1, 0, b"a", True, False)], "txn_id int, cf_id int, key binary, exclusive boolean, granted boolean")
-    assert {tuple(r) for r in txn.lock_conflicts(locks).collect()} == {(3, 1)}
+    locks = spark.createDataFrame([(1, 0, b"a", False, True), (2, 0, b"a", False, False), (3, 0, b"a", True, False), (1, 0, b"a", True, False)], LOCKS)
+    assert [(r.waiter, r.n_holders, r.first_holder) for r in txn.lock_conflicts(locks).collect()] == [(3, 1, 1)]
+    assert {tuple(r) for r in txn.waits(locks).collect()} == {(3, 1)}
+
+
+def test_locks_against_all_pairs(spark):
+    rng = random.Random(2)
+    rows = list({(rng.randrange(12), rng.randrange(2), b"%d" % rng.randrange(4), rng.random() < 0.4, rng.random() < 0.5) for _ in range(150)})
+    want = {}
+    for w, cf, key, x, granted in rows:
+        if not granted:
+            x = any(r[3] for r in rows if r[:3] == (w, cf, key) and not r[4])
+            against = {h for h, c, k, hx, g in rows if g and (c, k) == (cf, key) and h != w and (x or hx)}
+            if against:
+                want[w, cf, key] = (len(against), min(against))
+    got = txn.lock_conflicts(spark.createDataFrame(rows, LOCKS)).collect()
+    assert {(r.waiter, r.cf_id, bytes(r.key)): (r.n_holders, r.first_holder) for r in got} == want and len(got) == len(want) > 20
+
+
+def test_a_dropped_family_is_gone(spark, tmp_path):
+    s = Store(spark, str(tmp_path / "s"))
+    cf = s.create_cf("other")
+    s.write(WriteBatch().put(b"k", b"0").put(b"k", b"1", cf=cf))
+    s.drop_cf("other")
+    assert collected(s.state()) == {(0, b"k"): b"0"}
+    again = s.create_cf("other")
+    assert again != cf and collected(s.state()) == {(0, b"k"): b"0"}
+    s.write(WriteBatch().put(b"k", b"2", cf=again).delete(b"z"))
+    s.compact()
+    s.vacuum()
+    assert s.spark.read.parquet(*s.live_files()).count() == 2
+
+
+def test_files_behind_go_by_their_order(spark, tmp_path):
+    file = lambda *rows: spark.createDataFrame([(*r, None) for r in rows], "key binary, op int, value binary, end_key binary")
+    s = Store(spark, str(tmp_path / "s"))
+    s.write(WriteBatch().put(b"c", b"log"))
+    s.ingest([file((b"a", PUT, b"zz"), (b"b", PUT, b"b1")), file((b"a", PUT, b"aa"), (b"c", PUT, b"c2"))], ingest.IngestOptions(behind=True))
+    assert collected(s.state()) == {(0, b"a"): b"aa", (0, b"b"): b"b1", (0, b"c"): b"log"}
+
+
+def test_one_of_two_commits_wins(spark, tmp_path):
+    a, b = Store(spark, str(tmp_path / "s")), Store(spark, str(tmp_path / "s"))
+    # both see the name free; the second must not take it
+    b.files.exists = lambda p: False
+    a._commit(a._next(last_seq=1))
+    with pytest.raises(Conflict):
+        b._commit(b._next(last_seq=2))
+    assert Store(spark, str(tmp_path / "s")).version.last_seq == 1 and not [n for n in a.files.names(f"{a.root}/manifest") if not n.endswith(".json")]
+
+
+def test_parts_of_a_store_are_rewritten(spark, tmp_path):
+    s = Store(spark, str(tmp_path / "s"), merge="uint64_add")
+    s.write(WriteBatch().merge(b"a", u64(1)).put(b"b", u64(2)))
+    s.write(WriteBatch().put(b"a", u64(10)))
+    s.write(WriteBatch().merge(b"a", u64(5)).delete(b"b"))
+    s.write(WriteBatch().put(b"x", u64(7)))
+    s.write(WriteBatch().delete_range(b"p", b"r"))
+    want = {(0, b"a"): u64(15), (0, b"x"): u64(7)}
+    assert collected(s.state()) == want
+    paths = s.live_files()
+    # the second folder lies between the two by seqs and goes along
+    assert set(s.compact_files([paths[0], paths[2]])) == set(paths[:3])
+    assert collected(s.state()) == want and len(s.live_files()) == 3
+    assert s.compact(lower=b"w") == [] and s.live_files()[0] == paths[3]
+    assert [f["level"] for f in s.version.folders if f["path"] == paths[3]] == [6]
+    assert s.log(lower=b"x").count() == 1 and s.log(upper=b"c").count() == 1 and s.log(lower=b"q", upper=b"s").count() == 1
+    with pytest.raises(NotFound):
+        s.compact_files(["none"])
+    s.compact()
+    assert collected(s.state()) == want and len(s.live_files()) == 1
+    assert s.files_table().select("num_entries", "num_deletes", "num_range_dels").collect() == [(2, 0, 0)]
+
+
+def test_bounds_reach_the_files(spark, tmp_path):
+    s = Store(spark, str(tmp_path / "s"))
+    rows = spark.range(5000).select(F.lit(0).alias("cf_id"), F.encode(F.lpad(F.col("id").cast("string"), 8, "0"), "UTF-8").alias("key"), (F.col("id") + 1).alias("seq"), F.lit(PUT).cast("byte").alias("op"), F.lit(b"v").alias("value"))
+    from versionlog.model import oplog
+
+    s.append_log(oplog(rows, key=F.col("key"), seq=F.col("seq"), op=F.col("op"), value=F.col("value")))
+    state = s.state(lower=b"00000100", upper=b"00000200", ranges=False)
+    plan = state._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters" in plan and "GreaterThanOrEqual(key" in plan and state.count() == 100
+    scan = [x for x in plan.splitlines() if "ReadSchema" in x]
+    assert scan and not any("batch_pos" in x or "ts:" in x for x in scan)
+
+
+def test_values_are_verified_in_every_byte(spark):
+    def value(key, ident, n):
+        return key.to_bytes(8, "little") + ident.to_bytes(4, "little") + bytes((key + ident + i) % 256 for i in range(12, n))
+
+    good = {b"k%d" % k: value(k, 7 * k, 12 + k) for k in (0, 1, 5, 300, 70_000 % 400)}
+    bad = {b"k6": value(6, 1, 20)[:-1] + b"?", b"k7": value(8, 1, 20), b"k9": b"short", b"none": value(1, 1, 12)}
+    df = spark.createDataFrame(list((good | bad).items()), "key binary, value binary")
+    from versionlog.operators.inspect import verify_values
+
+    assert {bytes(r.key) for r in verify_values(df).collect()} == set(bad)
 
 
 def test_long_wait_cycles_are_deadlocks(spark):
