@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import ctypes
 import tempfile
-import uuid
 import zipfile
 from pathlib import Path
 
@@ -12,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from versionlog.sources.scratch import shared_dir, stored  # noqa: F401  operators take them from here
+
 #: What operators need of a session.  Python workers get batches of so many rows and bytes at most, as texts may be
 #: long; shuffle files of a step go when it has ended, as its result is stored.
 SETTINGS = {
@@ -26,27 +27,6 @@ def documents(spark: SparkSession, sf_dir: str, name: str = "documents") -> Data
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession, label: str) -> str:
-    """A fresh path in the folder that all executors share (``spark.checkpoint.dir``).
-
-    Only where the session names none and runs on one machine, as in local tests, a local folder is set.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        base = f"file://{tempfile.mkdtemp(prefix='versionlog-')}"
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base}/{label}-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: lineage is cut there."""
-    spark, path = df.sparkSession, shared_dir(df.sparkSession, label)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 #: What a Python worker keeps between tasks; one thing at a time.
 KEPT: dict[tuple, object] = {}
 
