@@ -9,6 +9,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+#: An order of keys, as an expression of the key.
+Order = Callable[[Column], Column]
+
+
 @dataclass(frozen=True)
 class Prefix:
     """A prefix function and the keys that it is defined for."""
@@ -37,6 +41,7 @@ def timestamped_order(key: str = "key", ts: str = "ts", reverse: bool = False) -
     return [F.col(key).desc() if reverse else F.col(key).asc(), F.col(ts).desc()]
 
 
-def sort_key(order: Callable[[Column], Column], key: str = "key") -> Column:
-    """A caller's order: an expression of the key whose own order is the one wanted."""
-    return order(F.col(key))
+def sort_key(order: Order | None, key: Column | None = None) -> Column:
+    """What a key is compared by: itself, or an expression of it whose own order is the one wanted."""
+    key = F.col("key") if key is None else key
+    return key if order is None else order(key)

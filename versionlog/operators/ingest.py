@@ -19,6 +19,16 @@ def sorted_file(rows: DataFrame) -> DataFrame:
     return rows.repartitionByRange("key").sortWithinPartitions("key")
 
 
+def write_file(rows: DataFrame, path: str) -> DataFrame:
+    """Write an external file, sorted, and read it back.  A path that exists is an error; a job that fails leaves nothing listed."""
+    if rows.isEmpty():
+        raise InvalidInput("a file needs rows")
+    if not rows.where((F.col("op") == RANGE_DELETE) & (F.col("key") >= F.col("end_key"))).isEmpty():
+        raise InvalidInput("a range is empty")
+    sorted_file(rows).write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 def order_errors(rows: DataFrame, position: str = "pos") -> DataFrame:
     """Rows that break the rules of a writer: keys strictly ascending in order of ``position``, ranges not empty, known operations."""
     before = F.lag("key").over(Window.partitionBy("file_id").orderBy(position))

@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from versionlog.functions.keys import Prefix
+from versionlog.functions.keys import Order, Prefix, sort_key
 from versionlog.model import RANGE_DELETE, NotFound
 from versionlog.operators.resolve import resolve
 from versionlog.sources.scratch import stored
@@ -21,21 +21,41 @@ def _key(key: bytes | str) -> Column:
     return F.lit(key.encode() if isinstance(key, str) else key)
 
 
-def bounded(log: DataFrame, lower: bytes | str | None = None, upper: bytes | str | None = None, cfs: Sequence[int] | None = None) -> DataFrame:
-    """A log whose point rows lie in [lower, upper) and in the given column families."""
-    inside = F.lit(True)
+def bounded(
+    log: DataFrame, lower: bytes | str | None = None, upper: bytes | str | None = None, cfs: Sequence[int] | None = None, order: Order | None = None, after: bool = False, through: bool = False
+) -> DataFrame:
+    """A log whose point rows lie in [lower, upper) and in the given column families.
+
+    ``after`` leaves out the lower bound itself, ``through`` takes the upper one in; with an ``order`` bounds
+    and keys compare by it.
+    """
+    at, inside = sort_key(order), F.lit(True)
     if lower is not None:
-        inside &= F.col("key") >= _key(lower)
+        low = sort_key(order, _key(lower))
+        inside &= at > low if after else at >= low
     if upper is not None:
-        inside &= F.col("key") < _key(upper)
+        high = sort_key(order, _key(upper))
+        inside &= at <= high if through else at < high
     log = log if cfs is None else log.where(F.col("cf_id").isin(*cfs))
     return log.where(inside | (F.col("op") == RANGE_DELETE))
 
 
-def scan(log: DataFrame, lower: bytes | str | None = None, upper: bytes | str | None = None, reverse: bool = False, limit: int | None = None, cfs: Sequence[int] | None = None, **how) -> DataFrame:
-    """Keys in order; with a limit, the first ones (a top-k, no full sort)."""
-    state = resolve(bounded(log, lower, upper, cfs), **how)
-    ordered = state.orderBy(*[F.col(c).desc() if reverse else F.col(c).asc() for c in ("cf_id", "key")])
+def scan(
+    log: DataFrame,
+    lower: bytes | str | None = None,
+    upper: bytes | str | None = None,
+    reverse: bool = False,
+    limit: int | None = None,
+    cfs: Sequence[int] | None = None,
+    order: Order | None = None,
+    after: bool = False,
+    through: bool = False,
+    **how,
+) -> DataFrame:
+    """Keys in order; with a limit, the first ones (a top-k, no full sort).  Keys that an ``order`` holds equal go by their bytes."""
+    state = resolve(bounded(log, lower, upper, cfs, order, after, through), **how)
+    by = [F.col("cf_id"), *([sort_key(order)] if order else []), F.col("key")]
+    ordered = state.orderBy(*[c.desc() if reverse else c.asc() for c in by])
     return ordered if limit is None else ordered.limit(limit)
 
 
@@ -84,14 +104,12 @@ def seek(log: DataFrame, target: bytes | str, **how) -> DataFrame:
 
 def seek_for_prev(log: DataFrame, target: bytes | str, **how) -> DataFrame:
     """The last key at or before the target."""
-    up_to = (target.encode() if isinstance(target, str) else target) + b"\0"
-    return scan(log, upper=up_to, reverse=True, limit=1, **how)
+    return scan(log, upper=target, through=True, reverse=True, limit=1, **how)
 
 
 def page_after(log: DataFrame, cursor: bytes | str, n: int, **how) -> DataFrame:
     """The next n keys after a cursor."""
-    after = (cursor.encode() if isinstance(cursor, str) else cursor) + b"\0"
-    return scan(log, lower=after, limit=n, **how)
+    return scan(log, lower=cursor, after=True, limit=n, **how)
 
 
 def neighbours(state: DataFrame) -> DataFrame:

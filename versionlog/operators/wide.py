@@ -6,12 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def overlay(old: Column, new: Column) -> Column:
-    """Columns of both maps; of the same name the new one's."""
-    kept = F.map_filter(old, lambda k, _: ~F.array_contains(F.map_keys(new), k))
-    return F.when(old.isNull(), new).when(new.isNull(), old).otherwise(F.map_concat(kept, new))
-
-
 def merge_entities(rows: DataFrame) -> DataFrame:
     """Rows (cf_id, key, seq, columns) -> one entity a key; of each column the newest value.
 

@@ -23,8 +23,23 @@ def shared_dir(spark: SparkSession, label: str) -> str:
     return f"{base}/{label}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: lineage is cut there, and lost executors lose nothing."""
+def stored_at(df: DataFrame, label: str) -> tuple[DataFrame, str]:
+    """Write ``df`` to the shared folder and read it back; with its path, for ``remove``."""
     spark, path = df.sparkSession, shared_dir(df.sparkSession, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def stored(df: DataFrame, label: str) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: lineage is cut there, and lost executors lose nothing.
+
+    It stays there as long as the folder does, as results are read from it when they are asked for.
+    """
+    return stored_at(df, label)[0]
+
+
+def remove(spark: SparkSession, *paths: str) -> None:
+    """Delete folders of rounds that nothing reads any more."""
+    for p in paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

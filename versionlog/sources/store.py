@@ -24,13 +24,15 @@ from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from versionlog.functions.codecs import pack_columns, unpack_columns
 from versionlog.model import DEFAULT_CF, DELETE, FILES, MERGE, OPLOG, RANGE_DELETE, SINGLE_DELETE, Conflict, InvalidInput, NotFound, ReadOnly, empty_log
 from versionlog.operators import compact as rewriting
 from versionlog.operators import ingest as loading
 from versionlog.operators.batch import WriteBatch
+from versionlog.operators.inspect import int_property, properties
 from versionlog.operators.merge import MergeOperator
 from versionlog.operators.resolve import resolve
-from versionlog.operators.scan import bounded
+from versionlog.operators.scan import bounded, get
 from versionlog.operators.txn import conflicts
 
 
@@ -211,6 +213,18 @@ class Store:
         self._append(batch.to_log(self.spark, first).coalesce(1), first, first + len(batch) - 1)
         return first
 
+    def put_entity(self, key: bytes, columns: dict[bytes, bytes], cf: int = DEFAULT_CF) -> int:
+        return self.write(WriteBatch().put_entity(key, pack_columns(columns), cf))
+
+    def delete_entity(self, key: bytes, cf: int = DEFAULT_CF) -> int:
+        return self.write(WriteBatch().delete(key, cf))
+
+    def merge_entity(self, key: bytes, columns: dict[bytes, bytes], cf: int = DEFAULT_CF) -> int:
+        """The columns that are there, and these over them.  A writer in between makes the commit fail."""
+        there = get(self.log(cfs=[cf], lower=key), key, cf, merge=self.merge).select("value").take(1)
+        old = unpack_columns(bytes(there[0][0])) if there and there[0][0] is not None else {}
+        return self.put_entity(key, {**old, **columns}, cf)
+
     def append_log(self, rows: DataFrame) -> None:
         """Commit rows that have their seqs already."""
         low, high = rows.agg(F.min("seq"), F.max("seq")).first()
@@ -353,6 +367,16 @@ class Store:
     def live_files(self) -> list[str]:
         return [f["path"] for f in self.version.folders]
 
+    def properties(self) -> DataFrame:
+        """Named integers of this version: name, value."""
+        live = [(int(s), t) for s, times in self.version.snapshots.items() for t in times]
+        snapshots = self.spark.createDataFrame(live, "seq long, created_at long")
+        return properties(self.log(), self.files_table(), snapshots)
+
+    def property(self, name: str) -> int | None:
+        """One of them; None if there is none of that name."""
+        return int_property(self.properties(), name)
+
     def sorted_logs(self) -> DataFrame:
         """Folders in order of their seqs."""
         rows = [(k, f["path"], f["first_seq"], f["last_seq"]) for k, f in enumerate(sorted(self.version.folders, key=lambda f: f["first_seq"]))]
