@@ -275,6 +275,36 @@ def test_bounds_reach_the_files(spark, tmp_path):
     assert scan and not any("batch_pos" in x or "ts:" in x for x in scan)
 
 
+def test_entities_and_properties_of_a_store(spark, tmp_path):
+    s = Store(spark, str(tmp_path / "s"))
+    s.put_entity(b"k", {b"name": b"n", b"age": b"1"})
+    s.merge_entity(b"k", {b"age": b"2", b"city": b""})
+    s.merge_entity(b"new", {b"a": b"b"})
+    s.snapshot()
+    got = {bytes(r.key): codecs.unpack_columns(bytes(r.value)) for r in s.state().collect()}
+    assert got == {b"k": {b"name": b"n", b"age": b"2", b"city": b""}, b"new": {b"a": b"b"}}
+    s.delete_entity(b"k")
+    assert s.state().count() == 1
+    assert s.property("num_entries") == 4 and s.property("n_snapshots") == 1 and s.property("live_files") == 4 and s.property("none") is None
+
+
+def test_orders_and_sorted_files(spark, tmp_path):
+    from versionlog.operators import scan
+
+    s = Store(spark, str(tmp_path / "s"))
+    file = spark.createDataFrame([(b"b", PUT, b"1", None), (b"A", PUT, b"2", None), (b"c", PUT, b"3", None), (b"a", PUT, b"4", None)], "key binary, op int, value binary, end_key binary")
+    s.ingest([ingest.write_file(file, str(tmp_path / "f"))])
+    folded = lambda k: F.lower(F.decode(k, "UTF-8"))
+    keys = lambda df: [bytes(r.key) for r in df.collect()]
+    assert keys(scan.scan(s.log())) == [b"A", b"a", b"b", b"c"]
+    assert keys(scan.scan(s.log(), b"A", b"B", order=folded)) == [b"A", b"a"]
+    assert keys(scan.scan(s.log(), order=lambda k: F.hex(k).substr(2, 1), reverse=True)) == [b"c", b"b", b"a", b"A"]
+    assert keys(scan.seek(s.log(), b"B", order=folded)) == [b"b"] and keys(scan.seek_for_prev(s.log(), b"B", order=folded)) == [b"b"]
+    assert keys(scan.page_after(s.log(), b"a", 1, order=folded)) == [b"b"] and keys(scan.page_after(s.log(), b"a", 1)) == [b"b"]
+    with pytest.raises(InvalidInput):
+        ingest.write_file(file.limit(0), str(tmp_path / "g"))
+
+
 def test_values_are_verified_in_every_byte(spark):
     def value(key, ident, n):
         return key.to_bytes(8, "little") + ident.to_bytes(4, "little") + bytes((key + ident + i) % 256 for i in range(12, n))
