@@ -4,6 +4,16 @@ Each stage takes (spark, docs, sf_dir) and works on all rows that the stage befo
 kept.  All but the last return the columns of documents; the last one returns a
 row for each document that the mix takes, with its epoch's copy encoded and
 decoded.
+
+Defined results: a null text counts as empty in every stage and stays null in the
+rows; the classifier gives it weight 0, of all empty texts one document stays,
+it links with nothing and adds no tokens.  A null identifier is a document of its
+own (before all others where one of equal texts stays), a null language or source
+a leaf of the mix.  Rows that repeat an identifier are judged each by their text;
+near copies count them as one document.  Of rows repeated whole one stays.  An empty
+table gives an empty table with the same columns.  Further columns pass through all
+stages but the last, whatever their names; names that differ in case alone from one
+another are an error of Spark's.
 """
 
 from __future__ import annotations
