@@ -7,6 +7,10 @@ component.  Rounds are written to the shared folder; nothing meets on the driver
 but two sums that tell whether a round changed anything.  The least neighbours are
 summed before their shuffle and written too, so that adaptive execution can split
 the join that carries the neighbours of a hub.
+
+Defined results: a link with a null side or of a node with itself is none; repeated
+links and both directions of a link count once; no links give an empty table; other
+columns play no part.
 """
 
 from __future__ import annotations
@@ -14,30 +18,33 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._io import stored
+from versionlog.sources.scratch import remove, stored_at
 
 
-def _large(edges: DataFrame) -> DataFrame:
+def _large(edges: DataFrame) -> tuple[DataFrame, str]:
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-    least = stored(least, "least")
-    return both.where("v > u").join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    least, path = stored_at(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), "least")
+    return both.where("v > u").join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")), path
 
 
-def _small(edges: DataFrame) -> DataFrame:
-    least = stored(edges.groupBy("u").agg(F.min("v").alias("m")), "least")
+def _small(edges: DataFrame) -> tuple[DataFrame, str]:
+    least, path = stored_at(edges.groupBy("u").agg(F.min("v").alias("m")), "least")
     onward = edges.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return onward.unionByName(least.select("u", F.col("m").alias("v")))
+    return onward.unionByName(least.select("u", F.col("m").alias("v"))), path
 
 
 def components(links: DataFrame) -> DataFrame:
     """``links`` (u, v: long) -> a row (node, component) for every node that has a link and is not the smallest of its component."""
+    spark = links.sparkSession
     edges = links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    edges = stored(edges, "links")
+    edges, path = stored_at(edges, "links")
     before = None
     while True:
         now = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         if now == before or now["n"] == 0:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
-        before = now
-        edges = stored(_small(_large(edges).distinct()).distinct(), "links")
+        large, one = _large(edges)
+        small, other = _small(large.distinct())
+        edges, next_ = stored_at(small.distinct(), "links")
+        remove(spark, path, one, other)  # a round reads the one before it alone
+        before, path = now, next_
