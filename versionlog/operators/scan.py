@@ -71,7 +71,7 @@ def get_value(log: DataFrame, key: bytes | str, cf_id: int = 0, **how) -> bytes:
     return rows[0][0] if rows[0][0] is None else bytes(rows[0][0])
 
 
-def _of(log: DataFrame, wanted: DataFrame) -> DataFrame:
+def of_keys(log: DataFrame, wanted: DataFrame) -> DataFrame:
     """The point rows of the wanted keys (cf_id, key), and all tombstones."""
     rows = log.where(F.col("op") != RANGE_DELETE).join(wanted.select("cf_id", "key").distinct(), ["cf_id", "key"], "left_semi")
     return rows.unionByName(log.where(F.col("op") == RANGE_DELETE))
@@ -81,17 +81,19 @@ def multi_get(log: DataFrame, probes: DataFrame, **how) -> DataFrame:
     """Probes (pos, key; cf_id if the log has several) -> pos, key, found, value: in order, repeated ones repeated, misses kept."""
     if "cf_id" not in probes.columns:
         probes = probes.withColumn("cf_id", F.lit(0))
-    state = resolve(_of(log, probes), **how).select("cf_id", "key", "value", F.lit(True).alias("found"))
+    state = resolve(of_keys(log, probes), **how).select("cf_id", "key", "value", F.lit(True).alias("found"))
     return probes.join(state, ["cf_id", "key"], "left").select("pos", "cf_id", "key", F.coalesce("found", F.lit(False)).alias("found"), "value").orderBy("pos")
 
 
 def key_may_exist(log: DataFrame, probes: DataFrame, **how) -> DataFrame:
     """Exact: the probes (cf_id, key) that exist.  Only their rows are resolved."""
-    return probes.join(resolve(_of(log, probes), **how).select("cf_id", "key"), ["cf_id", "key"], "left_semi")
+    return probes.join(resolve(of_keys(log, probes), **how).select("cf_id", "key"), ["cf_id", "key"], "left_semi")
 
 
-def prefix_scan(log: DataFrame, target: bytes | str, prefix: Prefix, **how) -> DataFrame:
-    """Keys from the target on that are in the domain and share the target's prefix."""
+def prefix_scan(log: DataFrame, target: bytes | str, prefix: Prefix, total_order: bool = False, **how) -> DataFrame:
+    """Keys from the target on that are in the domain and share the target's prefix; with ``total_order`` all keys from it on."""
+    if total_order:
+        return scan(log, lower=target, **how)
     t = _key(target)
     same = (F.col("key") >= t) & prefix.domain(F.col("key")) & (prefix.of(F.col("key")) == prefix.of(t))
     return resolve(log.where(same | (F.col("op") == RANGE_DELETE)), **how).orderBy("cf_id", "key")

@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from versionlog.model import OPLOG
+from versionlog.model import OPLOG, STATE, points, tombstones
+from versionlog.operators import rangedel, scan
 from versionlog.operators.merge import MergeOperator
 from versionlog.operators.resolve import resolve
+from versionlog.sources.scratch import remove, stored
 
 
 def updates_since(log: DataFrame, seq: int, include_straddling: bool = False) -> DataFrame:
@@ -31,29 +33,34 @@ def read_changes(spark: SparkSession, path: str, bytes_a_batch: int = 1 << 30) -
 
 
 def materialise(changes: DataFrame, state_path: str, checkpoint: str, merge: str | MergeOperator | None = None):
-    """Keep a resolved state fresh: each micro-batch is added to a compacted log and that is resolved.
+    """Keep a resolved state fresh: of each micro-batch only the keys that it touches are resolved again.
 
-    The log under ``state_path`` is rewritten into a folder named by the batch, so a batch that runs again after a
-    failure writes the same folder; rows are told apart by seq, so late and repeated ones do no harm.
+    Under ``state_path``, ``log/<batch>`` holds a batch's rows and ``state/<batch>`` the state after it; a batch that
+    runs again after a failure writes the same folders.  Touched are the keys of its point rows, and of the state's
+    keys those under its range deletions.  Rows are told apart by seq, so late and repeated ones do no harm.
     """
     spark = changes.sparkSession
 
     def take(batch: DataFrame, number: int) -> None:
-        before = f"{state_path}/{number - 1:012d}/log"
-        log = batch if number == 0 else spark.read.schema(OPLOG).parquet(before).unionByName(batch)
-        log = log.dropDuplicates(["cf_id", "key", "seq", "op"])
-        log.write.mode("overwrite").parquet(f"{state_path}/{number:012d}/log")
-        saved = spark.read.schema(OPLOG).parquet(f"{state_path}/{number:012d}/log")
-        resolve(saved, merge=merge).write.mode("overwrite").parquet(f"{state_path}/{number:012d}/state")
+        path = lambda kind, n: f"{state_path}/{kind}/{n:012d}"
+        batch.write.mode("overwrite").parquet(path("log", number))
+        fresh = spark.read.schema(OPLOG).parquet(path("log", number))
+        before = spark.createDataFrame([], STATE) if number == 0 else spark.read.schema(STATE).parquet(path("state", number - 1))
+        touched = points(fresh).select("cf_id", "key").distinct()
+        tombs = tombstones(fresh)
+        if not tombs.isEmpty():
+            touched = touched.unionByName(rangedel.cover(before, tombs).select("cf_id", "key")).distinct()
+        touched = stored(touched, "touched")
+        log = spark.read.schema(OPLOG).parquet(*[path("log", n) for n in range(number + 1)])
+        rows = scan.of_keys(log, touched).dropDuplicates(["cf_id", "key", "seq", "op"])
+        now = before.join(touched, ["cf_id", "key"], "left_anti").select(STATE.names).unionByName(resolve(rows, merge=merge).select(STATE.names))
+        now.write.mode("overwrite").parquet(path("state", number))
+        if number > 1:
+            remove(spark, path("state", number - 2))
 
     return changes.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def latest_by_key(changes: DataFrame) -> DataFrame:
-    """A running table of the newest row of each key, kept as keyed state."""
-    return changes.groupBy("cf_id", "key").agg(F.max(F.struct("seq", "op", "value")).alias("newest"))
-
-
 def replay(trace: DataFrame) -> DataFrame:
     """A trace (ts_ns, type, cf_id, key, seq, data) as a log: writes become rows, in order of their time."""
     from versionlog.model import DELETE, MERGE, PUT, oplog
