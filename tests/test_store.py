@@ -100,13 +100,16 @@ def test_ingestion(spark, tmp_path):
 
 def test_stream_materialises_state(spark, tmp_path):
     log = tmp_path / "log"
-    frame(spark, [(0, b"a", 1, PUT, u64(1), None), (0, b"a", 3, 2, u64(5), None)]).write.parquet(str(log))
-    for _ in range(2):
+    frame(spark, [(0, b"a", 1, PUT, u64(1), None), (0, b"a", 3, 2, u64(5), None), (0, b"b", 4, PUT, u64(7), None), (0, b"c", 5, PUT, u64(9), None)]).write.parquet(str(log))
+    states = []
+    for more in ([(0, b"a", 2, 2, u64(10), None), (0, b"a", 3, 2, u64(5), None)], [(0, b"b", 6, 15, None, b"d"), (0, b"c", 7, 2, u64(2), None)], []):
         q = cdc.materialise(cdc.read_changes(spark, str(log)), str(tmp_path / "state"), str(tmp_path / "cp"), "uint64_add")
         q.awaitTermination()
-        frame(spark, [(0, b"a", 2, 2, u64(10), None), (0, b"a", 3, 2, u64(5), None)]).write.mode("append").parquet(str(log))
-    last = sorted(p.name for p in (tmp_path / "state").iterdir())[-1]
-    assert collected(spark.read.parquet(str(tmp_path / "state" / last / "state"))) == {(0, b"a"): u64(16)}
+        frame(spark, more).write.mode("append").parquet(str(log))
+        kept = sorted((tmp_path / "state" / "state").iterdir())
+        states.append(collected(spark.read.parquet(str(kept[-1]))))
+    assert states == [{(0, b"a"): u64(6), (0, b"b"): u64(7), (0, b"c"): u64(9)}, {(0, b"a"): u64(16), (0, b"b"): u64(7), (0, b"c"): u64(9)}, {(0, b"a"): u64(16), (0, b"c"): u64(2)}]
+    assert len(kept) == 2
 
 
 def test_listener_counts_batches(spark, tmp_path):
