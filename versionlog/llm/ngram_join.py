@@ -62,7 +62,7 @@ PIVOTS = 8
 #: Members of a tile that one task compares with as many others.
 BLOCK = 8192
 #: Pairs of each member of a tile that are tried in the first round, and times as many in each further one.
-BEST, MORE = 2, 8
+BEST, MORE = 4, 16
 #: Pairs that are given on at once.
 PAIR_ROWS = 50_000
 #: Bytes of bitmaps that are compared at once.
@@ -256,27 +256,37 @@ def _few(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_IDS else df
 
 
-def _tested(pairs: DataFrame, texts: DataFrame, config: Config, make, test) -> DataFrame:
-    """Pairs (u, v) that pass ``test(x, n_x, y, n_y)`` on what ``make`` makes of their sets."""
+def _linked(pairs: DataFrame, texts: DataFrame, config: Config) -> DataFrame:
+    """Those of the pairs (u, v) that link: bounded by finer bitmaps, then by intersection of the sorted sets.
+
+    A text is taken apart once; sets go only to the pairs that their bitmaps let pass.
+    """
     ids = stored(pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct(), "join-ids")
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forget()
         shingle = Shingler(config.n)
         for batch in batches:
             found = [shingle(x.as_py()) for x in batch["text"]]
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(map(len, found), pa.int64()), pa.array(map(make, found), pa.binary())], ["id", "n", "made"])
+            bits, grams = [bitmap(g, FINE_BITS) for g in found], [g.tobytes() for g in found]
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(map(len, found), pa.int64()), pa.array(bits, pa.binary()), pa.array(grams, pa.binary())], ["id", "n", "bits", "grams"])
         trim()
 
+    held = texts.join(_few(ids), texts["doc_id"] == ids["id"], "left_semi").select("doc_id", "text")
+    made = stored(held.mapInArrow(take, "id long, n long, bits binary, grams binary"), "join-sets")
+    for column, overlap in (("bits", _bitmap_bound), ("grams", _intersection)):
+        pairs = stored(_passing_pairs(pairs, made, column, overlap, config.percent), "join-tested")
+    return pairs
+
+
+def _passing_pairs(pairs: DataFrame, made: DataFrame, column: str, overlap, percent: int) -> DataFrame:
     def passes(a: pa.Array, n_a: pa.Array, b: pa.Array, n_b: pa.Array) -> pa.Array:
         sides = zip(a, n_a.to_pylist(), b, n_b.to_pylist())
-        return pa.array([bool(enough(test(x.as_py(), n_x, y.as_py(), n_y), n_x, n_y, config.percent)) for x, n_x, y, n_y in sides], pa.bool_())
+        return pa.array([bool(enough(overlap(x.as_py(), n_x, y.as_py(), n_y), n_x, n_y, percent)) for x, n_x, y, n_y in sides], pa.bool_())
 
-    held = texts.join(_few(ids), texts["doc_id"] == ids["id"], "left_semi").select("doc_id", "text")
-    made = stored(held.mapInArrow(sets, "id long, n long, made binary"), "join-sets")
     for side in "uv":
-        pairs = pairs.join(made.select(F.col("id").alias(side), F.col("n").alias(f"n_{side}"), F.col("made").alias(f"x_{side}")), side)
-    return stored(pairs.where(F.arrow_udf(passes, "boolean", ArrowUDFType.SCALAR)("x_u", "n_u", "x_v", "n_v")).select("u", "v"), "join-tested")
+        pairs = pairs.join(made.select(F.col("id").alias(side), F.col("n").alias(f"n_{side}"), F.col(column).alias(f"x_{side}")), side)
+    return pairs.where(F.arrow_udf(passes, "boolean", ArrowUDFType.SCALAR)("x_u", "n_u", "x_v", "n_v")).select("u", "v")
 
 
 def _bitmap_bound(x: bytes, n_x: int, y: bytes, n_y: int) -> int:
@@ -284,10 +294,8 @@ def _bitmap_bound(x: bytes, n_x: int, y: bytes, n_y: int) -> int:
     return int(overlap_bound(folded(x, words), n_x, folded(y, words)[None], np.array([n_y]))[0])
 
 
-def _linked(pairs: DataFrame, texts: DataFrame, config: Config) -> DataFrame:
-    """Those of the pairs (u, v) that link: bounded by finer bitmaps, then by intersection of the sorted sets."""
-    passed = _tested(pairs, texts, config, lambda g: bitmap(g, FINE_BITS), _bitmap_bound)
-    return _tested(passed, texts, config, lambda g: g.tobytes(), lambda x, n_x, y, n_y: len(np.intersect1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True)))
+def _intersection(x: bytes, n_x: int, y: bytes, n_y: int) -> int:
+    return len(np.intersect1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True))
 
 
 def _tiles(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
