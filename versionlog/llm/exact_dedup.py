@@ -29,7 +29,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._io import shared_dir, stored, text_of
+from ._io import shared_dir, ship, stored
 
 #: Up to so many hit digests (about 200 bytes each) are broadcast; beyond, they are joined by shuffling.
 BROADCAST_DIGESTS = 200_000
@@ -60,12 +60,13 @@ def sha256(text: Column) -> Column:
 
 
 def located(docs: DataFrame) -> DataFrame:
-    """Documents with the file and row of each; those that come from no file are written first."""
+    """Documents (__own, whatever their columns are named) with the file and row of each; those that come from no file are written first."""
+    own = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__own")
     place = (F.col("_metadata.file_path").alias("__path"), F.col("_metadata.row_index").alias("__row"))
     try:
-        return docs.select("*", *place)
+        return docs.select(own, *place)
     except AnalysisException:
-        return stored(docs, "dedup-content").select("*", *place)
+        return stored(docs, "dedup-content").select(own, *place)
 
 
 def ingest(spark: SparkSession, queue: str, state: str) -> None:
@@ -105,9 +106,10 @@ class Deduplicated:
         """
         self.spark, self.columns, self.id_col, self.text_col = docs.sparkSession, docs.columns, id_col, text_col
         self.digest, self.earlier = digest, queue is not None
+        ship(self.spark)
         self.docs = self._digested(located(docs))
         self.queue_path, self.state_path = queue or shared_dir(self.spark, "dedup-queue"), state or shared_dir(self.spark, "dedup-state")
-        slim = self.docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col("__digest").alias("digest"), F.col("__path").alias("path"), F.col("__row").alias("row"))
+        slim = self.docs.select(F.col("__id").alias("doc_id"), F.col("__digest").alias("digest"), F.col("__path").alias("path"), F.col("__row").alias("row"))
         slim.write.mode("append").parquet(self.queue_path)
         ingest(self.spark, self.queue_path, self.state_path)
         self.queue = self.spark.read.schema(_QUEUE).parquet(self.queue_path)
@@ -117,11 +119,14 @@ class Deduplicated:
         self.regrouped = self._compare()
 
     def _digested(self, placed: DataFrame) -> DataFrame:
-        return placed.withColumn("__norm", normalised(text_of(placed, self.text_col))).withColumn("__digest", self.digest(F.col("__norm")))
+        own = F.col("__own")
+        norm = normalised(F.coalesce(own[self.text_col].cast("string"), F.lit("")))
+        named = placed.select("__own", own[self.id_col].cast("long").alias("__id"), norm.alias("__norm"), "__path", "__row")
+        return named.withColumn("__digest", self.digest(F.col("__norm")))
 
     def _content(self) -> DataFrame:
         """Documents of this call and of earlier ones that were hit, by their locators.  What meets on the driver is a list of files."""
-        names = [self.id_col, "__norm", "__digest", "__path", "__row"]
+        names = ["__id", "__norm", "__digest", "__path", "__row"]
         own = self.docs.select(*names)
         if not self.earlier:
             return own
@@ -129,12 +134,12 @@ class Deduplicated:
         files = [r.path for r in met.join(self.docs.select(F.col("__path").alias("path")).distinct(), "path", "left_anti").collect()]
         if not files:
             return own
-        there = self._digested(located(self.spark.read.parquet(*files).select(self.id_col, self.text_col, "_metadata")))
+        there = self._digested(located(self.spark.read.parquet(*files)))
         return own.unionByName(there.select(*names))
 
     def _compare(self) -> DataFrame | None:
         """Compare bytes on hits.  Groups of texts, if any digest has two texts; None is the rule."""
-        copies = self._content().join(self.hits, "__digest").select("__digest", "__norm", F.col(self.id_col).cast("long").alias("doc_id"), F.col("__path").alias("path"), F.col("__row").alias("row"), "__keep")
+        copies = self._content().join(self.hits, "__digest").select("__digest", "__norm", F.col("__id").alias("doc_id"), F.col("__path").alias("path"), F.col("__row").alias("row"), "__keep")
         stays = (F.col("path") == F.col("__keep.path")) & (F.col("row") == F.col("__keep.row"))
         kept = copies.where(stays).select("__digest", F.col("__norm").alias("__other"))
         differ = copies.join(kept.hint("merge"), "__digest").where(F.col("__norm") != F.col("__other"))
@@ -164,5 +169,5 @@ class Deduplicated:
             again = self.regrouped.select(F.col("path").alias("__path"), F.col("row").alias("__row"), F.col("keep").alias("__again"))
             joined = self.docs.join(hits, "__digest", "left").join(again, ["__path", "__row"], "left")
             joined = joined.withColumn("__keep", F.coalesce("__again", "__keep"))
-            return joined.where(stays).select(*[f"`{c}`" for c in self.columns])
-        return self.docs.join(hits, "__digest", "left").where(stays).select(*[f"`{c}`" for c in self.columns])
+            return joined.where(stays).select(*[F.col("__own")[c].alias(c) for c in self.columns])
+        return self.docs.join(hits, "__digest", "left").where(stays).select(*[F.col("__own")[c].alias(c) for c in self.columns])
