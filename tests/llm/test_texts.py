@@ -194,7 +194,10 @@ def test_classifier_on_odd_rows(spark):
     labels = spark.createDataFrame([(1, 1), (1, 0), (None, 1), (2, None)], "doc_id long, quality int")
     drawn = quality_classifier.Resampled(docs, labels, carry=True)
     assert drawn.decisions().count() == 4 and set(drawn.kept().columns) == {"doc_id", "text", "log_weight"}
-    assert sorted(r.doc_id or -1 for r in drawn.kept().collect()) == [-1, 1, 1, 2]  # without labels of both kinds the cut is 0, and so are all weights but those of two texts
+    rows = drawn.decisions().collect()
+    assert drawn.cut == 0.0 and {r.log_weight for r in rows if r.doc_id == 1} == {0.0}
+    assert sorted(r.doc_id or -1 for r in drawn.kept().collect()) == sorted(r.doc_id or -1 for r in rows if r.kept)
+    assert sum(r.kept for r in rows) >= drawn.k == sum(r.log_weight >= 0 for r in rows)
     nothing = quality_classifier.Resampled(docs.limit(0), labels.limit(0), carry=True)
     assert nothing.decisions().count() == 0 and nothing.kept().count() == 0
 
