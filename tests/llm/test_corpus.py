@@ -303,6 +303,32 @@ def test_recall_of_near_passages(size, spacing):
     assert min(short, long, found) >= 0.95 * total and same >= 0.9 * windows, (short, long, found, total, same, windows)
 
 
+def test_every_near_window_is_found_and_shares_a_key():
+    """Against all pairs of windows, with few and with many different tokens, changes, insertions and blocks that moved."""
+    rng, total = np.random.default_rng(18), 0
+    for t in range(150):
+        config = substring_dedup.Config(n=1, window=[7, 12, 20, 46][t % 4], percent=[50, 60, 80][t % 3])
+        words_ = substring_dedup._mix(np.arange(1, [3, 8, 40, 1000][t // 4 % 4] + 1, dtype=np.uint64))
+        a = rng.integers(0, len(words_), rng.integers(config.window, 90))
+        b = a.copy()
+        for _ in range(rng.integers(0, 8)):
+            k = rng.integers(0, len(b))
+            new = rng.integers(0, len(words_), rng.integers(1, 4))
+            b = [np.concatenate([b[:k], new, b[k + 1 :]]), np.insert(b, k, new), np.concatenate([b[k:], b[:k]])][rng.integers(0, 3)]
+        one, other = words_[a], words_[b]
+        near = near_windows(one, other, config)
+        x, y = substring_dedup.passages(*substring_dedup.windows_of([one, other], config), config)
+        assert (x.tolist(), y.tolist()) == (np.flatnonzero(near.any(1)).tolist(), np.flatnonzero(near.any(0)).tolist())
+        held = []
+        for tokens in (one, other):
+            valid = np.arange(len(tokens)) <= len(tokens) - config.window
+            nodes, first, last = substring_dedup.least_tokens(tokens, np.full(len(tokens), 2), valid, config)
+            held.append([{int(k) for k in tokens[nodes[(first <= w) & (w <= last)]]} for w in range(valid.sum())])
+        assert all(held[0][i] & held[1][j] for i, j in zip(*np.nonzero(near)))
+        total += near.any()
+    assert total > 100
+
+
 def passage_rows():
     rng = np.random.default_rng(10)
     stock = [f"t{k}" for k in range(5000)]

@@ -5,33 +5,27 @@ row are near if ``shared`` tokens of each are found in the other, which for
 distinct tokens is a Jaccard similarity of ``percent``; a passage is a run of
 windows that are near windows of the other text.
 
-1.  *Compact windows.*  For each of ``hashes`` hash functions the Cartesian tree
-    over the hashes of a text's tokens gives, for a node, the widest span in which
-    its token has the least hash.  All subsequences of that span that hold the node
-    share their min-hash, so one row (token, first, node, last) stands for them, about 2 n /
-    ``window`` rows for n tokens.  Its windows begin in one interval.
-2.  *Signatures.*  Within a text the intervals of two hash functions are joined: a
-    key is a pair of min-hashes that some window has.  Texts that hold a key are
-    candidates.  With few holders all are held against each other, with more all
-    against the first.  Where one of these fails, the key says too little: there
-    the windows' keys are joined again, two and two, and the holders of such a
-    longer key are held against its first ones, those without a link become
-    first ones of the next round, and so on until none is left.
-3.  *Interval joins.*  For two candidates, rows with the same hash function and token
-    span a rectangle of window starts.  A sweep finds where rectangles of
-    ``enough`` hash functions lie above one another, and by which offsets.
-4.  *Verification.*  Along these offsets window is held against window, token by
-    token.  Only what is near counts as found.
-
-Equal texts follow the one with the smallest id and take no part in the search.
-Members of a family all link to its first texts, so their pairs are never
-spelled out; texts that follow different first ones of a longer key are held
-against each other only if their classes differ after that.
-
-The search hangs on chance: near windows of similarity s miss all keys with
-probability (1 - s^2)^(hashes / 2), which at 0.8 and 12 hashes is 1 in 450, and
-both keys of a longer one more often, 1 in 40; repeated words are as like as not to
-be found in a window by other places than those held against it.  Tests state the recall.
+1.  *Reduction.*  A near window misses window - ``shared`` tokens at most, so one with
+    more tokens that no other text holds is dropped: first by one token in ``SAMPLE``
+    of the whole texts, then by all tokens of what is left.
+2.  *Compact windows.*  Two near windows share the least token that both hold, which is
+    among the window - ``shared`` + 1 least ones of either, in any order of the tokens;
+    ours puts rare ones first.  One row (token, first, end) stands for all windows of a
+    text that have the token among their least, with a bitmap of their tokens.
+3.  *Candidates.*  Rows with one token are held against each other by their bitmaps: few
+    each with each, of more all with pivots.  Then those pairs follow that could still
+    tell something: a word not found yet, two classes, or a text not known to hold
+    what an earlier one holds; until there is none.
+4.  *Interval joins.*  For two texts the places of a token in both span window starts at an
+    offset; a sweep finds where ``shared`` of them lie above one another.  All near
+    windows of the pair are found.
+
+Equal texts follow the one with the smallest id and take no part in the search.  So
+classes, passages and ``kept`` are those of all pairs, up to collisions of 64-bit hashes,
+and a family's pairs are not spelled out; ``partners`` and ``n_links`` are those of tested pairs.
+
+``intervals``, ``keys`` and ``longer_keys``, min-hash signatures that miss a pair now and then, take
+no part in the search any more; tests state what they find.
 
 Defined results: A-Z count as lower case, words lie between ASCII spaces; null,
 empty and short texts have no passages; a text is not held against itself; rows
@@ -55,22 +49,29 @@ from .exact_dedup import normalised
 from .mixing import words
 from .ngram_join import Shingler, _few
 
-#: Tokens whose windows are taken at once.
-CHUNK_TOKENS = 1 << 16
+#: Of the tokens of whole texts one in so many is counted.
+SAMPLE = 3
+#: Tokens that are dealt at once.
+CHUNK_TOKENS = 1 << 20
 #: Up to so many holders of a key are all held against each other.
 FEW = 4
-#: Pivots of a longer key in the first round, and times as many in each further one.
-PIVOTS, MORE_PIVOTS = 2, 8
+#: Partners of a key's holder in the first further round, and times as many in each next one.
+PIVOTS, MORE_PIVOTS = 32, 64
+#: Bits of a bitmap of the tokens around a key.
+BITS = 512
 #: Texts that a pivot is sent along with.
 BESIDE = 256
-#: Rectangles that a sweep takes at once.
+#: Places that a sweep takes at once.
 PART = 1 << 18
+#: Places and windows that are held against each other at once.
+EACH = 1 << 21
 #: Low bits that hold a token's place beside its hash.
 PLACE_BITS = 26
 
 _MIX = np.uint64(0xD6E8FEB86659FD93)
 _LOW = np.uint64(PLACE_BITS)
 _PLACE = np.uint64((1 << PLACE_BITS) - 1)
+_MOST = np.uint64(2**64 - 1)
 
 
 @dataclass
@@ -196,141 +197,448 @@ def longer_keys(found: list[Intervals], weak: np.ndarray) -> list[Intervals]:
     return out
 
 
-def _in_a_row(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Tokens of texts with a gap after each, where each begins, and where the gaps are."""
-    gap = np.zeros(1, np.uint64)
-    tokens = np.concatenate([x for t in texts for x in (t, gap)])
-    ends = np.cumsum([len(t) for t in texts]) + np.arange(len(texts))
-    gaps = np.zeros(len(tokens), bool)
-    gaps[ends] = True
-    return tokens, np.concatenate([[0], ends[:-1] + 1]), gaps
+# --- tokens that several texts hold, and windows that may be near others
 
 
-def _lists(docs: list[int], found: list[Intervals], begins: np.ndarray) -> pa.RecordBatch:
-    """doc, keys: the distinct keys of texts that lie in a row and begin at ``begins``."""
-    key = np.concatenate([x.token for x in found])
-    doc = np.searchsorted(begins, np.concatenate([x.start for x in found]), "right") - 1
-    order = np.lexsort((key, doc))
-    key, doc = key[order], doc[order]
-    new = np.ones(len(key), bool)
-    new[1:] = (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])
-    key, doc = key[new], doc[new]
-    ends = np.searchsorted(doc, np.arange(len(docs) + 1)).astype(np.int32)
-    return pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(key.view(np.int64)))], ["doc", "keys"])
+def _sampled(tokens: np.ndarray) -> np.ndarray:
+    """Which tokens are counted in whole texts: one in SAMPLE, by hash."""
+    return _mix(tokens ^ _MIX) % np.uint64(SAMPLE) == 0
 
 
-def _held(lists: DataFrame) -> DataFrame:
-    """key, doc, first, holders: the texts of every key that several hold.
+def _parts(df: DataFrame) -> int:
+    """A prime near the number of shuffle partitions, so that ids with a common step are dealt evenly."""
+    n = max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    while any(n % k == 0 for k in range(2, int(n**0.5) + 1)):
+        n += 1
+    return n
 
-    Holders are counted before their shuffle, so that a common key does not meet in one task, and the join that gives
-    them to their texts can be split.
+
+def _blobs(part: np.ndarray, parts: int, columns: dict[str, np.ndarray], name: str) -> pa.RecordBatch:
+    """Rows dealt by ``part``: for each part one row with its values as bytes."""
+    order = np.argsort(part, kind="stable")
+    cut = np.searchsorted(part[order], np.arange(parts + 1))
+    some = np.flatnonzero(np.diff(cut))
+    made = [pa.array([x[order[cut[k] : cut[k + 1]]].tobytes() for k in some], pa.binary()) for x in columns.values()]
+    return pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), *made], [name, *columns])
+
+
+def _counted(rows: DataFrame, column: str, distinct_tokens, parts: int) -> DataFrame:
+    """part, docs, tokens, times: the tokens that several rows (doc, column) hold, with their number, dealt by doc.
+
+    Tokens travel as bytes, by hash and back by doc, and are counted in arrays.
     """
-    rows = lists.select("doc", F.explode("keys").alias("key"))
-    counted = rows.groupBy("key").agg(F.min("doc").alias("first"), F.max("doc").alias("last"), F.count("*").alias("holders"))
-    several = stored(counted.where("first < last").select("key", "first", "holders"), "passage-several")
-    return stored(rows.join(several, "key"), "passage-holders")
 
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
+        docs, held, size = [], [], 0
 
-def keys_of_all(texts: DataFrame, config: Config) -> DataFrame:
-    """doc, keys of every text that is long enough."""
+        def out() -> pa.RecordBatch:
+            tokens = np.concatenate(held)
+            owner = np.repeat(np.array(docs, np.int64), [len(x) for x in held])
+            return _blobs((_mix(tokens) % np.uint64(parts)).astype(np.int64), parts, {"docs": owner, "tokens": tokens}, "bucket")
 
-    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        take = distinct_tokens()
+        for batch in batches:
+            for doc, x in zip(batch["doc"].to_pylist(), batch[column]):
+                tokens = take(x.as_py())
+                if len(tokens):
+                    docs.append(doc)
+                    held.append(tokens)
+                    size += len(tokens)
+                if size >= CHUNK_TOKENS:
+                    yield out()
+                    docs, held, size = [], [], 0
+        if held:
+            yield out()
+        docs, held = [], []
+        trim()
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forget()
+        at, docs, held = None, [], []
+
+        def out() -> pa.RecordBatch:
+            tokens, owner = np.concatenate(held), np.concatenate(docs)
+            order = np.argsort(tokens)
+            tokens, owner = tokens[order], owner[order]
+            starts = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]]))
+            sizes = np.diff(np.append(starts, len(tokens)))
+            times = np.repeat(sizes, sizes)
+            several = times > 1
+            owner = owner[several]
+            return _blobs(np.mod(owner, parts), parts, {"docs": owner, "tokens": tokens[several], "times": times[several].astype(np.int32)}, "part")
+
+        for batch in batches:
+            for bucket, d, t in zip(batch["bucket"].to_pylist(), batch["docs"], batch["tokens"]):
+                if bucket != at and held:
+                    yield out()
+                    docs, held = [], []
+                at = bucket
+                docs.append(np.frombuffer(d.as_py(), np.int64))
+                held.append(np.frombuffer(t.as_py(), np.uint64))
+        if held:
+            yield out()
+        docs, held = [], []
+        trim()
+
+    dealt = rows.select("doc", column).mapInArrow(deal, "bucket int, docs binary, tokens binary")
+    return dealt.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(count, "part int, docs binary, tokens binary, times binary")
+
+
+class _Times:
+    """In how many rows the tokens of the rows of a part are; a token that is not listed is in one."""
+
+    def __init__(self) -> None:
+        self.part, self.blobs, self.docs = None, [], None
+
+    def add(self, part: int, docs: bytes, tokens: bytes, times: bytes) -> None:
+        if part != self.part:
+            self.part, self.blobs = part, []
+        self.blobs.append((np.frombuffer(docs, np.int64), np.frombuffer(tokens, np.uint64), np.frombuffer(times, np.int32)))
+        self.docs = None
+
+    def of(self, part: int, doc: int, tokens: np.ndarray) -> np.ndarray:
+        out = np.ones(len(tokens), np.int64)
+        if part != self.part or not self.blobs:
+            return out
+        if self.docs is None:
+            docs, held, times = (np.concatenate(x) for x in zip(*self.blobs))
+            order = np.lexsort((held, docs))
+            self.docs, self.tokens, self.times = docs[order], held[order], times[order]
+            self.blobs = [(self.docs, self.tokens, self.times)]
+        a, b = np.searchsorted(self.docs, doc, "left"), np.searchsorted(self.docs, doc, "right")
+        if a < b:
+            held = self.tokens[a:b]
+            at = np.minimum(np.searchsorted(held, tokens), b - a - 1)
+            known = held[at] == tokens
+            out[known] = self.times[a:b][at[known]]
+        return out
+
+
+def _beside(rows: DataFrame, counted: DataFrame, parts: int, payload: str) -> DataFrame:
+    """Rows (doc, ...) in order of their part, after the counted tokens of that part."""
+    names = [c for c in rows.columns if c != "doc"]
+    kinds = dict(rows.dtypes)
+    blank = [F.lit(None).cast("binary").alias(f"c_{c}") for c in ("docs", "tokens", "times")]
+    one = rows.select(F.pmod(F.col("doc"), F.lit(parts)).cast("int").alias("part"), "doc", *names, *blank)
+    other = counted.select("part", F.lit(None).cast("long").alias("doc"), *(F.lit(None).cast(kinds[c]).alias(c) for c in names), *(F.col(c).alias(f"c_{c}") for c in ("docs", "tokens", "times")))
+    return one.unionByName(other).repartition("part").sortWithinPartitions("part", F.col(payload).isNotNull())
+
+
+def _listed(batch: pa.RecordBatch, times: _Times) -> Iterator[int]:
+    """Rows of the batch, once the counted tokens among them are added to ``times``."""
+    parts, docs = batch["part"].to_pylist(), batch["doc"].to_pylist()
+    for k, doc in enumerate(docs):
+        if doc is None:
+            times.add(parts[k], *(batch[f"c_{c}"][k].as_py() for c in ("docs", "tokens", "times")))
+        else:
+            yield k
+
+
+def _windows_with_few(bad: np.ndarray, window: int, most: int) -> np.ndarray:
+    """Which windows hold ``most`` bad tokens at most; one flag for each token, False for the last ones."""
+    sums = np.concatenate([[0], np.cumsum(bad)])
+    out = np.zeros(len(bad), bool)
+    out[: len(bad) - window + 1] = sums[window:] - sums[:-window] <= most
+    return out
+
+
+def _covered(valid: np.ndarray, window: int) -> np.ndarray:
+    """Places of the tokens of valid windows."""
+    change = np.concatenate([valid.astype(np.int64), np.zeros(window, np.int64)])
+    change[window:] -= valid
+    return np.flatnonzero(np.cumsum(change)[: len(valid)])
+
+
+def reduced(texts: DataFrame, config: Config) -> DataFrame:
+    """doc, tokens, place, valid: the tokens of windows that may be near others; a window's start is ``valid``.
+
+    A window with more tokens that no other text holds than a near one may miss is near none.  One token in SAMPLE
+    is counted here, the others count as shared.
+    """
+    rows = texts.where("doc_id is not null").select(F.col("doc_id").alias("doc"), "text")
+    parts = _parts(texts)
+
+    def distinct_tokens():
         shingle = Shingler(config.n)
-        docs: list[int] = []
-        held: list[np.ndarray] = []
-        size = 0
 
-        def out() -> Iterator[pa.RecordBatch]:
-            nonlocal docs, held, size
-            if docs:
-                tokens, begins, gaps = _in_a_row(held)
-                yield _lists(docs, keys(tokens, gaps, config), begins)
-            docs, held, size = [], [], 0
+        def take(text: str) -> np.ndarray:
+            tokens = shingle.sequence(text)
+            return np.unique(tokens[_sampled(tokens)]) if len(tokens) >= config.window else tokens[:0]
+
+        return take
 
+    def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
+        shingle, times = Shingler(config.n), _Times()
         for batch in batches:
-            for doc, x in zip(batch["doc_id"].to_pylist(), batch["text"]):
-                tokens = shingle.sequence(x.as_py())
+            out = []
+            for k in _listed(batch, times):
+                doc, tokens = batch["doc"][k].as_py(), shingle.sequence(batch["text"][k].as_py())
                 if len(tokens) < config.window:
                     continue
-                docs.append(doc)
-                held.append(tokens)
-                size += len(tokens)
-                if size >= CHUNK_TOKENS:
-                    yield from out()
-        yield from out()
+                bad = _sampled(tokens)
+                bad[bad] = times.of(batch["part"][k].as_py(), doc, tokens[bad]) < 2
+                valid = _windows_with_few(bad, config.window, config.window - config.shared)
+                if valid.any():
+                    at = _covered(valid, config.window)
+                    out.append((doc, tokens[at].tobytes(), at.astype(np.int32).tobytes(), valid[at].tobytes()))
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), *(pa.array([x[c] for x in out], pa.binary()) for c in (1, 2, 3))], ["doc", "tokens", "place", "valid"])
         trim()
 
-    return texts.where("doc_id is not null").mapInArrow(make, "doc long, keys array<long>")
+    return _beside(rows, _counted(rows, "text", distinct_tokens, parts), parts, "text").mapInArrow(reduce, "doc long, tokens binary, place binary, valid binary")
+
+
+_HELD = pa.struct([("key", pa.int64()), ("first", pa.int32()), ("end", pa.int32()), ("n", pa.int32()), ("bits", pa.binary())])
 
 
-def longer_keys_of(weak: DataFrame, texts: DataFrame, config: Config) -> DataFrame:
-    """doc, keys: longer keys of the texts that hold ``weak`` keys (key, doc)."""
-    listed = stored(weak.groupBy("doc").agg(F.collect_set("key").alias("weak")), "passage-weak")
-    held = texts.join(listed, texts["doc_id"] == listed["doc"]).select("doc", "text", "weak")
+def least_tokens(tokens: np.ndarray, times: np.ndarray, valid: np.ndarray, config: Config) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Compact windows of an order above one: places of tokens, with the first and last window that holds them among its least.
+
+    Two windows that miss ``most`` tokens of each other at most share the least token that both hold, which is among the
+    ``most`` + 1 least distinct ones of either.  Rare tokens come first, so that a key has few holders; those that no
+    other text holds are no keys.
+    """
+    w, most = config.window, config.window - config.shared
+    level = np.frexp(times.astype(np.float64))[1].astype(np.uint64)
+    value = level << np.uint64(58) | _mix(tokens) >> np.uint64(6)
+    starts = np.flatnonzero(valid)
+    order = np.argsort(tokens, kind="stable")
+    same = np.flatnonzero(tokens[order][1:] == tokens[order][:-1])
+    before = None
+    if len(same):
+        before = np.full(len(tokens), -1)
+        before[order[same + 1]] = order[same]
+    least = np.zeros(len(tokens), np.uint64)  # of each valid window the greatest of its least tokens
+    for a in range(0, len(starts), 1 << 14):
+        at = starts[a : a + (1 << 14)]
+        held = np.lib.stride_tricks.sliding_window_view(value, w)[at]
+        if before is not None:
+            held[np.lib.stride_tricks.sliding_window_view(before, w)[at] >= at[:, None]] = _MOST
+        least[at] = np.partition(held, most, axis=1)[:, most] if most < w else _MOST
+    ahead = np.concatenate([np.zeros(w - 1, np.uint64), least])
+    nodes = np.flatnonzero((value <= ~running_minimum(~ahead, w)) & (times > 1))
+    first, last = np.zeros(len(nodes), np.int64), np.zeros(len(nodes), np.int64)
+    for a in range(0, len(nodes), 1 << 14):
+        p = nodes[a : a + (1 << 14)]
+        holds = np.lib.stride_tricks.sliding_window_view(ahead, w)[p] >= value[p][:, None]
+        first[a : a + (1 << 14)] = p - w + 1 + holds.argmax(axis=1)
+        last[a : a + (1 << 14)] = p - holds[:, ::-1].argmax(axis=1)
+    return nodes, first, last
+
+
+def around(tokens: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A bitmap of the tokens first .. end for each row."""
+    out = np.zeros((len(first), BITS // 8), np.uint8)
+    bit = (tokens >> np.uint64(7) & np.uint64(BITS - 1)).astype(np.int64)
+    for a in range(0, len(first), 1 << 12):
+        f, e = first[a : a + (1 << 12)], end[a : a + (1 << 12)]
+        size = e - f
+        row = np.repeat(np.arange(len(f)), size)
+        at = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size) + np.repeat(f, size)
+        flags = np.zeros((len(f), BITS), np.uint8)
+        flags[row, bit[at]] = 1
+        out[a : a + (1 << 12)] = np.packbits(flags, axis=1, bitorder="little")
+    return out
+
+
+def holders(parts_: DataFrame, config: Config) -> DataFrame:
+    """doc, tokens, place, valid, held: as ``reduced``, all tokens being counted, with the compact windows of each row.
+
+    Words first .. end are those of the windows that have the key; ``n`` tokens of theirs are in ``bits``.
+    """
+    parts = _parts(parts_)
+    schema = pa.schema([("doc", pa.int64()), ("tokens", pa.binary()), ("place", pa.binary()), ("valid", pa.binary()), ("held", pa.list_(_HELD))])
+
+    def distinct_tokens():
+        return lambda raw: np.unique(np.frombuffer(raw, np.uint64))
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forget()
-        shingle = Shingler(config.n)
+        times = _Times()
+        w, length = config.window, config.window + config.n - 1
         for batch in batches:
-            for name, x, w in zip(batch["doc"].to_pylist(), batch["text"], batch["weak"]):
-                tokens = shingle.sequence(x.as_py())
-                if len(tokens) >= config.window:
-                    found = longer_keys(keys(tokens, np.zeros(len(tokens), bool), config), np.sort(w.values.to_numpy().view(np.uint64)))
-                    if sum(len(x.token) for x in found):
-                        yield _lists([name], found, np.zeros(1, np.int64))
+            out, lists = [], []
+            for k in _listed(batch, times):
+                doc, tokens = batch["doc"][k].as_py(), np.frombuffer(batch["tokens"][k].as_py(), np.uint64)
+                place, valid = np.frombuffer(batch["place"][k].as_py(), np.int32), np.frombuffer(batch["valid"][k].as_py(), bool)
+                n = times.of(batch["part"][k].as_py(), doc, tokens)
+                valid = valid & _windows_with_few(n < 2, w, w - config.shared)
+                if not valid.any():
+                    continue
+                at = _covered(valid, w)
+                tokens, place, valid, n = tokens[at], place[at], valid[at], n[at]
+                nodes, first, last = least_tokens(tokens, n, valid, config)
+                bits, size = around(tokens, first, last + w), last + w - first
+                key, begin, end = tokens[nodes].view(np.int64), place[first], place[last] + length
+                if len(np.unique(key)) < len(key):  # places of one token that look alike are one
+                    what = np.concatenate([key[:, None].view(np.uint8), size[:, None].view(np.uint8), bits], axis=1)
+                    _, one, group = np.unique(what.view(f"V{what.shape[1]}").ravel(), return_index=True, return_inverse=True)
+                    begin_, end_ = np.full(len(one), np.iinfo(np.int32).max, np.int64), np.zeros(len(one), np.int64)
+                    np.minimum.at(begin_, group, begin)
+                    np.maximum.at(end_, group, end)
+                    key, size, bits, begin, end = key[one], size[one], bits[one], begin_, end_
+                out.append((doc, tokens.tobytes(), place.tobytes(), valid.tobytes()))
+                lists.append((key, begin, end, size, bits))
+            if not out:
+                continue
+            ends = np.cumsum([0] + [len(x[0]) for x in lists]).astype(np.int32)
+            key, begin, end, size = (np.concatenate([x[c] for x in lists]) for c in range(4))
+            raw = np.concatenate([x[4] for x in lists])
+            bits = pa.Array.from_buffers(pa.binary(), len(raw), [None, pa.py_buffer((np.arange(len(raw) + 1) * (BITS // 8)).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(raw))])
+            rows = pa.StructArray.from_arrays([pa.array(key, pa.int64()), *(pa.array(x.astype(np.int32)) for x in (begin, end, size)), bits], fields=list(_HELD))
+            plain = [pa.array([x[0] for x in out], pa.int64()), *(pa.array([x[c] for x in out], pa.binary()) for c in (1, 2, 3))]
+            yield pa.RecordBatch.from_arrays([*plain, pa.ListArray.from_arrays(pa.array(ends), rows)], schema=schema)
+        trim()
+
+    kinds = "doc long, tokens binary, place binary, valid binary, held array<struct<key:long,first:int,end:int,n:int,bits:binary>>"
+    return _beside(parts_, _counted(parts_, "tokens", distinct_tokens, parts), parts, "tokens").mapInArrow(make, kinds)
+
+
+# --- candidates
+
+
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    """Batches sorted by key, recut so that no key crosses two of them; with the ends of the keys."""
+    waiting: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not len(batch):
+            continue
+        key = batch["key"].to_numpy()
+        if waiting and key[-1] == waiting[0]["key"][0].as_py():
+            waiting.append(batch)
+            continue
+        table = pa.concat_batches([*waiting, batch])
+        key = table["key"].to_numpy()
+        ends = np.flatnonzero(key[1:] != key[:-1]) + 1
+        if len(ends):
+            yield table.slice(0, int(ends[-1])), ends
+            table = table.slice(int(ends[-1]))
+        waiting = [table]
+    if waiting:
+        table = pa.concat_batches(waiting)
+        yield table, np.array([len(table)])
+
+
+def _fit(bits: np.ndarray, n: np.ndarray, one: np.ndarray, other: np.ndarray, shared: int) -> np.ndarray:
+    """Of pairs of rows, may windows around the two places share enough?  A bit that the other lacks is a token that it lacks."""
+    out = np.zeros(len(one), bool)
+    for a in range(0, len(one), 1 << 15):
+        i, j = one[a : a + (1 << 15)], other[a : a + (1 << 15)]
+        x, y = bits[i], bits[j]
+        out[a : a + (1 << 15)] = (n[i] - np.bitwise_count(x & ~y).sum(axis=1, dtype=np.int64) >= shared) & (n[j] - np.bitwise_count(y & ~x).sum(axis=1, dtype=np.int64) >= shared)
+    return out
+
+
+def first_pairs(docs: np.ndarray, bits: np.ndarray, n: np.ndarray, ends: np.ndarray, shared: int) -> tuple[np.ndarray, np.ndarray, list[int]]:
+    """Places of pairs to test: of few holders all, of more those with a pivot; and groups of which some pairs are left.
+
+    The first row is a pivot, then the first that fits none before, and so on; a pivot meets all that fit it.
+    """
+    sizes = np.diff(ends, prepend=0)
+    starts = ends - sizes
+    ones, others, more = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], []
+    for m in range(2, FEW + 1):
+        at = starts[sizes == m][:, None]
+        one, other = np.triu_indices(m, 1)
+        one, other = (at + one).ravel(), (at + other).ravel()
+        fit = docs[one] != docs[other]
+        one, other = one[fit], other[fit]
+        fit = _fit(bits, n, one, other, shared)
+        ones.append(one[fit])
+        others.append(other[fit])
+    for k in np.flatnonzero(sizes > FEW).tolist():
+        rows = np.arange(starts[k], ends[k])
+        left, plain = rows, 0
+        while len(left):
+            pivot = left[0]
+            fit = rows[docs[rows] != docs[pivot]]
+            fit = fit[_fit(bits, n, np.full(len(fit), pivot), fit, shared)]
+            ones.append(np.full(len(fit), pivot))
+            others.append(fit)
+            still = left[1:][~np.isin(left[1:], fit, assume_unique=True)]
+            plain += len(left) - 1 - len(still)
+            left = still
+        if plain > 1:
+            more.append(k)
+    return np.concatenate(ones), np.concatenate(others), more
+
+
+def further_pairs(table: dict, bits: np.ndarray, ends: np.ndarray, shared: int, best: int) -> tuple[np.ndarray, np.ndarray, list[int]]:
+    """Places of pairs that may still tell something, ``best`` for each row; and groups that have more of them."""
+    docs, n, settled, later, part = (table[c] for c in ("doc", "n", "settled", "later", "class"))
+    ones, others, more, a = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [], 0
+    for k, b in enumerate(ends.tolist()):
+        rows, cut = np.arange(a, b), False
+        classes, sizes = np.unique(part[a:b], return_counts=True)
+        plain = settled[a:b] & (part[a:b] == classes[sizes.argmax()]) & (later[a:b] | (docs[a:b] == docs[a]))
+        for i in rows[~plain].tolist():  # two plain rows tell nothing; rows lie by doc
+            j = rows[(docs[a:b] != docs[i]) & (plain | (rows > i))]
+            j = j[~(settled[i] & settled[j] & later[np.maximum(i, j)] & (part[j] == part[i]))]
+            if len(j):
+                j = j[_fit(bits, n, np.full(len(j), i), j, shared)]
+                cut |= len(j) > best
+                ones.append(np.full(min(best, len(j)), i))
+                others.append(j[:best])
+        if cut:
+            more.append(k)
+        a = b
+    return np.concatenate(ones), np.concatenate(others), more
+
+
+def _candidates(rows: DataFrame, config: Config, choose) -> DataFrame:
+    """Pairs (u, v) of the rows' docs, u < v; a row with a key instead says that the key has more."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
+        for table, ends in _groups(batches):
+            held = {c: table[c].to_numpy(zero_copy_only=False) for c in table.schema.names if c != "bits"}
+            held["n"] = held["n"].astype(np.int64)
+            bits = np.frombuffer(b"".join(table["bits"].to_pylist()), np.uint64).reshape(len(table), -1)
+            one, other, more = choose(held, bits, ends, config.shared)
+            docs = held["doc"]
+            pairs = np.unique(np.stack([np.minimum(docs[one], docs[other]), np.maximum(docs[one], docs[other])]), axis=1)
+            none, keys = pa.nulls(len(more), pa.int64()), pa.array(held["key"][ends[more] - 1] if more else [], pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1]), pa.nulls(pairs.shape[1], pa.int64())], ["u", "v", "key"])
+            yield pa.RecordBatch.from_arrays([none, none, keys], ["u", "v", "key"])
         trim()
 
-    return held.mapInArrow(make, "doc long, keys array<long>")
+    return rows.repartition(_parts(rows), "key").sortWithinPartitions("key", "doc").mapInArrow(run, "u long, v long, key long").distinct()
 
 
 # --- two texts
 
 
 class Windows:
-    """A text's tokens, its intervals of all hash functions by key, and what looking tokens up needs.
+    """A text's tokens, which windows are looked at, and what looking tokens up needs.
 
-    ``content`` numbers the windows by what they hold: a window that repeats an earlier one is near to the same
-    windows, so intervals of such windows alone are left out, and what is found for one holds for all of them.
+    Windows that hold the same tokens in order are near to the same windows: ``content`` numbers them, and only the
+    first of each is looked at.
     """
 
-    def __init__(self, tokens: np.ndarray, key: np.ndarray, start: np.ndarray, end: np.ndarray, node: np.ndarray, config: Config) -> None:
-        self.tokens = tokens
+    def __init__(self, tokens: np.ndarray, valid: np.ndarray, window: int) -> None:
+        self.tokens, self.looked = tokens, valid
         self.order = np.argsort(tokens, kind="stable")
         self.sorted = tokens[self.order]
         self.distinct = not (self.sorted[1:] == self.sorted[:-1]).any()
         if not self.distinct:
-            _, first, self.content = np.unique(_window_hashes(tokens, config.window), return_index=True, return_inverse=True)
-            fresh = np.zeros(len(self.content) + 1, np.int64)
-            fresh[first + 1] = 1
-            fresh = np.cumsum(fresh)
-            new = fresh[end + 1] > fresh[start]
-            key, start, end, node = key[new], start[new], end[new], node[new]
-        self.key, self.start, self.end, self.node = key, start, end, node
+            self.starts = np.flatnonzero(valid)
+            _, first, self.content = np.unique(_window_hashes(tokens, window)[self.starts], return_index=True, return_inverse=True)
+            self.looked = np.zeros(len(tokens), bool)
+            self.looked[self.starts[first]] = True
 
     def alike(self, starts: np.ndarray) -> np.ndarray:
         """The starts and those of windows with the same content."""
-        if self.distinct:
+        if self.distinct or not len(starts):
             return starts
         held = np.zeros(self.content.max() + 1, bool)
-        held[self.content[starts]] = True
-        return np.flatnonzero(held[self.content])
+        held[self.content[np.searchsorted(self.starts, starts)]] = True
+        return self.starts[held[self.content]]
 
 
 def windows_of(texts: list[np.ndarray], config: Config) -> list[Windows]:
-    """Of each text, all of them looked at together; each has ``window`` tokens at least."""
-    tokens, begins, gaps = _in_a_row(texts)
-    found = intervals(tokens, gaps, config)
-    key = np.concatenate([_mix(x.token + np.uint64(f)) for f, x in enumerate(found)])
-    start, end, node = (np.concatenate([getattr(x, c) for x in found]) for c in ("start", "end", "node"))
-    text = np.searchsorted(begins, start, "right") - 1
-    order = np.lexsort((key, text))
-    cut = np.searchsorted(text[order], np.arange(len(texts) + 1))
-    out = []
-    for k, at in enumerate(begins.tolist()):
-        rows = order[cut[k] : cut[k + 1]]
-        out.append(Windows(texts[k], key[rows], start[rows] - at, end[rows] - at, node[rows] - at, config))
-    return out
+    """Of each text, all windows being looked at."""
+    return [Windows(t, np.arange(len(t)) <= len(t) - config.window, config.window) for t in texts]
 
 
 def _window_hashes(tokens: np.ndarray, window: int) -> np.ndarray:
@@ -343,114 +651,151 @@ def _window_hashes(tokens: np.ndarray, window: int) -> np.ndarray:
     return _mix(x[: len(x) - rest] * _MIX + x[rest:])
 
 
-def _slices(weights: np.ndarray) -> Iterator[tuple[int, int]]:
-    """Cuts of a list so that the weights of a part come to about PART, a part having one member at least."""
+def _slices(weights: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Cuts of a list so that the weights of a part come to about ``most``, a part having one member at least."""
     total, at = np.cumsum(weights), 0
     while at < len(total):
         before = total[at - 1] if at else 0
-        to = max(at + 1, int(np.searchsorted(total, before + PART, "right")))
+        to = max(at + 1, int(np.searchsorted(total, before + most, "right")))
         yield at, to
         at = to
 
 
-def offsets(one: Windows, other: Windows, enough: int) -> np.ndarray:
-    """Interval join: by how much places in ``other`` lie beyond those in ``one`` where ``enough`` hash functions agree.
+def _wanted(one: Windows, other: Windows, config: Config) -> np.ndarray:
+    """Windows of ``one`` that are looked at and hold enough tokens that ``other`` has anywhere."""
+    inside = other.sorted[np.minimum(np.searchsorted(other.sorted, one.tokens), len(other.sorted) - 1)] == one.tokens
+    return one.looked & _windows_with_few(~inside, config.window, config.window - config.shared)
+
+
+def _both(one: Windows, other: Windows, x: np.ndarray, y: np.ndarray, config: Config) -> np.ndarray:
+    """For pairs of windows: does the one at ``x`` hold enough of the tokens of the one at ``y``?"""
+    out, w = np.zeros(len(x), bool), np.arange(config.window)
+    for a in range(0, len(x), 1 << 10):
+        mine, theirs = one.tokens[x[a : a + (1 << 10), None] + w], other.tokens[y[a : a + (1 << 10), None] + w]
+        out[a : a + (1 << 10)] = (theirs[:, :, None] == mine[:, None, :]).any(2).sum(1) >= config.shared
+    return out
+
+
+def _offsets(seen: np.ndarray, config: Config) -> np.ndarray:
+    """Those at which tokens lie, and those at which windows may be near all the same.
+
+    These lie where tokens count on both sides, or where the window at the offset of some is none.
+    """
+    w, miss = config.window, config.window - config.shared
+    reach = np.minimum(np.diff(seen, append=seen[-1] + 4 * w), 4 * w)
+    until = np.where(reach < 2 * w, reach - 1, miss)
+    since = np.where(np.concatenate([[4 * w], reach[:-1]]) < 2 * w, 0, miss)
+    size = since + until + 1
+    return np.unique(np.arange(size.sum()) - np.repeat(np.cumsum(size) - size + since, size) + np.repeat(seen, size))
+
+
+def _sweep(one: Windows, other: Windows, xs: np.ndarray, ys: np.ndarray, hit_x: np.ndarray, hit_y: np.ndarray, config: Config, main: bool = False) -> None:
+    """Marks near windows, of those that are flagged in ``xs`` and ``ys``: all, or those at the main offsets.
 
-    Rows with the same key span rectangles of window starts.  A sweep over the starts of ``one`` cuts them into segments,
-    and within each segment another one over the starts of ``other`` counts the rectangles that lie above one another.
-    Starts of ``one``, then segments, are taken in parts, so that no more than about PART rectangles are held at once.
+    Interval join: a token at p of ``one`` and q of ``other`` counts, at the offset o, for the windows x of ``one`` that hold
+    p and whose counterpart x + o holds q; a sweep over x finds where enough lie above one another.
     """
-    low, high = np.searchsorted(other.key, one.key, "left"), np.searchsorted(other.key, one.key, "right")
-    rows = np.flatnonzero(high > low)
-    if len(rows) < enough:
-        return np.zeros(0, np.int64)
-    rows = rows[np.argsort(one.start[rows], kind="stable")]
-    times, low, start, end, node = (high - low)[rows], low[rows], one.start[rows], one.end[rows] + 1, one.node[rows]
-    span, found = np.int64(2 * (len(other.tokens) + 2)), [np.zeros(0, np.int64)]
-    begins = np.unique(np.concatenate([[start[a] for a, _ in _slices(times)], [end.max()]]))
-    for x0, x1 in zip(begins[:-1].tolist(), begins[1:].tolist()):
-        k = np.flatnonzero((start < x1) & (end > x0))
-        a = np.repeat(k, times[k])
-        b = np.arange(len(a)) - np.repeat(np.cumsum(times[k]) - times[k], times[k]) + np.repeat(low[k], times[k])
-        a0, a1, b0, b1 = np.maximum(start[a], x0), np.minimum(end[a], x1), other.start[b], other.end[b] + 1
-        cuts = np.unique(np.concatenate([a0, a1]))
-        first, last = np.searchsorted(cuts, a0), np.searchsorted(cuts, a1)
-        shift = other.node[b] - node[a]
-        over = np.cumsum(np.bincount(first, minlength=len(cuts)) - np.bincount(last, minlength=len(cuts)))
-        for s0, s1 in _slices(over):
-            since = np.maximum(first, s0)
-            length = np.maximum(np.minimum(last, s1) - since, 0)
-            r = np.repeat(np.arange(len(a)), length)
-            segment = np.arange(len(r)) - np.repeat(np.cumsum(length) - length, length) + np.repeat(since, length)
-            # events in order of segment and start, those that end a rectangle first
-            event = np.concatenate([segment * span + 2 * b0[r] + 1, segment * span + 2 * b1[r]])
-            event.sort()
-            full = np.cumsum(np.where(event & 1, 1, -1)) >= enough
-            if full.any():
-                hit = np.zeros(s1 - s0, bool)
-                hit[event[full] // span - s0] = True
-                found.append(np.unique(shift[r[hit[segment - s0]]]))
-    return np.unique(np.concatenate(found))
-
-
-def may_be_near(tokens: np.ndarray, others: np.ndarray, config: Config) -> bool:
-    """Has some window of the tokens ``shared`` of them among the others (sorted), wherever?  If not, none is near."""
-    inside = others[np.minimum(np.searchsorted(others, tokens), len(others) - 1)] == tokens
-    if np.count_nonzero(inside) < config.shared:
+    w = config.window
+    here, there = _covered(xs, w), _covered(ys, w)
+    rows = there[np.argsort(other.tokens[there], kind="stable")]  # equal tokens lie by place
+    sorted_ = other.tokens[rows]
+    low = np.zeros(len(one.tokens), np.int64)
+    times = np.zeros(len(one.tokens), np.int64)
+    low[here] = np.searchsorted(sorted_, one.tokens[here], "left")
+    times[here] = np.searchsorted(sorted_, one.tokens[here], "right") - low[here]
+    starts = np.flatnonzero(xs)
+    sums = np.concatenate([[0], np.cumsum(times)])
+    for s0, s1 in _slices(np.diff(sums[starts], prepend=sums[starts[0]]) + 1, PART):
+        x0, x1 = int(starts[s0]), int(starts[s1 - 1]) + 1
+        at = np.arange(x0, x1 + w - 1)
+        m = times[at]
+        p = np.repeat(at, m)
+        k = np.arange(len(p)) - np.repeat(np.cumsum(m) - m, m)
+        row = k + np.repeat(low[at], m)
+        q = rows[row]
+        d = q - p
+        # the places of the token before and after q, as offsets
+        far = np.int64(1) << 40
+        before = np.where(k > 0, rows[row - 1] - p, -far)
+        after = np.where(k < np.repeat(m, m) - 1, rows[np.minimum(row + 1, len(rows) - 1)] - p, far)
+        if not len(d):
+            continue
+        order = np.argsort(d, kind="stable")
+        p, q, d, before, after = p[order], q[order], d[order], before[order], after[order]
+        seen, often = np.unique(d, return_counts=True)
+        offsets = seen[often >= config.shared // 2] if main else _offsets(seen, config)
+        first, last = np.searchsorted(d, offsets - w + 1, "left"), np.searchsorted(d, offsets + w - 1, "right")
+        enough = last - first >= config.shared
+        offsets, first, size = offsets[enough], first[enough], (last - first)[enough]
+        for o0, o1 in _slices(size + (x1 - x0), PART):
+            o, number = offsets[o0:o1], size[o0:o1]
+            of = np.repeat(np.arange(len(o)), number)
+            r = np.arange(len(of)) - np.repeat(np.cumsum(number) - number, number) + np.repeat(first[o0:o1], number)
+            counts_here = (o[of] >= before[r]) & (o[of] < after[r])  # q is the nearest on its side
+            of, r = of[counts_here], r[counts_here]
+            shift, place, base = d[r] - o[of], p[r], q[r] - o[of]
+            begin = np.where(shift <= 0, place - w + 1, base - w + 1)
+            end = np.where(shift <= 0, base, place)
+            # tokens that are found on both sides count once
+            twice = (shift <= 0) & (after[r] - d[r] < w)
+            b2, e2 = (after[r] + place - o[of] - w + 1)[twice], base[twice]
+            width = x1 - x0 + 1
+            change = np.zeros(len(o) * width, np.int64)
+            for f, b, e, sign in ((of, begin, end, 1), (of[twice], b2, e2, -1)):
+                b, e = np.clip(b, x0, x1), np.clip(e + 1, x0, x1)
+                some = e > b
+                change += sign * np.bincount(f[some] * width + b[some] - x0, minlength=len(change))
+                change -= sign * np.bincount(f[some] * width + e[some] - x0, minlength=len(change))
+            full = np.cumsum(change.reshape(len(o), width), axis=1)[:, :-1] >= config.shared
+            f, x = np.nonzero(full & xs[x0:x1])
+            x, y = x + x0, (x + x0) + o[f]
+            fits = (y >= 0) & (y < len(ys))
+            x, y = x[fits], y[fits]
+            x, y = x[ys[y]], y[ys[y]]
+            if len(x) and not (one.distinct and other.distinct):
+                new = ~(hit_x[x] & hit_y[y])
+                x, y = x[new], y[new]
+                near = _both(one, other, x, y, config)
+                x, y = x[near], y[near]
+            hit_x[x] = True
+            hit_y[y] = True
+
+
+def _each(one: Windows, other: Windows, xs: np.ndarray, ys: np.ndarray, hit_x: np.ndarray, hit_y: np.ndarray, config: Config) -> bool:
+    """As ``_sweep``, each window of ``xs`` being held against all of ``ys``; False if that is too much."""
+    w = config.window
+    x, there = np.flatnonzero(xs), _covered(ys, w)
+    low = np.searchsorted(one.sorted, other.tokens[there], "left")
+    times = np.searchsorted(one.sorted, other.tokens[there], "right") - low
+    there, low, times = there[times > 0], low[times > 0], times[times > 0]
+    most = int(times.max(initial=0))
+    if len(x) * (len(there) * most + len(ys)) > EACH:
         return False
-    count = np.concatenate([[0], np.cumsum(inside)])
-    return bool((count[config.window :] - count[: -config.window]).max() >= config.shared)
-
-
-class Lookup:
-    """Where the tokens of ``one`` lie in ``other``."""
-
-    def __init__(self, one: Windows, other: Windows) -> None:
-        self.n, self.m, self.other = len(one.tokens), len(other.tokens), other
-        first = np.searchsorted(other.sorted, one.tokens)
-        self.places = np.flatnonzero(other.sorted[np.minimum(first, self.m - 1)] == one.tokens)
-        self.first = first[self.places]
-        if not other.distinct:
-            self.last = np.searchsorted(other.sorted, one.tokens[self.places], "right") - 1
-            rank = np.searchsorted(other.sorted, other.sorted)  # the first row of each token
-            self.rows = rank * np.int64(self.m + 1) + other.order  # equal tokens lie by place
-
-    def nearest(self, offset: int) -> np.ndarray:
-        """The place in ``other`` that is nearest to each place plus the offset and has its token."""
-        if self.other.distinct:
-            return self.other.order[self.first]
-        wanted = self.places + offset
-        after = np.searchsorted(self.rows, self.first * np.int64(self.m + 1) + np.clip(wanted, 0, self.m))
-        x, y = (self.other.order[np.clip(k, self.first, self.last)] for k in (after - 1, after))
-        return np.where(np.abs(x - wanted) <= np.abs(y - wanted), x, y)
-
-    def counts(self, offset: int, window: int) -> np.ndarray:
-        """For each window start x of ``one``: so many of its tokens lie in the window of ``other`` that begins at x + offset.
-
-        A token counts for the windows that hold both places.
-        """
-        there = self.nearest(offset) - offset
-        low, high = np.minimum(there, self.places), np.maximum(there, self.places)
-        fits = (high - low < window) & (low >= 0) & (high < self.n)
-        until, before = (np.concatenate([[0], np.cumsum(np.bincount(x[fits], minlength=self.n))]) for x in (high, low))
-        # what ends in the window, but for what begins before it
-        return until[window:] - before[: self.n - window + 1]
+    inside = np.zeros((len(x), len(ys) + 1), np.int32)
+    for k in range(most):
+        some = times > k
+        p = one.order[low[some] + k]
+        inside[:, there[some] + 1] |= (p >= x[:, None]) & (p < x[:, None] + w)
+    inside = np.cumsum(inside, axis=1, dtype=np.int32)
+    f, y = np.nonzero((inside[:, w:] - inside[:, :-w] >= config.shared) & ys[: len(ys) - w + 1])
+    if len(f):
+        near = _both(other, one, y, x[f], config)
+        hit_x[x[f[near]]] = True
+        hit_y[y[near]] = True
+    return True
 
 
 def passages(one: Windows, other: Windows, config: Config) -> tuple[np.ndarray, np.ndarray]:
-    """Starts of near windows, in ``one`` and in ``other``."""
-    ones, others = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    found = offsets(one, other, config.enough)
-    if len(found):
-        ahead, back = Lookup(one, other), None if one.distinct and other.distinct else Lookup(other, one)
-        for offset in found.tolist():
-            x = np.flatnonzero(ahead.counts(offset, config.window) >= config.shared)
-            x = x[(x + offset >= 0) & (x + offset <= len(other.tokens) - config.window)]
-            if len(x) and back:
-                x = x[back.counts(-offset, config.window)[x + offset] >= config.shared]
-            ones.append(x)
-            others.append(x + offset)
-    return one.alike(np.unique(np.concatenate(ones))), other.alike(np.unique(np.concatenate(others)))
+    """Starts of near windows, in ``one`` and in ``other``: all that there are."""
+    xs, ys = _wanted(one, other, config), _wanted(other, one, config)
+    hit_x, hit_y = np.zeros(len(xs), bool), np.zeros(len(ys), bool)
+    if xs.any() and ys.any():
+        _sweep(one, other, xs, ys, hit_x, hit_y, config, main=True)
+        if (left := xs & ~hit_x).any() and not _each(one, other, left, ys, hit_x, hit_y, config):
+            _sweep(one, other, left, ys, hit_x, hit_y, config)
+        if (left := ys & ~hit_y).any() and not _each(other, one, left, xs, hit_y, hit_x, config):
+            _sweep(other, one, left, xs, hit_y, hit_x, config)
+    return one.alike(np.flatnonzero(hit_x)), other.alike(np.flatnonzero(hit_y))
 
 
 def spans(starts: np.ndarray, config: Config) -> list[dict[str, int]]:
@@ -465,128 +810,101 @@ _SPANS = "u long, v long, u_spans array<struct<first:long,end:long>>, v_spans ar
 
 
 def verified(pairs: DataFrame, texts: DataFrame, config: Config) -> DataFrame:
-    """Those of the pairs (u, v) that share a passage, with its spans on both sides.
+    """Those of the pairs (u, v) that share a passage, with its spans on both sides; texts has doc, tokens, place, valid.
 
     A text u is sent once along with ``BESIDE`` of its partners and is taken apart once for them.
     """
     ids = stored(pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct(), "passage-ids")
-    held = stored(texts.join(_few(ids), texts["doc_id"] == ids["id"], "left_semi").dropDuplicates(["doc_id", "text"]), "passage-texts")
-    sizes = pairs.groupBy("u").agg(F.ceil(F.count("*") / BESIDE).cast("int").alias("parts"))
+    held = texts.join(_few(ids), texts["doc"] == ids["id"], "left_semi").select("doc", "tokens", "place", "valid")
+    sizes = stored(pairs.groupBy("u").agg(F.ceil(F.count("*") / BESIDE).cast("int").alias("parts")), "passage-hubs")
     dealt = pairs.join(sizes, "u").withColumn("part", F.pmod(F.xxhash64("v"), F.col("parts")).cast("int"))
     hubs = sizes.select("u", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-    hubs = hubs.join(held.select(F.col("doc_id").alias("u"), "text"), "u").select("u", "part", F.lit(None).cast("long").alias("v"), "text")
-    others = dealt.join(held.select(F.col("doc_id").alias("v"), "text"), "v").select("u", "part", "v", "text")
-    rows = hubs.unionByName(others).repartition("u", "part").sortWithinPartitions("u", "part", F.asc_nulls_first("v"))
+    hubs = hubs.join(held, hubs["u"] == held["doc"]).select("u", "part", F.lit(None).cast("long").alias("v"), "tokens", "place", "valid")
+    others = dealt.join(held, dealt["v"] == held["doc"]).select("u", "part", "v", "tokens", "place", "valid")
+    rows = hubs.unionByName(others).repartition(_parts(pairs), "u", "part").sortWithinPartitions("u", "part", F.asc_nulls_first("v"))
     span = pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64())]))
     kind = pa.schema([("u", pa.int64()), ("v", pa.int64()), ("u_spans", span), ("v_spans", span)])
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forget()
-        shingle, at, rough, hub = Shingler(config.n), None, [], []
-
-        def found(held: list[tuple]) -> Iterator[dict]:
-            """Texts that no pivot before them can be near to are not taken apart; ``rough`` has the pivots' sorted tokens."""
-            nonlocal at, rough, hub
-            of_use = []
-            for u, part, v, x in held:
+        hub, at = [], None
+        for batch in batches:
+            out = []
+            for k, (u, part, v) in enumerate(zip(batch["u"].to_pylist(), batch["part"].to_pylist(), batch["v"].to_pylist())):
+                place = np.frombuffer(batch["place"][k].as_py(), np.int32).astype(np.int64)
+                this = Windows(np.frombuffer(batch["tokens"][k].as_py(), np.uint64), np.frombuffer(batch["valid"][k].as_py(), bool), config.window)
                 if (u, part) != at:
-                    at, rough = (u, part), []
+                    at, hub = (u, part), []
                 if v is None:
-                    rough.append(np.sort(x))
-                if v is None or any(may_be_near(x, r, config) for r in rough):
-                    of_use.append((u, part, v, x))
-            made = windows_of([x for *_, x in of_use], config) if of_use else []
-            for (u, part, v, _), this in zip(of_use, made):
-                if hub and (u, part) != hub[0][0]:
-                    hub = []
-                if v is None:
-                    hub.append(((u, part), this))
+                    hub.append((this, place))
                     continue
-                for _, one in hub:
+                for one, one_place in hub:
                     a, b = passages(one, this, config)
                     if len(a):
-                        yield {"u": u, "v": v, "u_spans": spans(a, config), "v_spans": spans(b, config)}
-
-        for batch in batches:
-            out, held, size = [], [], 0
-            for u, part, v, x in zip(batch["u"].to_pylist(), batch["part"].to_pylist(), batch["v"].to_pylist(), batch["text"]):
-                tokens = shingle.sequence(x.as_py())
-                if len(tokens) >= config.window:
-                    held.append((u, part, v, tokens))
-                    size += len(tokens)
-                if size >= CHUNK_TOKENS:
-                    out += found(held)
-                    held, size = [], 0
-            if held:
-                out += found(held)
+                        out.append({"u": u, "v": v, "u_spans": spans(one_place[a], config), "v_spans": spans(place[b], config)})
             yield pa.RecordBatch.from_pylist(out, kind)
         trim()
 
     return stored(rows.mapInArrow(verify, _SPANS), "passage-links")
 
 
+def each_side(links: DataFrame) -> DataFrame:
+    """id, first, end (words): the distinct spans of every document that has a link."""
+    side = F.explode(F.array(F.struct(F.col("u").alias("id"), F.col("u_spans").alias("s")), F.struct(F.col("v").alias("id"), F.col("v_spans").alias("s"))))
+    # a hub holds few distinct spans, however many documents share them
+    lists = links.select(side.alias("l")).select("l.id", "l.s").distinct()
+    return lists.select("id", F.explode("s").alias("s")).select("id", "s.first", "s.end").distinct()
+
+
+def joined_spans(links: DataFrame) -> DataFrame:
+    """id, s: the words of its spans, those that meet being one."""
+    held = each_side(links).groupBy("id").agg(F.array_sort(F.collect_list(F.struct("first", "end"))).alias("s"))
+    start = F.array().cast("array<struct<first:long,end:long>>")
+
+    def step(done, s):
+        last = F.element_at(done, -1)
+        longer = F.struct(last["first"].alias("first"), F.greatest(last["end"], s["end"]).alias("end"))
+        joined = F.concat(F.slice(done, 1, F.size(done) - 1), F.array(longer))
+        return F.when(F.size(done) == 0, F.array(s)).when(s["first"] <= last["end"], joined).otherwise(F.concat(done, F.array(s)))
+
+    return held.select("id", F.aggregate("s", start, step).alias("s"))
+
+
 class Search:
-    """The links of a table of texts (doc_id, text), of which no two are equal."""
+    """The links of a table of texts (doc_id, text), of which no two are equal.
+
+    A pair of texts that hold a key is tested, or it could tell nothing new: the words of the windows with that key are
+    found on both sides, the two have one class, and the later one holds a passage of an earlier one.
+    """
 
     def __init__(self, texts: DataFrame, config: Config) -> None:
-        self.texts, self.config = texts, config
-        self.tested: DataFrame | None = None
-        self.links: DataFrame | None = None
-        held = _held(stored(keys_of_all(texts, config), "passage-keys"))
-        large = held.where(F.col("holders") > FEW)
-        self._test(self._each_with_each(held).unionByName(large.where("doc <> first").select(F.col("first").alias("u"), F.col("doc").alias("v"))))
-        # keys of which a holder fails against the first
-        linked = self.links.select(F.col("u").alias("first"), F.col("v").alias("doc")).distinct()
-        weak = stored(large.where("doc <> first").join(linked, ["first", "doc"], "left_anti").select("key").distinct(), "passage-weak-keys")
-        if not weak.isEmpty():
-            self._longer(held.join(weak, "key", "left_semi").select("key", "doc"))
-
-    @staticmethod
-    def _each_with_each(held: DataFrame) -> DataFrame:
-        """All pairs of the holders of a key; there are FEW at most."""
-        few = held.where(F.col("holders") <= FEW).groupBy("key").agg(F.sort_array(F.collect_set("doc")).alias("docs"))
-        pair = F.explode(F.flatten(F.transform("docs", lambda u, k: F.transform(F.slice("docs", k + 2, F.lit(FEW)), lambda v: F.struct(u.alias("u"), v.alias("v"))))))
-        return few.select(pair.alias("p")).select("p.u", "p.v")
-
-    def _test(self, pairs: DataFrame) -> None:
-        pairs = pairs.distinct()
-        pairs = stored(pairs if self.tested is None else pairs.join(self.tested, ["u", "v"], "left_anti"), "passage-pairs")
-        new = verified(pairs, self.texts, self.config)
-        self.tested = pairs if self.tested is None else self.tested.unionByName(pairs)
-        self.links = new if self.links is None else self.links.unionByName(new)
-
-    def _longer(self, weak: DataFrame) -> None:
-        """The rounds over longer keys.  A key's pivots are its first text and others by hash, in number as wanted or all."""
-        held = _held(stored(longer_keys_of(weak, self.texts, self.config), "passage-longer"))
-        self._test(self._each_with_each(held))
-        held = held.where(F.col("holders") > FEW).select("key", "doc").distinct()
-        tied, rest, pivots = None, held, PIVOTS
-        while not rest.isEmpty():
-            sizes = rest.groupBy("key").agg(F.min("doc").alias("first"), F.count("*").alias("n"))
-            is_pivot = (F.col("doc") == F.col("first")) | (F.pmod(F.xxhash64("doc"), F.col("n")) < pivots)
-            marked = stored(rest.join(sizes, "key").select("key", "doc", is_pivot.alias("is_pivot")), "passage-marked")
-            chosen = marked.where("is_pivot").select("key", F.col("doc").alias("pivot"))
-            met = chosen.join(held, "key").where("pivot <> doc")
-            self._test(met.select(F.least("pivot", "doc").alias("u"), F.greatest("pivot", "doc").alias("v")))
-            left = marked.where("not is_pivot").select("key", "doc")
-            both = self.links.select(F.explode(F.array(F.struct(F.col("u").alias("pivot"), F.col("v").alias("doc")), F.struct(F.col("v").alias("pivot"), F.col("u").alias("doc")))).alias("l"))
-            known = both.select("l.pivot", "l.doc").distinct()
-            now = stored(left.join(chosen, "key").join(known, ["pivot", "doc"]).groupBy("key", "doc").agg(F.min("pivot").alias("pivot")), "passage-tied")
-            tied = now if tied is None else tied.unionByName(now)
-            rest = stored(left.join(now, ["key", "doc"], "left_anti"), "passage-rest")
-            pivots *= MORE_PIVOTS
-        if tied is None:
-            return
-        several = stored(tied.groupBy("key").agg(F.min("pivot").alias("a"), F.max("pivot").alias("b")).where("a < b").select("key"), "passage-several-pivots")
-        if several.isEmpty():
-            return
+        self.config = config
+        self.texts = stored(holders(stored(reduced(texts, config), "passage-parts"), config), "passage-windows")
+        held = self.texts.select("doc", F.explode("held").alias("h")).select("h.key", "doc", "h.first", "h.end", "h.n", "h.bits")
+        out = _candidates(held.select("key", "doc", "n", "bits"), config, lambda t, bits, ends, shared: first_pairs(t["doc"], bits, t["n"], ends, shared))
+        out = stored(out, "passage-pairs")
+        self.tested = out.where("key is null").select("u", "v")
+        self.links = verified(self.tested, self.texts, config)
+        left, best = out.where("key is not null").select("key"), PIVOTS
+        while not left.isEmpty():
+            out = stored(self._further(held.join(_few(left), "key", "left_semi"), best), "passage-further")
+            pairs = stored(out.where("key is null").select("u", "v").join(self.tested, ["u", "v"], "left_anti"), "passage-untested")
+            self.links = self.links.unionByName(verified(pairs, self.texts, config))
+            self.tested = self.tested.unionByName(pairs)
+            left, best = out.where("key is not null").select("key"), best * MORE_PIVOTS
+
+    def _further(self, rows: DataFrame, best: int) -> DataFrame:
+        """Pairs of the rows (key, doc, first, end, n, bits) that may tell something that is not known yet."""
         found = components(self.links.select("u", "v"))
-        placed = tied.join(several, "key", "left_semi").join(found, F.col("doc") == F.col("node"), "left").select("key", "doc", F.coalesce("component", "doc").alias("class"))
-        mixed = placed.groupBy("key").agg(F.min("class").alias("a"), F.max("class").alias("b")).where("a < b").select("key")
-        placed = stored(placed.join(mixed, "key", "left_semi"), "passage-placed")
-        if not placed.isEmpty():
-            other = placed.select("key", F.col("doc").alias("v"), F.col("class").alias("v_class"))
-            self._test(placed.withColumnRenamed("doc", "u").join(other, "key").where("u < v and class <> v_class").select("u", "v"))
+        later = self.links.select(F.col("v").alias("doc")).distinct().withColumn("later", F.lit(True))
+        known = joined_spans(self.links).join(found, F.col("id") == F.col("node"), "left")
+        known = known.select(F.col("id").alias("doc"), "s", F.coalesce("component", "id").alias("class")).join(later, "doc", "left")
+        known = stored(known, "passage-known")
+        inside = F.exists("s", lambda s: (s["first"] <= F.col("first")) & (s["end"] >= F.col("end")))
+        rows = rows.join(known, "doc", "left").select("key", "doc", "n", "bits", F.coalesce(inside, F.lit(False)).alias("settled"), F.coalesce("later", F.lit(False)).alias("later"), F.coalesce("class", "doc").alias("class"))
+        state = rows.groupBy("key").agg(F.min("class").alias("a"), F.max("class").alias("b"), F.min("settled").alias("settled"), F.min("doc").alias("first"), F.max(F.when(~F.col("later"), F.col("doc"))).alias("last"))
+        open_ = state.where("a < b or not settled or last > first").select("key")
+        return _candidates(rows.join(open_, "key", "left_semi"), self.config, lambda t, bits, ends, shared: further_pairs(t, bits, ends, shared, best))
 
 
 def equal_texts(texts: DataFrame, config: Config) -> tuple[DataFrame, DataFrame]:
@@ -636,18 +954,7 @@ class Passages:
         """
         later = self.links.groupBy(F.col("v").alias("id")).agg(F.sort_array(F.collect_set("u")).alias("partners"))
         count = self.links.select("u", "v").distinct().select(F.explode(F.array("u", "v")).alias("id")).groupBy("id").agg(F.count("*").alias("n_links"))
-        # a hub holds few distinct spans, however many documents share them
-        marks = self.spans().groupBy(F.col("doc_id").alias("id"), "first", "end").agg(F.count("*").alias("n"))
-        held = marks.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("first", "end"))).alias("s"))
-        start = F.array().cast("array<struct<first:long,end:long>>")
-
-        def step(done, s):
-            last = F.element_at(done, -1)
-            longer = F.struct(last["first"].alias("first"), F.greatest(last["end"], s["end"]).alias("end"))
-            joined = F.concat(F.slice(done, 1, F.size(done) - 1), F.array(longer))
-            return F.when(F.size(done) == 0, F.array(s)).when(s["first"] <= last["end"], joined).otherwise(F.concat(done, F.array(s)))
-
-        held = held.select("id", F.aggregate("s", start, step).alias("s"))
+        held = joined_spans(self.links)
         text = F.array_join(F.transform("s", lambda s: F.concat_ws(":", s["first"], s["end"])), ",")
         words = F.aggregate("s", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["first"])
         found = components(self.links.select("u", "v"))
