@@ -192,6 +192,22 @@ def test_a_large_family_without_links(spark, monkeypatch):
     assert got == {k: (k - 5000 if k >= 5000 else k) for k, _ in rows}
 
 
+def test_a_pair_that_meets_in_several_tiles_is_named_once():
+    rng, m = np.random.default_rng(19), 12
+    common = rng.integers(0, 1 << 62, 100).astype(np.uint64)
+    held = [np.sort(np.concatenate([common, rng.integers(0, 1 << 62, 4).astype(np.uint64)])) for _ in range(m)]
+    keys = [np.array(x) for x in [[3, 5, 9]] * 6 + [[5, 9]] * 6]
+    named = []
+    for key in (3, 5, 9):
+        at = [k for k in range(m) if key in keys[k]]
+        group = {c: np.zeros(len(at), np.int64) for c in ("i", "j", "block")}
+        group |= {"id": np.array(at), "component": np.array(at), "n": np.full(len(at), 104), "lower": np.zeros(len(at), bool), "key": np.full(len(at), key)}
+        u, v, more = ngram_join._across(group | {"bits": [ngram_join.bitmap(held[k], 2) for k in at], "keys": [keys[k] for k in at]}, 80, m)
+        assert not more
+        named += zip(u.tolist(), v.tolist())
+    assert sorted(named) == [(u, v) for u in range(m) for v in range(u)]
+
+
 def test_the_best_pairs_of_each_member(monkeypatch):
     rng = np.random.default_rng(16)
     one, other = np.triu_indices(12, 1)

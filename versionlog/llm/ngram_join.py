@@ -63,6 +63,8 @@ PIVOTS = 8
 BLOCK = 8192
 #: Pairs of each member of a tile that are tried in the first round, and times as many in each further one.
 BEST, MORE = 4, 16
+#: So many tiles before one are known there, the most common ones; pairs that meet in others are named again.
+BEFORE = 1024
 #: Pairs that are given on at once.
 PAIR_ROWS = 50_000
 #: Bytes of bitmaps that are compared at once.
@@ -381,15 +383,31 @@ def _best(one: np.ndarray, other: np.ndarray, near: np.ndarray, best: int) -> np
     return np.unique(pair[np.arange(len(member)) - first < best])
 
 
+def _met_before(keys: list[np.ndarray], key: int) -> np.ndarray:
+    """For each member of the tile ``key`` a bitmap of the tiles before it that hold the member and others of them."""
+    member, held = np.repeat(np.arange(len(keys)), [len(x) for x in keys]), np.concatenate(keys)
+    member, held = member[held < key], held[held < key]
+    _, which, times = np.unique(held, return_inverse=True, return_counts=True)
+    place = np.full(len(times), -1)
+    most = np.argsort(-times, kind="stable")[:BEFORE]
+    most = most[times[most] > 1]
+    place[most] = np.arange(len(most))
+    out = np.zeros((len(keys), max(1, -(-len(most) // 64))), np.uint64)
+    at = place[which]
+    member, at = member[at >= 0], at[at >= 0]
+    np.bitwise_or.at(out, (member, at // 64), np.uint64(1) << (at % 64).astype(np.uint64))
+    return out
+
+
 def _across(group: dict, percent: int, best: int) -> tuple[np.ndarray, np.ndarray, bool]:
     """Pairs of different components: of one block each with each, of two blocks each with those of the other.
 
     The ``best`` of each member, by their bounds; and whether there were more.  No more than these are held
-    beside what is compared at once.
+    beside what is compared at once.  A pair that meets in several tiles (``keys``) is one of the first alone.
     """
     lower, block, m = group["lower"], group["block"], len(group["id"])
     words = min(map(len, group["bits"])) // 8
-    maps = np.stack([folded(x, words) for x in group["bits"]])
+    maps, met = np.stack([folded(x, words) for x in group["bits"]]), _met_before(group["keys"], int(group["key"][0]))
     whole, total, waiting = group["i"][0] == group["j"][0], 0, 0
     most, found = max(1, COMPARED_BYTES // (8 * words)), []
     step = max(1, most // m)
@@ -407,7 +425,9 @@ def _across(group: dict, percent: int, best: int) -> tuple[np.ndarray, np.ndarra
             of_use &= block[one] != block[other]
         one, other = one[of_use], other[of_use]
         for k in range(0, len(one), most):
-            found.append(_passing(group, maps, one[k : k + most], other[k : k + most], percent))
+            passing = _passing(group, maps, one[k : k + most], other[k : k + most], percent)
+            new = ~(met[passing[0]] & met[passing[1]]).any(axis=1)
+            found.append(tuple(x[new] for x in passing))
             total += len(found[-1][0])
             waiting += len(found[-1][0])
         if waiting > best * m + most:
@@ -439,13 +459,16 @@ def _across_tiles(part: DataFrame, bits: DataFrame, percent: int, best: int) ->
     A row with a key instead says that its tile had more pairs than the best.  A block of a tile is one task's.
     """
     mixed = part.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("key")
-    rows = _blocks(part.join(mixed, "key"), percent).join(bits, "id")
-    keys, columns = ["key", "band", "i", "j"], rows.columns
+    part = part.join(mixed, "key")
+    tiles = part.groupBy("id", "n").agg(F.collect_list("key").alias("keys"))  # rows may repeat an id
+    rows = _blocks(part, percent).join(bits, "id").join(tiles, ["id", "n"])
+    keys, columns = ["key", "band", "i", "j"], [c for c in rows.columns if c != "keys"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forget()
         for table, ends in _tiles(batches, keys):
             held = {c: (table[c].to_pylist() if c == "bits" else table[c].to_numpy(zero_copy_only=False)) for c in columns}
+            held["keys"] = [x.values.to_numpy() for x in table["keys"]]
             us, vs, more = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], []
             for a, b in zip([0, *ends[:-1].tolist()], ends.tolist()):
                 if b - a > 1:
