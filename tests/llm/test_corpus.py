@@ -1,5 +1,6 @@
 import hashlib
-from collections import defaultdict
+import os
+from collections import Counter, defaultdict
 from fractions import Fraction
 from pathlib import Path
 
@@ -208,6 +209,40 @@ def test_a_pair_that_meets_in_several_tiles_is_named_once():
     assert sorted(named) == [(u, v) for u in range(m) for v in range(u)]
 
 
+def test_first_tiles_are_enough_to_name_every_pair():
+    """Members know some of their tiles: each pair with a tile in common is named, and once if both know one in common."""
+    rng, m, most = np.random.default_rng(20), 16, 6
+    common = rng.integers(0, 1 << 62, 100).astype(np.uint64)
+    bits = [ngram_join.bitmap(np.sort(np.concatenate([common, rng.integers(0, 1 << 62, 4).astype(np.uint64)])), 2) for _ in range(m)]
+    keys = [np.sort(rng.choice(40, rng.integers(4, 30), replace=False)) for _ in range(m)]
+    named = Counter()
+    for key in range(40):
+        at = [k for k in range(m) if key in keys[k]]
+        if len(at) > 1:
+            group = {c: np.zeros(len(at), np.int64) for c in ("i", "j", "block")}
+            group |= {"id": np.array(at), "component": np.array(at), "n": np.full(len(at), 104), "lower": np.zeros(len(at), bool), "key": np.full(len(at), key)}
+            u, v, _ = ngram_join._across(group | {"bits": [bits[k] for k in at], "keys": [keys[k][:most] for k in at]}, 80, m)
+            named.update(zip(u.tolist(), v.tolist()))
+    for u in range(m):
+        for v in range(u):
+            both = set(keys[u].tolist()) & set(keys[v].tolist())
+            assert (named[u, v] > 0) == bool(both)
+            if set(keys[u][:most].tolist()) & set(keys[v][:most].tolist()):
+                assert named[u, v] == 1
+
+
+def test_a_join_leaves_little_behind(spark):
+    """Its tiles, members and sets go once its components are stored; results can still be read."""
+    folder = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file://"))
+    before = set(os.listdir(folder))
+    rows = family_rows(60)
+    joined = ngram_join.Joined(spark.createDataFrame(rows, "doc_id long, text string"), ngram_join.Config(4, 85))
+    left = {x.rsplit("-", 1)[0] for x in set(os.listdir(folder)) - before}
+    assert left <= {"join-signatures", "join-equal", "join-copies", "join-tested", "links"}
+    u = linked(rows, 4, 85)
+    assert {r.doc_id: r.component_id for r in joined.decisions().collect()} == {k: u.find(k) for k, _ in rows}
+
+
 def test_the_best_pairs_of_each_member(monkeypatch):
     rng = np.random.default_rng(16)
     one, other = np.triu_indices(12, 1)

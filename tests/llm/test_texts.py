@@ -162,6 +162,15 @@ def test_classifier_parts_held_out_documents(spark):
     assert drawn.kept().columns == docs.columns
 
 
+def test_scores_hold_no_documents(spark):
+    """Scored twice rather than written: the same documents stay."""
+    docs, labels, _ = corpus(spark, 60)
+    drawn = quality_classifier.Resampled(docs, labels, carry=True)
+    assert set(drawn.scores.columns) == {"__id", "__good", "__fit", "n_grams", "log_weight", "__rank"}
+    kept = {r.doc_id for r in drawn.decisions().where("kept").collect()}
+    assert sorted(map(tuple, drawn.kept().collect())) == sorted(tuple(r) for r in docs.collect() if r.doc_id in kept)
+
+
 def test_weights_match_plain_models(spark):
     docs, labels, truth = corpus(spark, 60)
     drawn = quality_classifier.Resampled(docs, labels, bits=8)

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from versionlog.sources.scratch import shared_dir, stored  # noqa: F401  operators take them from here
+from versionlog.sources.scratch import Scratch, shared_dir, stored  # noqa: F401  operators take them from here
 
 #: What operators need of a session.  Python workers get batches of so many rows and bytes at most, as texts may be
 #: long; shuffle files of a step go when it has ended, as its result is stored.

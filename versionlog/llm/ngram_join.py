@@ -48,7 +48,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.functions import ArrowUDFType
 
-from ._io import forget, stored, text_of, trim
+from ._io import Scratch, forget, stored, text_of, trim
 from .components import components
 
 #: N-grams that are looked at together for what many documents share.
@@ -65,6 +65,8 @@ BLOCK = 8192
 BEST, MORE = 4, 16
 #: So many tiles before one are known there, the most common ones; pairs that meet in others are named again.
 BEFORE = 1024
+#: Of its tiles each member knows so many, the least ones; two that share any of these share their first one there.
+FIRST_TILES = 32
 #: Pairs that are given on at once.
 PAIR_ROWS = 50_000
 #: Bytes of bitmaps that are compared at once.
@@ -263,7 +265,8 @@ def _linked(pairs: DataFrame, texts: DataFrame, config: Config) -> DataFrame:
 
     A text is taken apart once; sets go only to the pairs that their bitmaps let pass.
     """
-    ids = stored(pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct(), "join-ids")
+    step = Scratch(texts.sparkSession)
+    ids = step.stored(pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct(), "join-ids")
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forget()
@@ -275,9 +278,10 @@ def _linked(pairs: DataFrame, texts: DataFrame, config: Config) -> DataFrame:
         trim()
 
     held = texts.join(_few(ids), texts["doc_id"] == ids["id"], "left_semi").select("doc_id", "text")
-    made = stored(held.mapInArrow(take, "id long, n long, bits binary, grams binary"), "join-sets")
+    made = step.stored(held.mapInArrow(take, "id long, n long, bits binary, grams binary"), "join-sets")
     for column, overlap in (("bits", _bitmap_bound), ("grams", _intersection)):
         pairs = stored(_passing_pairs(pairs, made, column, overlap, config.percent), "join-tested")
+    step.clear()
     return pairs
 
 
@@ -460,7 +464,7 @@ def _across_tiles(part: DataFrame, bits: DataFrame, percent: int, best: int) ->
     """
     mixed = part.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("key")
     part = part.join(mixed, "key")
-    tiles = part.groupBy("id", "n").agg(F.collect_list("key").alias("keys"))  # rows may repeat an id
+    tiles = part.groupBy("id", "n").agg(F.slice(F.array_sort(F.collect_list("key")), 1, FIRST_TILES).alias("keys"))  # rows may repeat an id
     rows = _blocks(part, percent).join(bits, "id").join(tiles, ["id", "n"])
     keys, columns = ["key", "band", "i", "j"], [c for c in rows.columns if c != "keys"]
 
@@ -498,6 +502,7 @@ class Joined:
         texts = docs.select(docs[id_col].cast("long").alias("doc_id"), text_of(docs, text_col).alias("text"))
         signed = stored(signatures(texts, self.config), "join-signatures")
         self.signed = signed
+        step = Scratch(docs.sparkSession)
         # equal sets: the smallest id stands for all
         usable = signed.where("n_shingles > 0 and doc_id is not null")
         equal = usable.groupBy("set_hash").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first <> last")
@@ -507,26 +512,28 @@ class Joined:
         # tiles: keys of two documents or more
         rows = single.select(F.explode("keys").alias("key"), F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"))
         tiles = rows.groupBy("key").agg(F.count("*").alias("times")).where("times > 1")
-        members = stored(rows.join(tiles, "key"), "join-members")
+        tiles = step.stored(tiles, "join-tiles")  # its shuffle files go before those of the join come
+        members = step.stored(rows.join(tiles, "key"), "join-members")
         bits = signed.select(F.col("doc_id").alias("id"), "bits")
-        near = stored(_near(members, percent), "join-near").select("u", "v")
+        near = step.stored(_near(members, percent), "join-near").select("u", "v")
         edges = _linked(near, texts, self.config)
         # larger tiles that still hold several components, without those that a document may leave out
         may_go = F.floor((F.least(F.lit(SHARED), F.ceil(F.col("n") * percent / 100)) - MET) / 2)
         order = Window.partitionBy("id").orderBy(F.desc("times"), "key")
         large = members.where(F.col("times") > PIVOTS).withColumn("nth", F.row_number().over(order)).where(F.col("nth") > may_go).drop("nth")
-        large = stored(large, "join-large")
+        large = step.stored(large, "join-large")
         best = BEST
         while not large.isEmpty():
             found = components(edges)
             part = large.join(found, F.col("id") == F.col("node"), "left").select("key", "id", "n", "times", F.coalesce("component", "id").alias("component"))
-            out = stored(_across_tiles(stored(part, "join-parts"), bits, percent, best), "join-pairs")
-            pairs = stored(out.where("key is null").select("u", "v").join(near, ["u", "v"], "left_anti"), "join-untested")
+            out = step.stored(_across_tiles(step.stored(part, "join-parts"), bits, percent, best), "join-pairs")
+            pairs = step.stored(out.where("key is null").select("u", "v").join(near, ["u", "v"], "left_anti"), "join-untested")
             edges = edges.unionByName(_linked(pairs, texts, self.config))
-            near, large = near.unionByName(pairs), stored(large.join(out.where("key is not null").select("key").distinct(), "key"), "join-large")
+            near, large = near.unionByName(pairs), step.stored(large.join(out.where("key is not null").select("key").distinct(), "key"), "join-large")
             best *= MORE
         # copies hang on the document that stands for their set
         self.found = components(edges.unionByName(copies))
+        step.clear()
 
     def decisions(self) -> DataFrame:
         """doc_id, n_shingles, component_id (the smallest id reachable by links, its own included) of every document."""

@@ -156,16 +156,17 @@ class Resampled:
     """The drawn sample: ``decisions`` of all documents, ``kept`` documents."""
 
     def __init__(self, docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_labelled: int = MAX_LABELLED, bits: int = BITS, seed: int = SEED, carry: bool = False) -> None:
-        """``carry`` writes the documents beside their scores, so that ``kept`` reads them there."""
+        """``carry`` holds on to the documents for ``kept``, which scores them again: no text is written beside the scores."""
         self.columns, self.seed, self.carry = docs.columns, seed, carry
-        own = [F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("__row")] if carry else []
-        slim = docs.select(docs[id_col].cast("long").alias("__id"), text_of(docs, text_col).alias("text"), *own)
+        slim = docs.select(docs[id_col].cast("long").alias("__id"), text_of(docs, text_col).alias("text"))
+        if carry:
+            self.rows = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("__row"), docs[id_col].cast("long").alias("__id"), text_of(docs, text_col).alias("text"))
         # max_labelled bounds what is broadcast
         sample = F.broadcast(stored(labelled(labels, id_col="doc_id", most=max_labelled, seed=seed), "labelled"))
         marked = slim.join(sample, F.col("__id") == F.col("__label_id"), "left")
         raw, target = _sums(marked.select("text", F.coalesce(F.col("__good") & F.col("__fit"), F.lit(False)).alias("target")), bits)
         self.model = docs.sparkSession.sparkContext.broadcast(fit(raw, target, bits))
-        scored = marked.withColumn("__s", self._score(F.col("text"))).select("__id", "__good", "__fit", "__s.n_grams", "__s.log_weight", *["__row"] * carry)
+        scored = marked.withColumn("__s", self._score(F.col("text"))).select("__id", "__good", "__fit", "__s.n_grams", "__s.log_weight")
         self.scores = stored(scored.withColumn("__rank", self._rank(F.col("log_weight"), F.col("__id"))), "weights")
         # one row for each label at most, however many documents have its id
         held = self.scores.where("__good is not null and not __fit").groupBy("__id", "__good").agg(F.min("log_weight").alias("log_weight")).collect()
@@ -200,4 +201,5 @@ class Resampled:
         """The drawn documents, with their own columns."""
         if not self.carry:
             raise ValueError("the documents were not carried along")
-        return self.scores.where(self._stays(F.col("__rank"))).select(*[F.col("__row")[c].alias(c) for c in self.columns])
+        scored = self.rows.withColumn("__rank", self._rank(self._score(F.col("text"))["log_weight"], F.col("__id")))
+        return scored.where(self._stays(F.col("__rank"))).select(*[F.col("__row")[c].alias(c) for c in self.columns])

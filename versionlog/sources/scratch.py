@@ -43,3 +43,19 @@ def remove(spark: SparkSession, *paths: str) -> None:
     for p in paths:
         path = spark._jvm.org.apache.hadoop.fs.Path(p)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+class Scratch:
+    """Intermediate tables of one step: they go together once its result is stored."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.paths = spark, []
+
+    def stored(self, df: DataFrame, label: str) -> DataFrame:
+        df, path = stored_at(df, label)
+        self.paths.append(path)
+        return df
+
+    def clear(self) -> None:
+        remove(self.spark, *self.paths)
+        self.paths.clear()
