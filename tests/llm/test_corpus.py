@@ -380,6 +380,29 @@ def test_every_near_window_is_found_and_shares_a_key():
     assert total > 100
 
 
+def test_pairs_that_tell_no_new_words_are_told_apart():
+    """Of texts whose spans are partly known: a near window with a new word on either side is never left out."""
+    rng, left = np.random.default_rng(21), 0
+    for t in range(200):
+        config = substring_dedup.Config(n=1, window=[7, 12, 20][t % 3], percent=[60, 80][t % 2])
+        words_ = substring_dedup._mix(np.arange(1, [4, 30, 1000][t // 3 % 3] + 1, dtype=np.uint64))
+        a = rng.integers(0, len(words_), 70)
+        texts = [words_[a], words_[np.concatenate([rng.integers(0, len(words_), 20), a[: rng.integers(0, 60)], rng.integers(0, len(words_), 20)])]]
+        one, other = substring_dedup.windows_of(texts, config)
+        found = substring_dedup.passages(one, other, config)
+        known = []
+        for x, starts, which in zip(texts, found, rng.integers(0, 3, 2)):
+            s = substring_dedup.spans(starts, config) if len(starts) else []
+            known.append([s, [{"first": 0, "end": int(rng.integers(0, len(x)))}], None][which])
+        new = [substring_dedup.outside(np.arange(len(x)), s, config) for x, s in zip(texts, known)]
+        fresh = any(n[starts].any() for n, starts in zip(new, found))
+        may = substring_dedup.may_tell(one, other, one.standing(new[0]), other.standing(new[1]), config)
+        assert may or not fresh
+        assert substring_dedup.linked(one, other, config) == (len(found[0]) > 0)
+        left += len(found[0]) > 0 and not may
+    assert left > 10
+
+
 def passage_rows():
     rng = np.random.default_rng(10)
     stock = [f"t{k}" for k in range(5000)]

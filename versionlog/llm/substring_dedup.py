@@ -65,6 +65,8 @@ BESIDE = 256
 PART = 1 << 18
 #: Places and windows that are held against each other at once.
 EACH = 1 << 21
+#: Windows of a text that are held first against another text that can tell no new words.
+TRIED = 4
 #: Low bits that hold a token's place beside its hash.
 PLACE_BITS = 26
 
@@ -623,10 +625,21 @@ class Windows:
         self.distinct = not (self.sorted[1:] == self.sorted[:-1]).any()
         if not self.distinct:
             self.starts = np.flatnonzero(valid)
-            _, first, self.content = np.unique(_window_hashes(tokens, window)[self.starts], return_index=True, return_inverse=True)
+            self.kinds, first, self.content = np.unique(_window_hashes(tokens, window)[self.starts], return_index=True, return_inverse=True)
             self.looked = np.zeros(len(tokens), bool)
             self.looked[self.starts[first]] = True
 
+    def standing(self, flags: np.ndarray) -> np.ndarray:
+        """Flags of windows as those of the looked-at ones that stand for them."""
+        if self.distinct:
+            return flags & self.looked
+        held = np.zeros(self.content.max(initial=-1) + 1, bool)
+        held[self.content[flags[self.starts]]] = True
+        at = np.flatnonzero(self.looked)
+        out = np.zeros(len(flags), bool)
+        out[at] = held[self.content[np.searchsorted(self.starts, at)]]
+        return out
+
     def alike(self, starts: np.ndarray) -> np.ndarray:
         """The starts and those of windows with the same content."""
         if self.distinct or not len(starts):
@@ -798,6 +811,35 @@ def passages(one: Windows, other: Windows, config: Config) -> tuple[np.ndarray,
     return one.alike(np.flatnonzero(hit_x)), other.alike(np.flatnonzero(hit_y))
 
 
+def outside(place: np.ndarray, found: list[dict] | None, config: Config) -> np.ndarray:
+    """Which windows at the places hold a word that is in none of the spans, which lie in order and apart."""
+    if not found:
+        return np.ones(len(place), bool)
+    first, end = np.array([s["first"] for s in found]), np.array([s["end"] for s in found])
+    at = np.searchsorted(first, place, "right") - 1
+    return (at < 0) | (end[at] < place + config.window + config.n - 1)
+
+
+def may_tell(one: Windows, other: Windows, new_one: np.ndarray, new_other: np.ndarray, config: Config) -> bool:
+    """May a window with new words be near one of the other text?"""
+    xs, ys = _wanted(one, other, config), _wanted(other, one, config)
+    return bool(((xs & new_one).any() and ys.any()) or ((ys & new_other).any() and xs.any()))
+
+
+def linked(one: Windows, other: Windows, config: Config) -> bool:
+    """Are there near windows?  Equal ones and a few others are tried before all are looked for."""
+    if not (one.distinct or other.distinct) and np.isin(one.kinds, other.kinds, assume_unique=True).any():
+        return True
+    xs, ys = _wanted(one, other, config), _wanted(other, one, config)
+    if not (xs.any() and ys.any()):
+        return False
+    at, few, hit_x = np.flatnonzero(xs), np.zeros(len(xs), bool), np.zeros(len(xs), bool)
+    few[at[:: -(-len(at) // TRIED)]] = True
+    if _each(one, other, few, ys, hit_x, np.zeros(len(ys), bool), config) and hit_x.any():
+        return True
+    return len(passages(one, other, config)[0]) > 0
+
+
 def spans(starts: np.ndarray, config: Config) -> list[dict[str, int]]:
     """Word spans of windows that begin there; those that meet are one."""
     length = config.window + config.n - 1
@@ -809,18 +851,24 @@ def spans(starts: np.ndarray, config: Config) -> list[dict[str, int]]:
 _SPANS = "u long, v long, u_spans array<struct<first:long,end:long>>, v_spans array<struct<first:long,end:long>>"
 
 
-def verified(pairs: DataFrame, texts: DataFrame, config: Config) -> DataFrame:
+def verified(pairs: DataFrame, texts: DataFrame, config: Config, known: DataFrame | None = None) -> DataFrame:
     """Those of the pairs (u, v) that share a passage, with its spans on both sides; texts has doc, tokens, place, valid.
 
-    A text u is sent once along with ``BESIDE`` of its partners and is taken apart once for them.
+    A text u is sent once along with ``BESIDE`` of its partners and is taken apart once for them.  With ``known`` (doc, s,
+    class, later) a pair of one class is given without spans if its v is known to be a later one and none of its windows
+    that may be near the other text holds words outside s.
     """
     ids = stored(pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct(), "passage-ids")
     held = texts.join(_few(ids), texts["doc"] == ids["id"], "left_semi").select("doc", "tokens", "place", "valid")
+    columns, chosen = ["tokens", "place", "valid"], known is not None
+    if known is not None:
+        held = held.join(known.select("doc", "s", "class", "later"), "doc", "left").withColumn("class", F.coalesce("class", "doc"))
+        columns += ["s", "class", "later"]
     sizes = stored(pairs.groupBy("u").agg(F.ceil(F.count("*") / BESIDE).cast("int").alias("parts")), "passage-hubs")
     dealt = pairs.join(sizes, "u").withColumn("part", F.pmod(F.xxhash64("v"), F.col("parts")).cast("int"))
     hubs = sizes.select("u", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-    hubs = hubs.join(held, hubs["u"] == held["doc"]).select("u", "part", F.lit(None).cast("long").alias("v"), "tokens", "place", "valid")
-    others = dealt.join(held, dealt["v"] == held["doc"]).select("u", "part", "v", "tokens", "place", "valid")
+    hubs = hubs.join(held, hubs["u"] == held["doc"]).select("u", "part", F.lit(None).cast("long").alias("v"), *columns)
+    others = dealt.join(held, dealt["v"] == held["doc"]).select("u", "part", "v", *columns)
     rows = hubs.unionByName(others).repartition(_parts(pairs), "u", "part").sortWithinPartitions("u", "part", F.asc_nulls_first("v"))
     span = pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64())]))
     kind = pa.schema([("u", pa.int64()), ("v", pa.int64()), ("u_spans", span), ("v_spans", span)])
@@ -833,12 +881,20 @@ def verified(pairs: DataFrame, texts: DataFrame, config: Config) -> DataFrame:
             for k, (u, part, v) in enumerate(zip(batch["u"].to_pylist(), batch["part"].to_pylist(), batch["v"].to_pylist())):
                 place = np.frombuffer(batch["place"][k].as_py(), np.int32).astype(np.int64)
                 this = Windows(np.frombuffer(batch["tokens"][k].as_py(), np.uint64), np.frombuffer(batch["valid"][k].as_py(), bool), config.window)
+                new = own = later = None
+                if chosen:
+                    new = this.standing(outside(place, batch["s"][k].as_py(), config))
+                    own, later = batch["class"][k].as_py(), batch["later"][k].as_py()
                 if (u, part) != at:
                     at, hub = (u, part), []
                 if v is None:
-                    hub.append((this, place))
+                    hub.append((this, place, new, own))
                     continue
-                for one, one_place in hub:
+                for one, one_place, one_new, one_own in hub:
+                    if chosen and own == one_own and later and not may_tell(one, this, one_new, new, config):
+                        if linked(one, this, config):
+                            out.append({"u": u, "v": v, "u_spans": [], "v_spans": []})
+                        continue
                     a, b = passages(one, this, config)
                     if len(a):
                         out.append({"u": u, "v": v, "u_spans": spans(one_place[a], config), "v_spans": spans(place[b], config)})
@@ -889,7 +945,7 @@ class Search:
         while not left.isEmpty():
             out = stored(self._further(held.join(_few(left), "key", "left_semi"), best), "passage-further")
             pairs = stored(out.where("key is null").select("u", "v").join(self.tested, ["u", "v"], "left_anti"), "passage-untested")
-            self.links = self.links.unionByName(verified(pairs, self.texts, config))
+            self.links = self.links.unionByName(verified(pairs, self.texts, config, self.known))
             self.tested = self.tested.unionByName(pairs)
             left, best = out.where("key is not null").select("key"), best * MORE_PIVOTS
 
@@ -899,7 +955,7 @@ class Search:
         later = self.links.select(F.col("v").alias("doc")).distinct().withColumn("later", F.lit(True))
         known = joined_spans(self.links).join(found, F.col("id") == F.col("node"), "left")
         known = known.select(F.col("id").alias("doc"), "s", F.coalesce("component", "id").alias("class")).join(later, "doc", "left")
-        known = stored(known, "passage-known")
+        known = self.known = stored(known, "passage-known")
         inside = F.exists("s", lambda s: (s["first"] <= F.col("first")) & (s["end"] >= F.col("end")))
         rows = rows.join(known, "doc", "left").select("key", "doc", "n", "bits", F.coalesce(inside, F.lit(False)).alias("settled"), F.coalesce("later", F.lit(False)).alias("later"), F.coalesce("class", "doc").alias("class"))
         state = rows.groupBy("key").agg(F.min("class").alias("a"), F.max("class").alias("b"), F.min("settled").alias("settled"), F.min("doc").alias("first"), F.max(F.when(~F.col("later"), F.col("doc"))).alias("last"))
@@ -940,7 +996,10 @@ class Passages:
         self.links = Search(apart, config).links.unionByName(same)
 
     def spans(self) -> DataFrame:
-        """doc_id, partner, first, end (words): a row for each passage of a pair, from both sides."""
+        """doc_id, partner, first, end (words): a row for each passage of a pair, from both sides.
+
+        Of tested pairs, but for those that hold only words that pairs before them were found to share.
+        """
         one = self.links.select(F.col("u").alias("doc_id"), F.col("v").alias("partner"), F.explode("u_spans").alias("s"))
         other = self.links.select(F.col("v").alias("doc_id"), F.col("u").alias("partner"), F.explode("v_spans").alias("s"))
         return one.unionByName(other).select("doc_id", "partner", "s.first", "s.end")
