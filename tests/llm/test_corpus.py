@@ -1,5 +1,6 @@
 import hashlib
 import os
+import tracemalloc
 from collections import Counter, defaultdict
 from fractions import Fraction
 from pathlib import Path
@@ -527,6 +528,27 @@ def test_large_families_behind_a_text_that_fails(spark, monkeypatch):
     assert linked < n == 3 * 15 * 14 // 2
 
 
+def test_words_said_over_and_over_tell_nothing_in_most_pairs(spark):
+    """Runs of one word in all texts, between words of their own: each text meets a few others, not all."""
+    rng = np.random.default_rng(31)
+    run = lambda word: [word] * int(rng.integers(45, 120))
+    rows = [(k, " ".join(other_words(rng, 20) + run("in") + other_words(rng, 20) + run("of") + run(f"own{k}") + run("in"))) for k in range(24)]
+    linked, n = check_passages(spark, rows)
+    assert n == 24 * 23 // 2 and linked <= 3 * 24
+
+
+def test_pairs_of_rows_that_meet_often_wait_once():
+    """Many rows of few documents with one key, of which all fit: the pairs of documents are kept, not those of rows."""
+    size, docs = 2400, 8
+    table = {"doc": np.repeat(np.arange(docs), size // docs), "n": np.full(size, 60), "settled": np.zeros(size, bool), "later": np.zeros(size, bool), "class": np.arange(size)}
+    tracemalloc.start()
+    found = substring_dedup.further_pairs(table, np.ones((size, 8), np.uint64), np.array([size]), 41, 10_000)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 24 << 20, peak
+    assert sorted(map(tuple, found[0].T.tolist())) == [(a, b) for a in range(docs) for b in range(a + 1, docs)] and found[-1] == []
+
+
 def test_equal_texts_follow_the_first(spark):
     rng = np.random.default_rng(6)
     text = " ".join(other_words(rng, 80))

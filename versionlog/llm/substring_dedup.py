@@ -10,15 +10,16 @@ windows that are near windows of the other text.
     of the whole texts, then by all tokens of what is left.
 2.  *Compact windows.*  Two near windows share the least token that both hold, which is
     among the window - ``shared`` + 1 least ones of either, in any order of the tokens;
-    ours puts rare ones first.  One row (token, first, end) stands for all windows of a
-    text that have the token among their least, with a bitmap of their tokens.
+    ours puts rare ones first.  One row (token, first, end) stands for windows in a row of
+    a text that have the token among their least, with a bitmap of their tokens.
 3.  *Candidates.*  Rows with one token are held against each other by their bitmaps: few
     each with each, of more all with pivots.  Then those pairs follow that could still
     tell something: a word not found yet, two classes, or a text not known to hold
     what an earlier one holds; until there is none.
 4.  *Interval joins.*  For two texts the places of a token in both span window starts at an
-    offset; a sweep finds where ``shared`` of them lie above one another.  All near
-    windows of the pair are found.
+    offset; a sweep finds where ``shared`` of them lie above one another.  Windows in which
+    one token has ``shared`` places are near without it.  All near windows of the pair are
+    found.
 
 Equal texts follow the one with the smallest id and take no part in the search.  So
 classes, passages and ``kept`` are those of all pairs, up to collisions of 64-bit hashes,
@@ -57,6 +58,8 @@ CHUNK_TOKENS = 1 << 20
 FEW = 4
 #: Partners of a key's holder in the first further round, and times as many in each next one.
 PIVOTS, MORE_PIVOTS = 32, 64
+#: Pairs that wait at most to be made distinct, beside those that are.
+PAIRS = 1 << 18
 #: Bits of a bitmap of the tokens around a key.
 BITS = 512
 #: Texts that a pivot is sent along with.
@@ -398,25 +401,17 @@ def least_tokens(tokens: np.ndarray, times: np.ndarray, valid: np.ndarray, confi
     """Compact windows of an order above one: places of tokens, with the first and last window that holds them among its least.
 
     Two windows that miss ``most`` tokens of each other at most share the least token that both hold, which is among the
-    ``most`` + 1 least distinct ones of either.  Rare tokens come first, so that a key has few holders; those that no
-    other text holds are no keys.
+    ``most`` + 1 least ones of either, each place of a token counting, as those before it are all missed.  Rare tokens
+    come first, so that a key has few holders; those that no other text holds are no keys.
     """
     w, most = config.window, config.window - config.shared
     level = np.frexp(times.astype(np.float64))[1].astype(np.uint64)
     value = level << np.uint64(58) | _mix(tokens) >> np.uint64(6)
     starts = np.flatnonzero(valid)
-    order = np.argsort(tokens, kind="stable")
-    same = np.flatnonzero(tokens[order][1:] == tokens[order][:-1])
-    before = None
-    if len(same):
-        before = np.full(len(tokens), -1)
-        before[order[same + 1]] = order[same]
     least = np.zeros(len(tokens), np.uint64)  # of each valid window the greatest of its least tokens
     for a in range(0, len(starts), 1 << 14):
         at = starts[a : a + (1 << 14)]
         held = np.lib.stride_tricks.sliding_window_view(value, w)[at]
-        if before is not None:
-            held[np.lib.stride_tricks.sliding_window_view(before, w)[at] >= at[:, None]] = _MOST
         least[at] = np.partition(held, most, axis=1)[:, most] if most < w else _MOST
     ahead = np.concatenate([np.zeros(w - 1, np.uint64), least])
     nodes = np.flatnonzero((value <= ~running_minimum(~ahead, w)) & (times > 1))
@@ -429,6 +424,31 @@ def least_tokens(tokens: np.ndarray, times: np.ndarray, valid: np.ndarray, confi
     return nodes, first, last
 
 
+def met(tokens: np.ndarray, nodes: np.ndarray, first: np.ndarray, last: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Compact windows of one token that meet are one, cut anew into parts of ``window`` windows at most: token, number of the whole, first, last.
+
+    A word that is said over and over has a place in each window; else each would be a row.
+    """
+    order = np.lexsort((first, tokens[nodes]))
+    token, first, last = tokens[nodes][order], first[order], last[order]
+    if not len(token) or not (token[1:] == token[:-1]).any():
+        return token, np.arange(len(token)), first, last
+    new = np.ones(len(token), bool)
+    new[1:] = token[1:] != token[:-1]
+    number = np.cumsum(new) - 1  # of the token: lifts it above the windows of those before it
+    lift = number * (int(last.max()) + 2)
+    reach = np.maximum.accumulate(last + lift)
+    new[1:] |= (first + lift)[1:] > reach[:-1] + 1
+    begin = np.flatnonzero(new)
+    token, first, last = token[begin], first[begin], (reach - lift)[np.append(begin[1:] - 1, len(new) - 1)]
+    size = last - first + 1
+    parts = -(-size // window)
+    whole = np.repeat(np.arange(len(token)), parts)
+    k = np.arange(len(whole)) - np.repeat(np.cumsum(parts) - parts, parts)
+    starts = first[whole] + k * window
+    return token[whole], whole, starts, np.minimum(starts + window - 1, last[whole])
+
+
 def around(tokens: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
     """A bitmap of the tokens first .. end for each row."""
     out = np.zeros((len(first), BITS // 8), np.uint8)
@@ -470,11 +490,11 @@ def holders(parts_: DataFrame, config: Config) -> DataFrame:
                     continue
                 at = _covered(valid, w)
                 tokens, place, valid, n = tokens[at], place[at], valid[at], n[at]
-                nodes, first, last = least_tokens(tokens, n, valid, config)
+                key, whole, first, last = met(tokens, *least_tokens(tokens, n, valid, config), w)
                 bits, size = around(tokens, first, last + w), last + w - first
-                key, begin, end = tokens[nodes].view(np.int64), place[first], place[last] + length
-                if len(np.unique(key)) < len(key):  # places of one token that look alike are one
-                    what = np.concatenate([key[:, None].view(np.uint8), size[:, None].view(np.uint8), bits], axis=1)
+                key, begin, end = key.view(np.int64), place[first], place[last] + length
+                if len(np.unique(whole)) < len(whole):  # parts of one whole that look alike are one
+                    what = np.concatenate([whole[:, None].view(np.uint8), size[:, None].view(np.uint8), bits], axis=1)
                     _, one, group = np.unique(what.view(f"V{what.shape[1]}").ravel(), return_index=True, return_inverse=True)
                     begin_, end_ = np.full(len(one), np.iinfo(np.int32).max, np.int64), np.zeros(len(one), np.int64)
                     np.minimum.at(begin_, group, begin)
@@ -532,14 +552,37 @@ def _fit(bits: np.ndarray, n: np.ndarray, one: np.ndarray, other: np.ndarray, sh
     return out
 
 
-def first_pairs(docs: np.ndarray, bits: np.ndarray, n: np.ndarray, ends: np.ndarray, shared: int) -> tuple[np.ndarray, np.ndarray, list[int]]:
-    """Places of pairs to test: of few holders all, of more those with a pivot; and groups of which some pairs are left.
+class _Pairs:
+    """Distinct pairs of documents, made so from time to time: rows of a group may meet far more often."""
+
+    def __init__(self, docs: np.ndarray) -> None:
+        self.docs, self.new, self.size, self.pairs = docs, [], 0, np.zeros((2, 0), np.int64)
+
+    def add(self, one: np.ndarray | int, other: np.ndarray) -> None:
+        x, y = np.broadcast_to(self.docs[one], len(other)), self.docs[other]
+        self.new.append(np.stack([np.minimum(x, y), np.maximum(x, y)]))
+        self.size += len(other)
+        if self.size > PAIRS + self.pairs.shape[1]:
+            self.distinct()
+
+    def distinct(self) -> np.ndarray:
+        u, v = np.concatenate([self.pairs, *self.new], axis=1)
+        order = np.lexsort((v, u))
+        u, v = u[order], v[order]
+        first = np.ones(len(u), bool)
+        first[1:] = (u[1:] != u[:-1]) | (v[1:] != v[:-1])
+        self.pairs, self.new, self.size = np.stack([u[first], v[first]]), [], 0
+        return self.pairs
+
+
+def first_pairs(docs: np.ndarray, bits: np.ndarray, n: np.ndarray, ends: np.ndarray, shared: int) -> tuple[np.ndarray, list[int]]:
+    """Pairs to test: of few holders all, of more those with a pivot; and groups of which some pairs are left.
 
     The first row is a pivot, then the first that fits none before, and so on; a pivot meets all that fit it.
     """
     sizes = np.diff(ends, prepend=0)
     starts = ends - sizes
-    ones, others, more = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], []
+    found, more = _Pairs(docs), []
     for m in range(2, FEW + 1):
         at = starts[sizes == m][:, None]
         one, other = np.triu_indices(m, 1)
@@ -547,8 +590,7 @@ def first_pairs(docs: np.ndarray, bits: np.ndarray, n: np.ndarray, ends: np.ndar
         fit = docs[one] != docs[other]
         one, other = one[fit], other[fit]
         fit = _fit(bits, n, one, other, shared)
-        ones.append(one[fit])
-        others.append(other[fit])
+        found.add(one[fit], other[fit])
     for k in np.flatnonzero(sizes > FEW).tolist():
         rows = np.arange(starts[k], ends[k])
         left, plain = rows, 0
@@ -556,20 +598,19 @@ def first_pairs(docs: np.ndarray, bits: np.ndarray, n: np.ndarray, ends: np.ndar
             pivot = left[0]
             fit = rows[docs[rows] != docs[pivot]]
             fit = fit[_fit(bits, n, np.full(len(fit), pivot), fit, shared)]
-            ones.append(np.full(len(fit), pivot))
-            others.append(fit)
+            found.add(pivot, fit)
             still = left[1:][~np.isin(left[1:], fit, assume_unique=True)]
             plain += len(left) - 1 - len(still)
             left = still
         if plain > 1:
             more.append(k)
-    return np.concatenate(ones), np.concatenate(others), more
+    return found.distinct(), more
 
 
-def further_pairs(table: dict, bits: np.ndarray, ends: np.ndarray, shared: int, best: int) -> tuple[np.ndarray, np.ndarray, list[int]]:
-    """Places of pairs that may still tell something, ``best`` for each row; and groups that have more of them."""
+def further_pairs(table: dict, bits: np.ndarray, ends: np.ndarray, shared: int, best: int) -> tuple[np.ndarray, list[int]]:
+    """Pairs that may still tell something, ``best`` for each row; and groups that have more of them."""
     docs, n, settled, later, part = (table[c] for c in ("doc", "n", "settled", "later", "class"))
-    ones, others, more, a = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [], 0
+    found, more, a = _Pairs(docs), [], 0
     for k, b in enumerate(ends.tolist()):
         rows, cut = np.arange(a, b), False
         classes, sizes = np.unique(part[a:b], return_counts=True)
@@ -580,12 +621,11 @@ def further_pairs(table: dict, bits: np.ndarray, ends: np.ndarray, shared: int,
             if len(j):
                 j = j[_fit(bits, n, np.full(len(j), i), j, shared)]
                 cut |= len(j) > best
-                ones.append(np.full(min(best, len(j)), i))
-                others.append(j[:best])
+                found.add(i, j[:best])
         if cut:
             more.append(k)
         a = b
-    return np.concatenate(ones), np.concatenate(others), more
+    return found.distinct(), more
 
 
 def _candidates(rows: DataFrame, config: Config, choose) -> DataFrame:
@@ -597,9 +637,7 @@ def _candidates(rows: DataFrame, config: Config, choose) -> DataFrame:
             held = {c: table[c].to_numpy(zero_copy_only=False) for c in table.schema.names if c != "bits"}
             held["n"] = held["n"].astype(np.int64)
             bits = np.frombuffer(b"".join(table["bits"].to_pylist()), np.uint64).reshape(len(table), -1)
-            one, other, more = choose(held, bits, ends, config.shared)
-            docs = held["doc"]
-            pairs = np.unique(np.stack([np.minimum(docs[one], docs[other]), np.maximum(docs[one], docs[other])]), axis=1)
+            pairs, more = choose(held, bits, ends, config.shared)
             none, keys = pa.nulls(len(more), pa.int64()), pa.array(held["key"][ends[more] - 1] if more else [], pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1]), pa.nulls(pairs.shape[1], pa.int64())], ["u", "v", "key"])
             yield pa.RecordBatch.from_arrays([none, none, keys], ["u", "v", "key"])
@@ -619,7 +657,7 @@ class Windows:
     """
 
     def __init__(self, tokens: np.ndarray, valid: np.ndarray, window: int) -> None:
-        self.tokens, self.looked = tokens, valid
+        self.tokens, self.looked, self.rules = tokens, valid, None
         self.order = np.argsort(tokens, kind="stable")
         self.sorted = tokens[self.order]
         self.distinct = not (self.sorted[1:] == self.sorted[:-1]).any()
@@ -640,6 +678,21 @@ class Windows:
         out[at] = held[self.content[np.searchsorted(self.starts, at)]]
         return out
 
+    def ruled(self, config: Config) -> tuple[np.ndarray, np.ndarray]:
+        """Looked-at windows of which one token makes up enough to be near, with that token; one that is said over and over."""
+        w, more = config.window, config.shared - 1
+        if self.distinct or 2 * config.shared <= w or len(self.tokens) < w:
+            return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        if self.rules is None:
+            k = np.flatnonzero((self.sorted[more:] == self.sorted[: len(self.sorted) - more]) & (self.order[more:] - self.order[: len(self.order) - more] < w))
+            begin, size = self.order[k + more] - w + 1, self.order[k] - self.order[k + more] + w
+            at = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(begin, size)
+            inside = (at >= 0) & (at <= len(self.tokens) - w)
+            at, one = np.unique(at[inside], return_index=True)
+            token = np.repeat(self.sorted[k], size)[inside][one]
+            self.rules = at[self.looked[at]], token[self.looked[at]]
+        return self.rules
+
     def alike(self, starts: np.ndarray) -> np.ndarray:
         """The starts and those of windows with the same content."""
         if self.distinct or not len(starts):
@@ -803,7 +856,11 @@ def passages(one: Windows, other: Windows, config: Config) -> tuple[np.ndarray,
     xs, ys = _wanted(one, other, config), _wanted(other, one, config)
     hit_x, hit_y = np.zeros(len(xs), bool), np.zeros(len(ys), bool)
     if xs.any() and ys.any():
-        _sweep(one, other, xs, ys, hit_x, hit_y, config, main=True)
+        (a, s), (b, t) = one.ruled(config), other.ruled(config)
+        hit_x[a[np.isin(s, t)]] = True  # each of these is near each that the same token rules
+        hit_y[b[np.isin(t, s)]] = True
+        if (left := xs & ~hit_x).any() and (beside := ys & ~hit_y).any():
+            _sweep(one, other, left, beside, hit_x, hit_y, config, main=True)
         if (left := xs & ~hit_x).any() and not _each(one, other, left, ys, hit_x, hit_y, config):
             _sweep(one, other, left, ys, hit_x, hit_y, config)
         if (left := ys & ~hit_y).any() and not _each(other, one, left, xs, hit_y, hit_x, config):
@@ -833,6 +890,8 @@ def linked(one: Windows, other: Windows, config: Config) -> bool:
     xs, ys = _wanted(one, other, config), _wanted(other, one, config)
     if not (xs.any() and ys.any()):
         return False
+    if np.isin(one.ruled(config)[1], other.ruled(config)[1]).any():
+        return True
     at, few, hit_x = np.flatnonzero(xs), np.zeros(len(xs), bool), np.zeros(len(xs), bool)
     few[at[:: -(-len(at) // TRIED)]] = True
     if _each(one, other, few, ys, hit_x, np.zeros(len(ys), bool), config) and hit_x.any():
