@@ -197,3 +197,14 @@ def test_a_rewrite_has_one_fold(spark, tmp_path):
     plan = compact.compact(log, merge="uint64_add", full=True)._jdf.queryExecution().optimizedPlan().toString()
     # rows, the newest base of each key, and the same again under the tombstones, which are one more
     assert plan.count("Relation [") <= 4
+
+
+def test_counters_wrap_for_large_values(spark, tmp_path):
+    """A value that passes 2^63 with the constant added is no error."""
+    from versionlog.plans.catalogue import merge_counter_wrap
+
+    rows = [(0, 1, "view", 1000.5), (1, 1, "click", 3.0), (2, 2, "error", 807.0)]
+    spark.createDataFrame(rows, "event_id long, user_id long, event_type string, value double").write.parquet(str(tmp_path / "events.parquet"))
+    got = {tuple(r) for r in merge_counter_wrap(spark, str(tmp_path)).select("key", "total", "seq").collect()}
+    base = 9223372036854775000
+    assert got == {("u000001", str((2 * base + 1003) % 2**64), 2), ("u000002", str(base + 807), 3)}

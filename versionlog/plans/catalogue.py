@@ -203,9 +203,10 @@ def merge_counter(spark, sf):
 
 @query(f"""with {_LOG} select {_U.format('k')} as key, cast(sum(cast(v + 9223372036854775000 as hugeint)) % 18446744073709551616 as varchar) as total, max(seq) as seq from log group by k""")
 def merge_counter_wrap(spark, sf):
-    log = d.events_log(spark, sf).withColumn("op", F.lit(MERGE).cast("byte"))
-    e = d.table(spark, sf, "events").select((F.col("event_id") + 1).alias("seq"), F.floor(F.abs("value")).alias("v"))
-    log = log.join(e, "seq").withColumn("value", codecs.encode_u64le(F.col("v") + F.lit(9223372036854775000))).select(log.columns)
+    e = d.table(spark, sf, "events")
+    # a value above 807 passes the signed range here
+    near_half = F.floor(F.abs("value")).cast("decimal(20,0)") + F.lit("9223372036854775000").cast("decimal(20,0)")
+    log = oplog(e, key=d.user_key(F.col("user_id")), seq=F.col("event_id") + 1, op=F.lit(MERGE), value=codecs.encode_u64le(near_half))
     state = resolve(log, merge="uint64_add", ranges=False)
     return state.select(text("key").alias("key"), decode_u64le(F.col("value")).cast("string").alias("total"), "seq")
 
