@@ -208,3 +208,24 @@ def test_counters_wrap_for_large_values(spark, tmp_path):
     got = {tuple(r) for r in merge_counter_wrap(spark, str(tmp_path)).select("key", "total", "seq").collect()}
     base = 9223372036854775000
     assert got == {("u000001", str((2 * base + 1003) % 2**64), 2), ("u000002", str(base + 807), 3)}
+
+
+def test_digest_of_many_keys(spark):
+    """More keys than a sample of ranges takes whole: places and counts are of the same ranges."""
+    from functools import reduce
+    from operator import xor
+
+    from versionlog.operators import inspect
+
+    n = 300000
+    state = spark.range(n).select(F.lit(0).alias("cf_id"), F.encode(F.concat(F.lit("k"), F.lpad(((F.col("id") * 7919) % n).cast("string"), 8, "0")), "UTF-8").alias("key"), F.encode(((F.col("id") * 7919) % n % 97).cast("string"), "UTF-8").alias("value"))
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    try:
+        got = inspect.state_digest(state).collect()
+        some = inspect.state_digest(state, sample=1000).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    byte = lambda k: reduce(xor, b"k%08d" % k + str(k % 97).encode())
+    fold = lambda places: reduce(xor, (byte(k) << k % 8 * 8 for k in places))
+    assert tuple(got[0]) == (n, fold(range(n)))
+    assert tuple(some[0]) == (n, fold(range(0, n, 300)))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from versionlog.model import DELETE, MERGE, RANGE_DELETE, SINGLE_DELETE, InvalidInput
 from versionlog.operators.compact import LEVELS
+from versionlog.sources.scratch import numbered
 
 
 def entry_stats(log: DataFrame) -> DataFrame:
@@ -92,19 +93,19 @@ def state_digest(state: DataFrame, sample: int = 0) -> DataFrame:
     """Number of keys and a digest that depends on their order.
 
     Each row's bytes of key and value are XORed into one byte, shifted by the row's place modulo
-    eight, and all rows XORed.  Places come from counts of ranges, so no task sees all rows.  With
+    eight, and all rows XORed.  Places come from counts of stored ranges, so no task sees all rows
+    and places and counts are of the same ranges.  With
     ``sample`` only every n-th row counts, n = rows / sample.
     """
-    ranged = state.repartitionByRange(F.col("cf_id"), F.col("key")).withColumn("part", F.spark_partition_id())
-    ranged = ranged.withColumn("k", F.row_number().over(Window.partitionBy("part").orderBy("cf_id", "key")))
-    parts = ranged.groupBy("part").agg(F.count("*").alias("n"))
-    before = Window.partitionBy(F.lit(0)).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    parts = parts.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"), F.sum("n").over(Window.partitionBy(F.lit(0))).alias("rows"))
-    placed = ranged.join(parts, "part").withColumn("place", F.col("before") + F.col("k") - 1)
+    x = _xor_bytes(F.concat("key", F.coalesce("value", F.lit(b""))))
+    placed = numbered(state.select("cf_id", "key", x.alias("x")), ["cf_id", "key"], "digest")
+    n_keys = F.count("*")
     if sample:
-        step = F.greatest(F.lit(1).cast("long"), F.floor(F.col("rows") / sample))
-        placed = placed.where(F.col("place") % step == 0)
-    return placed.agg(F.coalesce(F.max("rows"), F.lit(0)).alias("n_keys"), F.coalesce(F.bit_xor(F.call_function("shiftleft", _xor_bytes(F.concat("key", F.coalesce("value", F.lit(b"")))), ((F.col("place") % 8) * 8).cast("int"))), F.lit(0)).alias("digest"))
+        rows = placed.count()
+        placed = placed.where(F.col("place") % max(1, rows // sample) == 0)
+        n_keys = F.lit(rows).cast("long")
+    shifted = F.call_function("shiftleft", F.col("x"), ((F.col("place") % 8) * 8).cast("int"))
+    return placed.agg(n_keys.alias("n_keys"), F.coalesce(F.bit_xor(shifted), F.lit(0)).alias("digest"))
 
 
 def _xor_bytes(raw: Column) -> Column:

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession, label: str) -> str:
@@ -38,6 +40,20 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return stored_at(df, label)[0]
 
 
+def numbered(df: DataFrame, order: Sequence[str | Column], label: str, by: str = "place") -> DataFrame:
+    """Rows with their place (from 0) in an order, stored once: what reads them twice sees the same ranges.
+
+    The rows are sorted into ranges; of each range only its size meets in one place.
+    """
+    nth, bits = "__nth", 33  # of monotonically_increasing_id: the range above, the row's number in it below
+    ranged = stored(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn(nth, F.monotonically_increasing_id()), label)
+    sizes = ranged.groupBy(F.shiftright(nth, bits).alias("__part")).agg(F.count("*").alias("__n"))
+    before = F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))
+    sizes = sizes.select("__part", F.coalesce(before, F.lit(0)).alias("__before"))
+    found = ranged.withColumn("__part", F.shiftright(nth, bits)).join(F.broadcast(sizes), "__part")
+    return found.withColumn(by, F.col("__before") + F.col(nth).bitwiseAND(F.lit((1 << bits) - 1))).drop("__part", "__before", nth)
+
+
 def remove(spark: SparkSession, *paths: str) -> None:
     """Delete folders of rounds that nothing reads any more."""
     for p in paths:
