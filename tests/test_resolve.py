@@ -210,6 +210,22 @@ def test_counters_wrap_for_large_values(spark, tmp_path):
     assert got == {("u000001", str((2 * base + 1003) % 2**64), 2), ("u000002", str(base + 807), 3)}
 
 
+def test_histogram_has_exact_percentiles(spark):
+    """Beyond the accuracy of a sketch; also few values, equal ones, null names and names without values."""
+    import math
+
+    from versionlog.operators import inspect
+
+    rng = random.Random(5)
+    groups = {"many": [rng.random() for _ in range(60000)], "few": [3.0, 1.0, 2.0], "one": [7.0], "equal": [2.0] * 50 + [1.0] * 50, None: [4.0, 5.0], "nothing": [None]}
+    rows = [(k, v) for k, vs in groups.items() for v in vs]
+    got = {r.metric: (r.n, r.median, r.p95, r.p99) for r in inspect.histogram(spark.createDataFrame(rows, "metric string, value double"), "metric", "value").collect()}
+    for k, vs in groups.items():
+        vs = sorted(v for v in vs if v is not None)
+        places = [math.ceil(len(vs) * p / 100) - 1 for p in (50, 95, 99)]
+        assert got[k] == (len(vs), *[vs[p] if vs else None for p in places])
+
+
 def test_digest_of_many_keys(spark):
     """More keys than a sample of ranges takes whole: places and counts are of the same ranges."""
     from functools import reduce
