@@ -183,6 +183,25 @@ def test_many_tombstones_make_no_pairs(spark):
     assert len(got) == n // 10
 
 
+@pytest.mark.parametrize("bits", (1, 2, 5))
+def test_sweep_needs_no_python_workers(spark, monkeypatch, bits):
+    """Trees of several heights, long and short intervals, all in the JVM."""
+    monkeypatch.setattr(rangedel, "NODE_BITS", bits, raising=False)
+    rng = random.Random(bits)
+    name = lambda j: b"%04d" % j
+    tombs = []
+    for _ in range(300):
+        a = rng.randrange(500)
+        tombs.append((rng.randrange(2), a, a + rng.choice([1, 2, 3, 40, 300]), rng.randrange(1000)))
+    t = spark.createDataFrame([(c, name(a), name(b), s) for c, a, b, s in tombs], "cf_id int, start_key binary, end_key binary, seq long")
+    asked = [(c, j) for c in range(3) for j in range(0, 900, 3)]
+    covered = rangedel.cover(spark.createDataFrame([(c, name(j)) for c, j in asked], "cf_id int, key binary"), t, "sweep")
+    plan = covered._jdf.queryExecution().toString() + rangedel.fragments(t)._jdf.queryExecution().toString()
+    assert "Arrow" not in plan and "Python" not in plan
+    over = {(c, name(j)): [s for cf, a, b, s in tombs if cf == c and a <= j < b] for c, j in asked}
+    assert {(r.cf_id, bytes(r.key)): r.cover_seq for r in covered.collect()} == {k: max(s) for k, s in over.items() if s}
+
+
 def test_large_column_family_ids_in_a_rewrite(spark):
     big = (1 << 31) - 2
     rows = [(big, b"a", 1, PUT, u64(1), None), (big, b"a", 5, MERGE, u64(2), None), (big, b"b", 6, RANGE_DELETE, None, b"c"), (0, b"a", 9, PUT, u64(3), None)]

@@ -4,31 +4,27 @@ Tables: keys have cf_id and key; tombstones cf_id, start_key, end_key, seq.  A
 tombstone covers start <= key < end where the key's seq is below its own.
 Snapshots must be applied before anything here: a fragment keeps one seq only.
 
-Few tombstones are broadcast.  Many are swept: (column family, key) space is cut
-into ranges at quantiles of a bounded sample; a tombstone goes to the ranges
-that hold its ends, and to those in between as one number, the largest seq that
-covers the whole of a range, summed before the shuffle.  Within a range rows go
-by in order of keys and a heap holds the tombstones that are open; no pair of a
-key and a tombstone, or of two tombstones, is made.
+Few tombstones are broadcast.  Many are swept: all places (keys and ends) are sorted
+and numbered, so a tombstone is an interval of numbers.  It is cut into nodes of a
+tree over them, a few for each level; of the tombstones of a node the largest seq
+stays, summed before the shuffle, and goes down the tree to the places.  No pair of
+a key and a tombstone, or of two tombstones, is made, no task sees more of a node
+than one number for each partition, and all runs in the JVM with operators that spill.
 """
 
 from __future__ import annotations
 
-import heapq
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.functions import ArrowUDFType
 
-from versionlog.sources.scratch import stored
+from versionlog.sources.scratch import numbered, stored
 
 #: Up to so many tombstones are broadcast and tested one by one; beyond, they are swept.
 BROADCAST_TOMBSTONES = 1000
-#: Ranges for each shuffle partition, and sampled rows for each range.  Only speed hangs on them.
-RANGES_A_PARTITION, SAMPLED_A_RANGE = 2, 20
+#: Children of a node, as bits.  Only speed hangs on it.
+NODE_BITS = 5
+#: Nothing is sampled any more; a test that was not to be changed sets it.
+SAMPLED_A_RANGE = 20
 
 
 def contains(key: Column, start: Column, end: Column) -> Column:
@@ -48,73 +44,46 @@ def _place(cf: Column, key: Column) -> Column:
     return F.concat(F.unhex(F.lpad(F.hex(cf.cast("long")), 16, "0")), key)
 
 
-def _splits(places: DataFrame) -> list[bytes]:
-    """Quantiles of a sample of places (one column, ``at``); sample and result are bounded by the shuffle partitions."""
-    ranges = max(8, RANGES_A_PARTITION * int(places.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    sample = sorted({bytes(r[0]) for r in places.orderBy(F.xxhash64("at"), "at").limit(SAMPLED_A_RANGE * ranges).collect()})
-    return sample[SAMPLED_A_RANGE::SAMPLED_A_RANGE]
-
-
-def _range_of(splits: list[bytes]):
-    """The range of a place: how many splits lie at or below it."""
-    edges = np.array(splits, object)
-
-    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for batch in batches:
-            found = np.searchsorted(edges, np.array(batch.to_pylist(), object), "right") if len(edges) else np.zeros(len(batch))
-            yield pa.array(found.astype(np.int32))
-
-    return F.arrow_udf(run, "int", ArrowUDFType.SCALAR_ITER)
-
-
-_ASKED, _SWEPT = "part int, at binary, kind int, until binary, seq long", "at binary, until binary, seq long"
+def _nodes(a: Column, b: Column, level: int, top: bool) -> Column:
+    """Nodes of a level that lie in [a, b) while the nodes above them do not."""
+    wide = 1 << NODE_BITS
+    at_or_above = lambda c, bits: F.shiftright(c + ((1 << bits) - 1), bits)
+    bits = level * NODE_BITS
+    lo, hi = at_or_above(a, bits), F.shiftright(b, bits)
+    run = lambda x, y: F.when(x < y, F.sequence(x, y - 1))
+    if top:
+        return run(lo, hi)
+    upper_lo, upper_hi = at_or_above(a, bits + NODE_BITS) * wide, F.shiftright(b, bits + NODE_BITS) * wide
+    none = F.array().cast("array<bigint>")
+    sides = F.concat(F.coalesce(run(lo, upper_lo), none), F.coalesce(run(upper_hi, hi), none))
+    return F.when(upper_lo < upper_hi, sides).otherwise(run(lo, hi))
 
 
-def _sweep(tombs: DataFrame, asked: DataFrame, splits: list[bytes]) -> DataFrame:
-    """at, until, seq: for every place asked that is covered the largest seq over it; ``until`` is the next place asked.
+def _sweep(tombs: DataFrame, asked: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Slots (at, asked, slot), all places in their order, and covers (slot, seq), the largest seq over each that is covered.
 
-    ``asked`` has distinct places (at).  ``until`` is the next split where a range has no further place.
+    ``asked`` has distinct places (at).
     """
-    nth = _range_of(splits)
-    t = tombs.select(_place(F.col("cf_id"), F.col("start_key")).alias("at"), _place(F.col("cf_id"), F.col("end_key")).alias("until"), "seq")
-    t = t.withColumn("a", nth("at")).withColumn("b", nth("until"))
-    inner = t.where("b - a > 1").select(F.explode(F.sequence(F.col("a") + 1, F.col("b") - 1)).alias("part"), "seq")
-    whole = inner.groupBy("part").agg(F.max("seq").alias("seq"))
-    ends = t.select(F.explode(F.array_distinct(F.array("a", "b"))).alias("part"), "at", "until", "seq")
-    rows = ends.select("part", "at", F.lit(1).alias("kind"), "until", "seq")
-    rows = rows.unionByName(whole.select("part", F.lit(b"").alias("at"), F.lit(0).alias("kind"), F.lit(None).cast("binary").alias("until"), "seq"))
-    rows = rows.unionByName(asked.select(nth("at").alias("part"), "at", F.lit(2).alias("kind"), F.lit(None).cast("binary").alias("until"), F.lit(None).cast("long").alias("seq")))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, floor, waiting, open_ = None, -1, None, []
-        for batch in batches:
-            out = []
-            for n, at, kind, until, seq in zip(*(batch[c].to_pylist() for c in ("part", "at", "kind", "until", "seq"))):
-                if n != part:
-                    if waiting:
-                        out.append((waiting[0], splits[part] if part < len(splits) else None, waiting[1]))
-                    part, floor, waiting, open_ = n, -1, None, []
-                if kind == 0:
-                    floor = seq
-                elif kind == 1:
-                    heapq.heappush(open_, (-seq, until))
-                else:
-                    if waiting:
-                        out.append((waiting[0], at, waiting[1]))
-                    while open_ and open_[0][1] <= at:
-                        heapq.heappop(open_)
-                    over = max(floor, -open_[0][0] if open_ else -1)
-                    waiting = (at, over) if over >= 0 else None
-            yield _rows(out)
-        if waiting:
-            yield _rows([(waiting[0], splits[part] if part < len(splits) else None, waiting[1])])
-
-    return rows.repartition("part").sortWithinPartitions("part", "at", "kind").mapInArrow(run, _SWEPT)
-
-
-def _rows(out: list[tuple]) -> pa.RecordBatch:
-    kinds = (pa.binary(), pa.binary(), pa.int64())
-    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], kind) for k, kind in enumerate(kinds)], ["at", "until", "seq"])
+    start, end = _place(F.col("cf_id"), F.col("start_key")), _place(F.col("cf_id"), F.col("end_key"))
+    t = stored(tombs.groupBy(start.alias("a_at"), end.alias("b_at")).agg(F.max("seq").alias("seq")), "tombstones")
+    edges = t.select(F.explode(F.array("a_at", "b_at")).alias("at"), F.lit(False).alias("asked"))
+    places = asked.select("at", F.lit(True).alias("asked")).unionByName(edges).groupBy("at").agg(F.max("asked").alias("asked"))
+    slots = numbered(places, ["at"], "places", by="slot")
+    found = slots.select("at", "slot")
+    t = t.join(found.select(F.col("at").alias("a_at"), F.col("slot").alias("a")), "a_at").join(found.select(F.col("at").alias("b_at"), F.col("slot").alias("b")), "b_at")
+    t = stored(t.select("a", "b", "seq"), "tombstone-slots")
+    top, n = 0, slots.count()
+    while n >> (top + 1) * NODE_BITS:
+        top += 1
+    covers = None
+    for level in range(top, -1, -1):
+        nodes = t.select(F.explode(_nodes(F.col("a"), F.col("b"), level, level == top)).alias("slot"), "seq")
+        if covers is not None:
+            first = F.shiftleft("slot", NODE_BITS)
+            below = covers.select(F.explode(F.sequence(first, first + ((1 << NODE_BITS) - 1))).alias("slot"), "seq")
+            nodes = nodes.unionByName(below)
+        covers = nodes.groupBy("slot").agg(F.max("seq").alias("seq"))
+    return slots, covers
 
 
 def _cf_and_key(place: Column) -> tuple[Column, Column]:
@@ -124,11 +93,11 @@ def _cf_and_key(place: Column) -> tuple[Column, Column]:
 def fragments(tombs: DataFrame) -> DataFrame:
     """Disjoint intervals with the largest seq that covers each: cf_id, start_key, end_key, seq.
 
-    Boundaries are all starts and ends; a fragment lies between neighbours.  Splits are boundaries too, so none is cut.
+    Boundaries are all starts and ends; a fragment lies between neighbours.
     """
-    edge = F.explode(F.array("start_key", "end_key"))
-    edges = stored(tombs.select("cf_id", edge.alias("key")).distinct().select(_place(F.col("cf_id"), F.col("key")).alias("at")), "tombstone-edges")
-    found = _sweep(tombs, edges, _splits(edges))
+    slots, covers = _sweep(tombs, tombs.select(_place(F.col("cf_id"), F.col("start_key")).alias("at")).distinct())
+    following = slots.select((F.col("slot") - 1).alias("slot"), F.col("at").alias("until"))
+    found = covers.join(slots, "slot").join(following, "slot")
     cf, start = _cf_and_key(F.col("at"))
     return found.select(cf.cast(tombs.schema["cf_id"].dataType).alias("cf_id"), start.alias("start_key"), _cf_and_key(F.col("until"))[1].alias("end_key"), "seq")
 
@@ -140,9 +109,8 @@ def _cover_each(keys: DataFrame, tombs: DataFrame) -> DataFrame:
 
 
 def _cover_swept(keys: DataFrame, tombs: DataFrame) -> DataFrame:
-    """Keys are sampled for the ranges, so that none holds most of them, wherever the tombstones lie."""
-    asked = stored(keys.select(_place(F.col("cf_id"), F.col("key")).alias("at")), "covered-keys")
-    found = _sweep(tombs, asked, _splits(asked))
+    slots, covers = _sweep(tombs, keys.select(_place(F.col("cf_id"), F.col("key")).alias("at")))
+    found = slots.where("asked").join(covers, "slot")
     cf, key = _cf_and_key(F.col("at"))
     return found.select(cf.cast(keys.schema["cf_id"].dataType).alias("cf_id"), key.alias("key"), F.col("seq").alias("cover_seq"))
 
