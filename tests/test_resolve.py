@@ -264,3 +264,20 @@ def test_digest_of_many_keys(spark):
     fold = lambda places: reduce(xor, (byte(k) << k % 8 * 8 for k in places))
     assert tuple(got[0]) == (n, fold(range(n)))
     assert tuple(some[0]) == (n, fold(range(0, n, 300)))
+
+
+def test_codecs_compute_a_value_once(spark):
+    """Bytes are turned without naming the value for each of them, so nested codecs do not multiply."""
+    from versionlog.functions import codecs
+    from versionlog.operators import timetravel
+
+    rows = [(n, t) for n, t in zip([b"", b"v", b"\x00" * 9, b"\xff" * 3], [0, 1, 1706745599, (1 << 63) - 1])]
+    t = spark.createDataFrame(rows, "v binary, t long").withColumn("value", codecs.append_expiry_base(F.col("v"), F.col("t")))
+    left = timetravel.alive_values(t.withColumn("was", F.col("value")).withColumn("at", codecs.created_at_of(F.col("value"))), 0, 0)
+    assert {(bytes(r.v), r.t, bytes(r.was), bytes(r.value), r.at) for r in left.collect()} == {(v, t, v + t.to_bytes(8, "little"), v, t) for v, t in rows}
+    short = spark.createDataFrame([(b"1234567",), (None,)], "value binary").select(codecs.created_at_of(F.col("value")).alias("at"), codecs.decode_u64le(F.col("value")).alias("n"))
+    assert [tuple(r) for r in short.collect()] == [(None, None)] * 2
+    top = spark.range(1).select(F.lit(str((1 << 64) - 1)).cast("decimal(20,0)").alias("n")).select(codecs.decode_u64le(codecs.encode_u64le(F.col("n"))).alias("n"))
+    assert int(top.first().n) == (1 << 64) - 1
+    plan = timetravel.alive_values(t.select("value"), 10, 100)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("conv(") <= 10
