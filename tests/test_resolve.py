@@ -281,3 +281,15 @@ def test_codecs_compute_a_value_once(spark):
     assert int(top.first().n) == (1 << 64) - 1
     plan = timetravel.alive_values(t.select("value"), 10, 100)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("conv(") <= 10
+
+
+def test_collisions_are_dealt_by_the_number_of_rows(spark, monkeypatch):
+    """A task's share does not grow with the log; equal and missing values count as one each."""
+    from versionlog.operators import inspect
+
+    monkeypatch.setattr(inspect, "ROWS_A_PARTITION", 100, raising=False)
+    rows = [(0, b"k%d" % k, k % 50, PUT, v, None) for k in range(500) for v in (b"a", b"a", None, b"b" if k % 5 else b"a")]
+    found = inspect.collisions(frame(spark, rows).withColumn("op", F.lit(PUT).cast("byte")))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hash") == 1 and ", 20)" in plan.split("Exchange hash")[1].split("\n")[0] and "REPARTITION_BY_NUM" in plan
+    assert {(bytes(r.key), r.n_values, r.n_rows) for r in found.collect()} == {(b"k%d" % k, 3 if k % 5 else 2, 4) for k in range(500)}

@@ -11,6 +11,9 @@ from versionlog.model import DELETE, MERGE, RANGE_DELETE, SINGLE_DELETE, Invalid
 from versionlog.operators.compact import LEVELS
 from versionlog.sources.scratch import numbered, stored
 
+#: Rows that a task of the collision check groups, about.
+ROWS_A_PARTITION = 200_000
+
 
 def entry_stats(log: DataFrame) -> DataFrame:
     """One row: counts by kind, seq range, key and value bytes."""
@@ -56,8 +59,13 @@ def approximate_sizes(files: DataFrame, ranges: DataFrame) -> DataFrame:
 
 
 def collisions(log: DataFrame) -> DataFrame:
-    """Internal keys with more than one value."""
-    same = log.groupBy("cf_id", "key", "seq", "op").agg(F.count_distinct(F.coalesce(F.hex("value"), F.lit("-"))).alias("n_values"), F.count("*").alias("n_rows"))
+    """Internal keys with more than one value.
+
+    Nearly all keys differ, so rows go to their partitions first, about as many to each whatever the log's
+    size: partial aggregates and joined partitions would hold a part of the log that grows with it.
+    """
+    n = max(int(log.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-log.count() // ROWS_A_PARTITION))
+    same = log.repartition(n, "key", "seq").groupBy("cf_id", "key", "seq", "op").agg(F.count_distinct(F.coalesce(F.hex("value"), F.lit("-"))).alias("n_values"), F.count("*").alias("n_rows"))
     return same.where("n_values > 1")
 
 
