@@ -1,4 +1,5 @@
 import hashlib
+import importlib
 import os
 import tracemalloc
 from collections import Counter, defaultdict
@@ -50,6 +51,36 @@ def test_components(spark):
     assert [tuple(r) for r in components(odd).collect()] == [(5, 4)]
 
 
+@pytest.mark.parametrize("at_once", [0, 1000])
+def test_components_by_rounds_and_at_once(spark, monkeypatch, at_once):
+    module = importlib.import_module("versionlog.llm.components")
+    monkeypatch.setattr(module, "AT_ONCE", at_once)
+    rng = np.random.default_rng(11)
+    links = [(int(a), int(b)) for a, b in rng.integers(-150, 150, (130, 2))] + [(k, k + 1) for k in range(1000, 1020)] + [(7, 7)]
+    u = Union()
+    for a, b in links:
+        u.join(a, b)
+    found = components(spark.createDataFrame(links, "u long, v long").repartition(5))
+    assert {r.node: r.component for r in found.collect()} == {x: u.find(x) for x in u.up if u.find(x) != x}
+    assert at_once == 0 or len(found.inputFiles()) == 1  # no round dealt them out
+
+
+def test_a_join_of_few_rows_takes_few_tasks(spark):
+    """However many partitions the session has: of small tables most would be empty, and each has a file and a task."""
+    texts = [(k, " ".join(f"w{(k // 4) * 100 + i}" for i in range(60)) + " x" * (k % 4)) for k in range(40)]
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", 40)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(8)
+        joined = ngram_join.Joined(docs, ngram_join.Config(n=4, percent=85))
+        assert joined.signed.rdd.getNumPartitions() == 1 and len(joined.found.inputFiles()) == 1
+        assert {r.doc_id: r.component_id for r in joined.decisions().collect()} == {k: k // 4 * 4 for k, _ in texts}
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+
+
 # --- exact copies
 
 COPIES = [(1, "Same Text"), (2, "same text"), (3, "SAME TEXT"), (4, "same text "), (5, "É"), (6, "é"), (7, None), (8, ""), (None, "same TEXT"), (9, "x" * 100_000), (10, "X" * 100_000), (2, "other"), (3, "Other"), (3, "other")]

@@ -73,6 +73,9 @@ PAIR_ROWS = 50_000
 COMPARED_BYTES = 4 << 20
 #: Up to so many ids are broadcast; beyond, they are joined by shuffling.
 BROADCAST_IDS = 200_000
+#: What is dealt out by keys is read by a task for so many rows, or for so many n-grams, where the session has more
+#: partitions than that: a task of few rows takes far longer to start, and its file to be made, than to run.
+ROWS_A_TASK, GRAMS_A_TASK = 2000, 1_000_000
 #: So many n-grams of their prefixes linked sets share, if they have as many in common at all; in so many small
 #: tiles a pair must meet to be looked at there.
 SHARED, MET = 20, 6
@@ -260,13 +263,15 @@ def _few(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_IDS else df
 
 
-def _linked(pairs: DataFrame, texts: DataFrame, config: Config) -> DataFrame:
+def _linked(pairs: DataFrame, texts: DataFrame, config: Config, tasks: int) -> DataFrame:
     """Those of the pairs (u, v) that link: bounded by finer bitmaps, then by intersection of the sorted sets.
 
     A text is taken apart once; sets go only to the pairs that their bitmaps let pass.
     """
     step = Scratch(texts.sparkSession)
-    ids = step.stored(pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct(), "join-ids")
+    tasks = max(tasks, -(-pairs.count() // ROWS_A_TASK))
+    pairs = pairs.coalesce(tasks)
+    ids = step.stored(pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct().coalesce(tasks), "join-ids")
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forget()
@@ -280,18 +285,18 @@ def _linked(pairs: DataFrame, texts: DataFrame, config: Config) -> DataFrame:
     held = texts.join(_few(ids), texts["doc_id"] == ids["id"], "left_semi").select("doc_id", "text")
     made = step.stored(held.mapInArrow(take, "id long, n long, bits binary, grams binary"), "join-sets")
     for column, overlap in (("bits", _bitmap_bound), ("grams", _intersection)):
-        pairs = stored(_passing_pairs(pairs, made, column, overlap, config.percent), "join-tested")
+        pairs = stored(_passing_pairs(pairs, made.coalesce(tasks), column, overlap, config.percent, tasks), "join-tested")
     step.clear()
     return pairs
 
 
-def _passing_pairs(pairs: DataFrame, made: DataFrame, column: str, overlap, percent: int) -> DataFrame:
+def _passing_pairs(pairs: DataFrame, made: DataFrame, column: str, overlap, percent: int, tasks: int) -> DataFrame:
     def passes(a: pa.Array, n_a: pa.Array, b: pa.Array, n_b: pa.Array) -> pa.Array:
         sides = zip(a, n_a.to_pylist(), b, n_b.to_pylist())
         return pa.array([bool(enough(overlap(x.as_py(), n_x, y.as_py(), n_y), n_x, n_y, percent)) for x, n_x, y, n_y in sides], pa.bool_())
 
     for side in "uv":
-        pairs = pairs.join(made.select(F.col("id").alias(side), F.col("n").alias(f"n_{side}"), F.col(column).alias(f"x_{side}")), side)
+        pairs = pairs.join(made.select(F.col("id").alias(side), F.col("n").alias(f"n_{side}"), F.col(column).alias(f"x_{side}")), side).coalesce(tasks)
     return pairs.where(F.arrow_udf(passes, "boolean", ArrowUDFType.SCALAR)("x_u", "n_u", "x_v", "n_v")).select("u", "v")
 
 
@@ -347,7 +352,7 @@ def _block(times: str) -> Column:
     return F.pmod(F.xxhash64("id"), F.ceil(F.col(times) / BLOCK)).cast("int")
 
 
-def _near(members: DataFrame, percent: int) -> DataFrame:
+def _near(members: DataFrame, percent: int, tasks: int) -> DataFrame:
     """Pairs (u, v, n_u, n_v) that fit in size and meet in as many tiles as linked sets do."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -361,10 +366,10 @@ def _near(members: DataFrame, percent: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in (ids[one], ids[other], n[one], n[other])], ["u", "v", "n_u", "n_v"])
         trim()
 
-    dealt = members.select("key", _block("times").alias("block"), "id", "n").repartition("key", "block").sortWithinPartitions("key", "block")
+    dealt = members.select("key", _block("times").alias("block"), "id", "n").repartition("key", "block").coalesce(tasks).sortWithinPartitions("key", "block")
     met = dealt.mapInArrow(run, "u long, v long, n_u long, n_v long")
     met = met.groupBy("u", "v").agg(F.count("*").alias("times"), F.max("n_u").alias("n_u"), F.max("n_v").alias("n_v"))
-    return met.where(F.col("times") >= F.least(F.lit(MET), F.ceil(F.greatest("n_u", "n_v") * percent / 100))).select("u", "v", "n_u", "n_v")
+    return met.coalesce(tasks).where(F.col("times") >= F.least(F.lit(MET), F.ceil(F.greatest("n_u", "n_v") * percent / 100))).select("u", "v", "n_u", "n_v")
 
 
 def _passing(group: dict, maps: np.ndarray, one: np.ndarray, other: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -457,15 +462,15 @@ def _blocks(rows: DataFrame, percent: int) -> DataFrame:
     return rows.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other")).drop("other", "times")
 
 
-def _across_tiles(part: DataFrame, bits: DataFrame, percent: int, best: int) -> DataFrame:
+def _across_tiles(part: DataFrame, bits: DataFrame, percent: int, best: int, tasks: int) -> DataFrame:
     """Pairs (u, v) from the tiles of ``part`` (key, id, n, times, component) that hold several components.
 
     A row with a key instead says that its tile had more pairs than the best.  A block of a tile is one task's.
     """
-    mixed = part.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("key")
-    part = part.join(mixed, "key")
-    tiles = part.groupBy("id", "n").agg(F.slice(F.array_sort(F.collect_list("key")), 1, FIRST_TILES).alias("keys"))  # rows may repeat an id
-    rows = _blocks(part, percent).join(bits, "id").join(tiles, ["id", "n"])
+    mixed = part.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("key").coalesce(tasks)
+    part = part.join(mixed, "key").coalesce(tasks)
+    tiles = part.groupBy("id", "n").agg(F.slice(F.array_sort(F.collect_list("key")), 1, FIRST_TILES).alias("keys")).coalesce(tasks)  # rows may repeat an id
+    rows = _blocks(part, percent).join(bits, "id").coalesce(tasks).join(tiles, ["id", "n"]).coalesce(tasks)
     keys, columns = ["key", "band", "i", "j"], [c for c in rows.columns if c != "keys"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -489,8 +494,8 @@ def _across_tiles(part: DataFrame, bits: DataFrame, percent: int, best: int) ->
             yield pa.RecordBatch.from_arrays([none, none, pa.array(more, pa.int64())], ["u", "v", "key"])
         trim()
 
-    dealt = rows.repartition(*keys).sortWithinPartitions(*keys)
-    return dealt.mapInArrow(run, "u long, v long, key long").distinct()
+    dealt = rows.repartition(*keys).coalesce(tasks).sortWithinPartitions(*keys)
+    return dealt.mapInArrow(run, "u long, v long, key long").distinct().coalesce(tasks)
 
 
 class Joined:
@@ -501,35 +506,39 @@ class Joined:
         percent = self.config.percent
         texts = docs.select(docs[id_col].cast("long").alias("doc_id"), text_of(docs, text_col).alias("text"))
         signed = stored(signatures(texts, self.config), "join-signatures")
-        self.signed = signed
+        size = signed.agg(F.count("*").alias("rows"), F.sum("n_shingles").alias("grams")).first()
+        tasks = max(1, -(-size["rows"] // ROWS_A_TASK) + (size["grams"] or 0) // GRAMS_A_TASK)
+        self.signed = signed = signed.coalesce(tasks)
         step = Scratch(docs.sparkSession)
         # equal sets: the smallest id stands for all
         usable = signed.where("n_shingles > 0 and doc_id is not null")
         equal = usable.groupBy("set_hash").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first <> last")
-        equal = stored(equal.select("set_hash", "first"), "join-equal")
-        copies = stored(usable.select("set_hash", "doc_id").join(_few(equal), "set_hash").where("doc_id <> first").select(F.col("first").alias("u"), F.col("doc_id").alias("v")), "join-copies")
+        equal = stored(equal.select("set_hash", "first").coalesce(tasks), "join-equal")
+        copies = stored(usable.select("set_hash", "doc_id").join(_few(equal), "set_hash").where("doc_id <> first").select(F.col("first").alias("u"), F.col("doc_id").alias("v")).coalesce(tasks), "join-copies")
         single = usable.join(_few(copies.select(F.col("v").alias("doc_id")).distinct()), "doc_id", "left_anti")
         # tiles: keys of two documents or more
         rows = single.select(F.explode("keys").alias("key"), F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"))
         tiles = rows.groupBy("key").agg(F.count("*").alias("times")).where("times > 1")
-        tiles = step.stored(tiles, "join-tiles")  # its shuffle files go before those of the join come
-        members = step.stored(rows.join(tiles, "key"), "join-members")
+        tiles = step.stored(tiles.coalesce(tasks), "join-tiles")  # its shuffle files go before those of the join come
+        members = step.stored(rows.join(tiles, "key").coalesce(tasks), "join-members").coalesce(tasks)
         bits = signed.select(F.col("doc_id").alias("id"), "bits")
-        near = step.stored(_near(members, percent), "join-near").select("u", "v")
-        edges = _linked(near, texts, self.config)
+        near = step.stored(_near(members, percent, tasks), "join-near").select("u", "v")
+        edges = _linked(near, texts, self.config, tasks)
         # larger tiles that still hold several components, without those that a document may leave out
         may_go = F.floor((F.least(F.lit(SHARED), F.ceil(F.col("n") * percent / 100)) - MET) / 2)
         order = Window.partitionBy("id").orderBy(F.desc("times"), "key")
         large = members.where(F.col("times") > PIVOTS).withColumn("nth", F.row_number().over(order)).where(F.col("nth") > may_go).drop("nth")
-        large = step.stored(large, "join-large")
+        large = step.stored(large.coalesce(tasks), "join-large").coalesce(tasks)
         best = BEST
         while not large.isEmpty():
             found = components(edges)
             part = large.join(found, F.col("id") == F.col("node"), "left").select("key", "id", "n", "times", F.coalesce("component", "id").alias("component"))
-            out = step.stored(_across_tiles(step.stored(part, "join-parts"), bits, percent, best), "join-pairs")
-            pairs = step.stored(out.where("key is null").select("u", "v").join(near, ["u", "v"], "left_anti"), "join-untested")
-            edges = edges.unionByName(_linked(pairs, texts, self.config))
-            near, large = near.unionByName(pairs), step.stored(large.join(out.where("key is not null").select("key").distinct(), "key"), "join-large")
+            part = step.stored(part.coalesce(tasks), "join-parts").coalesce(tasks)
+            out = step.stored(_across_tiles(part, bits, percent, best, tasks), "join-pairs").coalesce(tasks)
+            pairs = step.stored(out.where("key is null").select("u", "v").join(near.coalesce(tasks), ["u", "v"], "left_anti").coalesce(tasks), "join-untested")
+            edges = edges.unionByName(_linked(pairs, texts, self.config, tasks))
+            more = out.where("key is not null").select("key").distinct().coalesce(tasks)
+            near, large = near.unionByName(pairs), step.stored(large.join(more, "key").coalesce(tasks), "join-large").coalesce(tasks)
             best *= MORE
         # copies hang on the document that stands for their set
         self.found = components(edges.unionByName(copies))
