@@ -156,3 +156,16 @@ def test_counts_over_a_table(spark, library):
     df = spark.range(50).select(F.col("id").alias("doc_id"), F.concat(F.lit("word "), F.col("id")).alias("text"))
     got = token_counts.count_tokens(df.repartition(3), PATH).agg(F.sum("n_tokens")).first()[0]
     assert got == sum(map(len, expected(library, [f"word {k}" for k in range(50)])))
+
+
+def test_merging_looks_up_only_new_pairs(tables, monkeypatch):
+    """What stands beside one another in the bytes is known beforehand; each merge makes two pairs at most."""
+    codec, asked = bpe_codec.Codec(tables), []
+    look = codec.pair
+    monkeypatch.setattr(codec, "pair", lambda a, b: asked.append(len(a)) or look(a, b))
+    words = [b"a", "é".encode(), b"thonrestanden", b"zzqxj", b"x" * 200, bytes(range(33, 90)), b"oftionnten"]
+    exact = [bpe.merge(bpe.spell(w, tables), tables.merges) for w in words]
+    got = codec.merge_all(words)
+    assert [np.frombuffer(g, "<u4").tolist() for g in got] == [ids for ids, _ in exact]
+    assert sum(asked) <= sum(2 * len(done) for w, (_, done) in zip(words, exact) if len(w) <= bpe_codec.LONG_WORD)
+    assert codec.merge_all([]) == [] and codec.merge_all([b"x" * 200]) == [got[4]]

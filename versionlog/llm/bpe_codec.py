@@ -67,17 +67,6 @@ class Memo(dict):
         return list(keys.difference(again))
 
 
-def _holes(found: list) -> list[int]:
-    """Where a list has None."""
-    out, k = [], -1
-    try:
-        while True:
-            k = found.index(None, k + 1)
-            out.append(k)
-    except ValueError:
-        return out
-
-
 class Codec:
     """Ids are kept as little-endian unsigned 32-bit bytes, so that texts are joined, not built up."""
 
@@ -86,6 +75,9 @@ class Codec:
         self.words = Memo(memo_bytes)
         self.first, self.last = np.array(t.first, np.int64), np.array(t.last, np.int64)
         self.made = np.array([t.merges[k >> 32, k & 0xFFFFFFFF][1] for k in t.pair_key.tolist()], np.int64)
+        # merges of two bytes, the second one ending its word or not: what all merging begins with
+        pairs = self.pair(np.repeat(self.first, 512), np.tile(np.concatenate([self.first, self.last]), 256))
+        self.byte_rank, self.byte_made = (x.reshape(256, 512) for x in pairs)
         self.special = {i: np.array([i], "<u4").tobytes() for i in t.special.values()}
         # a word is spelled with a character for each byte, another one for the byte that ends it
         self.trie = ahocorasick.Automaton()
@@ -144,17 +136,18 @@ class Codec:
         end = np.zeros(len(raw), bool)
         end[np.cumsum(size) - 1] = True
         ids = np.where(end, self.last[raw], self.first[raw])
-        rank, made = self.pair(ids[:-1], ids[1:])
-        rank, made = np.append(rank, _NEVER), np.append(made, 0)
+        after = np.append(raw[1:] + 256 * end[1:].astype(np.int64), 0)[: len(raw)]
+        rank, made = self.byte_rank[raw, after], self.byte_made[raw, after]
         rank[end] = _NEVER
         while len(names):
             start = np.cumsum(size) - size
             least = np.minimum.reduceat(rank, start)
             done = least == _NEVER
             if done.any():
-                for k, a, n in zip(names[done].tolist(), start[done].tolist(), size[done].tolist()):
-                    out[k] = ids[a : a + n].astype("<u4").tobytes()
                 stay = np.repeat(~done, size)
+                flat, ends = ids[~stay].astype("<u4").tobytes(), (4 * np.cumsum(size[done])).tolist()
+                for k, a, b in zip(names[done].tolist(), [0, *ends], ends):
+                    out[k] = flat[a:b]
                 names, size, least = names[~done], size[~done], least[~done]
                 ids, rank, made = ids[stay], rank[stay], made[stay]
                 if not len(names):
@@ -192,17 +185,12 @@ class Codec:
         """Ids of each text: those of its pre-tokens in a row."""
         split = [self.pre(x) for x in texts]
         memo = self.words
-        found = [list(map(memo.get, ws)) for ws in split]
-        holes = [_holes(fs) for fs in found]
-        lacking = {ws[k] for ws, at in zip(split, holes) for k in at}
+        lacking = set().union(*split).difference(memo)
         if lacking:
             memo.update((i, self.special[i]) for i in lacking.intersection(self.special))
             if new := memo.unknown(lacking.difference(self.special)):
                 self.learn(new)
-            for ws, fs, at in zip(split, found, holes):
-                for k in at:
-                    fs[k] = memo[ws[k]]
-        out = [np.frombuffer(b"".join(fs), "<u4") for fs in found]
+        out = [np.frombuffer(b"".join(map(memo.__getitem__, ws)), "<u4") for ws in split]
         memo.renew()
         return out
 
