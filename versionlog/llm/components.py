@@ -50,7 +50,7 @@ def _at_once(links: DataFrame) -> DataFrame:
         if held:
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in least_of(*map(np.concatenate, zip(*held)))], ["node", "component"])
 
-    return stored_at(links.coalesce(1).mapInArrow(run, "node long, component long"), "components")[0]
+    return stored_at(links.coalesce(1).mapInArrow(run, "node long, component long"), "links")[0]
 
 
 def _large(edges: DataFrame) -> tuple[DataFrame, str]:
