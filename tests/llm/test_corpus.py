@@ -435,6 +435,67 @@ def test_pairs_that_tell_no_new_words_are_told_apart():
     assert left > 10
 
 
+def test_pairs_are_tested_together_without_a_sweep(monkeypatch):
+    """Texts without repeated tokens, and those of few different windows: all near windows, nothing swept or held against each other one by one."""
+
+    def never(*_, **__):
+        raise AssertionError("pair by pair")
+
+    for name in ("_sweep", "_each", "_both"):
+        monkeypatch.setattr(substring_dedup, name, never)
+    monkeypatch.setattr(substring_dedup, "PART", 1000)
+    rng, linked_, told = np.random.default_rng(31), [0, 0, 0], 0
+    for t in range(60):
+        config = substring_dedup.Config(n=1, window=[7, 12, 20, 46][t % 4], percent=[50, 60, 80][t % 3])
+        texts = []
+        for _ in range(3):
+            a = rng.permutation(4000)[: rng.integers(60, 200)]
+            if t % 5 > 2:  # words said over and over
+                a = np.resize(a[: rng.integers(3, 30)], len(a))
+            texts.append(a)
+            for _ in range(int(rng.integers(0, 4))):  # blocks that moved, words left out and new ones
+                b = a.copy()
+                for _ in range(int(rng.integers(0, 6))):
+                    k, m = np.sort(rng.integers(0, len(b), 2))
+                    b = [np.concatenate([b[:k], b[m:], b[k:m]]), np.delete(b, k), np.insert(b, k, 5000 + rng.integers(0, 1 << 40))][rng.integers(0, 3)]
+                if len(b) >= config.window:
+                    texts.append(b)
+        texts = [substring_dedup._mix(x.astype(np.uint64) + np.uint64(1)) for x in texts]
+        held = substring_dedup.windows_of(texts, config)
+        pairs = [(i, j) for i in range(len(texts)) for j in range(i + 1, len(texts))]
+        tests = []
+        for k, (i, j) in enumerate(pairs):
+            new = [held[x].standing(rng.random(len(texts[x])) < 0.01) for x in (i, j)] if k % 2 else [None, None]
+            tests.append((held[i], held[j], *new))
+        for (i, j), test, found in zip(pairs, tests, substring_dedup.tested(tests, config)):
+            near = near_windows(texts[i], texts[j], config)
+            assert (found is not None) == near.any()
+            if found is None:
+                continue
+            linked_[held[i].distinct + held[j].distinct] += 1
+            if test[2] is not None and not substring_dedup.may_tell(*test, config):
+                assert not len(found[0]) and not len(found[1])
+                told += 1
+            else:
+                assert [x.tolist() for x in found] == [np.flatnonzero(near.any(1)).tolist(), np.flatnonzero(near.any(0)).tolist()]
+    assert linked_[0] > 50 and linked_[2] > 50 and told > 10, (linked_, told)
+
+
+def test_windows_of_distinct_tokens_need_no_second_count():
+    """Large texts of which few tokens repeat, far apart or in one window: swept, with the same near windows."""
+    rng, config = np.random.default_rng(32), substring_dedup.Config(n=1, window=12, percent=60)
+    for t in range(40):
+        a = rng.permutation(4000)[:150]
+        a[100 : 100 + t] = a[: t]
+        a[60 : 60 + t % 3] = a[62]
+        b = np.concatenate([a[70:], a[:50], rng.integers(5000, 1 << 40, 9), a[50:70]])
+        one, other = (substring_dedup._mix(x.astype(np.uint64) + np.uint64(1)) for x in (a, b))
+        near, held = near_windows(one, other, config), substring_dedup.windows_of([one, other], config)
+        assert held[0].repeating[: 150 - 11].tolist() == [len(set(a[k : k + 12].tolist())) < 12 for k in range(150 - 11)]
+        for x, y, n in ((*held, near), (*held[::-1], near.T)):
+            assert [s.tolist() for s in substring_dedup._searched(x, y, config)] == [np.flatnonzero(n.any(1)).tolist(), np.flatnonzero(n.any(0)).tolist()]
+
+
 def passage_rows():
     rng = np.random.default_rng(10)
     stock = [f"t{k}" for k in range(5000)]

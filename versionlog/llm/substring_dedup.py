@@ -38,6 +38,8 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -70,6 +72,8 @@ PART = 1 << 18
 EACH = 1 << 21
 #: Windows of a text that are held first against another text that can tell no new words.
 TRIED = 4
+#: Numbers in a table of windows and tokens, or of pairs of windows, at most.
+FEW_WINDOWS = 1 << 18
 #: Low bits that hold a token's place beside its hash.
 PLACE_BITS = 26
 
@@ -657,16 +661,41 @@ class Windows:
     """
 
     def __init__(self, tokens: np.ndarray, valid: np.ndarray, window: int) -> None:
-        self.tokens, self.looked, self.rules = tokens, valid, None
-        self.order = np.argsort(tokens, kind="stable")
-        self.sorted = tokens[self.order]
-        self.distinct = not (self.sorted[1:] == self.sorted[:-1]).any()
+        self.tokens, self.looked, self.rules, self.window = tokens, valid, None, window
+        self.sorted = np.sort(tokens)
+        same = self.sorted[1:] == self.sorted[:-1]
+        self.known = len(tokens) - int(np.count_nonzero(same))
+        self.distinct = self.known == len(tokens)
         if not self.distinct:
             self.starts = np.flatnonzero(valid)
             self.kinds, first, self.content = np.unique(_window_hashes(tokens, window)[self.starts], return_index=True, return_inverse=True)
             self.looked = np.zeros(len(tokens), bool)
             self.looked[self.starts[first]] = True
 
+    @cached_property
+    def order(self) -> np.ndarray:
+        """Places by token, equal tokens by place."""
+        return np.argsort(self.tokens, kind="stable")
+
+    @cached_property
+    def repeating(self) -> np.ndarray:
+        """Which windows hold a token twice or more."""
+        change = np.zeros(len(self.tokens) + 1, np.int64)
+        if not self.distinct:
+            k = np.flatnonzero((self.sorted[1:] == self.sorted[:-1]) & (np.diff(self.order) < self.window))
+            np.add.at(change, np.maximum(self.order[k + 1] - self.window + 1, 0), 1)
+            np.add.at(change, self.order[k] + 1, -1)
+        return np.cumsum(change)[:-1] > 0
+
+    def counted(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The distinct tokens, the looked-at windows, and how often each of these holds each token."""
+        new = np.concatenate([[True], self.sorted[1:] != self.sorted[:-1]])
+        rank = np.empty(len(new), np.int64)
+        rank[self.order] = np.cumsum(new) - 1
+        at = np.flatnonzero(self.looked)
+        rows = np.lib.stride_tricks.sliding_window_view(rank, self.window)[at] + (np.arange(len(at)) * self.known)[:, None]
+        return self.sorted[new], at, np.bincount(rows.ravel(), minlength=len(at) * self.known).reshape(len(at), -1).astype(np.float32)
+
     def standing(self, flags: np.ndarray) -> np.ndarray:
         """Flags of windows as those of the looked-at ones that stand for them."""
         if self.distinct:
@@ -821,7 +850,8 @@ def _sweep(one: Windows, other: Windows, xs: np.ndarray, ys: np.ndarray, hit_x:
             if len(x) and not (one.distinct and other.distinct):
                 new = ~(hit_x[x] & hit_y[y])
                 x, y = x[new], y[new]
-                near = _both(one, other, x, y, config)
+                near = ~one.repeating[x]  # if the window's tokens are distinct, the other holds as many at least
+                near[~near] = _both(one, other, x[~near], y[~near], config)
                 x, y = x[near], y[near]
             hit_x[x] = True
             hit_y[y] = True
@@ -845,14 +875,15 @@ def _each(one: Windows, other: Windows, xs: np.ndarray, ys: np.ndarray, hit_x: n
     inside = np.cumsum(inside, axis=1, dtype=np.int32)
     f, y = np.nonzero((inside[:, w:] - inside[:, :-w] >= config.shared) & ys[: len(ys) - w + 1])
     if len(f):
-        near = _both(other, one, y, x[f], config)
+        near = ~other.repeating[y]
+        near[~near] = _both(other, one, y[~near], x[f[~near]], config)
         hit_x[x[f[near]]] = True
         hit_y[y[near]] = True
     return True
 
 
-def passages(one: Windows, other: Windows, config: Config) -> tuple[np.ndarray, np.ndarray]:
-    """Starts of near windows, in ``one`` and in ``other``: all that there are."""
+def _searched(one: Windows, other: Windows, config: Config) -> tuple[np.ndarray, np.ndarray]:
+    """Near windows, in ``one`` and in ``other``, of texts of any size: main offsets first, then what is left."""
     xs, ys = _wanted(one, other, config), _wanted(other, one, config)
     hit_x, hit_y = np.zeros(len(xs), bool), np.zeros(len(ys), bool)
     if xs.any() and ys.any():
@@ -868,6 +899,128 @@ def passages(one: Windows, other: Windows, config: Config) -> tuple[np.ndarray,
     return one.alike(np.flatnonzero(hit_x)), other.alike(np.flatnonzero(hit_y))
 
 
+#: Of a pair which windows may be near others, and which are: in one text, in the other, and again.
+Found = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
+
+
+def _of_distinct(pairs: list[tuple[Windows, Windows]], config: Config) -> Iterator[Found]:
+    """Near windows of pairs of texts without repeated tokens, all pairs together.
+
+    A token has one place in the other text at most.  The window y holds ``shared`` of a window's tokens if two of their
+    places, ``shared`` - 1 apart when these are sorted, both lie in it; so y lies in one of a few intervals.
+    """
+    w, shared = config.window, config.shared
+    size_x, size_y = (np.array([len(p[k].tokens) for p in pairs]) for k in (0, 1))
+    end_x, end_y = np.cumsum(size_x), np.cumsum(size_y)
+    begin_x, begin_y = end_x - size_x, end_y - size_y
+    tokens = np.concatenate([p[1].tokens for p in pairs])
+    place = np.empty(len(tokens), np.int64)  # in the other text, -1 for none
+    k = 0
+    for _, same in groupby(pairs, lambda p: id(p[0])):
+        one, to = pairs[k][0], k + sum(1 for _ in same)
+        asked = tokens[begin_y[k] : end_y[to - 1]]
+        at = np.minimum(np.searchsorted(one.sorted, asked), len(one.sorted) - 1)
+        place[begin_y[k] : end_y[to - 1]] = np.where(one.sorted[at] == asked, one.order[at], -1)
+        k = to
+    met = np.flatnonzero(place >= 0)
+    at = np.full(end_x[-1], -1)
+    at[place[met] + np.repeat(begin_x, size_y)[met]] = met
+    q = at[at >= 0]  # places in the other text, by place in this one
+
+    def wanted(found: np.ndarray, ends: np.ndarray, size: np.ndarray, side: int) -> tuple[np.ndarray, np.ndarray]:
+        sums = np.concatenate([[0], np.cumsum(found)])
+        full = np.zeros(len(found), bool)
+        full[: len(found) - w + 1] = sums[w:] - sums[:-w] >= shared
+        return full & np.concatenate([p[side].looked for p in pairs]) & (np.arange(w, len(found) + w) <= np.repeat(ends, size)), sums
+
+    xs, sums = wanted(at >= 0, end_x, size_x, 0)
+    ys, _ = wanted(place >= 0, end_y, size_y, 1)
+    starts = np.flatnonzero(xs)
+    first, last = sums[starts], sums[starts + w] - 1
+    least = np.repeat(begin_y, size_x)[starts]
+    held = np.concatenate([[0], np.cumsum(ys)])
+    change, near = np.zeros(len(ys) + 1, np.int64), np.zeros(len(starts), bool)
+
+    def mark(rows: np.ndarray, low: np.ndarray, high: np.ndarray) -> None:
+        low = np.maximum(low, least[rows])
+        some = low <= high
+        rows, low, high = rows[some], low[some], high[some]
+        some = held[high + 1] > held[low]
+        near[rows[some]] = True
+        np.add(change, np.bincount(low[some], minlength=len(change)) - np.bincount(high[some] + 1, minlength=len(change)), out=change)
+
+    falls = np.concatenate([[0], np.cumsum(q[1:] < q[:-1])])
+    rising = falls[first] == falls[last]
+    sorted_, mixed = np.flatnonzero(rising), np.flatnonzero(~rising)
+    for k in range(w - shared + 1):
+        rows = sorted_[first[sorted_] + k + shared - 1 <= last[sorted_]]
+        mark(rows, q[first[rows] + k + shared - 1] - w + 1, q[first[rows] + k])
+    none = len(ys) + 2 * w  # sorted behind all places
+    for a in range(0, len(mixed), 1 << 13):
+        rows = mixed[a : a + (1 << 13)]
+        of = first[rows, None] + np.arange(w)
+        places = np.sort(np.where(of <= last[rows, None], q[np.minimum(of, len(q) - 1)], none), axis=1)
+        for k in range(w - shared + 1):
+            mark(rows, places[:, k + shared - 1] - w + 1, places[:, k])
+    hit_x = np.zeros(len(xs), bool)
+    hit_x[starts[near]] = True
+    hit_y = ys & (np.cumsum(change)[:-1] > 0)
+    for a, b, c, d in zip(begin_x.tolist(), end_x.tolist(), begin_y.tolist(), end_y.tolist()):
+        yield xs[a:b], ys[c:d], hit_x[a:b], hit_y[c:d]
+
+
+def _of_few(one: Windows, other: Windows, mine: tuple, theirs: tuple, config: Config) -> Found:
+    """Near windows of two texts of which few differ in content: each is held against each, by the counts of their tokens."""
+    (tokens, x, n), (asked, y, m) = mine, theirs
+    at = np.minimum(np.searchsorted(tokens, asked), len(tokens) - 1)
+    some = tokens[at] == asked
+    n, m = n[:, at[some]], m[:, some]
+    near = (n @ (m > 0).T.astype(np.float32) >= config.shared) & ((n > 0).astype(np.float32) @ m.T >= config.shared)
+    xs, ys, hit_x, hit_y = (np.zeros(len(t.tokens), bool) for t in (one, other, one, other))
+    xs[x], ys[y], hit_x[x], hit_y[y] = n.sum(axis=1) >= config.shared, m.sum(axis=1) >= config.shared, near.any(axis=1), near.any(axis=0)
+    return xs, ys, hit_x, hit_y
+
+
+def tested(tests: list[tuple[Windows, Windows, np.ndarray | None, np.ndarray | None]], config: Config) -> list[tuple[np.ndarray, np.ndarray] | None]:
+    """Of each pair the starts of near windows in both texts, all that there are; None if there are none.
+
+    With windows that hold new words a pair that has near windows, but may not have them there, is given without starts.
+    """
+    none = np.zeros(0, np.int64)
+    out: list[tuple[np.ndarray, np.ndarray] | None] = [None] * len(tests)
+
+    def told(k: int, xs: np.ndarray, ys: np.ndarray, hit_x: np.ndarray, hit_y: np.ndarray) -> None:
+        one, other, new_one, new_other = tests[k]
+        if hit_x.any():
+            plain = new_one is not None and not ((xs & new_one).any() or (ys & new_other).any())
+            out[k] = (none, none) if plain else (one.alike(np.flatnonzero(hit_x)), other.alike(np.flatnonzero(hit_y)))
+
+    plain = np.array([k for k, (one, other, *_) in enumerate(tests) if one.distinct and other.distinct], np.int64)
+    for a, b in _slices(np.array([len(tests[k][0].tokens) + len(tests[k][1].tokens) for k in plain], np.int64), PART):
+        for k, found in zip(plain[a:b].tolist(), _of_distinct([tests[k][:2] for k in plain[a:b]], config)):
+            told(k, *found)
+    before, mine = None, None
+    for k, (one, other, new_one, new_other) in enumerate(tests):
+        if one.distinct and other.distinct:
+            continue
+        n, m = int(np.count_nonzero(one.looked)), int(np.count_nonzero(other.looked))
+        if max(n * one.known, m * other.known, n * m) <= FEW_WINDOWS and n * m * min(one.known, other.known) <= FEW_WINDOWS << 6:
+            if one is not before:
+                before, mine = one, one.counted()
+            told(k, *_of_few(one, other, mine, other.counted(), config))
+        elif new_one is not None and not may_tell(one, other, new_one, new_other, config):
+            out[k] = (none, none) if linked(one, other, config) else None
+        else:
+            found = _searched(one, other, config)
+            out[k] = found if len(found[0]) else None
+    return out
+
+
+def passages(one: Windows, other: Windows, config: Config) -> tuple[np.ndarray, np.ndarray]:
+    """Starts of near windows, in ``one`` and in ``other``: all that there are."""
+    return tested([(one, other, None, None)], config)[0] or (np.zeros(0, np.int64), np.zeros(0, np.int64))
+
+
 def outside(place: np.ndarray, found: list[dict] | None, config: Config) -> np.ndarray:
     """Which windows at the places hold a word that is in none of the spans, which lie in order and apart."""
     if not found:
@@ -896,13 +1049,15 @@ def linked(one: Windows, other: Windows, config: Config) -> bool:
     few[at[:: -(-len(at) // TRIED)]] = True
     if _each(one, other, few, ys, hit_x, np.zeros(len(ys), bool), config) and hit_x.any():
         return True
-    return len(passages(one, other, config)[0]) > 0
+    return len(_searched(one, other, config)[0]) > 0
 
 
 def spans(starts: np.ndarray, config: Config) -> list[dict[str, int]]:
     """Word spans of windows that begin there; those that meet are one."""
     length = config.window + config.n - 1
-    cut = np.flatnonzero(np.diff(starts) > length)
+    cut = np.flatnonzero(starts[1:] - starts[:-1] > length)
+    if not len(cut):
+        return [{"first": int(starts[0]), "end": int(starts[-1]) + length}]
     firsts, lasts = starts[np.concatenate([[0], cut + 1])], starts[np.concatenate([cut, [len(starts) - 1]])]
     return [{"first": a, "end": b} for a, b in zip(firsts.tolist(), (lasts + length).tolist())]
 
@@ -936,7 +1091,7 @@ def verified(pairs: DataFrame, texts: DataFrame, config: Config, known: DataFram
         forget()
         hub, at = [], None
         for batch in batches:
-            out = []
+            asked, tests, out = [], [], []
             for k, (u, part, v) in enumerate(zip(batch["u"].to_pylist(), batch["part"].to_pylist(), batch["v"].to_pylist())):
                 place = np.frombuffer(batch["place"][k].as_py(), np.int32).astype(np.int64)
                 this = Windows(np.frombuffer(batch["tokens"][k].as_py(), np.uint64), np.frombuffer(batch["valid"][k].as_py(), bool), config.window)
@@ -950,13 +1105,11 @@ def verified(pairs: DataFrame, texts: DataFrame, config: Config, known: DataFram
                     hub.append((this, place, new, own))
                     continue
                 for one, one_place, one_new, one_own in hub:
-                    if chosen and own == one_own and later and not may_tell(one, this, one_new, new, config):
-                        if linked(one, this, config):
-                            out.append({"u": u, "v": v, "u_spans": [], "v_spans": []})
-                        continue
-                    a, b = passages(one, this, config)
-                    if len(a):
-                        out.append({"u": u, "v": v, "u_spans": spans(one_place[a], config), "v_spans": spans(place[b], config)})
+                    asked.append((u, v, one_place, place))
+                    tests.append((one, this, one_new, new) if chosen and own == one_own and later else (one, this, None, None))
+            for (u, v, one_place, place), found in zip(asked, tested(tests, config)):
+                if found is not None:
+                    out.append({"u": u, "v": v} | {c: spans(x[y], config) if len(y) else [] for c, x, y in (("u_spans", one_place, found[0]), ("v_spans", place, found[1]))})
             yield pa.RecordBatch.from_pylist(out, kind)
         trim()
 
