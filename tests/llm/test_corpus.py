@@ -275,6 +275,17 @@ def test_a_join_leaves_little_behind(spark):
     assert {r.doc_id: r.component_id for r in joined.decisions().collect()} == {k: u.find(k) for k, _ in rows}
 
 
+def test_texts_that_are_hashed_together(monkeypatch):
+    rng = np.random.default_rng(33)
+    texts = [" ".join(f"W{x}" for x in rng.integers(0, 90, k % 7 * (k % 3))) + "\n" * (k % 2) for k in range(60)] + ["", " ", "é a\tB", "x" * 300, "a b " * 90]
+    for n, size in ((1, 50), (3, 200), (5, 1 << 17)):
+        monkeypatch.setattr(ngram_join, "TOGETHER", size)
+        shingle, found = ngram_join.Shingler(n), []
+        for grams, bounds in shingle.together(texts):
+            found += [grams[a:b].tolist() for a, b in bounds]
+        assert found == [shingle.sequence(t).tolist() for t in texts]
+
+
 def test_the_best_pairs_of_each_member(monkeypatch):
     rng = np.random.default_rng(16)
     one, other = np.triu_indices(12, 1)

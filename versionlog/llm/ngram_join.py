@@ -37,7 +37,7 @@ columns play no part.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -99,6 +99,8 @@ _BASE = np.uint64(0x8D26CCFE6D9B5A5B)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 #: Texts are hashed in parts of about so many bytes, cut at spaces.
 PART_BYTES = 1 << 20
+#: Short texts are hashed together, up to so many bytes.
+TOGETHER = 1 << 17
 
 
 @lru_cache(1)
@@ -111,16 +113,20 @@ def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
     return out[0], out[1]
 
 
-def word_hashes(raw: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word: a polynomial over its bytes, taken from running sums, then mixed."""
+def words_at(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A 64-bit hash of each word, a polynomial over its bytes, taken from running sums, then mixed; and where it begins."""
     if not len(raw):
-        return np.zeros(0, np.uint64)
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     up, down = _powers(max(PART_BYTES, 1 << (len(raw) - 1).bit_length()))
     space = np.concatenate([[True], _SPACE[raw], [True]])
     edges = np.flatnonzero(space[1:] != space[:-1])
     first, end = edges[::2], edges[1::2]
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTE[raw] * up[: len(raw)])])
-    return _mix((sums[end] - sums[first]) * down[first] ^ (end - first).astype(np.uint64))
+    return _mix((sums[end] - sums[first]) * down[first] ^ (end - first).astype(np.uint64)), first
+
+
+def word_hashes(raw: np.ndarray) -> np.ndarray:
+    return words_at(raw)[0]
 
 
 class Shingler:
@@ -130,7 +136,9 @@ class Shingler:
         self.n = n
 
     def words(self, text: str) -> np.ndarray:
-        low = text.encode().lower()  # of bytes: A-Z only
+        return self._words(text.encode().lower())  # of bytes: A-Z only
+
+    def _words(self, low: bytes) -> np.ndarray:
         if len(low) <= PART_BYTES:
             return word_hashes(np.frombuffer(low, np.uint8))
         raw, parts, at = np.frombuffer(low, np.uint8), [], 0
@@ -144,7 +152,9 @@ class Shingler:
 
     def sequence(self, text: str) -> np.ndarray:
         """Hashes of the text's n-grams in order."""
-        w = self.words(text)
+        return self._grams(self.words(text))
+
+    def _grams(self, w: np.ndarray) -> np.ndarray:
         if not len(w):
             return w
         n = min(self.n, len(w))
@@ -155,6 +165,36 @@ class Shingler:
         h *= _B
         return h ^ h >> np.uint64(32)
 
+    def together(self, texts: Iterable[str]) -> Iterator[tuple[np.ndarray, list[tuple[int, int]]]]:
+        """The n-grams of some texts in one array, and where in it the ``sequence`` of each text lies; then of the next ones."""
+        waiting, size = [], 0
+        for text in texts:
+            low = text.encode().lower()
+            if waiting and size + len(low) >= TOGETHER:
+                yield self._joined(waiting)
+                waiting, size = [], 0
+            waiting.append(low)
+            size += len(low) + 1
+        if waiting:
+            yield self._joined(waiting)
+
+    def _joined(self, lows: list[bytes]) -> tuple[np.ndarray, list[tuple[int, int]]]:
+        if len(lows) == 1:
+            h = self._grams(self._words(lows[0]))
+            return h, [(0, len(h))]
+        w, first = words_at(np.frombuffer(b" ".join(lows), np.uint8))
+        cut = np.searchsorted(first, np.cumsum([0] + [len(x) + 1 for x in lows])).tolist()
+        h = [self._grams(w)]
+        at, out = len(h[0]), []
+        for a, b in zip(cut[:-1], cut[1:]):
+            if b - a >= self.n:
+                out.append((a, b - self.n + 1))
+            else:  # no word or one n-gram of its own
+                h.append(self._grams(w[a:b]))
+                out.append((at, at + len(h[-1])))
+                at += len(h[-1])
+        return np.concatenate(h), out
+
     def __call__(self, text: str) -> np.ndarray:
         """Sorted, each once."""
         return np.unique(self.sequence(text))

@@ -36,7 +36,7 @@ search; an empty table gives an empty table; extra columns play no part.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from functools import cached_property
 from itertools import groupby
@@ -214,6 +214,22 @@ def _sampled(tokens: np.ndarray) -> np.ndarray:
     return _mix(tokens ^ _MIX) % np.uint64(SAMPLE) == 0
 
 
+def _sequences(shingle: Shingler, texts: Iterable[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The tokens of each text, and which of them are counted."""
+    for tokens, bounds in shingle.together(texts):
+        counted = _sampled(tokens)
+        for a, b in bounds:
+            yield tokens[a:b], counted[a:b]
+
+
+def _distinct(tokens: np.ndarray) -> np.ndarray:
+    """Sorted, each once."""
+    tokens = np.sort(tokens)
+    new = np.ones(len(tokens), bool)
+    np.not_equal(tokens[1:], tokens[:-1], out=new[1:])
+    return tokens[new]
+
+
 def _parts(df: DataFrame) -> int:
     """A prime near the number of shuffle partitions, so that ids with a common step are dealt evenly."""
     n = max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
@@ -248,8 +264,7 @@ def _counted(rows: DataFrame, column: str, distinct_tokens, parts: int) -> DataF
 
         take = distinct_tokens()
         for batch in batches:
-            for doc, x in zip(batch["doc"].to_pylist(), batch[column]):
-                tokens = take(x.as_py())
+            for doc, tokens in zip(batch["doc"].to_pylist(), take(x.as_py() for x in batch[column])):
                 if len(tokens):
                     docs.append(doc)
                     held.append(tokens)
@@ -371,9 +386,9 @@ def reduced(texts: DataFrame, config: Config) -> DataFrame:
     def distinct_tokens():
         shingle = Shingler(config.n)
 
-        def take(text: str) -> np.ndarray:
-            tokens = shingle.sequence(text)
-            return np.unique(tokens[_sampled(tokens)]) if len(tokens) >= config.window else tokens[:0]
+        def take(texts: Iterable[str]) -> Iterator[np.ndarray]:
+            for tokens, counted in _sequences(shingle, texts):
+                yield _distinct(tokens[counted]) if len(tokens) >= config.window else tokens[:0]
 
         return take
 
@@ -381,13 +396,13 @@ def reduced(texts: DataFrame, config: Config) -> DataFrame:
         forget()
         shingle, times = Shingler(config.n), _Times()
         for batch in batches:
-            out = []
+            out, docs, parts_ = [], batch["doc"].to_pylist(), batch["part"].to_pylist()
+            held = _sequences(shingle, (x.as_py() for doc, x in zip(docs, batch["text"]) if doc is not None))
             for k in _listed(batch, times):
-                doc, tokens = batch["doc"][k].as_py(), shingle.sequence(batch["text"][k].as_py())
+                doc, (tokens, bad) = docs[k], next(held)
                 if len(tokens) < config.window:
                     continue
-                bad = _sampled(tokens)
-                bad[bad] = times.of(batch["part"][k].as_py(), doc, tokens[bad]) < 2
+                bad[bad] = times.of(parts_[k], doc, tokens[bad]) < 2
                 valid = _windows_with_few(bad, config.window, config.window - config.shared)
                 if valid.any():
                     at = _covered(valid, config.window)
@@ -477,7 +492,7 @@ def holders(parts_: DataFrame, config: Config) -> DataFrame:
     schema = pa.schema([("doc", pa.int64()), ("tokens", pa.binary()), ("place", pa.binary()), ("valid", pa.binary()), ("held", pa.list_(_HELD))])
 
     def distinct_tokens():
-        return lambda raw: np.unique(np.frombuffer(raw, np.uint64))
+        return lambda raws: (_distinct(np.frombuffer(raw, np.uint64)) for raw in raws)
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forget()
