@@ -16,10 +16,12 @@ windows that are near windows of the other text.
     each with each, of more all with pivots.  Then those pairs follow that could still
     tell something: a word not found yet, two classes, or a text not known to hold
     what an earlier one holds; until there is none.
-4.  *Interval joins.*  For two texts the places of a token in both span window starts at an
-    offset; a sweep finds where ``shared`` of them lie above one another.  Windows in which
-    one token has ``shared`` places are near without it.  All near windows of the pair are
-    found.
+4.  *Pairs.*  All near windows of a pair are found, in one of three ways.  Where no text repeats
+    a token, the places of a window's tokens in the other text give the intervals of its near
+    windows, for many pairs together.  Texts of few different windows are held against each
+    other by their tokens' counts.  Others take interval joins: the places of a token in both
+    texts span window starts at an offset; a sweep finds where ``shared`` of them lie above one
+    another.  Windows in which one token has ``shared`` places are near without it.
 
 Equal texts follow the one with the smallest id and take no part in the search.  So
 classes, passages and ``kept`` are those of all pairs, up to collisions of 64-bit hashes,
